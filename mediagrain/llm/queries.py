@@ -1,13 +1,17 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from mediagrain.llm import decontaminate, packing, repetition
+from mediagrain.llm import decontaminate, language, packing, quality, repetition, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_url_filters": urls.op1,
         "op3_packing": packing.op3,
         "op5_decontamination": decontaminate.op5,
+        "op6_language_id": language.op6,
         "op7_repetition_rules": repetition.op7,
+        "op8_quality_ranking": quality.op8,
+        "op9_toxicity": toxicity.op9,
     }
 
 

@@ -115,14 +115,19 @@ def _base(seed: int) -> tuple[int, np.ndarray]:
     return int(rng.integers(1 << 62, dtype=np.int64)) * 8 + 5 & (1 << 64) - 1, rng.integers(0, 1 << 64, 256, dtype=U64)
 
 
-def word_hashes(w: Words, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def span_hasher(data: np.ndarray, seed: int = 0):
+    """A function of (starts, ends) that gives 64-bit hashes of data[start:end]."""
     base, table = _base(seed)
-    n = len(w.data)
+    n = len(data)
     up, down = powers(base, n + 1)
     h = np.zeros(n + 1, U64)
-    np.cumsum(table[w.data] * up[:n], out=h[1:])
-    return mix((h[w.ends] - h[w.starts]) * down[w.starts] + (w.ends - w.starts).astype(U64) * U64(0x9E3779B97F4A7C15))
+    np.cumsum(table[data] * up[:n], out=h[1:])
+    return lambda starts, ends: mix((h[ends] - h[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(w: Words, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes."""
+    return span_hasher(w.data, seed)(w.starts, w.ends)
 
 
 def window_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
