@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from mediagrain.llm import decontaminate, language, packing, quality, repetition, toxicity, urls
+from mediagrain.llm import decontaminate, language, line_dedup, packing, quality, repetition, toxicity, urls
 
 
 def queries() -> dict:
@@ -12,8 +12,9 @@ def queries() -> dict:
         "op7_repetition_rules": repetition.op7,
         "op8_quality_ranking": quality.op8,
         "op9_toxicity": toxicity.op9,
+        "op10_line_dedup": line_dedup.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.SQL5}
+    return {"op5_decontamination": decontaminate.SQL5, "op10_line_dedup": line_dedup.SQL10}
