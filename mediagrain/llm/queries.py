@@ -1,11 +1,12 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from mediagrain.llm import decontaminate, language, line_dedup, packing, quality, repetition, shingle_join, toxicity, urls
+from mediagrain.llm import decontaminate, language, line_dedup, packing, quality, repetition, shingle_join, substring_dedup, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_url_filters": urls.op1,
+        "op2_substring_dedup": substring_dedup.op2,
         "op3_packing": packing.op3,
         "op4_ngram_jaccard_join": shingle_join.op4,
         "op5_decontamination": decontaminate.op5,
