@@ -20,6 +20,7 @@ Nulls and odd cases: a null text is the empty text, whose document is the closin
 table gives no rows; repeated rows are packed one by one; very long texts are cut over many windows.
 """
 
+import re
 from zlib import crc32
 
 import numpy as np
@@ -34,35 +35,76 @@ TIERS = (256, 512, 1024, 2048)
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+#: Latin letters, then ASCII punctuation: the tokenizer lower-cases the former and always splits between the two.
+STEM = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
     """Token ids of texts, by a bounded cache of white-space-separated words.
 
     The tokenizer normalises white space to one space, drops it, and never joins across it, so the ids of
-    a text are those of its words in turn.
+    a text are those of its words in turn. A new word of Latin letters and closing punctuation is coded as
+    its lower-cased letters and its punctuation, which other words share; for these the vocabulary's merges
+    are asked directly, as there is nothing else to normalise or split. Other words take the whole way.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int):
         from tokenizers import Tokenizer
 
         self.encoder, self.known, self.room = Tokenizer.from_file(path), {}, room
-        self.key = (path, room)
+        self.merges, self.alphabet = self.encoder.model, _byte_alphabet()
+
+    def _piece(self, piece: str) -> bytes:
+        plain = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return np.array([t.id for t in self.merges.tokenize(plain)], "<u4").tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, whole = self.known, []
+        for w in new:
+            if m := STEM.fullmatch(w.decode()):
+                stem, rest = m[1].lower(), m[2]
+                if (key := stem.encode()) not in known:
+                    known[key] = self._piece(stem)
+                ids = known[key]
+                if rest:
+                    if (tail := rest.encode()) not in known:
+                        known[tail] = self._piece(rest)
+                    ids += known[tail]
+                known[w] = ids
+            else:
+                whole.append(w)
+        for lo in range(0, len(whole), 4096):
+            part = whole[lo : lo + 4096]
+            coded = self.encoder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in coded), strict=True))
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.split() for t in texts]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > self.room:
-            known = self.known = {}
-            new = list({w for words in split for w in words})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            coded = self.encoder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in coded), strict=True))
+        new = {w for words in split for w in words if w not in known}
+        if len(known) + 2 * len(new) > self.room:  # keeps the words at hand, frequent ones among them
+            self.known = known = {w: known[w] for words in split for w in words if w in known}
+        self._learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-_coders: dict[tuple, WordIds] = {}
+_coders: dict[tuple[str, int], WordIds] = {}
+
+
+def coder_for(path: str, room: int) -> WordIds:
+    """This worker's coder, kept from task to task."""
+    if (path, room) not in _coders:
+        _coders.clear()
+        _coders[path, room] = WordIds(path, room)
+    return _coders[path, room]
 
 
 class Packer:
@@ -152,7 +194,7 @@ def step_groups(windows: list[tuple[int, list]], step_tokens: int, longest: int)
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = 1, pool_tokens: int = 1 << 19, step_tokens: int = 32_768, cache_words: int = 400_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = 1, pool_tokens: int = 1 << 19, step_tokens: int = 32_768, cache_words: int = 800_000) -> DataFrame:
     """One row per piece: doc_id and the columns of SCHEMA."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -160,7 +202,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = 1, pool_tok
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches):
-        coder = _coders.get((tokenizer, cache_words)) or _coders.setdefault((tokenizer, cache_words), WordIds(tokenizer, cache_words))
+        coder = coder_for(tokenizer, cache_words)
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         packer, rows, sequence, group = Packer(tiers), {}, 0, 0
         seen, windows = 0, []

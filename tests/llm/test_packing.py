@@ -50,7 +50,7 @@ def test_odd_texts(spark, odd_docs, no_docs):
 
 def test_words_are_coded_as_in_their_text():
     rng, coder, words = random.Random(3), Tokenizer.from_file(PATH), packing.WordIds(PATH, room=50)
-    alphabet = list("aeIÉß'’1９ \t\n\r\x0b\x0c\x1c  ́ͅΣσçÅ!?.,<|>") + ["'re", "<|endoftext|>", "don't "]
+    alphabet = list("aeIÉß'’1９ \t\n\r\x0b\x0c\x1c  ́ͅΣσçÅ!?.,<|>") + ["'re", "<|endoftext|>", "don't ", "Abc,", "ÉTÉ.", "\u0130x", "<|EndOfText|>", "ſÿŸ!!"]
     texts = ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(800)]
     for text, ids in zip(texts, words.texts([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids, repr(text)
