@@ -1 +1,13 @@
+"""The registered queries of the catalogue operators."""
 
+from mediagrain.plans import relational
+
+MODULES = (relational,)
+
+
+def queries() -> dict:
+    return {k: f for m in MODULES for k, f in m.Q.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
