@@ -1,8 +1,8 @@
 """The registered queries of the catalogue operators."""
 
-from mediagrain.plans import relational
+from mediagrain.plans import relational, textual
 
-MODULES = (relational,)
+MODULES = (relational, textual)
 
 
 def queries() -> dict:
