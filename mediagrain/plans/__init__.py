@@ -1,8 +1,8 @@
 """The registered queries of the catalogue operators."""
 
-from mediagrain.plans import relational, textual
+from mediagrain.plans import quality, relational, reports, textual
 
-MODULES = (relational, textual)
+MODULES = (relational, textual, quality, reports)
 
 
 def queries() -> dict:
