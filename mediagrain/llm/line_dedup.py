@@ -37,30 +37,31 @@ def _chunk(lines: Column, s: Column, e: Column) -> Column:
 def with_removed(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     """The rows of `docs` as struct `row`, with `lines`, `removed` (array of (s, e), or null) and `kept` (the new text)."""
     texts = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"), F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
-    hashed = [c for c, kind in docs.dtypes if c != "text" and not any(x in kind for x in ("map<", "variant", "void"))]
-    dealt = texts.select("id", "lines", *(F.col("row")[c].alias(f"row_{i}") for i, c in enumerate(docs.columns) if c != "text")).repartition("id")
-    tag = F.xxhash64(*(F.col(f"row_{docs.columns.index(c)}") for c in hashed))
+    rest = [(i, c) for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    dealt = texts.select("id", "lines", *(F.col("row")[c].alias(f"row_{i}") for i, c in rest))
+    unnamed = dealt.filter("id is null").withColumn("removed", F.lit(None).cast("array<struct<s:int,e:int,h:bigint>>"))
+    dealt = dealt.filter("id is not null").repartition("id")
 
     chunks = texts.filter("id is not null and size(lines) > 1").select("id", "lines", F.explode(chunk_bounds(F.col("lines"), mean_lines)).alias("c"))
     chunks = chunks.filter("c.e > c.s").select("id", "c.s", "c.e", F.xxhash64(_chunk(F.col("lines"), F.col("c.s"), F.col("c.e"))).alias("h"))
     often = chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     wanted = chunks.join(often, "h").groupBy("id").agg(F.collect_set(F.struct("s", "e", "h")).alias("wanted"))
 
-    found = dealt.join(wanted, "id").select("id", tag.alias("tag"), "lines", F.explode("wanted").alias("c"))
-    found = found.select("id", "tag", "c.s", "c.e", "c.h", _chunk(F.col("lines"), F.col("c.s"), F.col("c.e")).alias("bytes")).filter(F.xxhash64("bytes") == F.col("h"))
+    found = dealt.join(wanted, "id").select("id", "lines", F.explode("wanted").alias("c"))
+    found = found.select("id", "c.s", "c.e", "c.h", _chunk(F.col("lines"), F.col("c.s"), F.col("c.e")).alias("bytes")).filter(F.xxhash64("bytes") == F.col("h"))
     place = F.struct("id", "s")
-    first = found.groupBy("h", "bytes").agg(F.min(F.struct("id", "s", "tag")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("h1"), F.col("bytes").alias("bytes1"), F.struct("first.id", "first.s").alias("first"))
+    first = found.groupBy("h", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("h1"), F.col("bytes").alias("bytes1"), "first")
     later = found.join(first, (F.col("h") == F.col("h1")) & (F.col("bytes") == F.col("bytes1"))).filter(place > F.col("first"))
     removed = later.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("s", "e", "h"))).alias("removed"))
 
     own = F.filter("removed", lambda c: F.xxhash64(_chunk(F.col("lines"), c["s"], c["e"])) == c["h"])
-    out = dealt.join(removed, "id", "left").withColumn("removed", own)
+    out = dealt.join(removed, "id", "left").withColumn("removed", own).unionByName(unnamed)
     after = F.concat(F.array(F.lit(0)), F.transform("removed", lambda c: c["e"] + 1))
     before = F.concat(F.transform("removed", lambda c: c["s"] - 1), F.array(F.size("lines") - 1))
     pieces = F.filter(F.zip_with(after, before, lambda a, b: F.struct(a.alias("s"), b.alias("e"))), lambda c: c["e"] >= c["s"])
     kept = F.array_join(F.transform(pieces, lambda c: _chunk(F.col("lines"), c["s"], c["e"])), "\n")
     kept = F.when(F.coalesce(F.size("removed"), F.lit(0)) <= 0, F.array_join("lines", "\n")).otherwise(kept)
-    row = F.struct(*((F.array_join("lines", "\n") if c == "text" else F.col(f"row_{i}")).alias(c) for i, c in enumerate(docs.columns)))
+    row = F.struct(*((F.array_join("lines", "\n") if c == "text" else F.col("id" if c == "doc_id" else f"row_{i}")).alias(c) for i, c in enumerate(docs.columns)))
     return out.select(row.alias("row"), "lines", "removed", kept.alias("kept"))
 
 
