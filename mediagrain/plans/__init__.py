@@ -1,8 +1,8 @@
 """The registered queries of the catalogue operators."""
 
-from mediagrain.plans import quality, relational, reports, textual
+from mediagrain.plans import linkage, quality, relational, reports, textual
 
-MODULES = (relational, textual, quality, reports)
+MODULES = (relational, textual, quality, reports, linkage)
 
 
 def queries() -> dict:
