@@ -40,7 +40,7 @@ NAMES = ", n AS (SELECT DISTINCT title AS name FROM tracks), k AS (SELECT name,
 
 def merged_names(k):
     """Names alike to 0.9 (key: first four letters) form groups; the longest, then the first, is canonical."""
-    names = k.tracks.select(C("title").alias("name")).distinct().withColumns({"n": T.normalize_text(C("title")), "id": F.xxhash64("name")}).withColumn("block", F.substring("n", 1, 4))
+    names = k.tracks.select(C("title").alias("name")).distinct().withColumns({"n": T.normalize_text(C("name")), "id": F.xxhash64("name")}).withColumn("block", F.substring("n", 1, 4))
     pairs = L.candidate_pairs(names, ["block"], "id", "n").filter(1 - F.levenshtein("n1", "n2") / F.greatest(F.length("n1"), F.length("n2"), F.lit(1)) >= 0.9)
     grouped = names.join(L.merge_components(pairs), "id", "left").select("name", F.coalesce("label", "id").alias("grp"))
     canonical = grouped.groupBy("grp").agg(F.min_by("name", F.struct(-F.length("name"), "name")).alias("canonical"))
