@@ -1,8 +1,8 @@
 """The registered queries of the catalogue operators."""
 
-from mediagrain.plans import linkage, quality, relational, reports, textual
+from mediagrain.plans import documents, linkage, quality, relational, reports, streams, textual
 
-MODULES = (relational, textual, quality, reports, linkage)
+MODULES = (relational, textual, quality, reports, linkage, documents, streams)
 
 
 def queries() -> dict:
