@@ -20,7 +20,7 @@ def add(name, build, text):
 add("st01_rate_windows", lambda k: S.rate_windows(k.api_log, "1 hour", None, 2), sql("api_log", "SELECT api, date_trunc('hour', ts) AS started, count(*) AS n, count(*) > 2 AS exceeded FROM api_log GROUP BY 1, 2"))
 add("st01b_sliding_rates", lambda k: S.rate_windows(k.api_log, "1 hour", "30 minutes", 2), sql("api_log", ", b AS (SELECT api, time_bucket(INTERVAL 30 MINUTES, ts) AS s FROM api_log), w AS (SELECT api, s FROM b UNION ALL SELECT api, s - INTERVAL 30 MINUTES FROM b) SELECT api, s AS started, count(*) AS n, count(*) > 2 AS exceeded FROM w GROUP BY 1, 2"))
 add("st02_adaptive_limits", lambda k: S.adaptive_limits(k.api_log), sql("api_log", "SELECT api, CAST(ts AS DATE) AS day, greatest(1, CAST(trunc(60 * list_reduce([1.0::DOUBLE] || list(CASE WHEN ok THEN 2.0 ELSE 3.0 END::DOUBLE ORDER BY ts, event_id), lambda m, x: CASE WHEN x = 2 THEN least(1.0, m * 1.02) ELSE greatest(0.1, m * 0.8) END)) AS INT)) AS lim FROM api_log GROUP BY 1, 2"))
-add("st03_activity_sessions", lambda k: S.activity_sessions(k.sessions, "session", "2 hours"), sql("sessions", ", g AS (SELECT session, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY session ORDER BY ts) + INTERVAL 2 HOURS THEN 1 ELSE 0 END AS fresh FROM sessions), i AS (SELECT session, ts, sum(fresh) OVER (PARTITION BY session ORDER BY ts) AS g FROM g) SELECT session, min(ts) AS started, max(ts) + INTERVAL 2 HOURS AS ended, count(*) AS n FROM i GROUP BY session, g"))
+add("st03_activity_sessions", lambda k: S.activity_sessions(k.sessions, "session", "2 hours"), sql("sessions", ", g AS (SELECT session, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY session ORDER BY ts) + INTERVAL 2 HOURS THEN 1 ELSE 0 END AS fresh FROM sessions), i AS (SELECT session, ts, sum(fresh) OVER (PARTITION BY session ORDER BY ts) AS g FROM g) SELECT session, min(ts) AS started, max(ts) + INTERVAL 2 HOURS AS ended, count(*) AS n FROM i GROUP BY session, g"))
 add("st04_latest_states", lambda k: S.latest_states(k.sessions, "session"), sql("sessions", "SELECT session, arg_max(status, (ts, id)) AS status, min(ts) AS started, max(ts) AS ended, count(*) FILTER (WHERE status = 'failed') AS failures FROM sessions GROUP BY 1"))
 add("st05_cache_view", lambda k: S.cache_view(k.cache), sql("cache", "SELECT key, arg_max(data, (created_at, event_id)) AS data, max(created_at) AS written, max(expires_at) AS expires_at, count(*) AS writes FROM cache GROUP BY 1"))
 add("st06_progress", lambda k: S.progress(k.sessions), sql("sessions", "SELECT session, status, arg_max(found, (ts, id)) AS latest, max(found) AS best FROM sessions GROUP BY 1, 2"))

@@ -16,23 +16,3 @@ def spark(tmp_path_factory):
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     return s
-
-
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-ODD_TEXTS = [None, "", " \n\t ", "one", "a b c", "x" * 70_000, "the end of the end of the end of it\n" * 300]
-
-
-@pytest.fixture(scope="session")
-def odd_docs(spark):
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(ODD_TEXTS)]
-    return spark.createDataFrame([*rows, (None, "a null id", None, None, None), rows[4]], SCHEMA)
-
-
-@pytest.fixture(scope="session")
-def no_docs(spark):
-    return spark.createDataFrame([], SCHEMA)
-
-
-@pytest.fixture(scope="session")
-def sf():
-    return "/root/testdata/sf0.001"
