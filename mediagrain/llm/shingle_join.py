@@ -3,18 +3,21 @@
 Documents are sets of word shingles; two link when 100 * |A and B| >= percent * |A or B|. The join is exact
 on 64-bit shingle hashes and gives the connected components of the links, without listing all pairs:
 
-1. Sketch (one pass over the texts): set size, a 128-bit digest of the set, and the prefix of the set under
-   one global order: sets that link share a prefix shingle. Shingles that a bounded sample finds frequent
-   come last in that order; the order decides cost, never results. Prefixes shared inside a batch are
-   merged there, so a hot shingle is one row for each batch.
-2. Candidate groups: components of documents that share a prefix shingle. Equal sets are one candidate.
-3. Signature trees: a group is one node, or, if it holds over `room` shingles, nodes by size range and
-   hash; node pairs whose size ranges can't link are never made. In a task, the documents of a node (or
-   pair) form a tree whose nodes hold OR-combined bitmaps, size ranges and the largest bit-collision
-   excess; dual traversal drops node pairs whose greatest possible overlap is too small. What is left is
-   compared exactly, unless both documents are linked already.
-4. Large groups go in two rounds: each node by itself and against a few pivots; then, if the group isn't
-   one component yet, only the documents outside its largest component meet the other nodes.
+1. Sketch (one pass over the texts): set size, a 128-bit digest and a bitmap of the set, and the prefix of
+   the set under one global order: sets that link share a prefix shingle. Shingles that a bounded sample
+   finds frequent come last in that order; the order decides cost, never results. Equal sets in a batch
+   give one prefix, so a hot group of copies is a row for each batch and shingle.
+2. Rough groups: the holders of a prefix shingle, where shingles with the same holders count once. Equal
+   sets are one candidate.
+3. Signature trees over the bitmaps: a rough group is one node, or, if it is large, nodes by size range
+   and hash; node pairs whose size ranges can't link are never made. In a task, the documents of a node
+   (or pair) form a tree whose nodes hold OR-combined bitmaps, size ranges and the largest bit-collision
+   excess; dual traversal drops node pairs whose greatest possible overlap is too small. What may link
+   forms the close groups; a task gives no more than a spanning forest of it.
+4. Only the texts of close groups are read again; the sets are compared exactly, by the same traversal,
+   unless both are linked already. Close groups over `room` shingles go in two rounds: each node by itself
+   and with a few pivots; then, if the group isn't one component yet, only the documents outside its
+   largest component meet the other nodes.
 
 Nulls and odd cases: null and empty texts have no shingles and link with nothing; a text of fewer than
 `size` words is one shingle; rows with a null doc_id are their own (null) component; rows that share a
@@ -64,7 +67,7 @@ def prefix(shingles: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarr
     return shingles[:p]
 
 
-def frequent_shingles(docs: DataFrame, size: int, sample: int = 3000, least: int = 4, most: int = 200_000) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, size: int, sample: int = 8000, least: int = 3, most: int = 200_000) -> np.ndarray:
     """Shingles of at least `least` of `sample` documents (by hash order), at most `most` of them."""
 
     def run(batches):
@@ -80,35 +83,42 @@ def frequent_shingles(docs: DataFrame, size: int, sample: int = 3000, least: int
 
 
 def sketch(docs: DataFrame, percent: int, size: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, d1, d2 (digest), prefix: shingles for which it is the first of its batch, links: earlier documents of its batch that share one."""
+    """doc_id, n, d1, d2 (digest), least (shingle), bits, prefix (empty if an equal set came before in its batch)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            known = np.asarray(batch.column("doc_id").is_valid())
-            ids = np.where(known, ids, 0).astype(np.int64)
-            n, digests, prefixes = [], [], []
+            known = batch.column("doc_id").is_valid().to_pylist()
+            n, digests, prefixes, least, bits = [], [], [], [], []
             for _, _, data, off in text_slices(batch.column("text")):
                 for s in shingle_sets(data, off, size):
                     n.append(len(s))
-                    digests.append((mix(s).sum(), (mix(s ^ U64(0x5851F42D4C957F2D)) * U64(2862933555777941757)).sum() + U64(len(s))))
+                    least.append(s[0] if len(s) else U64(0))
+                    bits.append(bitmap(s, bitmap_size(len(s))).tobytes() if len(s) else None)
+                    digests.append((int(mix(s).sum()), int((mix(s ^ U64(0x5851F42D4C957F2D)) * U64(2862933555777941757)).sum() + U64(len(s)))))
                     prefixes.append(prefix(s, percent, shared.value))
-            sizes = np.array([len(p) if k else 0 for p, k in zip(prefixes, known, strict=True)], np.int64)
-            shingles = np.concatenate([np.zeros(0, U64), *(p for p, k in zip(prefixes, known, strict=True) if k)])
-            rows = np.repeat(np.arange(len(ids)), sizes)
-            _, first, inverse = np.unique(shingles, return_index=True, return_inverse=True)
-            head = rows[first][inverse]
-            own = np.zeros(len(shingles), bool)
-            own[first] = True
-            pairs = np.unique(rows[rows != head] << 32 | head[rows != head])
-            offsets = lambda r: pa.array(np.concatenate(([0], np.cumsum(np.bincount(r, minlength=len(ids))))).astype(np.int32))
-            toks = pa.ListArray.from_arrays(offsets(rows[own]), pa.array(signed(shingles[own])))
-            links = pa.ListArray.from_arrays(offsets(pairs >> 32), pa.array(ids[pairs & 0xFFFFFFFF]))
+            fresh, seen = [], set()
+            for d, k in zip(digests, known, strict=True):
+                fresh.append(bool(k) and d not in seen)
+                seen.add(d)
+            prefixes = [p if f else p[:0] for p, f in zip(prefixes, fresh, strict=True)]
+            offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
+            toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate([np.zeros(0, U64), *prefixes]))))
             d = np.array(digests, U64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(signed(d[:, 0].copy())), pa.array(signed(d[:, 1].copy())), toks, links], names=["doc_id", "n", "d1", "d2", "prefix", "links"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(signed(d[:, 0].copy())), pa.array(signed(d[:, 1].copy())), pa.array(signed(np.array(least, U64))), pa.array(bits, pa.binary()), toks], names=["doc_id", "n", "d1", "d2", "least", "bits", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>, links array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, least long, bits binary, prefix array<long>")
+
+
+def bitmap_size(n: int) -> int:
+    """Bits for a set of n shingles: 4 to 8 for each, a power of two."""
+    return max(512, min(1 << 16, 1 << (4 * n - 1).bit_length()))
+
+
+def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
+    flags = np.zeros(bits, bool)
+    flags[(shingles & U64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags).view(U64)
 
 
 class Forest:
@@ -133,17 +143,10 @@ class Forest:
 class SignatureTree:
     """Levels of nodes over documents in the order of size and least shingle; `fan` children to a node."""
 
-    def __init__(self, sets: list[np.ndarray], fan: int = 8):
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, least: np.ndarray, fan: int = 8):
         self.fan = fan
-        sizes = np.array([len(s) for s in sets])
-        self.order = np.lexsort((np.array([s[0] for s in sets]), sizes))
-        bits = max(512, min(1 << 16, 1 << int(4 * sizes.max() - 1).bit_length()))
-        maps = np.zeros((len(sets), bits // 64), U64)
-        for r, i in enumerate(self.order):
-            flags = np.zeros(bits, bool)
-            flags[(sets[i] & U64(bits - 1)).astype(np.int64)] = True
-            maps[r] = np.packbits(flags).view(U64)
-        low = sizes[self.order]
+        self.order = np.lexsort((least, sizes))
+        maps, low = maps[self.order], sizes[self.order]
         self.levels = [(maps, low, low, low - np.bitwise_count(maps).sum(1).astype(np.int64))]
         while len(self.levels[-1][0]) > 1:
             maps, low, high, excess = self.levels[-1]
@@ -180,123 +183,230 @@ class SignatureTree:
             stack.append((level - 1, ci[ok], cj[ok]))
 
 
-def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets (sides: 0, 1 or 2; two sets of side 1 or of side 2 aren't compared)."""
-    forest, out = Forest(len(sets)), []
+def tree_of(sets: list[np.ndarray]) -> SignatureTree:
+    sizes = np.array([len(s) for s in sets])
+    bits = bitmap_size(int(sizes.max()))
+    return SignatureTree(np.stack([bitmap(s, bits) for s in sets]), sizes, np.array([s[0] for s in sets]))
 
-    def try_(a: int, b: int) -> None:
-        if forest.find(a) != forest.find(b):
-            x, y = sets[a], sets[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                forest.join(a, b)
-                out.append((a, b))
 
-    if len(sets) <= 12:
-        for a in range(len(sets)):
-            for b in range(a):
-                if (sides[a] == 0 or sides[a] != sides[b]) and 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b])):
-                    try_(a, b)
-        return out
+def _crossing(sides, a: int, b: int) -> bool:
+    """Sides are 0, 1 or 2; two of side 1, or two of side 2, meet elsewhere."""
+    return sides[a] == 0 or sides[a] != sides[b]
+
+
+def _spanning(n: int, sides: np.ndarray, tree: SignatureTree, percent: int, test) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs from the tree for which `test(a, b)` holds."""
+    forest, out = Forest(n), []
 
     def skip(i, j):
-        root = np.array([forest.find(x) for x in range(len(sets))])
+        root = np.array([forest.find(x) for x in range(n)])
         return (root[i] == root[j]) | ((sides[i] != 0) & (sides[i] == sides[j]))
 
-    for i, j in SignatureTree(sets).pairs(percent, skip):
+    for i, j in tree.pairs(percent, skip):
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            try_(a, b)
+            if forest.find(a) != forest.find(b) and test(a, b):
+                forest.join(a, b)
+                out.append((a, b))
+    return out
+
+
+def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets."""
+
+    def test(a: int, b: int) -> bool:
+        x, y = sets[a], sets[b]
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    if len(sets) > 12:
+        return _spanning(len(sets), sides, tree_of(sets), percent, test)
+    forest, out = Forest(len(sets)), []
+    for a in range(len(sets)):
+        for b in range(a):
+            near = 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b]))
+            if near and _crossing(sides, a, b) and forest.find(a) != forest.find(b) and test(a, b):
+                forest.join(a, b)
+                out.append((a, b))
+    return out
+
+
+def _folded(maps: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the size."""
+    half = maps.shape[1] // 2
+    return maps[:, :half] | maps[:, half:]
+
+
+def may_link(bits: list[bytes], sizes: np.ndarray, least: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose bitmaps and sizes allow a link."""
+    if len(bits) <= 6:
+        forest, out = Forest(len(bits)), []
+        for a in range(len(bits)):
+            for b in range(a):
+                x, y = sorted((bits[a], bits[b]), key=len)
+                p, q = int.from_bytes(x, "big"), int.from_bytes(y, "big")
+                if len(y) == 2 * len(x):
+                    q = q >> 8 * len(x) | q & (1 << 8 * len(x)) - 1
+                elif len(y) != len(x):
+                    continue
+                n, m = int(sizes[a]), int(sizes[b])
+                small, large = (n, m) if len(bits[a]) <= len(bits[b]) else (m, n)
+                most = min(n, m, (p & q).bit_count() + min(small - p.bit_count(), large - q.bit_count()))
+                if 100 * min(n, m) >= percent * max(n, m) and most * (100 + percent) >= percent * (n + m) and _crossing(sides, a, b) and forest.join(a, b):
+                    out.append((a, b))
+        return out
+    out, length = [], np.array([len(b) for b in bits])
+    for size in np.unique(length):
+        own, twice = np.flatnonzero(length == size), np.flatnonzero(length == 2 * size)
+        stack = lambda at: np.frombuffer(b"".join(bits[i] for i in at), U64).reshape(len(at), -1)
+        maps, at = stack(own), np.concatenate([own, twice])
+        if len(twice):
+            maps = np.concatenate([maps, _folded(stack(twice))])
+        out += [(int(at[a]), int(at[b])) for a, b in _spanning(len(at), sides[at], SignatureTree(maps, sizes[at], least[at]), percent, lambda a, b: True)]
     return out
 
 
-def _link_units(rows: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links (a, b) found in each unit; rows: unit, side, doc_id, text. The rows of a unit come together in a task, one unit at a time."""
-    keyed = rows.repartition("unit").sortWithinPartitions("unit")
+def _by_unit(rows: DataFrame, columns: list[str], work, prepare=None) -> DataFrame:
+    """Links (a, b) found in each unit by `work` on the lists of its columns; the rows of a unit meet in a task, one unit at a time."""
+    keyed = rows.select("unit", "side", "doc_id", *columns).repartition("unit").sortWithinPartitions("unit")
 
     def run(batches):
-        unit, sets, sides, ids = None, [], [], []
+        unit, held, sides, ids = None, [], [], []
 
         def flush():
-            found = linked(sets, np.array(sides), percent) if len(sets) > 1 else []
+            found = work(held, np.array(sides)) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             units, side, own = (batch.column(c).to_pylist() for c in ("unit", "side", "doc_id"))
-            for lo, _, data, off in text_slices(batch.column("text")):
-                for r, s in enumerate(shingle_sets(data, off, size), lo):
-                    if units[r] != unit:
-                        if sets:
-                            yield flush()
-                        unit, sets, sides, ids = units[r], [], [], []
-                    if len(s):
-                        sets.append(s)
-                        sides.append(side[r])
-                        ids.append(own[r])
-        if sets:
+            for r, value in enumerate(prepare(batch)):
+                if units[r] != unit:
+                    if len(held) > 1:
+                        yield flush()
+                    unit, held, sides, ids = units[r], [], [], []
+                if value is not None:
+                    held.append(value)
+                    sides.append(side[r])
+                    ids.append(own[r])
+        if len(held) > 1:
             yield flush()
 
-    return keyed.select("unit", "side", "doc_id", "text").mapInArrow(run, "a long, b long")
+    return keyed.mapInArrow(run, "a long, b long")
+
+
+def _link_texts(rows: DataFrame, percent: int, size: int) -> DataFrame:
+    """Exact links; rows: unit, side, doc_id, text."""
+
+    def sets(batch):
+        for _, _, data, off in text_slices(batch.column("text")):
+            for s in shingle_sets(data, off, size):
+                yield s if len(s) else None
+
+    return _by_unit(rows, ["text"], lambda held, sides: linked(held, sides, percent), sets)
+
+
+def _link_bitmaps(rows: DataFrame, percent: int) -> DataFrame:
+    """Links that the bitmaps allow; rows: unit, side, doc_id, n, least, bits."""
+
+    def given(batch):
+        yield from zip(*(batch.column(c).to_pylist() for c in ("bits", "n", "least")), strict=True)
+
+    def work(held, sides):
+        return may_link([x[0] for x in held], np.array([x[1] for x in held]), np.array([x[2] for x in held], np.int64).view(U64), sides, percent)
+
+    return _by_unit(rows, ["n", "least", "bits"], work, given)
 
 
-def _nodes(members: DataFrame, by: list[str], room: int) -> DataFrame:
-    """Adds `node`, a text key of (size class, hash block) inside the columns `by`, of about `room` shingles at most."""
+def _nodes(members: DataFrame, by: list[str], weight, room: int) -> DataFrame:
+    """Adds band (size class) and block: nodes inside the columns `by`, each of about `room` of the summed weight."""
     banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int"))
-    blocks = banded.groupBy(*by, "band").agg(F.ceil(F.sum("n") / room).alias("blocks"))
-    joined = banded.join(blocks, [*by, "band"])
-    return joined.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    blocks = banded.groupBy(*by, "band").agg(F.ceil(F.sum(weight) / room).alias("blocks"))
+    return banded.join(blocks, [*by, "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).drop("blocks")
 
 
-def links(docs: DataFrame, sketches: DataFrame, percent: int = 80, size: int = 5, room: int = 1 << 18) -> DataFrame:
-    """Enough links (a, b) between representatives of equal sets to span all components of links."""
+def _neighbours(band):
+    """Sets that link are in the same or in neighbouring bands (one more for rounding)."""
+    return F.explode(F.array(*(band + k for k in (-1, 0, 1))))
+
+
+def _pair_units(nodes: DataFrame, by: list[str], meets) -> DataFrame:
+    """(unit, side, by..., band, block) for every pair of nodes in neighbouring bands for which `meets` holds."""
+    key = [*by[1:], "band", "block"]
+    ends = nodes.select(*by, "band", "block").distinct()
+    left = ends.select(by[0], *(F.col(c).alias(f"{c}_l") for c in key), _neighbours(F.col("band")).alias("band"))
+    met = left.join(ends, [by[0], "band"]).filter(meets)
+    same = F.struct(*(f"{c}_l" for c in key)) == F.struct(*key)
+    side = lambda k: F.when(same, 0).otherwise(k).alias("side")
+    ends = F.array(F.struct(*(F.col(f"{c}_l").alias(c) for c in key), side(1)), F.struct(*key, side(2)))
+    return met.select(by[0], F.concat_ws("/", by[0], *(f"{c}_l" for c in key), *key).alias("unit"), F.explode(ends).alias("x")).select(by[0], "unit", "x.*").distinct()
+
+
+def _grouped(members: DataFrame) -> DataFrame:
+    """Rows (doc_id, n, grp, ...) of groups of two or more, with the group's docs and shingles."""
+    return members.join(members.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).filter("docs > 1"), "grp")
+
+
+def rough_groups(some: DataFrame) -> DataFrame:
+    """Distinct (grp, doc_id): the holders of each prefix shingle that has several; equal lists of holders are one group."""
+    same = Window.partitionBy("h")
+    held = some.select(F.explode("prefix").alias("h"), "doc_id", F.xxhash64("doc_id").alias("k1"), F.xxhash64("doc_id", F.lit(7)).alias("k2"))
+    held = held.select("doc_id", F.count("*").over(same).alias("n"), F.bit_xor("k1").over(same).alias("x1"), F.bit_xor("k2").over(same).alias("x2"))
+    return held.filter("n > 1").select(F.xxhash64("n", "x1", "x2").alias("grp"), "doc_id").distinct()
+
+
+def close_groups(sketches: DataFrame, percent: int, node_docs: int = 4096) -> DataFrame:
+    """doc_id, n, grp, docs, shingles of representatives of equal sets that bitmaps allow to link with another."""
     some = sketches.filter("n > 0 and doc_id is not null")
-    holders = some.select(F.explode("prefix").alias("h"), "doc_id").withColumn("b", F.first("doc_id").over(Window.partitionBy("h").orderBy("doc_id")))
-    across = holders.filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    inside_ = some.select(F.col("doc_id").alias("a"), F.explode("links").alias("b"))
-    groups = written(components(across.unionByName(inside_)), "groups")
-
-    equal = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    members = equal.join(groups, equal.doc_id == groups.id).select("doc_id", "n", F.col("label").alias("grp"))
-    totals = members.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).filter("docs > 1")
-    members = written(members.join(totals, "grp"), "members")
+    heads = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "least", "bits")).alias("x")).select("d1", "d2", "x.*")
+    head_of = some.select("doc_id", "d1", "d2").join(heads.select("d1", "d2", F.col("doc_id").alias("head")), ["d1", "d2"]).select("doc_id", "head")
+    pairs = rough_groups(some).join(head_of, "doc_id").select("grp", F.col("head").alias("doc_id")).distinct()
+    heads = heads.drop("d1", "d2")
+    members = written(_grouped(pairs.join(heads.select("doc_id", "n"), "doc_id")), "rough")
+    signed_ = members.join(heads.select("doc_id", "least", "bits"), "doc_id")
+
+    small = signed_.filter(F.col("docs") <= node_docs).select("doc_id", F.col("grp").cast("string").alias("unit"), F.lit(0).alias("side"), "n", "least", "bits")
+    nodes = _nodes(members.filter(F.col("docs") > node_docs), ["grp"], F.lit(1), node_docs)
+    pairs = _pair_units(nodes, ["grp"], F.struct("band_l", "block_l") <= F.struct("band", "block"))
+    large = nodes.join(pairs, ["grp", "band", "block"]).join(heads.select("doc_id", "least", "bits"), "doc_id").select("doc_id", "unit", "side", "n", "least", "bits")
+    close = components(_link_bitmaps(small.unionByName(large), percent))
+    return written(_grouped(heads.join(close, heads.doc_id == close.id).select("doc_id", "n", F.col("label").alias("grp"))), "close")
+
+
+def links(docs: DataFrame, sketches: DataFrame, percent: int = 80, size: int = 5, room: int = 1 << 18, node_docs: int = 4096) -> DataFrame:
+    """Enough links (a, b) between representatives of equal sets to span all components of links."""
+    members = close_groups(sketches, percent, node_docs)
     texts = docs.filter("doc_id is not null and text is not null")
-
     small = members.filter(F.col("shingles") <= room).select("doc_id", F.col("grp").cast("string").alias("unit"), F.lit(0).alias("side"))
-    large = _nodes(members.filter(F.col("shingles") > room), ["grp"], room)
+    large = _nodes(members.filter(F.col("shingles") > room), ["grp"], F.col("n"), room)
     node = F.concat_ws("/", "grp", "band", "block")
     alone = large.select("doc_id", node.alias("unit"), F.lit(0).alias("side"))
     # pivots: one document of each size class, which meets every node of its class and of the next ones
     pivots = large.groupBy("grp", "band").agg(F.min_by("doc_id", F.xxhash64("doc_id")).alias("pivot"))
-    near = large.select("grp", "band", "block").distinct().select("grp", "band", "block", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("of"))
+    near = large.select("grp", "band", "block").distinct().select("grp", "band", "block", _neighbours(F.col("band")).alias("of"))
     near = near.join(pivots.select("grp", F.col("band").alias("of"), "pivot"), ["grp", "of"])
     visiting = near.select(F.col("pivot").alias("doc_id"), node.alias("unit"), F.lit(0).alias("side"))
     first = small.unionByName(alone).unionByName(visiting).distinct()
-    found = written(_link_units(texts.join(first, "doc_id"), percent, size), "links")
-    if large.isEmpty():
+    found = written(_link_texts(texts.join(first, "doc_id"), percent, size), "links")
+    if members.filter(F.col("shingles") > room).isEmpty():
         return found
 
-    linked_ = written(components(found), "linked")
-    state = large.select("doc_id", "n", "grp").join(linked_, large.doc_id == linked_.id, "left").select("doc_id", "n", "grp", F.coalesce("label", "doc_id").alias("label"))
+    labels = components(found)
+    state = large.select("doc_id", "n", "grp").join(labels, large.doc_id == labels.id, "left").select("doc_id", "n", "grp", F.coalesce("label", "doc_id").alias("label"))
     biggest = state.groupBy("grp", "label").agg(F.count("*").alias("docs")).groupBy("grp").agg(F.max_by("label", F.struct("docs", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    state = state.join(biggest, "grp").withColumn("out", (F.col("label") != F.col("main")).cast("int"))
+    state = written(state.join(biggest, "grp").withColumn("out", (F.col("label") != F.col("main")).cast("int")), "state")
     if state.isEmpty():
         return found
-    nodes = written(_nodes(state, ["grp", "out"], room), "nodes")
-    ends = nodes.select("grp", "out", "band", "block").distinct()
-    left = ends.filter("out = 1").select("grp", *(F.col(c).alias(f"{c}_l") for c in ("out", "band", "block")), F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"))
-    met = left.join(ends, ["grp", "band"]).filter((F.col("out") == 0) | (F.struct("band_l", "block_l") <= F.struct("band", "block")))
-    unit = F.concat_ws("/", "grp", "out_l", "band_l", "block_l", "out", "band", "block")
-    same = (F.col("out") == 1) & (F.col("band_l") == F.col("band")) & (F.col("block_l") == F.col("block"))
-    sides = met.select("grp", unit.alias("unit"), F.explode(F.array(F.struct(F.col("out_l").alias("out"), F.col("band_l").alias("band"), F.col("block_l").alias("block"), F.when(same, 0).otherwise(1).alias("side")), F.struct("out", "band", "block", F.when(same, 0).otherwise(2).alias("side")))).alias("x")).select("grp", "unit", "x.*").distinct()
-    second = nodes.join(sides, ["grp", "out", "band", "block"]).select("doc_id", "unit", "side")
-    return found.unionByName(written(_link_units(texts.join(second, "doc_id"), percent, size), "links"))
-
-
-def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, room: int = 1 << 18) -> DataFrame:
+    nodes = _nodes(state, ["grp", "out"], F.col("n"), room)
+    meets = (F.col("out_l") == 1) & ((F.col("out") == 0) | (F.struct("band_l", "block_l") <= F.struct("band", "block")))
+    second = nodes.join(_pair_units(nodes, ["grp", "out"], meets), ["grp", "out", "band", "block"]).select("doc_id", "unit", "side")
+    return found.unionByName(written(_link_texts(texts.join(second, "doc_id"), percent, size), "links"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, room: int = 1 << 18, node_docs: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = written(sketch(docs, percent, size, frequent_shingles(docs, size)), "sketch")
-    found = links(docs, sketches, percent, size, room)
+    found = links(docs, sketches, percent, size, room, node_docs)
     some = sketches.filter("n > 0 and doc_id is not null").select("doc_id", "d1", "d2")
     equal = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("head"))
     own = some.join(equal, ["d1", "d2"]).select("doc_id", "head").filter("doc_id <> head")

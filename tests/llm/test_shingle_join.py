@@ -76,7 +76,7 @@ def test_large_groups_in_several_nodes(spark, monkeypatch):
     docs = near_copies(5)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     monkeypatch.setattr(j, "prefix_length", lambda n, percent: n)  # all that share a shingle are one group
-    check(j.jaccard_components(df, room=300).collect(), docs)
+    check(j.jaccard_components(df, room=300, node_docs=20).collect(), docs)
 
 
 def test_odd_texts(spark, odd_docs, no_docs):
@@ -91,7 +91,7 @@ def test_tree_finds_every_link():
     docs = near_copies(9, groups=3, each=60)
     data, off = column_bytes(pa.array([t for _, t in docs]))
     sets = j.shingle_sets(data, off, 5)
-    found = {(min(a, b), max(a, b)) for i, k in j.SignatureTree(sets).pairs(80) for a, b in zip(i.tolist(), k.tolist())}
+    found = {(min(a, b), max(a, b)) for i, k in j.tree_of(sets).pairs(80) for a, b in zip(i.tolist(), k.tolist())}
     plain = [shingles(t) for _, t in docs]
     for a in range(len(docs)):
         for b in range(a + 1, len(docs)):
@@ -99,6 +99,17 @@ def test_tree_finds_every_link():
             if 100 * both >= 80 * (len(plain[a]) + len(plain[b]) - both):
                 assert (a, b) in found
     assert len(found) < len(docs) ** 2 / 4
+    bits = [j.bitmap(s, j.bitmap_size(len(s))).tobytes() for s in sets]
+    sizes, least = np.array([len(s) for s in sets]), np.array([s[0] for s in sets])
+    close = j.Forest(len(sets))
+    for a, b in j.may_link(bits, sizes, least, np.zeros(len(sets), int), 80):
+        close.join(a, b)
+    assert all(close.find(a) == close.find(w) for a, w in enumerate(brute(docs).values()))
+    for a in range(0, len(sets) - 4, 3):
+        part = range(a, a + 4)
+        few = j.may_link([bits[x] for x in part], sizes[a : a + 4], least[a : a + 4], np.zeros(4, int), 80)
+        few = {frozenset((x + a, y + a)) for x, y in few}
+        assert all(close.find(min(e)) == close.find(max(e)) for e in few)
     spanned = j.linked(sets, np.zeros(len(sets), int), 80)
     forest = j.Forest(len(sets))
     assert all(forest.join(a, b) for a, b in spanned)
@@ -106,6 +117,19 @@ def test_tree_finds_every_link():
     assert [forest.find(a) for a in range(len(sets))] == [want[a] for a in range(len(sets))]
 
 
+def test_folded_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for n in (100, 127, 128, 129, 140, 255, 257, 300):
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        for m in (int(n * 0.81), int(n * 1.24)):
+            b = a[:m] if m < n else np.union1d(a, rng.integers(0, 1 << 62, m - n, dtype=np.uint64))
+            bits = [j.bitmap(s, j.bitmap_size(len(s))).tobytes() for s in (a, b)]
+            for copies in (1, 4):  # the plain and the tree way
+                own = bits * copies
+                found = j.may_link(own, np.array([len(a), len(b)] * copies), np.array([a[0], b[0]] * copies), np.zeros(2 * copies, int), 80)
+                assert len(found) >= 2 * copies - 1
+
+
 def test_prefixes_meet():
     rng = np.random.default_rng(2)
     for _ in range(300):
