@@ -2,7 +2,8 @@
 
 Words that lie in a window of `window` consecutive words which also starts in an earlier document (smaller
 doc_id) are removed. The windows of a text are indexed in segments: of the word grams inside a window the
-one with the least hash is its anchor, and consecutive windows with one anchor are a segment. Equal windows
+one with the least hash is its anchor, and consecutive windows with one anchor hash are a segment (so a
+word repeated a thousand times is one segment). Equal windows
 have equal anchors, so each window of the corpus is found under its anchor's hash, at about two rows for
 `window - gram + 1` words.
 
@@ -62,13 +63,14 @@ def segments(w: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
     least = sliding_min((g & U64(0xFFFFFFFF00000000)) | place, window - gram + 1)
     at = np.flatnonzero(inside(rows, window))
     anchor = (least[at] & U64(0xFFFFFFFF)).astype(np.int64)
+    hashes = g[anchor]
     fresh = np.ones(len(at), bool)
-    fresh[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (at[1:] != at[:-1] + 1)
     heads = np.flatnonzero(fresh)
     t = np.diff(np.append(heads, len(at)))
     first = at[heads]
     s = window_sums(word_hashes(w, 1), first, first + t - 1 + window, 1)
-    return g[anchor[heads]], s, rows[first], first - w.first[rows[first]], t
+    return hashes[heads], s, rows[first], first - w.first[rows[first]], t
 
 
 def _scan(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -82,23 +84,31 @@ def _scan(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.filter("doc_id is not null and text is not null").mapInArrow(run, RUN)
 
 
+def _lists(column, fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bounds of each row's part in the flattened fields of a column of arrays of structs; a null has none."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    return np.concatenate(([0], np.cumsum(sizes))), [flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
+
+
 def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The hashes (w1, w2) of the windows of wanted segments: wanted has doc_id and spans, an array of (a, t)."""
 
     def run(batches):
         for batch in batches:
-            ids, spans = batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist()
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            bounds, (start, count) = _lists(batch.column("spans"), "at")
             for lo, hi, data, off in text_slices(batch.column("text")):
                 w = Words(data, off, NOT_SPACE)
-                parts = [(np.arange(x["a"], x["a"] + x["t"]), r) for r in range(lo, hi) for x in spans[r]]
-                sizes = [len(p) for p, _ in parts]
-                row = np.repeat(np.array([r for _, r in parts], np.int64) - lo, sizes)
-                pos = np.concatenate([np.zeros(0, np.int64), *(p for p, _ in parts)])
+                x, y = bounds[lo], bounds[hi]
+                t = count[x:y]
+                row = np.repeat(np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1])), t)
+                pos = np.repeat(start[x:y], t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
                 fits = pos + window <= w.counts[row]
                 pos, row = pos[fits], row[fits]
                 at = w.first[row] + pos
                 w1, w2 = (window_sums(word_hashes(w, k), at, at + window, k) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), pa.array(np.array(ids, np.int64)[lo + row]), pa.array(pos.astype(np.int32))], names=["w1", "w2", "doc_id", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), pa.array(ids[lo + row].astype(np.int64)), pa.array(pos.astype(np.int32))], names=["w1", "w2", "doc_id", "a"])
 
     return docs.join(wanted, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "w1 long, w2 long, doc_id long, a int")
 
@@ -108,17 +118,18 @@ def _cut(docs: DataFrame, with_text: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ranges = batch.column("ranges").to_pylist()
+            bounds, (starts, ends, hashes) = _lists(batch.column("ranges"), "aeh")
             n_words, n_removed, shas, texts = [], [], [], []
             for lo, hi, data, off in text_slices(batch.column("text")):
                 w = Words(data, off, NOT_SPACE)
-                content = word_hashes(w, 1) if any(ranges[lo:hi]) else None
+                content = word_hashes(w, 1) if bounds[hi] > bounds[lo] else None
                 raw = data.tobytes()
                 for r in range(hi - lo):
                     a, b = int(w.first[r]), int(w.first[r + 1])
                     words = raw[off[r] : off[r + 1]].split()
-                    if given := ranges[lo + r]:
-                        start, end, h = (np.array([x[k] for x in given], np.int64) for k in "aeh")
+                    x, y = bounds[lo + r], bounds[lo + r + 1]
+                    if y > x:
+                        start, end, h = starts[x:y], ends[x:y], hashes[x:y]
                         fits = end <= b - a
                         start, end, h = start[fits], end[fits], h[fits]
                         same = signed(window_sums(content[a:b], start, end, 1)) == h
