@@ -111,8 +111,8 @@ def sketch(docs: DataFrame, percent: int, size: int, frequent: np.ndarray) -> Da
 
 
 def bitmap_size(n: int) -> int:
-    """Bits for a set of n shingles: 4 to 8 for each, a power of two."""
-    return max(512, min(1 << 16, 1 << (4 * n - 1).bit_length()))
+    """Bits for a set of n shingles: 2 to 4 for each, a power of two."""
+    return max(256, min(1 << 16, 1 << (2 * n - 1).bit_length()))
 
 
 def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -328,6 +328,11 @@ def _neighbours(band):
     return F.explode(F.array(*(band + k for k in (-1, 0, 1))))
 
 
+def _sent(rows: DataFrame, most: int = 400_000) -> DataFrame:
+    """A table of ids and unit names for a join with the texts: sent to all tasks if it has at most `most` rows (some tens of MB), else shuffled."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def _pair_units(nodes: DataFrame, by: list[str], meets) -> DataFrame:
     """(unit, side, by..., band, block) for every pair of nodes in neighbouring bands for which `meets` holds."""
     key = [*by[1:], "band", "block"]
@@ -356,17 +361,17 @@ def rough_groups(some: DataFrame) -> DataFrame:
 def close_groups(sketches: DataFrame, percent: int, node_docs: int = 4096) -> DataFrame:
     """doc_id, n, grp, docs, shingles of representatives of equal sets that bitmaps allow to link with another."""
     some = sketches.filter("n > 0 and doc_id is not null")
-    heads = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "least", "bits")).alias("x")).select("d1", "d2", "x.*")
-    head_of = some.select("doc_id", "d1", "d2").join(heads.select("d1", "d2", F.col("doc_id").alias("head")), ["d1", "d2"]).select("doc_id", "head")
-    pairs = rough_groups(some).join(head_of, "doc_id").select("grp", F.col("head").alias("doc_id")).distinct()
-    heads = heads.drop("d1", "d2")
-    members = written(_grouped(pairs.join(heads.select("doc_id", "n"), "doc_id")), "rough")
-    signed_ = members.join(heads.select("doc_id", "least", "bits"), "doc_id")
-
-    small = signed_.filter(F.col("docs") <= node_docs).select("doc_id", F.col("grp").cast("string").alias("unit"), F.lit(0).alias("side"), "n", "least", "bits")
+    heads = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n")).alias("x")).select("d1", "d2", "x.*")
+    head_of = some.select("doc_id", "d1", "d2").join(heads.select("d1", "d2", F.col("doc_id").alias("head"), "n"), ["d1", "d2"])
+    pairs = rough_groups(some).join(head_of, "doc_id").select("grp", F.col("head").alias("doc_id"), "d1", "n").distinct()
+    members = written(_grouped(pairs), "rough")
+    bits = some.select("doc_id", "d1", "least", "bits")
+    signed_ = members.filter(F.col("docs") <= node_docs).join(bits, ["doc_id", "d1"])
+
+    small = signed_.select("doc_id", F.col("grp").cast("string").alias("unit"), F.lit(0).alias("side"), "n", "least", "bits")
     nodes = _nodes(members.filter(F.col("docs") > node_docs), ["grp"], F.lit(1), node_docs)
     pairs = _pair_units(nodes, ["grp"], F.struct("band_l", "block_l") <= F.struct("band", "block"))
-    large = nodes.join(pairs, ["grp", "band", "block"]).join(heads.select("doc_id", "least", "bits"), "doc_id").select("doc_id", "unit", "side", "n", "least", "bits")
+    large = nodes.join(pairs, ["grp", "band", "block"]).join(bits, ["doc_id", "d1"]).select("doc_id", "unit", "side", "n", "least", "bits")
     close = components(_link_bitmaps(small.unionByName(large), percent))
     return written(_grouped(heads.join(close, heads.doc_id == close.id).select("doc_id", "n", F.col("label").alias("grp"))), "close")
 
@@ -385,7 +390,7 @@ def links(docs: DataFrame, sketches: DataFrame, percent: int = 80, size: int = 5
     near = near.join(pivots.select("grp", F.col("band").alias("of"), "pivot"), ["grp", "of"])
     visiting = near.select(F.col("pivot").alias("doc_id"), node.alias("unit"), F.lit(0).alias("side"))
     first = small.unionByName(alone).unionByName(visiting).distinct()
-    found = written(_link_texts(texts.join(first, "doc_id"), percent, size), "links")
+    found = written(_link_texts(texts.join(_sent(written(first, "units")), "doc_id"), percent, size), "links")
     if members.filter(F.col("shingles") > room).isEmpty():
         return found
 
@@ -398,7 +403,7 @@ def links(docs: DataFrame, sketches: DataFrame, percent: int = 80, size: int = 5
     nodes = _nodes(state, ["grp", "out"], F.col("n"), room)
     meets = (F.col("out_l") == 1) & ((F.col("out") == 0) | (F.struct("band_l", "block_l") <= F.struct("band", "block")))
     second = nodes.join(_pair_units(nodes, ["grp", "out"], meets), ["grp", "out", "band", "block"]).select("doc_id", "unit", "side")
-    return found.unionByName(written(_link_texts(texts.join(second, "doc_id"), percent, size), "links"))
+    return found.unionByName(written(_link_texts(texts.join(_sent(written(second, "units")), "doc_id"), percent, size), "links"))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, room: int = 1 << 18, node_docs: int = 4096) -> DataFrame:
@@ -418,8 +423,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, room:
 
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The documents, columns unchanged, of which each component keeps the one with the smallest id."""
-    gone = jaccard_components(docs, percent, size).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(jaccard_components(docs, percent, size).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.join(_sent(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
