@@ -73,7 +73,7 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 6000, features: int = 1024, prior: float | None = None) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 4500, features: int = 1024, prior: float | None = None) -> tuple[np.ndarray, float]:
     """(weight of each hashed word, bias). `labels` has doc_id and toxic, of training rows only; `docs` likewise."""
     bounded_batches(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
