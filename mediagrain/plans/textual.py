@@ -12,6 +12,9 @@ Q, SQL = {}, {}
 def add(name, build, text):
     Q[name] = lambda spark, sf: build(load(spark, sf))
     SQL[name] = text
+    if LINES in text:
+        Q[f"{name}_whole"] = lambda spark, sf: build(load(spark, sf), whole)
+        SQL[f"{name}_whole"] = text.replace(LINES, TEXTS)
 
 
 def norm(x, aggressive=False):
@@ -34,7 +37,10 @@ FEAT = "(?:feat\\.?|featuring|ft\\.?|avec|with)\\s+"
 NO_FEAT = (f"(?i)\\({FEAT}[^)]+\\)", ""), (f"(?i)\\[{FEAT}[^\\]]+\\]", ""), (f"(?i)\\b{FEAT}.+", "")
 LINES = "(SELECT doc_id AS id, left(text, 80) AS s FROM documents)"
 line = lambda k: k.documents.select(C("doc_id").alias("id"), F.substring("text", 1, 80).alias("s"))
-one = lambda f: lambda k: line(k).select("id", f(C("s")).alias("out"))
+#: Every query of LINES is registered a second time, as NAME_whole, over whole texts.
+TEXTS = "(SELECT doc_id AS id, text AS s FROM documents)"
+whole = lambda k: k.documents.select(C("doc_id").alias("id"), C("text").alias("s"))
+one = lambda f: lambda k, rows=line: rows(k).select("id", f(C("s")).alias("out"))
 of = lambda expr: f"SELECT id, {expr} AS out FROM {LINES}"
 title = lambda f: lambda k: k.tracks.select("id", f(C("title")).alias("out"))
 of_title = lambda expr: sql("tracks", f"SELECT id, {expr} AS out FROM tracks")
