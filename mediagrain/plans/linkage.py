@@ -50,20 +50,28 @@ def merged_names(k):
 Q["d12_merge_similar_names"] = lambda spark, sf: merged_names(load(spark, sf))
 SQL["d12_merge_similar_names"] = sql("tracks", NAMES + ", c AS (SELECT grp, arg_min(id, (-length(id), id)) AS canonical FROM g GROUP BY grp) SELECT id AS name, canonical FROM g JOIN c USING (grp)").replace("WITH tracks", "WITH RECURSIVE tracks", 1)
 add("d13_components", lambda k: L.merge_components(edges(k)), RECURSIVE(" SELECT id, min(m) AS label FROM r GROUP BY id"))
+# the edges of d06 in the place of made-up ones
+twins = lambda k: L.artist_duplicates(k.artists.withColumn("ext", F.when(C("id") % 50 == 3, C("id") % 7)), "ext").select("id1", "id2")
+FOUND = "WITH RECURSIVE e AS (SELECT id1 AS a, id2 AS b FROM (" + SQL["d06_artist_duplicates"] + "))" + EDGES.split("WHERE id % 3 = 0)")[1]
+add("d08_apply_merges_whole", lambda k: L.apply_merges(k.albums.select("id", "artist_id"), L.merge_components(twins(k)), "artist_id"), FOUND + ", l AS (SELECT id, min(m) AS label FROM r GROUP BY id) SELECT albums.id, coalesce(label, artist_id) AS artist_id FROM (SELECT o_orderkey AS id, o_custkey AS artist_id FROM orders) albums LEFT JOIN l ON l.id = artist_id")
+add("d13_components_whole", lambda k: L.merge_components(twins(k)), FOUND + " SELECT id, min(m) AS label FROM r GROUP BY id")
 add("d14_cross_reference", lambda k: L.cross_reference(k.part.filter("p_partkey % 5 = 0").select(C("p_partkey").alias("id"), "p_brand", C("p_name").alias("name")), k.part.filter("p_partkey % 5 > 0").select((C("p_partkey") % 5).alias("source"), C("p_partkey").alias("other_id"), "p_brand", C("p_name").alias("other_name")), ["p_brand"], T.word_jaccard(C("name"), C("other_name")), 0.3), "WITH s AS (SELECT x.p_partkey AS id, y.p_partkey % 5 AS source, y.p_partkey AS other_id, round(len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' ')))::DOUBLE / len(list_distinct(string_split(x.p_name, ' ') || string_split(y.p_name, ' '))), 6) AS score FROM part x JOIN part y ON x.p_brand = y.p_brand WHERE x.p_partkey % 5 = 0 AND y.p_partkey % 5 > 0) SELECT id, source, other_id, score FROM (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY score DESC, other_id) AS rn FROM s WHERE score > 0.3) WHERE rn = 1")
+add("d14_cross_reference_whole", lambda k: L.cross_reference(k.part.select(C("p_partkey").alias("id"), "p_brand", C("p_name").alias("name")), k.part.select((C("p_partkey") % 5).alias("source"), C("p_partkey").alias("other_id"), "p_brand", C("p_name").alias("other_name")), ["p_brand"], F.when(C("id") != C("other_id"), T.word_jaccard(C("name"), C("other_name"))), 0.3), "WITH s AS (SELECT x.p_partkey AS id, y.p_partkey % 5 AS source, y.p_partkey AS other_id, round(len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' ')))::DOUBLE / len(list_distinct(string_split(x.p_name, ' ') || string_split(y.p_name, ' '))), 6) AS score FROM part x JOIN part y ON x.p_brand = y.p_brand WHERE x.p_partkey <> y.p_partkey) SELECT id, source, other_id, score FROM (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY score DESC, other_id) AS rn FROM s WHERE score > 0.3) WHERE rn = 1")
 add("d15_merge_enrichments", lambda k: k.tracks.join(k.credits.groupBy(C("track_id").alias("id")).agg(F.avg((C("part") % 10 / 10).cast("double")).alias("m"), F.min((C("part") % 10 / 10).cast("double")).alias("lo"), F.max((C("part") % 10 / 10).cast("double")).alias("hi")), "id").select("id", F.round("m", 6).alias("mean_conf"), F.round("lo", 6).alias("min_conf"), F.round("hi", 6).alias("max_conf")), sql("tracks credits", "SELECT track_id AS id, round(avg(part % 10 / 10), 6) AS mean_conf, round(min(part % 10 / 10), 6) AS min_conf, round(max(part % 10 / 10), 6) AS max_conf FROM credits GROUP BY 1"))
 BEST = "WITH r AS (SELECT p_partkey AS id, p_brand, p_name AS name FROM part WHERE p_partkey % 10 = 0), s AS (SELECT r.id, y.p_partkey AS other_id, round(0.6 * (len(list_intersect(string_split(name, ' '), string_split(y.p_name, ' ')))::DOUBLE / len(list_distinct(string_split(name, ' ') || string_split(y.p_name, ' ')))) + 0.4 * (y.p_size > 25)::INT, 6) AS score FROM r JOIN part y ON r.p_brand = y.p_brand AND y.p_partkey % 10 <> 0), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id) AS rn FROM s WHERE score >= 0.5) WHERE rn = 1) SELECT r.id, b.other_id, b.score, b.id IS NOT NULL AS found FROM r LEFT JOIN b USING (id)"
 
 
-def best_match(k):
-    ref = k.part.filter("p_partkey % 10 = 0").select(C("p_partkey").alias("id"), "p_brand", C("p_name").alias("name"))
-    others = k.part.filter("p_partkey % 10 <> 0").select(F.lit(1).alias("source"), C("p_partkey").alias("other_id"), "p_brand", C("p_name").alias("other_name"), "p_size")
+def best_match(k, asked="p_partkey % 10 = 0", offered="p_partkey % 10 <> 0"):
+    ref = k.part.filter(asked).select(C("p_partkey").alias("id"), "p_brand", C("p_name").alias("name"))
+    others = k.part.filter(offered).select(F.lit(1).alias("source"), C("p_partkey").alias("other_id"), "p_brand", C("p_name").alias("other_name"), "p_size")
     score = 0.6 * T.word_jaccard(C("name"), C("other_name")) + 0.4 * (C("p_size") > 25).cast("int")
-    best = L.cross_reference(ref, others, ["p_brand"], score, 0.499999)
+    best = L.cross_reference(ref, others, ["p_brand"], F.when(C("id") != C("other_id"), score), 0.499999)
     return ref.select("id").join(best.drop("source"), "id", "left").withColumn("found", C("other_id").isNotNull())
 
 
 Q["d16_best_match"], SQL["d16_best_match"] = lambda spark, sf: best_match(load(spark, sf)), BEST
+Q["d16_best_match_whole"] = lambda spark, sf: best_match(load(spark, sf), "true", "true")
+SQL["d16_best_match_whole"] = BEST.replace(" WHERE p_partkey % 10 = 0", "").replace("y.p_partkey % 10 <> 0", "r.id <> y.p_partkey")
 add("d17_result_confidence", lambda k: k.tracks.select("id", F.round(F.least(F.lit(1.0), F.when(C("bpm").isNotNull(), 0.4).otherwise(0.0) + F.when(C("bpm").between(60, 200), 0.1).otherwise(0.0) + F.when(C("duration_seconds").isNotNull(), 0.2).otherwise(0.0) + F.when(C("has_lyrics"), 0.2).otherwise(0.0)), 6).alias("confidence")), sql("tracks", "SELECT id, round(least(1.0, CASE WHEN bpm IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN bpm BETWEEN 60 AND 200 THEN 0.1 ELSE 0 END + CASE WHEN duration_seconds IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN has_lyrics THEN 0.2 ELSE 0 END), 6)::DOUBLE AS confidence FROM tracks"))
 add("d18_fuzzy_lookup", lambda k: k.part.select("p_partkey", F.round(T.ratio(F.lit("small ring"), C("p_name")), 6).alias("score")).filter("score >= 0.8").orderBy(F.desc("score"), "p_partkey").limit(20), f"SELECT p_partkey, round(1 - levenshtein('small ring', {norm('p_name')}) / greatest(10, length({norm('p_name')})), 6) AS score FROM part WHERE score >= 0.8 ORDER BY score DESC, p_partkey LIMIT 20")
 add("d19_artist_hit_filter", lambda k: k.artists.filter(T.normalize_text(C("name")).contains("customer00000001")).select("id", "name"), sql("artists", f"SELECT id, name FROM artists WHERE contains({norm('name')}, 'customer00000001')"))

@@ -21,3 +21,18 @@ def test_whole_texts(spark, duck, name):  # noqa: F811
     got = {r["id"]: r["out"] for r in matched(spark, duck, f"{name}_whole")}
     part = {r["id"]: r["out"] for r in plans.queries()[name](spark, SF).collect()}
     assert set(got) == set(part) and got != part
+
+
+TABLES = "q05_tracks_by_artist q06_albums_by_artist q07_credits_by_track a10_selected_sessions q27_invalidate_on_event w04_distinct_in_order d08_apply_merges d13_components d14_cross_reference d16_best_match".split()
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_whole_tables(spark, duck, name):  # noqa: F811
+    got = rows(matched(spark, duck, f"{name}_whole"))
+    assert got != rows(x.asDict() for x in plans.queries()[name](spark, SF).collect())
+
+
+def test_every_key_is_in_order(spark):
+    for name, key in ("q05_tracks_by_artist", "artist_id"), ("q06_albums_by_artist", "artist_id"), ("q07_credits_by_track", "track_id"):
+        keys = [r[key] for r in plans.queries()[f"{name}_whole"](spark, SF).collect()]
+        assert keys == sorted(keys) and len(set(keys)) > 100, name
