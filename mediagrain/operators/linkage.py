@@ -19,6 +19,26 @@ def candidate_pairs(df: DataFrame, key: list[str], id_: str, *columns: str) -> D
     return one.join(two, key).filter("id1 < id2")
 
 
+def near_pairs(df: DataFrame, key: list[str], id_: str, name: str, ratio: float) -> DataFrame:
+    """Distinct candidates (id1 < id2, name1, name2) inside `key` (may be empty) that miss no pair of names whose edit-distance ratio is `ratio` or more.
+
+    Of k + 1 segments of the longer name at most k are changed by k edits, and the unchanged one is in the
+    shorter name, shifted by at most k places: both sides are exploded to such pieces and joined on them.
+    """
+    k = lambda m: F.floor((1 - ratio + 1e-6) * m + 1e-9).cast("int")
+    start = lambda i: F.floor(i * F.col("m") / (k(F.col("m")) + 1)).cast("int")
+    named = df.select(*key, F.col(id_).alias("id"), F.col(name).alias("name")).filter("name is not null").withColumn("n", F.length("name"))
+    cut = lambda d: d.withColumn("i", F.explode(F.sequence(F.lit(0), k(F.col("m"))))).withColumns({"at": start(F.col("i")), "size": start(F.col("i") + 1) - start(F.col("i"))})
+    long = cut(named.withColumn("m", F.col("n"))).select(*key, "m", "i", F.expr("substring(name, at + 1, size)").alias("piece"), F.col("id").alias("id_l"), F.col("name").alias("name_l"))
+    short = cut(named.withColumn("m", F.explode(F.sequence("n", F.floor(F.col("n") / (ratio - 1e-6)).cast("int")))))
+    low, high = F.greatest(F.col("at") - k(F.col("m")), F.lit(0)), F.least(F.col("at") + k(F.col("m")), F.col("n") - F.col("size"))
+    short = short.withColumn("at", F.explode(F.when(high >= low, F.sequence(low, high)))).select(*key, "m", "i", F.expr("substring(name, at + 1, size)").alias("piece"), F.col("id").alias("id_s"), F.col("name").alias("name_s")).distinct()
+    met = long.join(short, [*key, "m", "i", "piece"]).filter("id_l <> id_s")
+    first = F.col("id_l") < F.col("id_s")
+    pick = lambda c, yes, no: F.when(first, F.col(f"{c}_{yes}")).otherwise(F.col(f"{c}_{no}"))
+    return met.select(pick("id", "l", "s").alias("id1"), pick("id", "s", "l").alias("id2"), pick("name", "l", "s").alias("name1"), pick("name", "s", "l").alias("name2")).distinct()
+
+
 def base_title(c: Column) -> Column:
     """Normalised title without version and featuring marks."""
     c = F.regexp_replace(c, r"(?i)[(\[]?\b(remix|live|deluxe edition|version|edit|mix)\b[)\]]?", "")
@@ -29,10 +49,16 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 0.95, "certain").when(score >= 0.85, "high").when(score >= 0.70, "medium").when(score >= 0.50, "low").otherwise("none")
 
 
-def track_duplicates(tracks: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Pairs inside an artist whose base titles start alike: exact, remix, featuring or similar. Keys: artist, first four letters."""
+def track_duplicates(tracks: DataFrame, threshold: float = 0.9, whole: bool = False) -> DataFrame:
+    """Pairs inside an artist whose base titles start alike: exact, remix, featuring or similar. Keys: artist, first four letters; artist alone if `whole`."""
     keyed = tracks.withColumns({"n": T.normalize_text(F.col("title")), "b": base_title(F.col("title")), "f": T.featured_text(F.col("title"))}).withColumn("block", F.substring("b", 1, 4))
-    pairs = candidate_pairs(keyed, ["artist_id", "block"], "id", "n", "b", "f")
+    if whole:
+        keyed = keyed.withColumn("row", F.struct("id", "n", "f"))
+        equal = candidate_pairs(keyed, ["artist_id", "n"], "row", "b").select("id1", "id2", "b1", "b2")
+        pairs = near_pairs(keyed, ["artist_id"], "row", "b", threshold).union(equal).distinct()
+        pairs = pairs.select("id1.id", "id2.id", "id1.n", "id2.n", "name1", "name2", "id1.f", "id2.f").toDF("id1", "id2", "n1", "n2", "b1", "b2", "f1", "f2")
+    else:
+        pairs = candidate_pairs(keyed, ["artist_id", "block"], "id", "n", "b", "f")
     ratio = 1 - F.levenshtein("b1", "b2") / F.greatest(F.length("b1"), F.length("b2"), F.lit(1))
     kind = F.when(F.col("n1") == F.col("n2"), "exact").when((F.col("b1") == F.col("b2")) & (F.col("f1") != F.col("f2")), "featuring").when(F.col("b1") == F.col("b2"), "remix").when(ratio >= threshold, "similar")
     score = F.when(F.col("n1") == F.col("n2"), 1.0).when(F.col("b1") == F.col("b2"), 0.9).otherwise(ratio)
@@ -44,10 +70,10 @@ def credit_duplicates(credits: DataFrame) -> DataFrame:
     return credits.groupBy("track_id", "credit_type", T.normalize_text(F.col("person_name")).alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def artist_duplicates(artists: DataFrame, external: str, threshold: float = 0.9) -> DataFrame:
-    """Pairs with like names (key: country and genre) or the same external id, which makes a pair certain."""
+def artist_duplicates(artists: DataFrame, external: str, threshold: float = 0.9, whole: bool = False) -> DataFrame:
+    """Pairs with like names (key: country and genre; none if `whole`) or the same external id, which makes a pair certain."""
     named = artists.withColumn("n", T.normalize_text(F.col("name")))
-    like = candidate_pairs(named, ["country", "genre"], "id", "n")
+    like = near_pairs(named, [], "id", "n", threshold).toDF("id1", "id2", "n1", "n2") if whole else candidate_pairs(named, ["country", "genre"], "id", "n")
     ratio = F.round(1 - F.levenshtein("n1", "n2") / F.greatest(F.length("n1"), F.length("n2"), F.lit(1)), 6)
     like = like.withColumn("score", ratio).filter(F.col("score") >= threshold).select("id1", "id2", "score")
     same = candidate_pairs(named.filter(F.col(external).isNotNull()), [external], "id").select("id1", "id2", F.lit(1.0).alias("score"))

@@ -28,6 +28,13 @@ add("d04_confidence", lambda k: dup(k).groupBy("confidence", "kind").agg(F.count
 add("d05_credit_duplicates", lambda k: L.credit_duplicates(k.credits), sql("credits", f"SELECT track_id, credit_type, {norm('person_name')} AS name, count(*) AS n FROM credits GROUP BY 1, 2, 3 HAVING count(*) > 1"))
 add("d06_artist_duplicates", lambda k: L.artist_duplicates(k.artists.withColumn("ext", F.when(C("id") % 50 == 3, C("id") % 7)), "ext"), sql("artists", f", k AS (SELECT id, country, genre, {norm('name')} AS n, CASE WHEN id % 50 = 3 THEN id % 7 END AS ext FROM artists), u AS (SELECT x.id AS id1, y.id AS id2, round(1 - levenshtein(x.n, y.n) / greatest(length(x.n), length(y.n), 1), 6) AS score FROM k x JOIN k y ON x.country = y.country AND x.genre = y.genre AND x.id < y.id UNION ALL SELECT x.id, y.id, 1.0 FROM k x JOIN k y ON x.ext = y.ext AND x.id < y.id) SELECT id1, id2, max(score) AS score FROM u WHERE score >= 0.9 GROUP BY 1, 2"))
 add("d07_should_merge", lambda k: dup(k).filter("confidence = 'certain' or (confidence = 'high' and kind <> 'remix')").groupBy("kind").agg(F.count("*").alias("n")), sql("tracks", KEYED + f", c AS (SELECT *, {CONF} AS confidence FROM d WHERE kind IS NOT NULL) SELECT kind, count(*) AS n FROM c WHERE confidence = 'certain' OR (confidence = 'high' AND kind <> 'remix') GROUP BY 1"))
+# without the keys that the thresholds don't need
+every = lambda k: L.track_duplicates(k.tracks, whole=True)
+unkeyed = lambda name: SQL[name].replace(" AND left(x.b, 4) = left(y.b, 4)", "").replace("x.country = y.country AND x.genre = y.genre AND ", "")
+add("d01_track_duplicates_whole", every, unkeyed("d01_track_duplicates"))
+add("d04_confidence_whole", lambda k: every(k).groupBy("confidence", "kind").agg(F.count("*").alias("n")), unkeyed("d04_confidence"))
+add("d06_artist_duplicates_whole", lambda k: L.artist_duplicates(k.artists.withColumn("ext", F.when(C("id") % 50 == 3, C("id") % 7)), "ext", whole=True), unkeyed("d06_artist_duplicates"))
+add("d07_should_merge_whole", lambda k: every(k).filter("confidence = 'certain' or (confidence = 'high' and kind <> 'remix')").groupBy("kind").agg(F.count("*").alias("n")), unkeyed("d07_should_merge"))
 EDGES = ", e AS (SELECT id AS a, (id * 7 + 3) % 1500 AS b FROM artists WHERE id % 3 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS id, a AS m FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.id)"
 edges = lambda k: k.artists.filter("id % 3 = 0").select(C("id").alias("id1"), ((C("id") * 7 + 3) % 1500).alias("id2"))
 RECURSIVE = lambda body: sql("artists", EDGES + body).replace("WITH artists", "WITH RECURSIVE artists", 1)
@@ -38,10 +45,11 @@ add("d11_dedup_by_title_url", lambda k: k.pages.groupBy(T.normalize_text(F.regex
 NAMES = ", n AS (SELECT DISTINCT title AS name FROM tracks), k AS (SELECT name, " + norm("name") + " AS n FROM n), e AS (SELECT x.name AS a, y.name AS b FROM k x JOIN k y ON left(x.n, 4) = left(y.n, 4) AND x.name <> y.name AND 1 - levenshtein(x.n, y.n) / greatest(length(x.n), length(y.n), 1) >= 0.9), r AS (SELECT name AS id, name AS m FROM n UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id), g AS (SELECT id, min(m) AS grp FROM r GROUP BY id)"
 
 
-def merged_names(k):
-    """Names alike to 0.9 (key: first four letters) form groups; the longest, then the first, is canonical."""
+def merged_names(k, whole=False):
+    """Names alike to 0.9 (key: first four letters; none if `whole`) form groups; the longest, then the first, is canonical."""
     names = k.tracks.select(C("title").alias("name")).distinct().withColumns({"n": T.normalize_text(C("name")), "id": F.xxhash64("name")}).withColumn("block", F.substring("n", 1, 4))
-    pairs = L.candidate_pairs(names, ["block"], "id", "n").filter(1 - F.levenshtein("n1", "n2") / F.greatest(F.length("n1"), F.length("n2"), F.lit(1)) >= 0.9)
+    pairs = L.near_pairs(names, [], "id", "n", 0.9).toDF("id1", "id2", "n1", "n2") if whole else L.candidate_pairs(names, ["block"], "id", "n")
+    pairs = pairs.filter(1 - F.levenshtein("n1", "n2") / F.greatest(F.length("n1"), F.length("n2"), F.lit(1)) >= 0.9)
     grouped = names.join(L.merge_components(pairs), "id", "left").select("name", F.coalesce("label", "id").alias("grp"))
     canonical = grouped.groupBy("grp").agg(F.min_by("name", F.struct(-F.length("name"), "name")).alias("canonical"))
     return grouped.join(canonical, "grp").select("name", "canonical")
@@ -49,6 +57,8 @@ def merged_names(k):
 
 Q["d12_merge_similar_names"] = lambda spark, sf: merged_names(load(spark, sf))
 SQL["d12_merge_similar_names"] = sql("tracks", NAMES + ", c AS (SELECT grp, arg_min(id, (-length(id), id)) AS canonical FROM g GROUP BY grp) SELECT id AS name, canonical FROM g JOIN c USING (grp)").replace("WITH tracks", "WITH RECURSIVE tracks", 1)
+Q["d12_merge_similar_names_whole"] = lambda spark, sf: merged_names(load(spark, sf), True)
+SQL["d12_merge_similar_names_whole"] = SQL["d12_merge_similar_names"].replace("left(x.n, 4) = left(y.n, 4) AND ", "")
 add("d13_components", lambda k: L.merge_components(edges(k)), RECURSIVE(" SELECT id, min(m) AS label FROM r GROUP BY id"))
 # the edges of d06 in the place of made-up ones
 twins = lambda k: L.artist_duplicates(k.artists.withColumn("ext", F.when(C("id") % 50 == 3, C("id") % 7)), "ext").select("id1", "id2")

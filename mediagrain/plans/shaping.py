@@ -32,15 +32,18 @@ add("g07_primary_source", lambda k: R.modal(k.credits, ["track_id"], "credit_typ
 add("g04_album_titles", lambda k: L.group_releases(k.albums, k.tracks).groupBy("title").agg(F.count("*").alias("n")), sql("albums tracks", RELEASES + " SELECT title, count(*) AS n FROM g GROUP BY 1"))
 
 
-def merged_groups(k):
-    """Release groups of an artist whose keys are alike to 0.85 (key: artist, first six letters) become one."""
+def merged_groups(k, whole=False):
+    """Release groups of an artist whose keys are alike to 0.85 (key: artist, first six letters; artist alone if `whole`) become one."""
     g = L.group_releases(k.albums, k.tracks).withColumn("block", F.substring("key", 1, 6))
-    pairs = L.candidate_pairs(g, ["artist_id", "block"], "release_id", "key").filter(1 - F.levenshtein("key1", "key2") / F.greatest(F.length("key1"), F.length("key2")) >= 0.85)
+    pairs = L.near_pairs(g, ["artist_id"], "release_id", "key", 0.85).toDF("id1", "id2", "key1", "key2") if whole else L.candidate_pairs(g, ["artist_id", "block"], "release_id", "key")
+    pairs = pairs.filter(1 - F.levenshtein("key1", "key2") / F.greatest(F.length("key1"), F.length("key2")) >= 0.85)
     return g.join(L.merge_components(pairs), g.release_id == C("id"), "left").groupBy(F.coalesce("label", "release_id").alias("release")).agg(F.count("*").alias("groups"), F.sum("albums").alias("albums"))
 
 
 Q["g03_merged_groups"] = lambda spark, sf: merged_groups(load(spark, sf))
 SQL["g03_merged_groups"] = sql("albums tracks", RELEASES + ", e AS (SELECT x.release_id AS a, y.release_id AS b FROM g x JOIN g y ON x.artist_id = y.artist_id AND left(x.key, 6) = left(y.key, 6) AND x.release_id <> y.release_id AND 1 - levenshtein(x.key, y.key) / greatest(length(x.key), length(y.key)) >= 0.85), r AS (SELECT release_id AS id, release_id AS m FROM g UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id), l AS (SELECT id, min(m) AS release FROM r GROUP BY id) SELECT release, count(*) AS groups, CAST(sum(albums) AS BIGINT) AS albums FROM g JOIN l ON l.id = release_id GROUP BY 1").replace("WITH albums", "WITH RECURSIVE albums", 1)
+Q["g03_merged_groups_whole"] = lambda spark, sf: merged_groups(load(spark, sf), True)
+SQL["g03_merged_groups_whole"] = SQL["g03_merged_groups"].replace(" AND left(x.key, 6) = left(y.key, 6)", "")
 add("h02_page_metadata", lambda k: k.pages.select("page_id", S.by_class(C("html"), "date").alias("date"), S.by_class(C("html"), "nav").alias("nav"), F.nullif(F.regexp_extract("html", r'name="description" content="([^"]*)"', 1), F.lit("")).alias("description")), "SELECT page_id, nullif(trim(regexp_extract(html, 'class=\"[^\"]*date[^\"]*\"[^>]*>([^<]*)<', 1)), '') AS date, nullif(trim(regexp_extract(html, 'class=\"[^\"]*nav[^\"]*\"[^>]*>([^<]*)<', 1)), '') AS nav, nullif(regexp_extract(html, 'name=\"description\" content=\"([^\"]*)\"', 1), '') AS description FROM pages")
 add("p05_scrobble_tags", lambda k: k.events.select("event_id", F.array_join(S.scrobble_tags(F.when(C("event_id") % 2 == 0, F.concat(F.lit('{"tag":[{"name":"rap","count":'), (C("event_id") % 100).cast("string"), F.lit('},{"name":"jazz","count":50},{"name":"pop","count":5}]}'))).otherwise(F.lit('{"tag":{"name":"solo","count":20}}')), 10, 2), ",").alias("tags")), "SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'solo' WHEN event_id % 100 > 50 THEN 'rap,jazz' WHEN event_id % 100 = 50 THEN 'jazz,rap' WHEN event_id % 100 >= 10 THEN 'jazz,rap' ELSE 'jazz' END AS tags FROM events")
 song = lambda k: k.tracks.select("id", F.to_json(F.struct(C("title").alias("name"), F.array(F.struct(C("artist_id").alias("id")), F.struct((C("artist_id") + 1).alias("id"))).alias("artists"), F.struct(C("album_id").alias("id")).alias("album"), (C("duration_seconds") * 1000).alias("duration_ms"))).alias("doc"))

@@ -1,8 +1,12 @@
 """Queries named NAME_whole look at whole texts and tables: all of them against their SQL, and against the part NAME sees."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from mediagrain import plans
+from mediagrain.operators.linkage import candidate_pairs, near_pairs
 from tests.test_oracle import SF, duck, rows  # noqa: F401
 
 TEXTS = "n01_normalize_text n01b_normalize_text_aggressive n02_clean_artist_name n05_remove_special_chars n10_name_key n13_fix_encoding n14_strip_control_chars n16_name_case n18_validate_names n19_detect_language".split()
@@ -36,3 +40,26 @@ def test_every_key_is_in_order(spark):
     for name, key in ("q05_tracks_by_artist", "artist_id"), ("q06_albums_by_artist", "artist_id"), ("q07_credits_by_track", "track_id"):
         keys = [r[key] for r in plans.queries()[f"{name}_whole"](spark, SF).collect()]
         assert keys == sorted(keys) and len(set(keys)) > 100, name
+
+
+@pytest.mark.parametrize("name", ["d01_track_duplicates", "d04_confidence", "d06_artist_duplicates", "d07_should_merge", "d12_merge_similar_names", "g03_merged_groups"])
+def test_keys_lose_nothing(spark, duck, name):  # noqa: F811
+    matched(spark, duck, f"{name}_whole")
+
+
+@pytest.mark.parametrize("ratio", [0.9, 0.85])
+def test_near_pairs_miss_none(spark, ratio):
+    rng = random.Random(5)
+    names = ["", "a", "b", "ab"]
+    for _ in range(25):
+        name = "".join(rng.choice("abc ") for _ in range(rng.randrange(6, 60)))
+        for edits in range(6):
+            x = list(name)
+            for _ in range(edits):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randrange(2)] = rng.choice(["", "z", "a"])
+            names.append("".join(x))
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    near = lambda d: d.filter(1 - F.levenshtein("name1", "name2") / F.greatest(F.length("name1"), F.length("name2"), F.lit(1)) >= ratio).select("id1", "id2").collect()
+    got, want = near(near_pairs(df, [], "id", "name", ratio)), near(candidate_pairs(df.withColumn("k", F.lit(1)), ["k"], "id", "name"))
+    assert len(want) > 20 and sorted(got) == sorted(want)
