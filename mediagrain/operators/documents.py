@@ -1,5 +1,7 @@
 """Lyrics, credit texts, pages, payloads and feature vectors: one row per document in, columns or rows out."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,3 +147,28 @@ def repetition(df: DataFrame, group: str, key: str, vector: str, window: int = 2
     df = df.withColumn("next", F.collect_list("u").over(w))
     dot = lambda v: F.aggregate(F.zip_with("u", v, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return df.groupBy(group).agg(F.sum(F.size(F.filter("next", lambda v: dot(v) > least))).alias("alike"), F.sum(F.size("next")).alias("pairs")).withColumn("density", F.round(F.col("alike") / F.col("pairs"), 6))
+
+
+def repetition_of_all(df: DataFrame, group: str, key: str, vector: str, least: float = 0.8, block: int = 512) -> DataFrame:
+    """Share of all frame pairs of a group whose normalised dot product exceeds `least`.
+
+    Frames are dealt into blocks of about `block` by the hash of their key; two blocks meet in a task as one
+    matrix product, of which only counts leave, so no pair is a row. The work is that of all pairs.
+    """
+    blocks = df.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = df.select(group, F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).join(blocks, group)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = dealt.select(group, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "v")
+
+    def run(table):
+        own, n = table.column("own").to_numpy(), len(table)
+        v = np.array(table.column("v").to_pylist(), float).reshape(n, -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            u = v / np.sqrt((v * v).sum(1))[:, None]
+            low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+            near = u @ u.T > least if low == high else u[own == low] @ u[own == high].T > least
+        alike, pairs = (int(np.triu(near, 1).sum()), n * (n - 1) // 2) if low == high else (int(near.sum()), near.size)
+        return pa.table({group: table.column(group)[:1], "alike": pa.array([alike], pa.int64()), "pairs": pa.array([pairs], pa.int64())})
+
+    counted = units.groupBy(group, "low", "high").applyInArrow(run, units.select(group, F.lit(0).cast("long").alias("alike"), F.lit(0).cast("long").alias("pairs")).schema)
+    return counted.groupBy(group).agg(F.sum("alike").alias("alike"), F.sum("pairs").alias("pairs")).withColumn("density", F.round(F.try_divide("alike", "pairs"), 6))

@@ -91,4 +91,5 @@ add("f06_per_dimension", lambda k: D.per_dimension(vec(k), "label", "v"), "SELEC
 BANDS = [("low", 0, 3), ("mid", 3, 8), ("high", 8, 12)]
 add("f07_band_energy", lambda k: D.band_energy(vec(k), "vec_id", "v", BANDS), "SELECT vec_id, CASE WHEN dim < 3 THEN 'low' WHEN dim < 8 THEN 'mid' ELSE 'high' END AS band, round(avg(abs(x)), 5) AS energy FROM (SELECT vec_id, unnest(range(12)) AS dim, unnest(embedding[1:12])::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
 add("f02_repetition", lambda k: D.repetition(vec(k), "label", "vec_id", "v"), "WITH v AS (SELECT label, vec_id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings), u AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v), p AS (SELECT a.label, list_inner_product(a.v, b.v) / (a.n * b.n) AS d FROM u a JOIN u b ON a.label = b.label AND b.rn > a.rn AND b.rn <= a.rn + 20) SELECT label, count(*) FILTER (WHERE d > 0.2) AS alike, count(*) AS pairs, round(count(*) FILTER (WHERE d > 0.2) / count(*), 6) AS density FROM p GROUP BY 1")
+add("f02_repetition_whole", lambda k: D.repetition_of_all(vec(k), "label", "vec_id", "v"), "WITH v AS (SELECT label, vec_id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v), p AS (SELECT a.label, list_inner_product(a.v, b.v) / (a.n * b.n) AS d FROM u a JOIN u b ON a.label = b.label AND b.vec_id > a.vec_id) SELECT label, CAST(count(*) FILTER (WHERE d > 0.8) AS BIGINT) AS alike, count(*) AS pairs, round(count(*) FILTER (WHERE d > 0.8) / count(*), 6) AS density FROM p GROUP BY 1")
 add("f08_onset_density", lambda k: k.sessions.groupBy("session", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n")).withColumn("dense", C("n") > 2), sql("sessions", "SELECT session, date_trunc('hour', ts) AS hour, count(*) AS n, count(*) > 2 AS dense FROM sessions GROUP BY 1, 2"))

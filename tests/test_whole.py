@@ -1,11 +1,14 @@
 """Queries named NAME_whole look at whole texts and tables: all of them against their SQL, and against the part NAME sees."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mediagrain import plans
+from mediagrain.operators.documents import repetition_of_all
 from mediagrain.operators.linkage import candidate_pairs, near_pairs
 from tests.test_oracle import SF, duck, rows  # noqa: F401
 
@@ -63,3 +66,13 @@ def test_near_pairs_miss_none(spark, ratio):
     near = lambda d: d.filter(1 - F.levenshtein("name1", "name2") / F.greatest(F.length("name1"), F.length("name2"), F.lit(1)) >= ratio).select("id1", "id2").collect()
     got, want = near(near_pairs(df, [], "id", "name", ratio)), near(candidate_pairs(df.withColumn("k", F.lit(1)), ["k"], "id", "name"))
     assert len(want) > 20 and sorted(got) == sorted(want)
+
+
+def test_all_frames_meet(spark, duck):  # noqa: F811
+    matched(spark, duck, "f02_repetition_whole")
+    far = spark.createDataFrame([(1, i, [1.0, 0.0] if i in (0, 59) else [math.cos(1.6 + i), math.sin(1.6 + i) * 9]) for i in range(60)], "g int, k int, v array<double>")
+    v = [np.array(r.v) / np.linalg.norm(r.v) for r in far.collect()]
+    want = sum(a @ b > 0.8 for i, a in enumerate(v) for b in v[i + 1 :])
+    for block in (7, 512):
+        got = repetition_of_all(far, "g", "k", "v", block=block).first()
+        assert (got.alike, got.pairs) == (want, 60 * 59 // 2)
