@@ -6,7 +6,8 @@ loss; where the corrected negative risk falls below zero, its gradient is revers
 the model can't call all unlabelled text negative by memory alone.
 
 The model is fitted in the driver on a bounded sample: at most `positives` and `unlabelled` documents,
-taken by hash order, of which only word hashes (below 2**18) are gathered; `prior` is the share of toxic
+taken by hash order. Tasks count the documents of each hash (below 2**18) by class, the features are chosen
+from these counts, and only the chosen columns of the sample are gathered; `prior` is the share of toxic
 rows among the training labels unless given. Scoring is a numpy pass inside the scan's tasks over whole
 texts, with nothing shuffled.
 
@@ -73,7 +74,43 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 4500, features: int = 1024, prior: float | None = None) -> tuple[np.ndarray, float]:
+def hash_counts(sample: DataFrame) -> DataFrame:
+    """(h, in_p, in_u): positive and other rows of `sample` (text, positive) with each hash; h = -1 counts all rows."""
+
+    def run(batches):
+        for batch in batches:
+            positive = batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)
+            in_p, in_u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+            for lo, _, data, off in text_slices(batch.column("text")):
+                rows, h, _ = word_counts(data, off)
+                is_p = positive[lo + rows]
+                in_p += np.bincount(h[is_p], minlength=1 << BITS)
+                in_u += np.bincount(h[~is_p], minlength=1 << BITS)
+            h = np.flatnonzero(in_p + in_u)
+            columns = np.append(h, -1), np.append(in_p[h], positive.sum()), np.append(in_u[h], (~positive).sum())
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "in_p", "in_u"])
+
+    return sample.mapInArrow(run, "h long, in_p long, in_u long").groupBy("h").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+
+
+def sparse_rows(sample: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """positive and words (hash << 8 | number, at most 255) of each row of `sample`, of the chosen hashes only."""
+    keep = np.zeros(1 << BITS, bool)
+    keep[chosen] = True
+    shared = sample.sparkSession.sparkContext.broadcast(keep)
+
+    def run(batches):
+        for batch in batches:
+            lists = []
+            for lo, hi, data, off in text_slices(batch.column("text")):
+                rows, h, n = word_counts(data, off, shared.value)
+                lists += [x.astype(np.int32) for x in np.split(h << 8 | np.minimum(n, 255), np.searchsorted(rows, np.arange(1, hi - lo)))]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(lists, pa.list_(pa.int32()))], names=["positive", "words"])
+
+    return sample.mapInArrow(run, "positive boolean, words array<int>")
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 6000, features: int = 1024, prior: float | None = None) -> tuple[np.ndarray, float]:
     """(weight of each hashed word, bias). `labels` has doc_id and toxic, of training rows only; `docs` likewise."""
     bounded_batches(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -83,35 +120,25 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     pos = first_by_hash(known.filter("toxic = 1").select("doc_id"), "doc_id", positives).withColumn("positive", F.lit(True))
     free = first_by_hash(docs.select("doc_id").filter("doc_id is not null"), "doc_id", unlabelled).withColumn("positive", F.lit(False))
 
-    def run(batches):
-        for batch in batches:
-            lists = []
-            for lo, hi, data, off in text_slices(batch.column("text")):
-                rows, h, n = word_counts(data, off)
-                lists += [x.astype(np.int32) for x in np.split(h << 8 | np.minimum(n, 255), np.searchsorted(rows, np.arange(1, hi - lo)))]
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(lists, pa.list_(pa.int32()))], names=["positive", "words"])
-
-    got = with_texts(docs, pos.unionByName(free)).mapInArrow(run, "positive boolean, words array<int>").toArrow().combine_chunks()
-    positive = np.array(got.column("positive").to_pylist(), bool)
-    if not positive.any() or positive.all():
+    sample = with_texts(docs, pos.unionByName(free))
+    counted = hash_counts(sample).filter("h < 0 or in_p + in_u >= 5").toArrow()
+    found, p, u = (counted.column(c).to_numpy() for c in ("h", "in_p", "in_u"))
+    n_p, n_u = p[found < 0].sum(), u[found < 0].sum()
+    if not n_p or not n_u:
         return weights, -40.0
-    column = got.column("words")
-    counts, h = np.array(column.combine_chunks().value_lengths(), np.int64), np.concatenate([c.flatten().to_numpy() for c in column.chunks])
-    rows = np.repeat(np.arange(len(positive)), counts)
-    h, n = h >> 8, h & 255
-    n_p, n_u = positive.sum(), (~positive).sum()
-    in_p = np.bincount(h[positive[rows]], minlength=1 << BITS)
-    in_u = np.bincount(h[~positive[rows]], minlength=1 << BITS)
+    in_p, in_u = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    in_p[found[found >= 0]], in_u[found[found >= 0]] = p[found >= 0], u[found >= 0]
     rate = (in_p + in_u) / (n_p + n_u)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_u) + 1e-9)
-    z[in_p + in_u < 5] = 0
     chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:features])
     chosen = chosen[np.abs(z[chosen]) > 3]
-    column_of = np.full(1 << BITS, -1)
-    column_of[chosen] = np.arange(len(chosen))
+    got = sparse_rows(sample, chosen).toArrow()
+    positive, words = got.column("positive").to_numpy().astype(bool), got.column("words").combine_chunks()
+    counts, h = words.value_lengths().to_numpy(), words.flatten().to_numpy().astype(np.int64)
+    rows = np.repeat(np.arange(len(positive)), counts)
+    h, n = h >> 8, h & 255
     x = np.zeros((len(positive), len(chosen)), np.float32)
-    hit = column_of[h] >= 0
-    x[rows[hit], column_of[h[hit]]] = scaled(n[hit])
+    x[rows, np.searchsorted(chosen, h)] = scaled(n)
     w, bias = fit_nnpu(x, positive, prior)
     weights[chosen] = w
     return weights, bias
