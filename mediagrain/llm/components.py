@@ -18,11 +18,44 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that an operator made itself."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """`df` as a Parquet table in `folder` or the shared one: cuts the lineage and survives lost executors."""
+    path = f"{folder or shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_join(rows: DataFrame, by_key: DataFrame, keys: list[str], most: int = 4096, floor: int = 1000) -> DataFrame:
+    """`rows` joined with `by_key`, which has one row for a key and in `n` at least the number of its rows.
+
+    No task gets all rows of a hot key: keys of more than `floor` rows, and of more than one in `most` of all rows,
+    are sent to every task (so at most `most` of them); the others are joined by shuffle. Both tables are read more
+    than once, so they should be written ones.
+    """
+    total, top = by_key.agg(F.sum("n"), F.max("n")).first()
+    limit = max(floor, (total or 0) // most)
+    if (top or 0) <= limit:
+        return rows.join(by_key, keys)
+    hot = F.broadcast(by_key.filter(F.col("n") > limit))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(by_key.filter(F.col("n") <= limit), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
+def sent(rows: DataFrame, megabytes: int = 32) -> DataFrame:
+    """A written table for a join with the texts: sent to all tasks if its columns (numbers and short strings) take at most `megabytes`, else shuffled."""
+    width = sum(8 if f.dataType.typeName() != "string" else 48 for f in rows.schema)
+    return F.broadcast(rows) if rows.count() * width <= megabytes << 20 else rows
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

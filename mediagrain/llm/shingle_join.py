@@ -7,21 +7,20 @@ on 64-bit shingle hashes and gives the connected components of the links, withou
    the set under one global order: sets that link share a prefix shingle. Shingles that a bounded sample
    finds frequent come last in that order; the order decides cost, never results. Equal sets in a batch
    give one prefix, so a hot group of copies is a row for each batch and shingle.
-2. Rough groups: the holders of a prefix shingle, where shingles with the same holders count once. Equal
-   sets are one candidate.
-3. Signature trees over the bitmaps: a rough group is one node, or, if it is large, nodes by size range
-   and hash; node pairs whose size ranges can't link are never made. In a task, the documents of a node
-   (or pair) form a tree whose nodes hold OR-combined bitmaps, size ranges and the largest bit-collision
-   excess; dual traversal drops node pairs whose greatest possible overlap is too small. What may link
-   forms the close groups; a task gives no more than a spanning forest of it.
-4. Only the texts of close groups are read again; the sets are compared exactly, by the same traversal,
-   unless both are linked already. Close groups over `room` shingles go in two rounds: each node by itself
-   and with a few pivots; then, if the group isn't one component yet, only the documents outside its
-   largest component meet the other nodes.
+2. The forest: a prefix shingle names a tree over the sets that hold it (shingles with the same holders name
+   one tree; equal sets are one leaf). Above these trees nothing could be pruned: the OR of some 16 sets
+   already allows any overlap, so one tree of all documents would compare nearly all pairs of its nodes.
+3. Every tree is traversed against itself: its nodes hold OR-combined bitmaps, size ranges and the largest
+   bit-collision excess, and node pairs whose greatest possible overlap is too small are dropped. Trees of
+   more than `node_docs` leaves are cut into subtrees by size range, of which those meet that may link
+   (`links_in_groups`). What may link forms the close groups; a task gives a spanning forest of it.
+4. Only the texts of close groups are read again; the sets are compared exactly, by the same traversal over
+   new trees, unless both are linked already.
 
 Nulls and odd cases: null and empty texts have no shingles and link with nothing; a text of fewer than
 `size` words is one shingle; rows with a null doc_id are their own (null) component; rows that share a
-doc_id are one document for linking; an empty table gives no rows; other columns are never looked at.
+doc_id are one document for linking; equal sets are one group, named by the smallest id (ties can't arise);
+an empty table gives no rows; other columns, whatever their names, are never looked at.
 """
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mediagrain.llm.components import components, written
+from mediagrain.llm.components import components, sent, spread_join, written
 from mediagrain.llm.samples import first_by_hash, with_texts
 from mediagrain.llm.textkit import LOWER, NOT_SPACE, Words, bounded_batches, gram_hashes, inside, mix, signed, text_slices, window_sums, word_hashes
 
@@ -60,15 +59,12 @@ def prefix(shingles: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarr
     if not len(shingles):
         return shingles
     p = prefix_length(len(shingles), percent)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        last = frequent[at] == shingles
-        shingles = np.concatenate([shingles[~last], shingles[last]])
-    return shingles[:p]
+    last = _among(shingles, frequent)
+    return np.concatenate([shingles[~last], shingles[last]])[:p]
 
 
-def frequent_shingles(docs: DataFrame, size: int, sample: int = 8000, least: int = 3, most: int = 200_000) -> np.ndarray:
-    """Shingles of at least `least` of `sample` documents (by hash order), at most `most` of them."""
+def frequent_shingles(docs: DataFrame, size: int, sample: int = 8000, least: int = 3, most: int = 200_000, hot: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of at least `least` of `sample` documents (by hash order), at most `most` of them, and those of at least `hot`."""
 
     def run(batches):
         for batch in batches:
@@ -78,13 +74,20 @@ def frequent_shingles(docs: DataFrame, size: int, sample: int = 8000, least: int
 
     ids = first_by_hash(docs.select("doc_id").filter("doc_id is not null"), "doc_id", sample).distinct()
     counted = with_texts(docs, ids).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    got = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toPandas().h.to_numpy(np.int64)
-    return np.sort(got.view(U64))
+    got = counted.orderBy(F.desc("n"), "h").limit(most).toPandas()
+    h, n = got["h"].to_numpy(np.int64).view(U64), got["n"].to_numpy(np.int64)
+    return np.sort(h), np.sort(h[n >= hot])
 
 
-def sketch(docs: DataFrame, percent: int, size: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, d1, d2 (digest), least (shingle), bits, prefix (empty if an equal set came before in its batch)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _among(shingles: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    if not len(listed):
+        return np.zeros(len(shingles), bool)
+    return listed[np.minimum(np.searchsorted(listed, shingles), len(listed) - 1)] == shingles
+
+
+def sketch(docs: DataFrame, percent: int, size: int, frequent: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """doc_id, n, d1, d2 (digest), least (shingle), bits, and of the prefix the hot shingles and the others (none if an equal set came before in its batch)."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, hot))
 
     def run(batches):
         for batch in batches:
@@ -96,18 +99,19 @@ def sketch(docs: DataFrame, percent: int, size: int, frequent: np.ndarray) -> Da
                     least.append(s[0] if len(s) else U64(0))
                     bits.append(bitmap(s, bitmap_size(len(s))).tobytes() if len(s) else None)
                     digests.append((int(mix(s).sum()), int((mix(s ^ U64(0x5851F42D4C957F2D)) * U64(2862933555777941757)).sum() + U64(len(s)))))
-                    prefixes.append(prefix(s, percent, shared.value))
+                    prefixes.append(prefix(s, percent, shared.value[0]))
             fresh, seen = [], set()
             for d, k in zip(digests, known, strict=True):
                 fresh.append(bool(k) and d not in seen)
                 seen.add(d)
             prefixes = [p if f else p[:0] for p, f in zip(prefixes, fresh, strict=True)]
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate([np.zeros(0, U64), *prefixes]))))
+            all_ = np.concatenate([np.zeros(0, U64), *prefixes])
+            of, is_hot = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes]), _among(all_, shared.value[1])
+            lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(of[m], np.arange(len(prefixes) + 1)).astype(np.int32)), pa.array(signed(all_[m]))) for m in (~is_hot, is_hot)]
             d = np.array(digests, U64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(signed(d[:, 0].copy())), pa.array(signed(d[:, 1].copy())), pa.array(signed(np.array(least, U64))), pa.array(bits, pa.binary()), toks], names=["doc_id", "n", "d1", "d2", "least", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(n, np.int64)), pa.array(signed(d[:, 0].copy())), pa.array(signed(d[:, 1].copy())), pa.array(signed(np.array(least, U64))), pa.array(bits, pa.binary()), *lists], names=["doc_id", "n", "d1", "d2", "least", "bits", "prefix", "hot"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, least long, bits binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, least long, bits binary, prefix array<long>, hot array<long>")
 
 
 def bitmap_size(n: int) -> int:
@@ -140,28 +144,44 @@ class Forest:
         return x != y
 
 
-class SignatureTree:
-    """Levels of nodes over documents in the order of size and least shingle; `fan` children to a node."""
+class SignatureTrees:
+    """A tree for each unit, over its documents in the order of size and least shingle; `fan` children to a node.
 
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray, least: np.ndarray, fan: int = 8):
+    A node holds the OR of its documents' bitmaps, their least and greatest size and the largest excess (of a
+    set's size over its bits). Trees of many units are kept side by side, level by level.
+    """
+
+    def __init__(self, unit: np.ndarray, maps: np.ndarray, sizes: np.ndarray, least: np.ndarray, fan: int = 8):
         self.fan = fan
-        self.order = np.lexsort((least, sizes))
-        maps, low = maps[self.order], sizes[self.order]
-        self.levels = [(maps, low, low, low - np.bitwise_count(maps).sum(1).astype(np.int64))]
-        while len(self.levels[-1][0]) > 1:
-            maps, low, high, excess = self.levels[-1]
-            at = np.arange(0, len(maps), fan)
-            self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at)))
-
-    def pairs(self, percent: int, skip=None, chunk: int = 1 << 14):
-        """Yields arrays (i, j) of documents that may link, by dual traversal; `skip(i, j)` drops pairs of documents meanwhile linked."""
-        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        self.order = np.lexsort((least, sizes, unit))
+        unit, maps, low = unit[self.order], maps[self.order], sizes[self.order]
+        self.levels = [(maps, low, low, low - np.bitwise_count(maps).sum(1).astype(np.int64), None)]
+        while len(unit):
+            fresh = np.ones(len(unit), bool)
+            fresh[1:] = unit[1:] != unit[:-1]
+            if fresh.all():
+                break
+            heads = np.flatnonzero(fresh)
+            place = np.arange(len(unit)) - np.repeat(heads, np.diff(np.append(heads, len(unit))))
+            at = np.flatnonzero(place % fan == 0)
+            maps, low, high, excess, _ = self.levels[-1]
+            self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at), np.append(at, len(unit))))
+            unit = unit[at]
+
+    def pairs(self, percent: int, skip=None, chunk_bytes: int = 4 << 20):
+        """Yields arrays (i, j) of documents of one unit that may link, by dual traversal; `skip(i, j)` drops pairs of documents meanwhile linked."""
+        top = len(self.levels) - 1
+        if not top:
+            return
+        roots = np.arange(len(self.levels[top][0]))
+        chunk = max(256, chunk_bytes // (8 * self.levels[0][0].shape[1]))
+        stack = [(top, roots, roots)]
         while stack:
             level, i, j = stack.pop()
             if len(i) > chunk:
                 stack += [(level, i[k : k + chunk], j[k : k + chunk]) for k in range(0, len(i), chunk)]
                 continue
-            maps, low, high, excess = self.levels[level]
+            maps, low, high, excess, at = self.levels[level]
             ok = (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
             i, j = i[ok], j[ok]
             if level == 0 and skip is not None:
@@ -176,118 +196,91 @@ class SignatureTree:
             if level == 0:
                 yield self.order[i], self.order[j]
                 continue
-            below, f = len(self.levels[level - 1][0]), np.arange(self.fan)
-            ci = (i[:, None, None] * self.fan + f[None, :, None] + 0 * f[None, None, :]).ravel()
-            cj = (j[:, None, None] * self.fan + 0 * f[None, :, None] + f[None, None, :]).ravel()
-            ok = (ci < below) & (cj < below) & ((ci < cj) if level == 1 else (ci <= cj))
+            f = np.arange(self.fan)
+            ci, cj = np.broadcast_arrays(at[i][:, None, None] + f[None, :, None], at[j][:, None, None] + f[None, None, :])
+            ok = (ci < at[i + 1][:, None, None]) & (cj < at[j + 1][:, None, None]) & ((ci < cj) if level == 1 else (ci <= cj))
             stack.append((level - 1, ci[ok], cj[ok]))
 
 
-def tree_of(sets: list[np.ndarray]) -> SignatureTree:
-    sizes = np.array([len(s) for s in sets])
-    bits = bitmap_size(int(sizes.max()))
-    return SignatureTree(np.stack([bitmap(s, bits) for s in sets]), sizes, np.array([s[0] for s in sets]))
-
+def _folded(maps: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the size."""
+    half = maps.shape[1] // 2
+    return maps[:, :half] | maps[:, half:]
 
-def _crossing(sides, a: int, b: int) -> bool:
-    """Sides are 0, 1 or 2; two of side 1, or two of side 2, meet elsewhere."""
-    return sides[a] == 0 or sides[a] != sides[b]
 
+def spanning(unit: np.ndarray, bits: list[bytes], sizes: np.ndarray, least: np.ndarray, sides: np.ndarray, percent: int, test=None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs in each unit whose trees allow a link and for which `test(a, b)`, if given, holds.
 
-def _spanning(n: int, sides: np.ndarray, tree: SignatureTree, percent: int, test) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs from the tree for which `test(a, b)` holds."""
-    forest, out = Forest(n), []
+    Sides are 0, 1 or 2: two documents of side 1, or two of side 2, meet elsewhere. Sets that link have bitmaps of one
+    length or of neighbouring ones: each length has its trees, in which the next longer bitmaps are folded once.
+    """
+    forest, out, length = Forest(len(bits)), [], np.array([len(b) for b in bits])
+    for size in np.unique(length):
+        own = np.flatnonzero(length == size)
+        twice = np.flatnonzero(length == 2 * size)
+        twice = twice[np.isin(unit[twice], unit[own])]
+        stack = lambda at: np.frombuffer(b"".join(bits[i] for i in at), U64).reshape(len(at), -1)
+        maps, at = stack(own), np.concatenate([own, twice])
+        if len(twice):
+            maps = np.concatenate([maps, _folded(stack(twice))])
+        folded = length[at] != size
 
-    def skip(i, j):
-        root = np.array([forest.find(x) for x in range(n)])
-        return (root[i] == root[j]) | ((sides[i] != 0) & (sides[i] == sides[j]))
+        def skip(i, j, at=at, folded=folded):
+            root, side = np.array([forest.find(x) for x in at.tolist()]), sides[at]
+            return (root[i] == root[j]) | ((side[i] != 0) & (side[i] == side[j])) | (folded[i] & folded[j])
 
-    for i, j in tree.pairs(percent, skip):
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            if forest.find(a) != forest.find(b) and test(a, b):
-                forest.join(a, b)
-                out.append((a, b))
+        for i, j in SignatureTrees(unit[at], maps, sizes[at], least[at]).pairs(percent, skip):
+            for a, b in zip(at[i].tolist(), at[j].tolist(), strict=True):
+                if forest.find(a) != forest.find(b) and (test is None or test(a, b)):
+                    forest.join(a, b)
+                    out.append((a, b))
     return out
 
 
-def linked(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets."""
+def may_link(unit: np.ndarray, rows: list[tuple[bytes, int, int]], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """What bitmaps and sizes allow; rows of (bits, size, least shingle)."""
+    bits, sizes, least = zip(*rows, strict=True)
+    return spanning(unit, list(bits), np.array(sizes), np.array(least, np.int64).view(U64), sides, percent)
+
+
+def linked(unit: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """The links among sets."""
 
     def test(a: int, b: int) -> bool:
         x, y = sets[a], sets[b]
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= percent * (len(x) + len(y) - both)
 
-    if len(sets) > 12:
-        return _spanning(len(sets), sides, tree_of(sets), percent, test)
-    forest, out = Forest(len(sets)), []
-    for a in range(len(sets)):
-        for b in range(a):
-            near = 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b]))
-            if near and _crossing(sides, a, b) and forest.find(a) != forest.find(b) and test(a, b):
-                forest.join(a, b)
-                out.append((a, b))
-    return out
-
-
-def _folded(maps: np.ndarray) -> np.ndarray:
-    """Bitmaps of half the size."""
-    half = maps.shape[1] // 2
-    return maps[:, :half] | maps[:, half:]
-
-
-def may_link(bits: list[bytes], sizes: np.ndarray, least: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose bitmaps and sizes allow a link."""
-    if len(bits) <= 6:
-        forest, out = Forest(len(bits)), []
-        for a in range(len(bits)):
-            for b in range(a):
-                x, y = sorted((bits[a], bits[b]), key=len)
-                p, q = int.from_bytes(x, "big"), int.from_bytes(y, "big")
-                if len(y) == 2 * len(x):
-                    q = q >> 8 * len(x) | q & (1 << 8 * len(x)) - 1
-                elif len(y) != len(x):
-                    continue
-                n, m = int(sizes[a]), int(sizes[b])
-                small, large = (n, m) if len(bits[a]) <= len(bits[b]) else (m, n)
-                most = min(n, m, (p & q).bit_count() + min(small - p.bit_count(), large - q.bit_count()))
-                if 100 * min(n, m) >= percent * max(n, m) and most * (100 + percent) >= percent * (n + m) and _crossing(sides, a, b) and forest.join(a, b):
-                    out.append((a, b))
-        return out
-    out, length = [], np.array([len(b) for b in bits])
-    for size in np.unique(length):
-        own, twice = np.flatnonzero(length == size), np.flatnonzero(length == 2 * size)
-        stack = lambda at: np.frombuffer(b"".join(bits[i] for i in at), U64).reshape(len(at), -1)
-        maps, at = stack(own), np.concatenate([own, twice])
-        if len(twice):
-            maps = np.concatenate([maps, _folded(stack(twice))])
-        out += [(int(at[a]), int(at[b])) for a, b in _spanning(len(at), sides[at], SignatureTree(maps, sizes[at], least[at]), percent, lambda a, b: True)]
-    return out
+    sizes = np.array([len(s) for s in sets])
+    bits = [bitmap(s, bitmap_size(len(s))).tobytes() for s in sets]
+    return spanning(unit, bits, sizes, np.array([s[0] for s in sets]), sides, percent, test)
 
 
-def _by_unit(rows: DataFrame, columns: list[str], work, prepare=None) -> DataFrame:
-    """Links (a, b) found in each unit by `work` on the lists of its columns; the rows of a unit meet in a task, one unit at a time."""
+def _by_unit(rows: DataFrame, columns: list[str], work, prepare, weight, room: int = 1 << 22) -> DataFrame:
+    """Links (a, b) found inside each unit by `work`; a unit's rows meet in a task, which takes whole units of about `room` bytes together."""
     keyed = rows.select("unit", "side", "doc_id", *columns).repartition("unit").sortWithinPartitions("unit")
 
     def run(batches):
-        unit, held, sides, ids = None, [], [], []
+        held, names, sides, ids, size = [], [], [], [], 0
 
         def flush():
-            found = work(held, np.array(sides)) if len(held) > 1 else []
+            number = np.cumsum([0, *(a != b for a, b in zip(names[1:], names[:-1], strict=True))])
+            found = work(number, held, np.array(sides)) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            units, side, own = (batch.column(c).to_pylist() for c in ("unit", "side", "doc_id"))
+            unit, side, own = (batch.column(c).to_pylist() for c in ("unit", "side", "doc_id"))
             for r, value in enumerate(prepare(batch)):
-                if units[r] != unit:
-                    if len(held) > 1:
-                        yield flush()
-                    unit, held, sides, ids = units[r], [], [], []
+                if size >= room and unit[r] != names[-1]:
+                    yield flush()
+                    held, names, sides, ids, size = [], [], [], [], 0
                 if value is not None:
                     held.append(value)
+                    names.append(unit[r])
                     sides.append(side[r])
                     ids.append(own[r])
-        if len(held) > 1:
+                    size += weight(value)
+        if held:
             yield flush()
 
     return keyed.mapInArrow(run, "a long, b long")
@@ -301,7 +294,7 @@ def _link_texts(rows: DataFrame, percent: int, size: int) -> DataFrame:
             for s in shingle_sets(data, off, size):
                 yield s if len(s) else None
 
-    return _by_unit(rows, ["text"], lambda held, sides: linked(held, sides, percent), sets)
+    return _by_unit(rows, ["text"], lambda unit, held, sides: linked(unit, held, sides, percent), sets, lambda s: 8 * len(s))
 
 
 def _link_bitmaps(rows: DataFrame, percent: int) -> DataFrame:
@@ -310,10 +303,7 @@ def _link_bitmaps(rows: DataFrame, percent: int) -> DataFrame:
     def given(batch):
         yield from zip(*(batch.column(c).to_pylist() for c in ("bits", "n", "least")), strict=True)
 
-    def work(held, sides):
-        return may_link([x[0] for x in held], np.array([x[1] for x in held]), np.array([x[2] for x in held], np.int64).view(U64), sides, percent)
-
-    return _by_unit(rows, ["n", "least", "bits"], work, given)
+    return _by_unit(rows, ["n", "least", "bits"], lambda unit, held, sides: may_link(unit, held, sides, percent), given, lambda x: len(x[0]))
 
 
 def _nodes(members: DataFrame, by: list[str], weight, room: int) -> DataFrame:
@@ -328,11 +318,6 @@ def _neighbours(band):
     return F.explode(F.array(*(band + k for k in (-1, 0, 1))))
 
 
-def _sent(rows: DataFrame, most: int = 400_000) -> DataFrame:
-    """A table of ids and unit names for a join with the texts: sent to all tasks if it has at most `most` rows (some tens of MB), else shuffled."""
-    return F.broadcast(rows) if rows.count() <= most else rows
-
-
 def _pair_units(nodes: DataFrame, by: list[str], meets) -> DataFrame:
     """(unit, side, by..., band, block) for every pair of nodes in neighbouring bands for which `meets` holds."""
     key = [*by[1:], "band", "block"]
@@ -345,54 +330,34 @@ def _pair_units(nodes: DataFrame, by: list[str], meets) -> DataFrame:
     return met.select(by[0], F.concat_ws("/", by[0], *(f"{c}_l" for c in key), *key).alias("unit"), F.explode(ends).alias("x")).select(by[0], "unit", "x.*").distinct()
 
 
-def _grouped(members: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, grp, ...) of groups of two or more, with the group's docs and shingles."""
-    return members.join(members.groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).filter("docs > 1"), "grp")
+def _grouped(members: DataFrame, name: str, weight) -> DataFrame:
+    """The rows of groups of two or more, with the group's summed weight; written."""
+    sizes = written(members.groupBy("grp").agg(F.count("*").alias("n"), F.sum(weight).alias("weight")).filter("n > 1"), f"{name}_sizes")
+    rows = members.withColumnRenamed("n", "size")
+    return written(spread_join(rows, sizes, ["grp"]).select("grp", "doc_id", F.col("size").alias("n"), "weight"), name)
 
 
-def rough_groups(some: DataFrame) -> DataFrame:
-    """Distinct (grp, doc_id): the holders of each prefix shingle that has several; equal lists of holders are one group."""
-    same = Window.partitionBy("h")
-    held = some.select(F.explode("prefix").alias("h"), "doc_id", F.xxhash64("doc_id").alias("k1"), F.xxhash64("doc_id", F.lit(7)).alias("k2"))
-    held = held.select("doc_id", F.count("*").over(same).alias("n"), F.bit_xor("k1").over(same).alias("x1"), F.bit_xor("k2").over(same).alias("x2"))
-    return held.filter("n > 1").select(F.xxhash64("n", "x1", "x2").alias("grp"), "doc_id").distinct()
-
+def links_in_groups(members: DataFrame, link, weight, room: int) -> DataFrame:
+    """The links that `link` finds in the groups of members (grp, doc_id, n, and the group's weight).
 
-def close_groups(sketches: DataFrame, percent: int, node_docs: int = 4096) -> DataFrame:
-    """doc_id, n, grp, docs, shingles of representatives of equal sets that bitmaps allow to link with another."""
-    some = sketches.filter("n > 0 and doc_id is not null")
-    heads = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n")).alias("x")).select("d1", "d2", "x.*")
-    head_of = some.select("doc_id", "d1", "d2").join(heads.select("d1", "d2", F.col("doc_id").alias("head"), "n"), ["d1", "d2"])
-    pairs = rough_groups(some).join(head_of, "doc_id").select("grp", F.col("head").alias("doc_id"), "d1", "n").distinct()
-    members = written(_grouped(pairs), "rough")
-    bits = some.select("doc_id", "d1", "least", "bits")
-    signed_ = members.filter(F.col("docs") <= node_docs).join(bits, ["doc_id", "d1"])
-
-    small = signed_.select("doc_id", F.col("grp").cast("string").alias("unit"), F.lit(0).alias("side"), "n", "least", "bits")
-    nodes = _nodes(members.filter(F.col("docs") > node_docs), ["grp"], F.lit(1), node_docs)
-    pairs = _pair_units(nodes, ["grp"], F.struct("band_l", "block_l") <= F.struct("band", "block"))
-    large = nodes.join(pairs, ["grp", "band", "block"]).join(bits, ["doc_id", "d1"]).select("doc_id", "unit", "side", "n", "least", "bits")
-    close = components(_link_bitmaps(small.unionByName(large), percent))
-    return written(_grouped(heads.join(close, heads.doc_id == close.id).select("doc_id", "n", F.col("label").alias("grp"))), "close")
-
-
-def links(docs: DataFrame, sketches: DataFrame, percent: int = 80, size: int = 5, room: int = 1 << 18, node_docs: int = 4096) -> DataFrame:
-    """Enough links (a, b) between representatives of equal sets to span all components of links."""
-    members = close_groups(sketches, percent, node_docs)
-    texts = docs.filter("doc_id is not null and text is not null")
-    small = members.filter(F.col("shingles") <= room).select("doc_id", F.col("grp").cast("string").alias("unit"), F.lit(0).alias("side"))
-    large = _nodes(members.filter(F.col("shingles") > room), ["grp"], F.col("n"), room)
-    node = F.concat_ws("/", "grp", "band", "block")
-    alone = large.select("doc_id", node.alias("unit"), F.lit(0).alias("side"))
+    `link` takes units (unit, side, doc_id). A group of at most `room` is a unit. Larger ones are cut into nodes of
+    neighbouring sizes, in two rounds: each node by itself and with a few pivots; then, if the group isn't one
+    component yet, only the documents outside its largest component meet the other nodes.
+    """
+    unit = lambda *c: F.concat_ws("/", *c).alias("unit")
+    alone = F.lit(0).alias("side")
+    small = members.filter(F.col("weight") <= room).select("doc_id", unit("grp"), alone)
+    large = members.filter(F.col("weight") > room).drop("weight")
+    if large.isEmpty():
+        return written(link(written(small.distinct(), "units")), "links")
+    large = written(_nodes(large, ["grp"], weight, room), "nodes")
     # pivots: one document of each size class, which meets every node of its class and of the next ones
     pivots = large.groupBy("grp", "band").agg(F.min_by("doc_id", F.xxhash64("doc_id")).alias("pivot"))
     near = large.select("grp", "band", "block").distinct().select("grp", "band", "block", _neighbours(F.col("band")).alias("of"))
     near = near.join(pivots.select("grp", F.col("band").alias("of"), "pivot"), ["grp", "of"])
-    visiting = near.select(F.col("pivot").alias("doc_id"), node.alias("unit"), F.lit(0).alias("side"))
-    first = small.unionByName(alone).unionByName(visiting).distinct()
-    found = written(_link_texts(texts.join(_sent(written(first, "units")), "doc_id"), percent, size), "links")
-    if members.filter(F.col("shingles") > room).isEmpty():
-        return found
+    visiting = near.select(F.col("pivot").alias("doc_id"), unit("grp", "band", "block"), alone)
+    first = small.unionByName(large.select("doc_id", unit("grp", "band", "block"), alone)).unionByName(visiting).distinct()
+    found = written(link(written(first, "units")), "links")
 
     labels = components(found)
     state = large.select("doc_id", "n", "grp").join(labels, large.doc_id == labels.id, "left").select("doc_id", "n", "grp", F.coalesce("label", "doc_id").alias("label"))
@@ -400,31 +365,65 @@ def links(docs: DataFrame, sketches: DataFrame, percent: int = 80, size: int = 5
     state = written(state.join(biggest, "grp").withColumn("out", (F.col("label") != F.col("main")).cast("int")), "state")
     if state.isEmpty():
         return found
-    nodes = _nodes(state, ["grp", "out"], F.col("n"), room)
+    nodes = written(_nodes(state, ["grp", "out"], weight, room), "nodes")
     meets = (F.col("out_l") == 1) & ((F.col("out") == 0) | (F.struct("band_l", "block_l") <= F.struct("band", "block")))
     second = nodes.join(_pair_units(nodes, ["grp", "out"], meets), ["grp", "out", "band", "block"]).select("doc_id", "unit", "side")
-    return found.unionByName(written(_link_texts(texts.join(_sent(written(second, "units")), "doc_id"), percent, size), "links"))
+    return found.unionByName(written(link(written(second, "units")), "links"))
+
+
+def rough_groups(some: DataFrame) -> DataFrame:
+    """Distinct (grp, doc_id): the holders of each prefix shingle that has several; equal lists of holders are one group.
+
+    The holders of a shingle are counted where they meet; those of hot shingles are counted in every task first.
+    """
+    same = Window.partitionBy("h")
+    k = [F.xxhash64("doc_id").alias("k1"), F.xxhash64("doc_id", F.lit(7)).alias("k2")]
+    grp = F.xxhash64("n", "x1", "x2").alias("grp")
+    held = some.select(F.explode("prefix").alias("h"), "doc_id", *k)
+    held = held.select("doc_id", F.count("*").over(same).alias("n"), F.bit_xor("k1").over(same).alias("x1"), F.bit_xor("k2").over(same).alias("x2"))
+    out = held.filter("n > 1").select(grp, "doc_id")
+    hot = some.filter("size(hot) > 0").select(F.explode("hot").alias("h"), "doc_id", *k)
+    counted = written(hot.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor("k1").alias("x1"), F.bit_xor("k2").alias("x2")).filter("n > 1"), "hot")
+    return out.unionByName(spread_join(hot, counted, ["h"]).select(grp, "doc_id")).distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, room: int = 1 << 18, node_docs: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = written(sketch(docs, percent, size, frequent_shingles(docs, size)), "sketch")
-    found = links(docs, sketches, percent, size, room, node_docs)
-    some = sketches.filter("n > 0 and doc_id is not null").select("doc_id", "d1", "d2")
-    equal = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("head"))
-    own = some.join(equal, ["d1", "d2"]).select("doc_id", "head").filter("doc_id <> head")
-    # equal sets are links too; a doc_id with several rows ties their sets together
-    labels = components(found.unionByName(own.select(F.col("doc_id").alias("a"), F.col("head").alias("b"))))
+    sketches = written(sketch(docs, percent, size, *frequent_shingles(docs, size)), "sketch")
+    some = sketches.filter("n > 0 and doc_id is not null")
+    ids = some.select("doc_id", "d1", "d2")
+    heads = ids.groupBy("d1", "d2").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
+    heads = written(heads, "heads")
+
+    members = rough_groups(some).join(ids, "doc_id").select("grp", "d1", "d2").distinct().join(heads.select("d1", "d2", F.col("head").alias("doc_id")), ["d1", "d2"])
+    bits = some.select("doc_id", "d1", "d2", "n", "least", "bits").join(heads.select(F.col("head").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"])
+    bits = written(bits.drop("d2"), "bits")
+    members = members.join(bits.select("doc_id", "d1", "n"), ["doc_id", "d1"]).select("grp", "doc_id", "n").distinct()
+    rough = _grouped(members, "rough", F.lit(1))
+    close = components(links_in_groups(rough, lambda units: _link_bitmaps(units.join(bits, "doc_id"), percent), F.lit(1), node_docs))
+    close = bits.select("doc_id", "n").join(close, bits.doc_id == close.id).select(F.col("label").alias("grp"), "doc_id", "n").distinct()
+    texts = docs.filter("doc_id is not null and text is not null")
+    found = links_in_groups(_grouped(close, "close", F.col("n")), lambda units: _link_texts(texts.join(sent(units), "doc_id"), percent, size), F.col("n"), room)
+
+    # a doc_id with several rows ties their sets together
+    twice = written(ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    if not twice.isEmpty():
+        own = written(spread_join(spread_join(ids, twice, ["doc_id"]).drop("n"), heads, ["d1", "d2"]).select("doc_id", "head"), "own")
+        least = written(own.groupBy("doc_id").agg(F.min("head").alias("least"), F.count("*").alias("n")), "least")
+        found = found.unionByName(spread_join(own, least, ["doc_id"]).select(F.col("head").alias("a"), F.col("least").alias("b")))
+    labels = components(found)
+    named = written(heads.join(labels, heads["head"] == labels["id"], "left").select("d1", "d2", "n", F.coalesce("label", "head").alias("label")), "named")
+    label = spread_join(ids, named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("label").alias("label"))
     out = sketches.select("doc_id", F.col("n").alias("n_shingles"))
-    return out.join(labels, out.doc_id == labels.id, "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    return out.join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The documents, columns unchanged, of which each component keeps the one with the smallest id."""
     gone = written(jaccard_components(docs, percent, size).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(_sent(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(sent(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Vectorised text primitives that run inside Arrow tasks.
 
 A task gets Arrow batches; `text_slices` cuts a batch into runs of rows of bounded bytes, and the
-functions below work on the bytes of such a run at once: word bounds, 64-bit word hashes and rolling
-hashes of word windows. All hashes are polynomials modulo 2**64 over random odd bases, taken as
-differences of prefix sums, so a window of any length costs the same.
+functions below work on the bytes of such a run at once: word bounds, 64-bit word hashes and hashes of
+word windows. A window's hash is built from those of its halves, doubling the length with a mixing step
+each time, so all windows of a length cost its logarithm; equal words give equal hashes in any task.
 """
 
 import numpy as np
@@ -90,39 +90,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order; no sum or product of the parts survives it, so like halves can't cancel out."""
+    t = (a ^ (a >> U64(31))) * U64(0x9FB21C651E98DF25) + (b ^ (b >> U64(29))) * U64(0xD6E8FEB86659FD93)
+    return t ^ (t >> U64(32))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
-        def run(b):
-            x = np.full(size, b, U64)
-            x[0] = 1
-            return np.multiply.accumulate(x)
-
-        kept = run(base), run(pow(base, -1, 1 << 64))
-        if size > 16 * SLICE_BYTES:  # one huge text: not kept
-            return kept
-        _powers[base] = kept
-    return _powers[base]
 
+def span_hasher(data: np.ndarray, seed: int = 0):
+    """A function of (starts, ends) that gives 64-bit hashes of data[start:end].
 
-def _base(seed: int) -> tuple[int, np.ndarray]:
-    rng = np.random.default_rng(1000 + seed)
-    return int(rng.integers(1 << 62, dtype=np.int64)) * 8 + 5 & (1 << 64) - 1, rng.integers(0, 1 << 64, 256, dtype=U64)
+    Eight bytes at a time are mixed with their block's number before they are added up.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    own = U64((seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
+    def of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        h = mix(eight[starts] & _LOW_BYTES[np.minimum(size, 8)] ^ own)
+        if len(long := np.flatnonzero(size > 8)):
+            blocks = (size[long] - 1) // 8
+            first = np.cumsum(blocks) - blocks
+            number = np.arange(blocks.sum()) - np.repeat(first, blocks) + 1
+            at = np.repeat(starts[long], blocks) + 8 * number
+            left = np.minimum(np.repeat(ends[long], blocks) - at, 8)
+            h[long] += np.add.reduceat(mix((eight[at] & _LOW_BYTES[left]) ^ (own + number.astype(U64) * U64(0xC2B2AE3D27D4EB4F))), first)
+        return mix(h + size.astype(U64) * U64(0x9E3779B97F4A7C15))
 
-def span_hasher(data: np.ndarray, seed: int = 0):
-    """A function of (starts, ends) that gives 64-bit hashes of data[start:end]."""
-    base, table = _base(seed)
-    n = len(data)
-    up, down = powers(base, n + 1)
-    h = np.zeros(n + 1, U64)
-    np.cumsum(table[data] * up[:n], out=h[1:])
-    return lambda starts, ends: mix((h[ends] - h[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
+    return of
 
 
 def word_hashes(w: Words, seed: int = 0) -> np.ndarray:
@@ -130,22 +128,32 @@ def word_hashes(w: Words, seed: int = 0) -> np.ndarray:
     return span_hasher(w.data, seed)(w.starts, w.ends)
 
 
+def _of_length(size, seed: int):
+    return mix(np.atleast_1d(np.asarray(size)).astype(U64) + U64((seed + 1) << 40))
+
+
 def window_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each pair of bounds."""
-    base, _ = _base(seed + 500)
-    n = len(values)
-    up, down = powers(base, n + 1)
-    c = np.zeros(n + 1, U64)
-    np.cumsum(values * up[:n], out=c[1:])
-    return mix((c[ends] - c[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
+    """A 64-bit hash of values[start:end] for each pair of bounds: of the two halves that cover it, each of a power of two."""
+    size, out = ends - starts, np.zeros(len(starts), U64)
+    most, width, h = int(size.max(initial=0)), 1, values
+    while width <= most:
+        m = np.flatnonzero((size >= width) & (size < 2 * width))
+        out[m] = combine(h[starts[m]], h[ends[m] - width])
+        width *= 2
+        if width <= most:
+            h = combine(h[: len(h) - width // 2], h[width // 2 :])
+    return out ^ _of_length(size, seed)
 
 
 def gram_hashes(values: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """A hash of every k consecutive values (across texts too: mask with `inside`)."""
-    if len(values) < k:
+    n, width, h = len(values) - k + 1, 1, values
+    if n <= 0:
         return np.zeros(0, U64)
-    at = np.arange(len(values) - k + 1)
-    return window_sums(values, at, at + k, seed)
+    while 2 * width <= k:
+        h = combine(h[: len(h) - width], h[width:])
+        width *= 2
+    return combine(h[:n], h[k - width : k - width + n]) ^ _of_length(k, seed)
 
 
 def inside(rows: np.ndarray, k: int) -> np.ndarray:

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from mediagrain.llm import components
 from mediagrain.llm import shingle_join as j
 from mediagrain.llm.textkit import column_bytes
 
@@ -87,11 +88,17 @@ def test_odd_texts(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == 9
 
 
+def trees(sets):
+    sizes = np.array([len(s) for s in sets])
+    bits = j.bitmap_size(int(sizes.max()))
+    return j.SignatureTrees(np.zeros(len(sets), int), np.stack([j.bitmap(s, bits) for s in sets]), sizes, np.array([s[0] for s in sets]))
+
+
 def test_tree_finds_every_link():
     docs = near_copies(9, groups=3, each=60)
     data, off = column_bytes(pa.array([t for _, t in docs]))
     sets = j.shingle_sets(data, off, 5)
-    found = {(min(a, b), max(a, b)) for i, k in j.tree_of(sets).pairs(80) for a, b in zip(i.tolist(), k.tolist())}
+    found = {(min(a, b), max(a, b)) for i, k in trees(sets).pairs(80) for a, b in zip(i.tolist(), k.tolist())}
     plain = [shingles(t) for _, t in docs]
     for a in range(len(docs)):
         for b in range(a + 1, len(docs)):
@@ -99,22 +106,35 @@ def test_tree_finds_every_link():
             if 100 * both >= 80 * (len(plain[a]) + len(plain[b]) - both):
                 assert (a, b) in found
     assert len(found) < len(docs) ** 2 / 4
-    bits = [j.bitmap(s, j.bitmap_size(len(s))).tobytes() for s in sets]
-    sizes, least = np.array([len(s) for s in sets]), np.array([s[0] for s in sets])
+    unit, sides = np.zeros(len(sets), int), np.zeros(len(sets), int)
+    rows = [(j.bitmap(s, j.bitmap_size(len(s))).tobytes(), len(s), int(s[:1].view(np.int64)[0])) for s in sets]
+    want = list(brute(docs).values())
     close = j.Forest(len(sets))
-    for a, b in j.may_link(bits, sizes, least, np.zeros(len(sets), int), 80):
+    for a, b in j.may_link(unit, rows, sides, 80):
         close.join(a, b)
-    assert all(close.find(a) == close.find(w) for a, w in enumerate(brute(docs).values()))
-    for a in range(0, len(sets) - 4, 3):
-        part = range(a, a + 4)
-        few = j.may_link([bits[x] for x in part], sizes[a : a + 4], least[a : a + 4], np.zeros(4, int), 80)
-        few = {frozenset((x + a, y + a)) for x, y in few}
-        assert all(close.find(min(e)) == close.find(max(e)) for e in few)
-    spanned = j.linked(sets, np.zeros(len(sets), int), 80)
+    assert all(close.find(a) == close.find(w) for a, w in enumerate(want))
     forest = j.Forest(len(sets))
-    assert all(forest.join(a, b) for a, b in spanned)
-    want = brute(docs)
-    assert [forest.find(a) for a in range(len(sets))] == [want[a] for a in range(len(sets))]
+    assert all(forest.join(a, b) for a, b in j.linked(unit, sets, sides, 80))
+    assert [forest.find(a) for a in range(len(sets))] == want
+
+
+def test_many_units_and_sides_at_once():
+    """Small units (two documents and more) go through trees like large ones, and never meet one another."""
+    docs = near_copies(3, groups=4, each=30)
+    data, off = column_bytes(pa.array([t for _, t in docs]))
+    sets = j.shingle_sets(data, off, 5)
+    rng = np.random.default_rng(1)
+    unit = np.sort(rng.integers(0, 40, len(sets)))
+    for sides in (np.zeros(len(sets), int), rng.integers(0, 3, len(sets))):
+        near = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+        plain, forest = j.Forest(len(sets)), j.Forest(len(sets))
+        for a in range(len(sets)):
+            for b in range(a):
+                if unit[a] == unit[b] and (sides[a] == 0 or sides[a] != sides[b]) and near(a, b):
+                    plain.join(a, b)
+        found = j.linked(unit, sets, sides, 80)
+        assert all(unit[a] == unit[b] and near(a, b) for a, b in found) and all(forest.join(a, b) for a, b in found)
+        assert [forest.find(a) for a in range(len(sets))] == [plain.find(a) for a in range(len(sets))]
 
 
 def test_folded_bitmaps_bound_the_overlap():
@@ -123,13 +143,39 @@ def test_folded_bitmaps_bound_the_overlap():
         a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
         for m in (int(n * 0.81), int(n * 1.24)):
             b = a[:m] if m < n else np.union1d(a, rng.integers(0, 1 << 62, m - n, dtype=np.uint64))
-            bits = [j.bitmap(s, j.bitmap_size(len(s))).tobytes() for s in (a, b)]
-            for copies in (1, 4):  # the plain and the tree way
-                own = bits * copies
-                found = j.may_link(own, np.array([len(a), len(b)] * copies), np.array([a[0], b[0]] * copies), np.zeros(2 * copies, int), 80)
+            rows = [(j.bitmap(s, j.bitmap_size(len(s))).tobytes(), len(s), int(s[:1].view(np.int64)[0])) for s in (a, b)]
+            for copies in (1, 4):
+                found = j.may_link(np.zeros(2 * copies, int), rows * copies, np.zeros(2 * copies, int), 80)
                 assert len(found) >= 2 * copies - 1
 
 
+def test_words_that_cancel_out_in_polynomials(spark):
+    """Two long words that no polynomial hash modulo a power of two tells apart make different shingles."""
+    x, y = ["a"], ["b"]
+    for _ in range(11):
+        x, y = x + y, y + x
+    docs = [(i, " ".join([*(f"w{k}" for k in range(4)), "".join(w)])) for i, w in enumerate((x, y, x))]
+    check(j.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
+
+
+def test_repeated_ids_tie_sets_and_clashing_columns(spark):
+    base = [[f"{g}w{k}" for k in range(30)] for g in "abc"]
+    docs = [(5, " ".join(base[0])), (5, " ".join(base[1])), (9, " ".join(base[0])), (7, " ".join(base[1])), (3, " ".join(base[1] + ["x"])), (8, " ".join(base[2])), (8, " ".join(base[2])), (5, "")]
+    df = spark.createDataFrame([(i, t, 1, 2, "x", 3) for i, t in docs], "doc_id long, text string, n long, head long, grp string, label int")
+    got = j.jaccard_components(df).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (5, 3), (7, 3), (8, 8), (8, 8), (9, 3)]
+    kept = j.keep_one(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {3, 8}
+
+
+def test_hot_shingles_are_counted_apart(spark, monkeypatch):
+    docs = near_copies(6, groups=2, each=40)
+    whole = j.frequent_shingles
+    monkeypatch.setattr(j, "frequent_shingles", lambda d, size: whole(d, size, hot=5))
+    monkeypatch.setattr(j, "spread_join", lambda rows, by, keys: components.spread_join(rows, by, keys, most=4, floor=3))
+    check(j.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect(), docs)
+
+
 def test_prefixes_meet():
     rng = np.random.default_rng(2)
     for _ in range(300):
