@@ -118,7 +118,7 @@ def strip_control_chars(c: Column) -> Column:
 
 
 def name_case(c: Column) -> Column:
-    words = F.transform(F.split(squeeze(c), " "), lambda w, i: F.when((i > 0) & F.lower(w).isin(*PARTICLES), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))))
+    words = F.transform(F.split(squeeze(c), " "), lambda w, i: F.when((i > 0) & F.lower(w).isin(*PARTICLES), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))))
     return F.array_join(words, " ")
 
 

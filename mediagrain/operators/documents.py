@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 THEMES = {"money": ("money", "cash", "rich", "argent"), "success": ("success", "win", "top", "best"), "struggle": ("fight", "hard", "pain", "dur"), "street": ("street", "block", "rue"), "family": ("mother", "brother", "famille"), "love": ("love", "heart", "amour"), "drugs": ("smoke", "high", "joint"), "violence": ("gun", "war", "blood", "sang")}
 EXPLICIT = ("shit", "fuck", "bitch", "ass", "damn", "hell", "merde", "putain", "connard", "salope", "bordel")
 STOPS = ("le", "de", "et", "un", "en", "que", "pour", "dans", "ce", "une", "sur", "avec", "par", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from")
-# Roles by ordered keyword, and role to category.
-ROLE_WORDS = (("co-prod", "co_producer"), ("prod", "producer"), ("mix", "mixing_engineer"), ("master", "mastering_engineer"), ("feat", "featuring"), ("writ", "songwriter"), ("compos", "composer"), ("guitar", "guitarist"))
-CATEGORIES = {"producer": "production", "co_producer": "production", "mixing_engineer": "technical", "mastering_engineer": "technical", "featuring": "vocals", "songwriter": "songwriting", "composer": "songwriting", "guitarist": "musician"}
 
 
 def clean_lyrics(c: Column) -> Column:
@@ -75,21 +72,6 @@ def vocabulary(df: DataFrame, key: str, text: str, k: int = 10) -> DataFrame:
     return counts.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def parse_credits(df: DataFrame, key: str, text: str, sep: str = r"[;|\n]") -> DataFrame:
-    """`role: a, b; …` -> a row for each credit: role, names, category, confidence."""
-    raw = df.select(key, F.posexplode(F.split(text, sep)).alias("pos", "raw")).filter(F.length(F.trim("raw")) > 2)
-    role = F.lower(F.trim(F.split_part("raw", F.lit(":"), F.lit(1))))
-    names = F.when(F.contains("raw", F.lit(":")), F.regexp_extract("raw", r"^[^:]*:(.*)$", 1)).otherwise(F.col("raw"))
-    known = F.lit(None).cast("string")
-    for part, value in reversed(ROLE_WORDS):
-        known = F.when(role.contains(part), value).otherwise(known)
-    names = F.filter(F.transform(F.split(names, r"\s*(?:,|&|\band\b|\bet\b)\s*"), lambda n: F.trim(n)), lambda n: F.length(n).between(2, 50) & n.rlike(r"\p{L}"))
-    out = raw.select(key, "pos", known.alias("role"), names.alias("names"), F.contains("raw", F.lit(":")).alias("labelled"))
-    category = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in CATEGORIES.items() for x in kv)), F.col("role")), F.lit("other"))
-    confidence = F.least(F.lit(1.0), 0.5 + F.when(F.col("role").isNotNull(), 0.2).otherwise(0.0) + F.when(F.size("names") > 0, 0.2).otherwise(0.0) + F.when(F.col("labelled"), 0.1).otherwise(0.0))
-    return out.withColumns({"category": category, "confidence": F.round(confidence, 4)}).drop("labelled")
-
-
 def page_details(pages: DataFrame) -> DataFrame:
     """Title, heading, language and charset of each page."""
     first = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
@@ -139,16 +121,6 @@ def band_energy(df: DataFrame, key: str, vector: str, bands: list[tuple[str, int
     return long.join(F.broadcast(table), (F.col("bin") >= F.col("low")) & (F.col("bin") < F.col("high"))).groupBy(key, "band").agg(F.round(F.avg(F.abs("x")), 5).alias("energy"))
 
 
-def repetition(df: DataFrame, group: str, key: str, vector: str, window: int = 20, least: float = 0.2) -> DataFrame:
-    """Share of near frames (each with the `window` frames after it) whose normalised dot product exceeds `least`; linear in frames."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    w = Window.partitionBy(group).orderBy(key).rowsBetween(1, window)
-    df = df.select(group, key, F.transform(vector, lambda x: x / norm).alias("u"))
-    df = df.withColumn("next", F.collect_list("u").over(w))
-    dot = lambda v: F.aggregate(F.zip_with("u", v, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return df.groupBy(group).agg(F.sum(F.size(F.filter("next", lambda v: dot(v) > least))).alias("alike"), F.sum(F.size("next")).alias("pairs")).withColumn("density", F.round(F.col("alike") / F.col("pairs"), 6))
-
-
 def repetition_of_all(df: DataFrame, group: str, key: str, vector: str, least: float = 0.8, block: int = 512) -> DataFrame:
     """Share of all frame pairs of a group whose normalised dot product exceeds `least`.
 

@@ -1,11 +1,11 @@
 """Duplicate detection and record linkage over blocked candidate pairs, merging, and release grouping.
 
-Pairs are never a cross join: candidates share a blocking key (an equi-join, whose skew adaptive execution
-splits), are ordered by id, and are judged by column expressions. What the keys don't bring together is
-not compared; each operator names its keys.
+Pairs are never a cross join: candidates share a key that their rule asks for (an artist, an external id), or
+one of the rare q-grams that no pair above the rule's ratio can do without (`near_pairs`), are ordered by id, and
+are judged by column expressions.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediagrain.functions import text as T
@@ -19,24 +19,28 @@ def candidate_pairs(df: DataFrame, key: list[str], id_: str, *columns: str) -> D
     return one.join(two, key).filter("id1 < id2")
 
 
-def near_pairs(df: DataFrame, key: list[str], id_: str, name: str, ratio: float) -> DataFrame:
+def near_pairs(df: DataFrame, key: list[str], id_: str, name: str, ratio: float, common: int = 4096) -> DataFrame:
     """Distinct candidates (id1 < id2, name1, name2) inside `key` (may be empty) that miss no pair of names whose edit-distance ratio is `ratio` or more.
 
-    Of k + 1 segments of the longer name at most k are changed by k edits, and the unchanged one is in the
-    shorter name, shifted by at most k places: both sides are exploded to such pieces and joined on them.
+    k edits change at most q * k of a name's q-grams, so two names within k edits share one of the first q * k + 1
+    q-grams of each in any common order. The order puts the `common` most frequent q-grams last (a bounded table), so
+    a piece that most names share brings nobody together. A name's k is that of the longest name it may match.
     """
-    k = lambda m: F.floor((1 - ratio + 1e-6) * m + 1e-9).cast("int")
-    start = lambda i: F.floor(i * F.col("m") / (k(F.col("m")) + 1)).cast("int")
-    named = df.select(*key, F.col(id_).alias("id"), F.col(name).alias("name")).filter("name is not null").withColumn("n", F.length("name"))
-    cut = lambda d: d.withColumn("i", F.explode(F.sequence(F.lit(0), k(F.col("m"))))).withColumns({"at": start(F.col("i")), "size": start(F.col("i") + 1) - start(F.col("i"))})
-    long = cut(named.withColumn("m", F.col("n"))).select(*key, "m", "i", F.expr("substring(name, at + 1, size)").alias("piece"), F.col("id").alias("id_l"), F.col("name").alias("name_l"))
-    short = cut(named.withColumn("m", F.explode(F.sequence("n", F.floor(F.col("n") / (ratio - 1e-6)).cast("int")))))
-    low, high = F.greatest(F.col("at") - k(F.col("m")), F.lit(0)), F.least(F.col("at") + k(F.col("m")), F.col("n") - F.col("size"))
-    short = short.withColumn("at", F.explode(F.when(high >= low, F.sequence(low, high)))).select(*key, "m", "i", F.expr("substring(name, at + 1, size)").alias("piece"), F.col("id").alias("id_s"), F.col("name").alias("name_s")).distinct()
-    met = long.join(short, [*key, "m", "i", "piece"]).filter("id_l <> id_s")
-    first = F.col("id_l") < F.col("id_s")
-    pick = lambda c, yes, no: F.when(first, F.col(f"{c}_{yes}")).otherwise(F.col(f"{c}_{no}"))
-    return met.select(pick("id", "l", "s").alias("id1"), pick("id", "s", "l").alias("id2"), pick("name", "l", "s").alias("name1"), pick("name", "s", "l").alias("name2")).distinct()
+    if not 0.7 <= ratio <= 1:
+        raise ValueError("ratio must be from 0.7 to 1")
+    q = 3 if ratio >= 0.85 else 2
+    named = df.select(*key, F.col(id_).alias("id"), F.col(name).alias("name")).filter(F.col(name).isNotNull()).withColumn("n", F.length("name"))
+    k = F.floor((1 - ratio + 1e-6) * F.floor(F.col("n") / (ratio - 1e-6)) + 1e-9).cast("int")
+    places = F.when(F.col("n") >= q, F.sequence(F.lit(1), F.col("n") - q + 1)).otherwise(F.array(F.lit(1)))
+    grams = named.withColumn("gram", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("name", i, F.lit(q))))))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often")).orderBy(F.desc("often"), "gram").limit(common)
+    ranked = grams.join(F.broadcast(often), "gram", "left")
+    rank = F.row_number().over(Window.partitionBy(*key, "id", "name").orderBy(F.col("often").asc_nulls_first(), F.xxhash64("gram"), "gram"))
+    first = ranked.withColumn("rank", rank).filter(F.col("rank") <= q * k + 1).select(*key, "gram", "id", "name", "n")
+    one = first.select(*key, "gram", F.col("id").alias("id1"), F.col("name").alias("name1"), F.col("n").alias("n1"))
+    two = first.select(*key, "gram", F.col("id").alias("id2"), F.col("name").alias("name2"), F.col("n").alias("n2"))
+    met = one.join(two, [*key, "gram"]).filter((F.col("id1") < F.col("id2")) & (F.least("n1", "n2") >= (ratio - 1e-6) * F.greatest("n1", "n2")))
+    return met.select("id1", "id2", "name1", "name2").distinct()
 
 
 def base_title(c: Column) -> Column:
@@ -49,37 +53,58 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 0.95, "certain").when(score >= 0.85, "high").when(score >= 0.70, "medium").when(score >= 0.50, "low").otherwise("none")
 
 
-def track_duplicates(tracks: DataFrame, threshold: float = 0.9, whole: bool = False) -> DataFrame:
-    """Pairs inside an artist whose base titles start alike: exact, remix, featuring or similar. Keys: artist, first four letters; artist alone if `whole`."""
-    keyed = tracks.withColumns({"n": T.normalize_text(F.col("title")), "b": base_title(F.col("title")), "f": T.featured_text(F.col("title"))}).withColumn("block", F.substring("b", 1, 4))
-    if whole:
-        keyed = keyed.withColumn("row", F.struct("id", "n", "f"))
-        equal = candidate_pairs(keyed, ["artist_id", "n"], "row", "b").select("id1", "id2", "b1", "b2")
-        pairs = near_pairs(keyed, ["artist_id"], "row", "b", threshold).union(equal).distinct()
-        pairs = pairs.select("id1.id", "id2.id", "id1.n", "id2.n", "name1", "name2", "id1.f", "id2.f").toDF("id1", "id2", "n1", "n2", "b1", "b2", "f1", "f2")
-    else:
-        pairs = candidate_pairs(keyed, ["artist_id", "block"], "id", "n", "b", "f")
+def track_duplicates(tracks: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """All pairs of an artist's tracks that are exact, remix, featuring or similar."""
+    keyed = tracks.withColumns({"n": T.normalize_text(F.col("title")), "b": base_title(F.col("title")), "f": T.featured_text(F.col("title"))}).withColumn("row", F.struct("id", "n", "f"))
+    equal = candidate_pairs(keyed, ["artist_id", "n"], "row", "b").select("id1", "id2", "b1", "b2")
+    same = candidate_pairs(keyed, ["artist_id", "b"], "row").select("id1", "id2", F.col("b").alias("b1"), F.col("b").alias("b2"))
+    pairs = near_pairs(keyed, ["artist_id"], "row", "b", threshold).toDF("id1", "id2", "b1", "b2").unionByName(equal).unionByName(same).distinct()
+    pairs = pairs.select("id1.id", "id2.id", "id1.n", "id2.n", "b1", "b2", "id1.f", "id2.f").toDF("id1", "id2", "n1", "n2", "b1", "b2", "f1", "f2")
     ratio = 1 - F.levenshtein("b1", "b2") / F.greatest(F.length("b1"), F.length("b2"), F.lit(1))
     kind = F.when(F.col("n1") == F.col("n2"), "exact").when((F.col("b1") == F.col("b2")) & (F.col("f1") != F.col("f2")), "featuring").when(F.col("b1") == F.col("b2"), "remix").when(ratio >= threshold, "similar")
     score = F.when(F.col("n1") == F.col("n2"), 1.0).when(F.col("b1") == F.col("b2"), 0.9).otherwise(ratio)
     return pairs.select("id1", "id2", kind.alias("kind"), F.round(score, 6).alias("score")).filter("kind is not null").withColumn("confidence", confidence(F.col("score")))
 
 
-def credit_duplicates(credits: DataFrame) -> DataFrame:
-    """Credits repeated inside a track: (track, type, folded name) with their number. A group, not its pairs."""
-    return credits.groupBy("track_id", "credit_type", T.normalize_text(F.col("person_name")).alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
+def merge_statistics(pairs: DataFrame) -> DataFrame:
+    """A dry run of the merges: pairs to merge by kind (certain, or high but no remix), the rows they touch, and those kept apart."""
+    wanted = F.expr("confidence = 'certain' or (confidence = 'high' and kind <> 'remix')")
+    return pairs.groupBy("kind").agg(F.count_if(wanted).alias("merged"), F.count_if(~wanted).alias("kept_apart"), F.count_distinct(F.when(wanted, F.col("id2"))).alias("rows_gone"))
 
 
-def artist_duplicates(artists: DataFrame, external: str, threshold: float = 0.9, whole: bool = False) -> DataFrame:
-    """Pairs with like names (key: country and genre; none if `whole`) or the same external id, which makes a pair certain."""
-    named = artists.withColumn("n", T.normalize_text(F.col("name")))
-    like = near_pairs(named, [], "id", "n", threshold).toDF("id1", "id2", "n1", "n2") if whole else candidate_pairs(named, ["country", "genre"], "id", "n")
+def credit_duplicates(credits: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Groups of a track's credits of one type whose folded names are equal or alike to the threshold: the least name, names, credits."""
+    folded = credits.withColumn("name", T.normalize_text(F.col("person_name"))).groupBy("track_id", "credit_type", "name").agg(F.count("*").alias("n"))
+    near = near_pairs(folded.withColumn("row", F.struct("track_id", "credit_type", "name")), ["track_id", "credit_type"], "row", "name", threshold)
+    near = near.filter(1 - F.levenshtein("name1", "name2") / F.greatest(F.length("name1"), F.length("name2"), F.lit(1)) >= threshold)
+    named = folded.withColumn("id", F.xxhash64("track_id", "credit_type", "name"))
+    of = lambda c: F.xxhash64(f"{c}.track_id", f"{c}.credit_type", f"{c}.name")
+    labels = components(near.select(of("id1").alias("a"), of("id2").alias("b")))
+    grouped = named.join(labels, "id", "left").withColumn("grp", F.coalesce("label", "id"))
+    out = grouped.groupBy("track_id", "credit_type", "grp").agg(F.min("name").alias("name"), F.count("*").alias("names"), F.sum("n").alias("n"))
+    return out.filter("n > 1").drop("grp")
+
+
+def artist_duplicates(artists: DataFrame, external: str, threshold: float = 0.9) -> DataFrame:
+    """All pairs with like names or the same external id, which makes a pair certain."""
+    like = near_pairs(artists.withColumn("n", T.normalize_text(F.col("name"))), [], "id", "n", threshold).toDF("id1", "id2", "n1", "n2")
     ratio = F.round(1 - F.levenshtein("n1", "n2") / F.greatest(F.length("n1"), F.length("n2"), F.lit(1)), 6)
     like = like.withColumn("score", ratio).filter(F.col("score") >= threshold).select("id1", "id2", "score")
-    same = candidate_pairs(named.filter(F.col(external).isNotNull()), [external], "id").select("id1", "id2", F.lit(1.0).alias("score"))
+    same = candidate_pairs(artists.filter(F.col(external).isNotNull()), [external], "id").select("id1", "id2", F.lit(1.0).alias("score"))
     return like.unionByName(same).groupBy("id1", "id2").agg(F.max("score").alias("score"))
 
 
+def source_priority(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(id, kept): rows (id, artist_id, title, rank) of an artist with like titles are one; of these the row of the best source, then the smallest id, is kept."""
+    keyed = rows.select("id", "artist_id", "rank", T.normalize_text(F.col("title")).alias("t"))
+    names = keyed.groupBy("artist_id", "t").agg(F.min("id").alias("head"))
+    near = near_pairs(names, ["artist_id"], "head", "t", threshold).filter(1 - F.levenshtein("name1", "name2") / F.greatest(F.length("name1"), F.length("name2"), F.lit(1)) >= threshold)
+    labels = merge_components(near).withColumnRenamed("id", "head")
+    grouped = keyed.join(names, ["artist_id", "t"]).join(labels, "head", "left").select("id", "rank", F.coalesce("label", "head").alias("grp"))
+    best = grouped.groupBy("grp").agg(F.min_by("id", F.struct("rank", "id")).alias("kept"))
+    return grouped.join(best, "grp").select("id", "kept")
+
+
 def merge_components(pairs: DataFrame, survivors: str = "label") -> DataFrame:
     """(id, survivor): every id of the pairs with the smallest id of its component."""
     return components(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"))).withColumnRenamed("label", survivors)

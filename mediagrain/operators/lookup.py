@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediagrain.operators.components import shared_folder
+
 
 def get_by_id(df: DataFrame, value, column: str = "id") -> DataFrame:
     return df.filter(F.col(column) == value)
@@ -93,12 +95,23 @@ def keys_matching(df: DataFrame, glob: str, column: str = "key") -> DataFrame:
 
 
 def evict_oldest(df: DataFrame, fraction: float, at: str, key: str) -> DataFrame:
-    """Without the oldest int(n * fraction) rows. The cut is found by a distributed sort: only per-partition counts reach the driver."""
-    n = int(df.count() * fraction)
-    if not n:
+    """Without the oldest int(n * fraction) rows by (at, key).
+
+    The keys are dealt into ranges and kept in the shared folder; only a count for each range reaches the driver,
+    and the cut is looked up in the one range that holds it.
+    """
+    shared_folder(df.sparkSession)
+    ranged = df.select(at, key).repartitionByRange(at, key).withColumn("_range", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()
+    left = int(sum(r.n for r in counts) * fraction)
+    if not left:
         return df
-    ranked = df.select(at, key).orderBy(at, key).limit(n).agg(F.max(F.struct(at, key)).alias("last"))
-    return df.join(F.broadcast(ranked), F.struct(F.col(at), F.col(key)) > F.col("last")).drop("last")
+    for r in counts:
+        if left <= r.n:
+            break
+        left -= r.n
+    last = ranged.filter(F.col("_range") == r._range).orderBy(at, key).limit(left).agg(F.max(F.struct(at, key)).alias("last"))
+    return df.join(F.broadcast(last), F.struct(F.col(at), F.col(key)) > F.col("last")).drop("last")
 
 
 def sample_rows(df: DataFrame, n: int, key: str) -> DataFrame:
@@ -144,6 +157,21 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def invalidate(entries: DataFrame, events: DataFrame, rules: DataFrame) -> DataFrame:
-    """Entries whose key fits no pattern that an event triggers. rules (event, pattern; `{id}` stands for the event's id) are few."""
-    fired = events.join(F.broadcast(rules), "event").select(F.replace(F.replace("pattern", F.lit("*"), F.lit("%")), F.lit("{id}"), F.col("id").cast("string")).alias("pattern")).distinct()
-    return entries.join(F.broadcast(fired), F.expr("key LIKE pattern"), "left_anti")
+    """Entries whose key fits no pattern that an event triggers.
+
+    `rules` (event, pattern: `*` and `?` are wildcards, `{id}` stands for the event's id) are few; the patterns that
+    events make of them may be many. Patterns without wildcards drop keys by an equi-join, the others meet the keys
+    that share what stands before the first wildcard; only patterns that begin with a wildcard are tried on every key.
+    """
+    fired = events.join(F.broadcast(rules), "event").select(F.replace("pattern", F.lit("{id}"), F.col("id").cast("string")).alias("pattern")).distinct()
+    wild = F.col("pattern").rlike("[*?]")
+    out = entries.join(fired.filter(~wild), F.col("key") == F.col("pattern"), "left_anti")
+    like = F.replace(F.replace(F.replace("pattern", F.lit("_"), F.lit("\\_")), F.lit("*"), F.lit("%")), F.lit("?"), F.lit("_"))
+    loose = fired.filter(wild).select(F.regexp_extract("pattern", "^[^*?]*", 0).alias("stem"), like.alias("pattern"))
+    lengths = sorted(r.n for r in loose.select(F.length("stem").alias("n")).distinct().collect())
+    if stems := [n for n in lengths if n]:
+        keys = out.select("key").distinct().select("key", F.explode(F.array(*(F.substring("key", 1, n) for n in stems))).alias("stem")).distinct()
+        out = out.join(keys.join(loose, "stem").filter(F.expr("key LIKE pattern")).select("key").distinct(), "key", "left_anti")
+    if 0 in lengths:
+        out = out.join(F.broadcast(loose.filter("stem = ''")), F.expr("key LIKE pattern"), "left_anti")
+    return out.select(*entries.columns)

@@ -45,11 +45,25 @@ def running_mean(df: DataFrame, group: str, order: list[str], value: str, places
     return df.withColumn("running_mean", F.round(F.avg(value).over(w), places))
 
 
-def exponential_mean(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """The fold m = (m + x) / 2 from the first value on."""
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("xs"))
-    first = F.col("xs")[0][value]
-    return rows.select(group, F.aggregate(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))), first.cast("double"), lambda m, x: (m + x[value]) / 2).alias("ema"))
+def last_k(df: DataFrame, group: list[str], order: list, value: str, k: int, name: str = "latest") -> DataFrame:
+    """The first k values of each group in the given order, as an array; no task holds more than k rows of a group at once."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    top = df.withColumn("_rn", rank).filter(F.col("_rn") <= k)
+    return top.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", value))), lambda x: x[value]).alias(name))
+
+
+def exponential_mean(df: DataFrame, group: str, order: list[str], value: str, chunk: str = "hour") -> DataFrame:
+    """The fold m = (m + x) / 2 from the first value on.
+
+    A run of values maps m to scale * m + offset, and so do runs of runs: the values of a `chunk` (a unit of the first
+    order column, a time) are folded first, so that no row holds a whole group.
+    """
+    step = lambda s, x: F.struct((s["scale"] / 2).alias("scale"), ((s["offset"] + x[value]) / 2).alias("offset"))
+    unit = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset"))
+    parts = df.groupBy(group, F.date_trunc(chunk, order[0]).alias("_at")).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias(value)))).alias("xs"))
+    parts = parts.select(group, "_at", F.col("xs")[0][value].alias("_first"), F.aggregate("xs", unit, step).alias("_run"))
+    runs = parts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_at", "_first", "_run"))).alias("xs"))
+    return runs.select(group, F.aggregate("xs", F.col("xs")[0]["_first"], lambda m, x: m * x["_run"]["scale"] + x["_run"]["offset"]).alias("ema"))
 
 
 def recent_trend(df: DataFrame, group: str, order: list[str], value: str, k: int = 10) -> DataFrame:

@@ -1,8 +1,8 @@
 """The registered queries of the catalogue operators."""
 
-from mediagrain.plans import documents, linkage, quality, relational, reports, shaping, streams, textual
+from mediagrain.plans import credits, documents, linkage, quality, relational, reports, shaping, streams, textual
 
-MODULES = (relational, textual, quality, reports, linkage, documents, streams, shaping)
+MODULES = (relational, textual, quality, reports, linkage, documents, streams, shaping, credits)
 
 
 def queries() -> dict:

@@ -57,22 +57,8 @@ add("l11_vocabulary", lambda k: D.vocabulary(k.lyrics, "id", "lyrics").withColum
 add("a21_lyrics_insights", lambda k: D.basic_stats(k.lyrics, "lyrics").groupBy("lang").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.max("lines").alias("most_lines")), sql("lyrics", f"SELECT lang, count(*) AS n, CAST(sum(len({WORDS})) AS BIGINT) AS words, max(len(list_filter(string_split(lyrics, chr(10)), lambda x: trim(x) <> '')))::INT AS most_lines FROM lyrics GROUP BY 1"))
 
 
-def credit_texts(k):
-    return k.supplier.select(C("s_suppkey").alias("id"), F.concat(F.lit("Producer: "), "s_name", F.lit(", Bob & X; Mixed by: "), "s_name", F.lit("; Guitars | Written by: "), "s_name", F.lit(" and Ann")).alias("text"))
-
-
-PARSED = """WITH t AS (SELECT s_suppkey AS id, ['Producer: ' || s_name || ', Bob & X', ' Mixed by: ' || s_name, ' Guitars ', ' Written by: ' || s_name || ' and Ann'] AS raws, s_name FROM supplier),
-p AS (SELECT id, unnest(raws) AS raw, unnest([0, 1, 2, 3]) AS pos, unnest(['producer', 'mixing_engineer', 'guitarist', 'songwriter']) AS role, unnest([[s_name, 'Bob'], [s_name], ['Guitars'], [s_name, 'Ann']]) AS names, unnest(['production', 'technical', 'musician', 'songwriting']) AS category, unnest([1.0, 1.0, 0.9, 1.0]) AS confidence FROM t)
-"""
-parsed = lambda k: D.parse_credits(credit_texts(k), "id", "text")
-add("c01_parse_credits", lambda k: parsed(k).select("id", "pos", "role", F.array_join("names", ";").alias("names"), "category", "confidence"), PARSED + "SELECT id, pos::INT AS pos, role, array_to_string(names, ';') AS names, category, confidence::DOUBLE AS confidence FROM p")
-add("c07_confident_credits", lambda k: parsed(k).filter("confidence >= 0.95").groupBy("role").agg(F.count("*").alias("n")), PARSED + "SELECT role, count(*) AS n FROM p WHERE confidence >= 0.95 GROUP BY 1")
-add("c10_collaborations", lambda k: parsed(k).groupBy("id").agg(F.count_if(F.size("names") > 1).alias("shared"), F.sum(F.size("names")).alias("names")), PARSED + "SELECT id, count(*) FILTER (WHERE len(names) > 1) AS shared, CAST(sum(len(names)) AS BIGINT) AS names FROM p GROUP BY 1")
-add("c11_merge_credits", lambda k: parsed(k).select("id", "category", F.explode("names").alias("name"), "confidence").groupBy("id", "name").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.max("confidence").alias("confidence")), PARSED + "SELECT id, name, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories, max(confidence)::DOUBLE AS confidence FROM (SELECT id, category, confidence, unnest(names) AS name FROM p) GROUP BY 1, 2")
-add("c12_by_category", lambda k: parsed(k).select("category", F.explode("names").alias("name")).groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("name").alias("people")), PARSED + "SELECT category, count(*) AS n, count(DISTINCT name) AS people FROM (SELECT category, unnest(names) AS name FROM p) GROUP BY 1")
 add("c16_dedup_credits", lambda k: k.credits.dropDuplicates(["track_id", "person_name", "credit_type"]).select("track_id", "person_name", "credit_type"), sql("credits", "SELECT DISTINCT track_id, person_name, credit_type FROM credits"))
 add("c17_fix_types", lambda k: k.credits.groupBy(F.element_at(F.create_map(F.lit("mixing"), F.lit("mixing_engineer"), F.lit("featuring"), F.lit("featured_artist")), C("credit_type")).alias("fixed"), "credit_type").agg(F.count("*").alias("n")), sql("credits", "SELECT CASE credit_type WHEN 'mixing' THEN 'mixing_engineer' WHEN 'featuring' THEN 'featured_artist' END AS fixed, credit_type, count(*) AS n FROM credits GROUP BY 1, 2"))
-add("a22_credit_insights", lambda k: parsed(k).select("role", F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("role").alias("roles")).orderBy(F.desc("n"), "name").limit(20), PARSED + "SELECT name, count(*) AS n, count(DISTINCT role) AS roles FROM (SELECT role, unnest(names) AS name FROM p) GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20")
 
 one = lambda p: f"nullif(regexp_extract(html, '{p}', 1), '')"
 add("h01_page_details", lambda k: D.page_details(k.pages), f"SELECT page_id, {one('<title>([^<]*)</title>')} AS title, {one('<h1[^>]*>([^<]*)</h1>')} AS h1, {one('<html lang=\"([^\"]*)\"')} AS lang, {one('charset=\"([^\"]*)\"')} AS charset FROM pages")
@@ -90,6 +76,5 @@ add("f01_key_detection", lambda k: vec(k).select("vec_id", D.key_of(C("v"), PROF
 add("f06_per_dimension", lambda k: D.per_dimension(vec(k), "label", "v"), "SELECT label, dim::INT AS dim, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std FROM (SELECT label, unnest(range(12)) AS dim, unnest(embedding[1:12])::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
 BANDS = [("low", 0, 3), ("mid", 3, 8), ("high", 8, 12)]
 add("f07_band_energy", lambda k: D.band_energy(vec(k), "vec_id", "v", BANDS), "SELECT vec_id, CASE WHEN dim < 3 THEN 'low' WHEN dim < 8 THEN 'mid' ELSE 'high' END AS band, round(avg(abs(x)), 5) AS energy FROM (SELECT vec_id, unnest(range(12)) AS dim, unnest(embedding[1:12])::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
-add("f02_repetition", lambda k: D.repetition(vec(k), "label", "vec_id", "v"), "WITH v AS (SELECT label, vec_id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings), u AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v), p AS (SELECT a.label, list_inner_product(a.v, b.v) / (a.n * b.n) AS d FROM u a JOIN u b ON a.label = b.label AND b.rn > a.rn AND b.rn <= a.rn + 20) SELECT label, count(*) FILTER (WHERE d > 0.2) AS alike, count(*) AS pairs, round(count(*) FILTER (WHERE d > 0.2) / count(*), 6) AS density FROM p GROUP BY 1")
-add("f02_repetition_whole", lambda k: D.repetition_of_all(vec(k), "label", "vec_id", "v"), "WITH v AS (SELECT label, vec_id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v), p AS (SELECT a.label, list_inner_product(a.v, b.v) / (a.n * b.n) AS d FROM u a JOIN u b ON a.label = b.label AND b.vec_id > a.vec_id) SELECT label, CAST(count(*) FILTER (WHERE d > 0.8) AS BIGINT) AS alike, count(*) AS pairs, round(count(*) FILTER (WHERE d > 0.8) / count(*), 6) AS density FROM p GROUP BY 1")
+add("f02_repetition", lambda k: D.repetition_of_all(vec(k), "label", "vec_id", "v"), "WITH v AS (SELECT label, vec_id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v), p AS (SELECT a.label, list_inner_product(a.v, b.v) / (a.n * b.n) AS d FROM u a JOIN u b ON a.label = b.label AND b.vec_id > a.vec_id) SELECT label, CAST(count(*) FILTER (WHERE d > 0.8) AS BIGINT) AS alike, count(*) AS pairs, round(count(*) FILTER (WHERE d > 0.8) / count(*), 6) AS density FROM p GROUP BY 1")
 add("f08_onset_density", lambda k: k.sessions.groupBy("session", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n")).withColumn("dense", C("n") > 2), sql("sessions", "SELECT session, date_trunc('hour', ts) AS hour, count(*) AS n, count(*) > 2 AS dense FROM sessions GROUP BY 1, 2"))

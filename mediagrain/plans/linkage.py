@@ -18,37 +18,32 @@ def add(name, build, text):
 
 
 BASE = norm(sub("title", ("(?i)[(\\[]?\\b(remix|live|deluxe edition|version|edit|mix)\\b[)\\]]?", ""), *NO_FEAT))
-KEYED = f", k AS (SELECT id, artist_id, {norm('title')} AS n, {BASE} AS b, {feat_sql} AS f FROM tracks), p AS (SELECT x.id AS id1, y.id AS id2, x.n AS n1, y.n AS n2, x.b AS b1, y.b AS b2, x.f AS f1, y.f AS f2, 1 - levenshtein(x.b, y.b) / greatest(length(x.b), length(y.b), 1) AS r FROM k x JOIN k y ON x.artist_id = y.artist_id AND left(x.b, 4) = left(y.b, 4) AND x.id < y.id), d AS (SELECT id1, id2, CASE WHEN n1 = n2 THEN 'exact' WHEN b1 = b2 AND f1 <> f2 THEN 'featuring' WHEN b1 = b2 THEN 'remix' WHEN r >= 0.9 THEN 'similar' END AS kind, round(CASE WHEN n1 = n2 THEN 1.0 WHEN b1 = b2 THEN 0.9 ELSE r END, 6) AS score FROM p)"
+KEYED = f", k AS (SELECT id, artist_id, {norm('title')} AS n, {BASE} AS b, {feat_sql} AS f FROM tracks), p AS (SELECT x.id AS id1, y.id AS id2, x.n AS n1, y.n AS n2, x.b AS b1, y.b AS b2, x.f AS f1, y.f AS f2, 1 - levenshtein(x.b, y.b) / greatest(length(x.b), length(y.b), 1) AS r FROM k x JOIN k y ON x.artist_id = y.artist_id AND x.id < y.id), d AS (SELECT id1, id2, CASE WHEN n1 = n2 THEN 'exact' WHEN b1 = b2 AND f1 <> f2 THEN 'featuring' WHEN b1 = b2 THEN 'remix' WHEN r >= 0.9 THEN 'similar' END AS kind, round(CASE WHEN n1 = n2 THEN 1.0 WHEN b1 = b2 THEN 0.9 ELSE r END, 6) AS score FROM p)"
 CONF = "CASE WHEN score >= 0.95 THEN 'certain' WHEN score >= 0.85 THEN 'high' WHEN score >= 0.7 THEN 'medium' WHEN score >= 0.5 THEN 'low' ELSE 'none' END"
 dup = lambda k: L.track_duplicates(k.tracks)
 add("d01_track_duplicates", dup, sql("tracks", KEYED + f" SELECT *, {CONF} AS confidence FROM d WHERE kind IS NOT NULL"))
 add("d02_remix_variants", lambda k: dup(k).filter("kind = 'remix'").select("id1", "id2"), sql("tracks", KEYED + " SELECT id1, id2 FROM d WHERE kind = 'remix'"))
 add("d03_featuring_variants", lambda k: dup(k).filter("kind = 'featuring'").select("id1", "id2"), sql("tracks", KEYED + " SELECT id1, id2 FROM d WHERE kind = 'featuring'"))
 add("d04_confidence", lambda k: dup(k).groupBy("confidence", "kind").agg(F.count("*").alias("n")), sql("tracks", KEYED + f" SELECT {CONF} AS confidence, kind, count(*) AS n FROM d WHERE kind IS NOT NULL GROUP BY 1, 2"))
-add("d05_credit_duplicates", lambda k: L.credit_duplicates(k.credits), sql("credits", f"SELECT track_id, credit_type, {norm('person_name')} AS name, count(*) AS n FROM credits GROUP BY 1, 2, 3 HAVING count(*) > 1"))
-add("d06_artist_duplicates", lambda k: L.artist_duplicates(k.artists.withColumn("ext", F.when(C("id") % 50 == 3, C("id") % 7)), "ext"), sql("artists", f", k AS (SELECT id, country, genre, {norm('name')} AS n, CASE WHEN id % 50 = 3 THEN id % 7 END AS ext FROM artists), u AS (SELECT x.id AS id1, y.id AS id2, round(1 - levenshtein(x.n, y.n) / greatest(length(x.n), length(y.n), 1), 6) AS score FROM k x JOIN k y ON x.country = y.country AND x.genre = y.genre AND x.id < y.id UNION ALL SELECT x.id, y.id, 1.0 FROM k x JOIN k y ON x.ext = y.ext AND x.id < y.id) SELECT id1, id2, max(score) AS score FROM u WHERE score >= 0.9 GROUP BY 1, 2"))
-add("d07_should_merge", lambda k: dup(k).filter("confidence = 'certain' or (confidence = 'high' and kind <> 'remix')").groupBy("kind").agg(F.count("*").alias("n")), sql("tracks", KEYED + f", c AS (SELECT *, {CONF} AS confidence FROM d WHERE kind IS NOT NULL) SELECT kind, count(*) AS n FROM c WHERE confidence = 'certain' OR (confidence = 'high' AND kind <> 'remix') GROUP BY 1"))
-# without the keys that the thresholds don't need
-every = lambda k: L.track_duplicates(k.tracks, whole=True)
-unkeyed = lambda name: SQL[name].replace(" AND left(x.b, 4) = left(y.b, 4)", "").replace("x.country = y.country AND x.genre = y.genre AND ", "")
-add("d01_track_duplicates_whole", every, unkeyed("d01_track_duplicates"))
-add("d04_confidence_whole", lambda k: every(k).groupBy("confidence", "kind").agg(F.count("*").alias("n")), unkeyed("d04_confidence"))
-add("d06_artist_duplicates_whole", lambda k: L.artist_duplicates(k.artists.withColumn("ext", F.when(C("id") % 50 == 3, C("id") % 7)), "ext", whole=True), unkeyed("d06_artist_duplicates"))
-add("d07_should_merge_whole", lambda k: every(k).filter("confidence = 'certain' or (confidence = 'high' and kind <> 'remix')").groupBy("kind").agg(F.count("*").alias("n")), unkeyed("d07_should_merge"))
-EDGES = ", e AS (SELECT id AS a, (id * 7 + 3) % 1500 AS b FROM artists WHERE id % 3 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS id, a AS m FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.id)"
-edges = lambda k: k.artists.filter("id % 3 = 0").select(C("id").alias("id1"), ((C("id") * 7 + 3) % 1500).alias("id2"))
-RECURSIVE = lambda body: sql("artists", EDGES + body).replace("WITH artists", "WITH RECURSIVE artists", 1)
-add("d08_apply_merges", lambda k: L.apply_merges(k.albums.select("id", "artist_id"), L.merge_components(edges(k)), "artist_id"), RECURSIVE(", l AS (SELECT id, min(m) AS label FROM r GROUP BY id) SELECT albums.id, coalesce(label, artist_id) AS artist_id FROM (SELECT o_orderkey AS id, o_custkey AS artist_id FROM orders) albums LEFT JOIN l ON l.id = artist_id"))
+CREDIT_GROUPS = f", c AS (SELECT track_id, credit_type, {norm('person_name')} AS name, count(*) AS n FROM credits GROUP BY 1, 2, 3), e AS (SELECT x.track_id, x.credit_type, x.name AS a, y.name AS b FROM c x JOIN c y ON x.track_id = y.track_id AND x.credit_type = y.credit_type AND x.name <> y.name AND 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name), 1) >= 0.9), r AS (SELECT track_id, credit_type, name AS id, name AS m FROM c UNION SELECT e.track_id, e.credit_type, e.b, r.m FROM r JOIN e ON e.track_id = r.track_id AND e.credit_type = r.credit_type AND e.a = r.id), l AS (SELECT track_id, credit_type, id, min(m) AS name FROM r GROUP BY ALL)"
+add("d05_credit_duplicates", lambda k: L.credit_duplicates(k.credits), sql("credits", CREDIT_GROUPS + " SELECT l.track_id, l.credit_type, l.name, count(*) AS names, CAST(sum(n) AS BIGINT) AS n FROM l JOIN c ON c.track_id = l.track_id AND c.credit_type = l.credit_type AND c.name = l.id GROUP BY 1, 2, 3 HAVING sum(n) > 1").replace("WITH credits", "WITH RECURSIVE credits", 1))
+add("d06_artist_duplicates", lambda k: L.artist_duplicates(k.artists.withColumn("ext", F.when(C("id") % 50 == 3, C("id") % 7)), "ext"), sql("artists", f", k AS (SELECT id, country, genre, {norm('name')} AS n, CASE WHEN id % 50 = 3 THEN id % 7 END AS ext FROM artists), u AS (SELECT x.id AS id1, y.id AS id2, round(1 - levenshtein(x.n, y.n) / greatest(length(x.n), length(y.n), 1), 6) AS score FROM k x JOIN k y ON x.id < y.id UNION ALL SELECT x.id, y.id, 1.0 FROM k x JOIN k y ON x.ext = y.ext AND x.id < y.id) SELECT id1, id2, max(score) AS score FROM u WHERE score >= 0.9 GROUP BY 1, 2"))
+add("d07_should_merge", lambda k: L.merge_statistics(dup(k)), sql("tracks", KEYED + f", c AS (SELECT *, {CONF} AS confidence FROM d WHERE kind IS NOT NULL), w AS (SELECT *, confidence = 'certain' OR (confidence = 'high' AND kind <> 'remix') AS wanted FROM c) SELECT kind, count(*) FILTER (WHERE wanted) AS merged, count(*) FILTER (WHERE NOT wanted) AS kept_apart, count(DISTINCT id2) FILTER (WHERE wanted) AS rows_gone FROM w GROUP BY 1"))
+# the pairs of d06 are the edges
+twins = lambda k: L.artist_duplicates(k.artists.withColumn("ext", F.when(C("id") % 50 == 3, C("id") % 7)), "ext").select("id1", "id2")
+FOUND = "WITH RECURSIVE e AS (SELECT id1 AS a, id2 AS b FROM (" + SQL["d06_artist_duplicates"] + ")), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS m FROM u GROUP BY a HAVING min(b) > a UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.id)"
+add("d08_apply_merges", lambda k: L.apply_merges(k.albums.select("id", "artist_id"), L.merge_components(twins(k)), "artist_id"), FOUND + ", l AS (SELECT id, min(m) AS label FROM r GROUP BY id) SELECT albums.id, coalesce(label, artist_id) AS artist_id FROM (SELECT o_orderkey AS id, o_custkey AS artist_id FROM orders) albums LEFT JOIN l ON l.id = artist_id")
 add("d09_exact_dedup", lambda k: k.tracks.groupBy("artist_id", F.lower("title").alias("title")).agg(F.min("id").alias("id"), F.count("*").alias("n")), sql("tracks", "SELECT artist_id, lower(title) AS title, min(id) AS id, count(*) AS n FROM tracks GROUP BY 1, 2"))
-add("d10_source_priority_dedup", lambda k: E.best_source(k.tracks.withColumns({"key": L.base_title(C("title")), "rank": C("id") % 3}), "key", ["rank", "id"]).select("key", "id"), sql("tracks", f", k AS (SELECT id, {BASE} AS key FROM tracks) SELECT key, id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id % 3, id) AS rn FROM k) WHERE rn = 1"))
+TITLES = f", k AS (SELECT id, artist_id, id % 3 AS rank, {norm('title')} AS t FROM tracks), n AS (SELECT artist_id, t, min(id) AS head FROM k GROUP BY ALL), e AS (SELECT x.head AS a, y.head AS b FROM n x JOIN n y ON x.artist_id = y.artist_id AND x.head <> y.head AND 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t), 1) >= 0.85), r AS (SELECT head AS id, head AS m FROM n UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id), l AS (SELECT id AS head, min(m) AS grp FROM r GROUP BY id), g AS (SELECT k.id, rank, grp FROM k JOIN n USING (artist_id, t) JOIN l USING (head))"
+add("d10_source_priority_dedup", lambda k: L.source_priority(k.tracks.withColumn("rank", C("id") % 3)), sql("tracks", TITLES + ", b AS (SELECT grp, arg_min(id, (rank, id)) AS kept FROM g GROUP BY grp) SELECT id, kept FROM g JOIN b USING (grp)").replace("WITH tracks", "WITH RECURSIVE tracks", 1))
 add("d11_dedup_by_title_url", lambda k: k.pages.groupBy(T.normalize_text(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title")).agg(F.min("url").alias("url"), F.count("*").alias("n")).orderBy(F.desc("n"), "title"), f"SELECT {norm('''regexp_extract(html, '<title>([^<]*)</title>', 1)''')} AS title, min(url) AS url, count(*) AS n FROM pages GROUP BY 1")
-NAMES = ", n AS (SELECT DISTINCT title AS name FROM tracks), k AS (SELECT name, " + norm("name") + " AS n FROM n), e AS (SELECT x.name AS a, y.name AS b FROM k x JOIN k y ON left(x.n, 4) = left(y.n, 4) AND x.name <> y.name AND 1 - levenshtein(x.n, y.n) / greatest(length(x.n), length(y.n), 1) >= 0.9), r AS (SELECT name AS id, name AS m FROM n UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id), g AS (SELECT id, min(m) AS grp FROM r GROUP BY id)"
+NAMES = ", n AS (SELECT DISTINCT title AS name FROM tracks), k AS (SELECT name, " + norm("name") + " AS n FROM n), e AS (SELECT x.name AS a, y.name AS b FROM k x JOIN k y ON x.name <> y.name AND 1 - levenshtein(x.n, y.n) / greatest(length(x.n), length(y.n), 1) >= 0.9), r AS (SELECT name AS id, name AS m FROM n UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id), g AS (SELECT id, min(m) AS grp FROM r GROUP BY id)"
 
 
-def merged_names(k, whole=False):
-    """Names alike to 0.9 (key: first four letters; none if `whole`) form groups; the longest, then the first, is canonical."""
-    names = k.tracks.select(C("title").alias("name")).distinct().withColumns({"n": T.normalize_text(C("name")), "id": F.xxhash64("name")}).withColumn("block", F.substring("n", 1, 4))
-    pairs = L.near_pairs(names, [], "id", "n", 0.9).toDF("id1", "id2", "n1", "n2") if whole else L.candidate_pairs(names, ["block"], "id", "n")
+def merged_names(k):
+    """Names alike to 0.9 form groups; the longest, then the first, is canonical."""
+    names = k.tracks.select(C("title").alias("name")).distinct().withColumns({"n": T.normalize_text(C("name")), "id": F.xxhash64("name")})
+    pairs = L.near_pairs(names, [], "id", "n", 0.9).toDF("id1", "id2", "n1", "n2")
     pairs = pairs.filter(1 - F.levenshtein("n1", "n2") / F.greatest(F.length("n1"), F.length("n2"), F.lit(1)) >= 0.9)
     grouped = names.join(L.merge_components(pairs), "id", "left").select("name", F.coalesce("label", "id").alias("grp"))
     canonical = grouped.groupBy("grp").agg(F.min_by("name", F.struct(-F.length("name"), "name")).alias("canonical"))
@@ -57,31 +52,21 @@ def merged_names(k, whole=False):
 
 Q["d12_merge_similar_names"] = lambda spark, sf: merged_names(load(spark, sf))
 SQL["d12_merge_similar_names"] = sql("tracks", NAMES + ", c AS (SELECT grp, arg_min(id, (-length(id), id)) AS canonical FROM g GROUP BY grp) SELECT id AS name, canonical FROM g JOIN c USING (grp)").replace("WITH tracks", "WITH RECURSIVE tracks", 1)
-Q["d12_merge_similar_names_whole"] = lambda spark, sf: merged_names(load(spark, sf), True)
-SQL["d12_merge_similar_names_whole"] = SQL["d12_merge_similar_names"].replace("left(x.n, 4) = left(y.n, 4) AND ", "")
-add("d13_components", lambda k: L.merge_components(edges(k)), RECURSIVE(" SELECT id, min(m) AS label FROM r GROUP BY id"))
-# the edges of d06 in the place of made-up ones
-twins = lambda k: L.artist_duplicates(k.artists.withColumn("ext", F.when(C("id") % 50 == 3, C("id") % 7)), "ext").select("id1", "id2")
-FOUND = "WITH RECURSIVE e AS (SELECT id1 AS a, id2 AS b FROM (" + SQL["d06_artist_duplicates"] + "))" + EDGES.split("WHERE id % 3 = 0)")[1]
-add("d08_apply_merges_whole", lambda k: L.apply_merges(k.albums.select("id", "artist_id"), L.merge_components(twins(k)), "artist_id"), FOUND + ", l AS (SELECT id, min(m) AS label FROM r GROUP BY id) SELECT albums.id, coalesce(label, artist_id) AS artist_id FROM (SELECT o_orderkey AS id, o_custkey AS artist_id FROM orders) albums LEFT JOIN l ON l.id = artist_id")
-add("d13_components_whole", lambda k: L.merge_components(twins(k)), FOUND + " SELECT id, min(m) AS label FROM r GROUP BY id")
-add("d14_cross_reference", lambda k: L.cross_reference(k.part.filter("p_partkey % 5 = 0").select(C("p_partkey").alias("id"), "p_brand", C("p_name").alias("name")), k.part.filter("p_partkey % 5 > 0").select((C("p_partkey") % 5).alias("source"), C("p_partkey").alias("other_id"), "p_brand", C("p_name").alias("other_name")), ["p_brand"], T.word_jaccard(C("name"), C("other_name")), 0.3), "WITH s AS (SELECT x.p_partkey AS id, y.p_partkey % 5 AS source, y.p_partkey AS other_id, round(len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' ')))::DOUBLE / len(list_distinct(string_split(x.p_name, ' ') || string_split(y.p_name, ' '))), 6) AS score FROM part x JOIN part y ON x.p_brand = y.p_brand WHERE x.p_partkey % 5 = 0 AND y.p_partkey % 5 > 0) SELECT id, source, other_id, score FROM (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY score DESC, other_id) AS rn FROM s WHERE score > 0.3) WHERE rn = 1")
-add("d14_cross_reference_whole", lambda k: L.cross_reference(k.part.select(C("p_partkey").alias("id"), "p_brand", C("p_name").alias("name")), k.part.select((C("p_partkey") % 5).alias("source"), C("p_partkey").alias("other_id"), "p_brand", C("p_name").alias("other_name")), ["p_brand"], F.when(C("id") != C("other_id"), T.word_jaccard(C("name"), C("other_name"))), 0.3), "WITH s AS (SELECT x.p_partkey AS id, y.p_partkey % 5 AS source, y.p_partkey AS other_id, round(len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' ')))::DOUBLE / len(list_distinct(string_split(x.p_name, ' ') || string_split(y.p_name, ' '))), 6) AS score FROM part x JOIN part y ON x.p_brand = y.p_brand WHERE x.p_partkey <> y.p_partkey) SELECT id, source, other_id, score FROM (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY score DESC, other_id) AS rn FROM s WHERE score > 0.3) WHERE rn = 1")
+add("d13_components", lambda k: L.merge_components(twins(k)), FOUND + " SELECT id, min(m) AS label FROM r GROUP BY id")
+add("d14_cross_reference", lambda k: L.cross_reference(k.part.select(C("p_partkey").alias("id"), "p_brand", C("p_name").alias("name")), k.part.select((C("p_partkey") % 5).alias("source"), C("p_partkey").alias("other_id"), "p_brand", C("p_name").alias("other_name")), ["p_brand"], F.when(C("id") != C("other_id"), T.word_jaccard(C("name"), C("other_name"))), 0.3), "WITH s AS (SELECT x.p_partkey AS id, y.p_partkey % 5 AS source, y.p_partkey AS other_id, round(len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' ')))::DOUBLE / len(list_distinct(string_split(x.p_name, ' ') || string_split(y.p_name, ' '))), 6) AS score FROM part x JOIN part y ON x.p_brand = y.p_brand WHERE x.p_partkey <> y.p_partkey) SELECT id, source, other_id, score FROM (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY score DESC, other_id) AS rn FROM s WHERE score > 0.3) WHERE rn = 1")
 add("d15_merge_enrichments", lambda k: k.tracks.join(k.credits.groupBy(C("track_id").alias("id")).agg(F.avg((C("part") % 10 / 10).cast("double")).alias("m"), F.min((C("part") % 10 / 10).cast("double")).alias("lo"), F.max((C("part") % 10 / 10).cast("double")).alias("hi")), "id").select("id", F.round("m", 6).alias("mean_conf"), F.round("lo", 6).alias("min_conf"), F.round("hi", 6).alias("max_conf")), sql("tracks credits", "SELECT track_id AS id, round(avg(part % 10 / 10), 6) AS mean_conf, round(min(part % 10 / 10), 6) AS min_conf, round(max(part % 10 / 10), 6) AS max_conf FROM credits GROUP BY 1"))
-BEST = "WITH r AS (SELECT p_partkey AS id, p_brand, p_name AS name FROM part WHERE p_partkey % 10 = 0), s AS (SELECT r.id, y.p_partkey AS other_id, round(0.6 * (len(list_intersect(string_split(name, ' '), string_split(y.p_name, ' ')))::DOUBLE / len(list_distinct(string_split(name, ' ') || string_split(y.p_name, ' ')))) + 0.4 * (y.p_size > 25)::INT, 6) AS score FROM r JOIN part y ON r.p_brand = y.p_brand AND y.p_partkey % 10 <> 0), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id) AS rn FROM s WHERE score >= 0.5) WHERE rn = 1) SELECT r.id, b.other_id, b.score, b.id IS NOT NULL AS found FROM r LEFT JOIN b USING (id)"
+BEST = "WITH r AS (SELECT p_partkey AS id, p_brand, p_name AS name FROM part), s AS (SELECT r.id, y.p_partkey AS other_id, round(0.6 * (len(list_intersect(string_split(name, ' '), string_split(y.p_name, ' ')))::DOUBLE / len(list_distinct(string_split(name, ' ') || string_split(y.p_name, ' ')))) + 0.4 * (y.p_size > 25)::INT, 6) AS score FROM r JOIN part y ON r.p_brand = y.p_brand AND r.id <> y.p_partkey), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id) AS rn FROM s WHERE score >= 0.5) WHERE rn = 1) SELECT r.id, b.other_id, b.score, b.id IS NOT NULL AS found FROM r LEFT JOIN b USING (id)"
 
 
-def best_match(k, asked="p_partkey % 10 = 0", offered="p_partkey % 10 <> 0"):
-    ref = k.part.filter(asked).select(C("p_partkey").alias("id"), "p_brand", C("p_name").alias("name"))
-    others = k.part.filter(offered).select(F.lit(1).alias("source"), C("p_partkey").alias("other_id"), "p_brand", C("p_name").alias("other_name"), "p_size")
+def best_match(k):
+    ref = k.part.select(C("p_partkey").alias("id"), "p_brand", C("p_name").alias("name"))
+    others = k.part.select(F.lit(1).alias("source"), C("p_partkey").alias("other_id"), "p_brand", C("p_name").alias("other_name"), "p_size")
     score = 0.6 * T.word_jaccard(C("name"), C("other_name")) + 0.4 * (C("p_size") > 25).cast("int")
     best = L.cross_reference(ref, others, ["p_brand"], F.when(C("id") != C("other_id"), score), 0.499999)
     return ref.select("id").join(best.drop("source"), "id", "left").withColumn("found", C("other_id").isNotNull())
 
 
 Q["d16_best_match"], SQL["d16_best_match"] = lambda spark, sf: best_match(load(spark, sf)), BEST
-Q["d16_best_match_whole"] = lambda spark, sf: best_match(load(spark, sf), "true", "true")
-SQL["d16_best_match_whole"] = BEST.replace(" WHERE p_partkey % 10 = 0", "").replace("y.p_partkey % 10 <> 0", "r.id <> y.p_partkey")
 add("d17_result_confidence", lambda k: k.tracks.select("id", F.round(F.least(F.lit(1.0), F.when(C("bpm").isNotNull(), 0.4).otherwise(0.0) + F.when(C("bpm").between(60, 200), 0.1).otherwise(0.0) + F.when(C("duration_seconds").isNotNull(), 0.2).otherwise(0.0) + F.when(C("has_lyrics"), 0.2).otherwise(0.0)), 6).alias("confidence")), sql("tracks", "SELECT id, round(least(1.0, CASE WHEN bpm IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN bpm BETWEEN 60 AND 200 THEN 0.1 ELSE 0 END + CASE WHEN duration_seconds IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN has_lyrics THEN 0.2 ELSE 0 END), 6)::DOUBLE AS confidence FROM tracks"))
 add("d18_fuzzy_lookup", lambda k: k.part.select("p_partkey", F.round(T.ratio(F.lit("small ring"), C("p_name")), 6).alias("score")).filter("score >= 0.8").orderBy(F.desc("score"), "p_partkey").limit(20), f"SELECT p_partkey, round(1 - levenshtein('small ring', {norm('p_name')}) / greatest(10, length({norm('p_name')})), 6) AS score FROM part WHERE score >= 0.8 ORDER BY score DESC, p_partkey LIMIT 20")
 add("d19_artist_hit_filter", lambda k: k.artists.filter(T.normalize_text(C("name")).contains("customer00000001")).select("id", "name"), sql("artists", f"SELECT id, name FROM artists WHERE contains({norm('name')}, 'customer00000001')"))

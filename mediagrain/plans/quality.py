@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mediagrain.functions import text as T
 from mediagrain.operators import quality as K
+from mediagrain.operators import ranking as R
 from mediagrain.sources.catalog import load, sql
 
 C = F.col
@@ -87,6 +88,13 @@ add("v26_change_counts", lambda k: K.change_counts(k.tracks, K.clean_numbers(k.t
 
 # reports over validated tracks
 add("a12_cleaning_report", lambda k: K.apply_rules(tracks(k), K.INTEGRITY_RULES).select(F.size("issues").alias("n")).groupBy(F.when(C("n") == 0, "clean").when(C("n") <= 1, "minor").when(C("n") <= 3, "major").otherwise("severe").alias("level")).agg(F.count("*").alias("tracks"), F.sum("n").alias("issues")), sql(V, FACTS + f", n AS (SELECT {' + '.join(f'CASE WHEN {r.when} THEN 1 ELSE 0 END' for r in K.INTEGRITY_RULES)} AS n FROM t) SELECT CASE WHEN n = 0 THEN 'clean' WHEN n <= 1 THEN 'minor' WHEN n <= 3 THEN 'major' ELSE 'severe' END AS level, count(*) AS tracks, CAST(sum(n) AS BIGINT) AS issues FROM n GROUP BY 1"))
-add("a13_validation_report", lambda k: validated(k).select("id", F.explode("issues").alias("x")).groupBy("x.name", "x.severity").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("id")), 1, 3), ",").alias("examples")), sql(V, FACTS + ", i AS (" + " UNION ALL ".join(f"SELECT id, '{r.name}' AS name, '{r.severity}' AS severity FROM t WHERE {duck(r.when)}" for r in K.track_rules()) + ") SELECT name, severity, count(*) AS n, array_to_string(list_sort(list(id))[1:3], ',') AS examples FROM i GROUP BY name, severity"))
+def issue_report(checked):
+    """Rows of each rule with three examples."""
+    found = checked.select("id", F.explode("issues").alias("x")).select("id", "x.name", "x.severity")
+    key = ["name", "severity"]
+    return found.groupBy(*key).agg(F.count("*").alias("n")).join(R.last_k(found, key, ["id"], "id", 3, "examples"), key).withColumn("examples", F.array_join("examples", ","))
+
+
+add("a13_validation_report", lambda k: issue_report(validated(k)), sql(V, FACTS + ", i AS (" + " UNION ALL ".join(f"SELECT id, '{r.name}' AS name, '{r.severity}' AS severity FROM t WHERE {duck(r.when)}" for r in K.track_rules()) + ") SELECT name, severity, count(*) AS n, array_to_string(list_sort(list(id))[1:3], ',') AS examples FROM i GROUP BY name, severity"))
 add("a14_validation_stats", lambda k: validated(k).agg(F.count_if("is_valid").alias("valid"), F.count_if(~C("is_valid")).alias("invalid"), F.sum(F.size("issues")).alias("issues"), F.round(F.avg("score"), 6).alias("mean_score")), sql(V, FACTS + f", s AS ({STD}) SELECT count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE NOT is_valid) AS invalid, CAST(sum(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END) AS BIGINT) AS issues, round(avg(score), 6) AS mean_score FROM s"))
 add("a16_artist_quality", lambda k: overall(k).join(k.tracks.select("id", "artist_id"), "id").groupBy("artist_id").agg(F.round(F.sum("overall"), 4).alias("sum_quality"), F.round(F.avg((C("overall") < 60).cast("double")), 6).alias("low_share")), sql("tracks", OVERALL + "SELECT artist_id, round(sum(overall), 4) AS sum_quality, round(avg(CASE WHEN overall < 60 THEN 1.0 ELSE 0.0 END), 6) AS low_share FROM o JOIN tracks USING (id) GROUP BY artist_id"))

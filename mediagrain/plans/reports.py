@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mediagrain.operators import ranking as R
 from mediagrain.sources.catalog import load, sql
 
 C = F.col
@@ -37,10 +38,9 @@ def status_counts(k):
 
 
 add("a07_status_counts", status_counts, sql("sessions", "SELECT status, count(id) AS n, round(avg(found), 6) AS mean_found FROM (VALUES ('created'), ('in_progress'), ('paused'), ('completed'), ('failed'), ('cancelled')) d(status) LEFT JOIN sessions USING (status) GROUP BY status"))
-add("a08_session_summary", lambda k: k.sessions.groupBy("session").agg(F.round(100 * F.avg((C("status") == "completed").cast("double")), 6).alias("progress"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("ts", "id")), False), lambda x: x["id"]), 1, 5), ",").alias("latest")), sql("sessions", "SELECT session, round(100 * avg(CASE WHEN status = 'completed' THEN 1.0 ELSE 0.0 END), 6) AS progress, min(ts) AS started, max(ts) AS ended, array_to_string(list(id ORDER BY ts DESC, id DESC)[1:5], ',') AS latest FROM sessions GROUP BY 1"))
+add("a08_session_summary", lambda k: k.sessions.groupBy("session").agg(F.round(100 * F.avg((C("status") == "completed").cast("double")), 6).alias("progress"), F.min("ts").alias("started"), F.max("ts").alias("ended")).join(R.last_k(k.sessions, ["session"], [F.desc("ts"), F.desc("id")], "id", 5), "session").withColumn("latest", F.array_join("latest", ",")), sql("sessions", "SELECT session, round(100 * avg(CASE WHEN status = 'completed' THEN 1.0 ELSE 0.0 END), 6) AS progress, min(ts) AS started, max(ts) AS ended, array_to_string(list(id ORDER BY ts DESC, id DESC)[1:5], ',') AS latest FROM sessions GROUP BY 1"))
 add("a09_dashboard_stats", lambda k: k.sessions.agg(F.count_if(C("status") == "in_progress").alias("active"), F.countDistinct("session").alias("sessions"), F.count_if(C("ts") >= F.lit("2024-01-13").cast("timestamp")).alias("last_week")), sql("sessions", "SELECT count(*) FILTER (WHERE status = 'in_progress') AS active, count(DISTINCT session) AS sessions, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-13') AS last_week FROM sessions"))
-add("a10_selected_sessions", lambda k: k.sessions.filter("session % 3 = 0").groupBy("session").agg(F.sum("found").alias("found"), F.round(F.try_divide(100.0 * F.count_if(C("status") == "completed"), F.count_if(C("status").isin("completed", "failed"))), 6).alias("success")), sql("sessions", "SELECT session, CAST(sum(found) AS BIGINT) AS found, round(100.0 * count(*) FILTER (WHERE status = 'completed') / nullif(count(*) FILTER (WHERE status IN ('completed', 'failed')), 0), 6)::DOUBLE AS success FROM sessions WHERE session % 3 = 0 GROUP BY 1"))
-add("a10_selected_sessions_whole", lambda k: k.sessions.groupBy("session").agg(F.sum("found").alias("found"), F.round(F.try_divide(100.0 * F.count_if(C("status") == "completed"), F.count_if(C("status").isin("completed", "failed"))), 6).alias("success")), sql("sessions", "SELECT session, CAST(sum(found) AS BIGINT) AS found, round(100.0 * count(*) FILTER (WHERE status = 'completed') / nullif(count(*) FILTER (WHERE status IN ('completed', 'failed')), 0), 6)::DOUBLE AS success FROM sessions GROUP BY 1"))
+add("a10_selected_sessions", lambda k: k.sessions.groupBy("session").agg(F.sum("found").alias("found"), F.round(F.try_divide(100.0 * F.count_if(C("status") == "completed"), F.count_if(C("status").isin("completed", "failed"))), 6).alias("success")), sql("sessions", "SELECT session, CAST(sum(found) AS BIGINT) AS found, round(100.0 * count(*) FILTER (WHERE status = 'completed') / nullif(count(*) FILTER (WHERE status IN ('completed', 'failed')), 0), 6)::DOUBLE AS success FROM sessions GROUP BY 1"))
 add("a11_sessions_by_status", lambda k: k.sessions.groupBy(F.initcap(F.replace("status", F.lit("_"), F.lit(" "))).alias("label")).agg(F.count("*").alias("n")), sql("sessions", "SELECT CASE status WHEN 'in_progress' THEN 'In Progress' ELSE upper(status[1]) || status[2:] END AS label, count(*) AS n FROM sessions GROUP BY 1"))
 add("a15_quality_metrics", lambda k: k.tracks.join(k.credits.groupBy(C("track_id").alias("id")).agg(F.count("*").alias("c"), F.bool_or(C("credit_type") == "producer").alias("p")), "id", "left").agg(F.count("*").alias("tracks"), F.round(100 * F.avg(F.coalesce("p", F.lit(False)).cast("double")), 6).alias("with_producer"), F.round(100 * F.avg(C("duration_seconds").isNotNull().cast("double")), 6).alias("with_duration"), F.round(100 * F.avg(C("bpm").isNotNull().cast("double")), 6).alias("with_bpm"), F.round(100 * F.avg(C("has_lyrics").cast("double")), 6).alias("with_lyrics"), F.round(F.avg(F.coalesce("c", F.lit(0))), 6).alias("credits_per_track")), sql("tracks credits", ", c AS (SELECT track_id, count(*) AS c, bool_or(credit_type = 'producer') AS p FROM credits GROUP BY 1) SELECT count(*) AS tracks, round(100 * avg(coalesce(p, false)::INT), 6) AS with_producer, round(100 * avg((duration_seconds IS NOT NULL)::INT), 6) AS with_duration, round(100 * avg((bpm IS NOT NULL)::INT), 6) AS with_bpm, round(100 * avg(has_lyrics::INT), 6) AS with_lyrics, round(avg(coalesce(c, 0)), 6) AS credits_per_track FROM tracks LEFT JOIN c ON track_id = id"))
 add("a17_grouping_report", lambda k: k.credits.groupingSets([[C("credit_type")], [C("person_name")], []], "credit_type", "person_name").agg(F.count("*").alias("n")), sql("credits", "SELECT credit_type, person_name, count(*) AS n FROM credits GROUP BY GROUPING SETS ((credit_type), (person_name), ())"))
@@ -95,5 +95,5 @@ add("a33_artist_completion", lambda k: k.tracks.groupBy("artist_id").agg((100 *
 add("a34_progress_rollup", lambda k: k.sessions.groupBy("session", "status").agg(F.max("found").alias("best"), F.max_by("found", F.struct("ts", "id")).alias("latest")).withColumn("pct", F.round(F.try_divide(100.0 * C("latest"), C("best")), 6)).groupBy("session").agg(F.round(F.avg("pct"), 4).alias("overall")), sql("sessions", ", s AS (SELECT session, status, max(found) AS best, arg_max(found, (ts, id)) AS latest FROM sessions GROUP BY 1, 2) SELECT session, round(avg(round(100.0 * latest / nullif(best, 0), 6)), 4)::DOUBLE AS overall FROM s GROUP BY 1"))
 add("a35_discovery_quality", lambda k: k.tracks.groupBy("genre").agg(F.round(100 * F.avg(F.when(C("title") != "", 0.3).otherwise(0.0) + F.when(C("bpm").isNotNull(), 0.3).otherwise(0.0) + F.when(C("has_lyrics"), 0.4).otherwise(0.0)), 4).alias("quality")), sql("tracks", "SELECT genre, round(100 * avg(CASE WHEN title <> '' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN bpm IS NOT NULL THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN has_lyrics THEN 0.4::DOUBLE ELSE 0 END), 4) AS quality FROM tracks GROUP BY 1"))
 add("a36_catalog_rollup", lambda k: k.tracks.rollup("genre", "has_lyrics").agg(F.count("*").alias("tracks"), F.sum("duration_seconds").alias("seconds"), F.grouping_id().alias("level")), sql("tracks", "SELECT genre, has_lyrics, count(*) AS tracks, CAST(sum(duration_seconds) AS BIGINT) AS seconds, CAST(grouping(genre, has_lyrics) AS BIGINT) AS level FROM tracks GROUP BY ROLLUP (genre, has_lyrics)"))
-add("a37_request_stats", lambda k: k.api_log.groupBy("api").agg(F.count("*").alias("total"), F.count_if("ok").alias("successful"), F.round(100 * F.avg(C("ok").cast("double")), 6).alias("success_pct"), F.array_join(F.transform(F.slice(F.sort_array(F.filter(F.collect_list(F.struct("ts", "event_id", "ok")), lambda x: ~x["ok"]), False), 1, 5), lambda x: x["event_id"]), ",").alias("last_errors")), sql("api_log", "SELECT api, count(*) AS total, count(*) FILTER (WHERE ok) AS successful, round(100 * avg(ok::INT), 6) AS success_pct, array_to_string(list(event_id ORDER BY ts DESC, event_id DESC) FILTER (WHERE NOT ok)[1:5], ',') AS last_errors FROM api_log GROUP BY 1"))
+add("a37_request_stats", lambda k: k.api_log.groupBy("api").agg(F.count("*").alias("total"), F.count_if("ok").alias("successful"), F.round(100 * F.avg(C("ok").cast("double")), 6).alias("success_pct")).join(R.last_k(k.api_log.filter("not ok"), ["api"], [F.desc("ts"), F.desc("event_id")], "event_id", 5, "last_errors"), "api", "left").withColumn("last_errors", F.array_join(C("last_errors"), ",")), sql("api_log", "SELECT api, count(*) AS total, count(*) FILTER (WHERE ok) AS successful, round(100 * avg(ok::INT), 6) AS success_pct, array_to_string(list(event_id ORDER BY ts DESC, event_id DESC) FILTER (WHERE NOT ok)[1:5], ',') AS last_errors FROM api_log GROUP BY 1"))
 del bucket

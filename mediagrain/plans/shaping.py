@@ -21,29 +21,37 @@ def add(name, build, text):
     SQL[name] = text
 
 
-sheets = lambda k: k.supplier.select(C("s_suppkey").alias("id"), F.concat(F.lit("Produit par: "), "s_name", F.lit(", Ann\nnoise: x\nMIX : "), "s_name", F.lit("\nLabel: one two three four five")).alias("text"))
-add("c14_labelled_lines", lambda k: S.labelled_lines(sheets(k), "id", "text"), "SELECT s_suppkey AS id, unnest(['producer', 'producer', 'mixing_engineer']) AS kind, unnest([s_name, 'Ann', s_name]) AS name FROM supplier")
+LABELS = ("Produit par", "Mix", "PAROLES", "noise", "label ", "Produit Par")
+
+
+def sheets(k):
+    """Two lines for each supplier, whose labels and names differ."""
+    label = lambda by: F.get(F.array(*(F.lit(x) for x in LABELS)), (by % len(LABELS)).cast("int"))
+    line = F.concat(label(C("s_suppkey")), F.lit(": "), "s_name", F.when(C("s_suppkey") % 2 == 0, F.concat(F.lit(" , Ann "), (C("s_suppkey") % 7).cast("string"))).otherwise(F.lit("")))
+    second = F.concat(label(F.floor(C("s_suppkey") / 6)), F.lit(" : one two "), F.when(C("s_suppkey") % 3 == 0, "three four five").otherwise("three"), F.lit(" & Zoe"))
+    return k.supplier.select(C("s_suppkey").alias("id"), F.concat(line, F.lit("\n"), second).alias("text"))
+
+
+SHEETS = f"WITH l AS (SELECT s_suppkey AS k, s_name, {list(LABELS)} AS ls FROM supplier), t AS (SELECT k AS id, ls[k % 6 + 1] AS label, s_name || CASE WHEN k % 2 = 0 THEN ' , Ann ' || (k % 7) ELSE '' END AS names FROM l UNION ALL SELECT k, ls[(k // 6) % 6 + 1], 'one two ' || CASE WHEN k % 3 = 0 THEN 'three four five' ELSE 'three' END || ' & Zoe' FROM l), n AS (SELECT id, lower(trim(label)) AS label, trim(unnest(regexp_split_to_array(names, '[,&]'))) AS name FROM t)"
+add("c14_labelled_lines", lambda k: S.labelled_lines(sheets(k), "id", "text"), SHEETS + " SELECT id, CASE label WHEN 'produit par' THEN 'producer' WHEN 'mix' THEN 'mixing_engineer' WHEN 'paroles' THEN 'songwriter' ELSE 'label' END AS kind, name FROM n WHERE label IN ('produit par', 'mix', 'paroles', 'label') AND name <> '' AND len(string_split(name, ' ')) <= 4")
 add("c13_context_hits", lambda k: S.context_hits(k.conversations.withColumn("id", C("conv_id") * 1000 + C("turn")), "id", F.col("text"), "tion").groupBy("id").agg(F.count("*").alias("hits"), F.min_by("context", "pos").alias("first")), "SELECT conv_id * 1000 + turn AS id, len(x) AS hits, x[1] AS first FROM (SELECT conv_id, turn, regexp_extract_all(text, '.{0,20}(?:tion).{0,30}') AS x FROM conversations) WHERE len(x) > 0")
 add("c15_infer_role", lambda k: k.credits.groupBy(S.infer_role(F.concat(F.lit("by "), "credit_type")).alias("role")).agg(F.count("*").alias("n")), sql("credits", "SELECT CASE credit_type WHEN 'producer' THEN 'producer' WHEN 'mixing' THEN 'mixing_engineer' WHEN 'featuring' THEN 'featuring' ELSE 'other' END AS role, count(*) AS n FROM credits GROUP BY 1"))
 add("c18_drop_invalid_credits", lambda k: k.credits.withColumn("name", F.when(C("part") % 5 == 0, F.lit("123")).otherwise(T.clean_artist_name(C("person_name")))).filter(T.valid_artist_name(C("name"))).groupBy("name").agg(F.count("*").alias("n")), sql("credits", "SELECT person_name AS name, count(*) AS n FROM credits WHERE part % 5 <> 0 GROUP BY 1"))
-add("c08_role_categories", lambda k: D.parse_credits(sheets(k), "id", "text").groupBy("role", "category").agg(F.count("*").alias("n")), "SELECT unnest(['producer', 'mixing_engineer', NULL, NULL]) AS role, unnest(['production', 'technical', 'other', 'other']) AS category, unnest([1, 1, 1, 1]) * count(*) AS n FROM supplier".replace("SELECT unnest", "SELECT role, category, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest", 1) + ") GROUP BY role, category")
 add("g05_release_metadata", lambda k: R.modal(k.tracks, ["album_id"], "genre").join(k.tracks.groupBy("album_id").agg(F.sum(F.when(C("duration_seconds") > 0, C("duration_seconds"))).alias("seconds"), F.min("release_date").alias("first_date"), F.bool_or("has_lyrics").alias("any_lyrics")), "album_id"), sql("tracks", ", m AS (SELECT album_id, genre, n FROM (SELECT album_id, genre, count(*) AS n, row_number() OVER (PARTITION BY album_id ORDER BY count(*) DESC, genre) AS rn FROM tracks GROUP BY 1, 2) WHERE rn = 1) SELECT m.*, seconds, first_date, any_lyrics FROM m JOIN (SELECT album_id, CAST(sum(duration_seconds) AS BIGINT) AS seconds, min(release_date) AS first_date, bool_or(has_lyrics) AS any_lyrics FROM tracks GROUP BY 1) USING (album_id)"))
 add("g07_primary_source", lambda k: R.modal(k.credits, ["track_id"], "credit_type"), sql("credits", "SELECT track_id, credit_type, n FROM (SELECT track_id, credit_type, count(*) AS n, row_number() OVER (PARTITION BY track_id ORDER BY count(*) DESC, credit_type) AS rn FROM credits GROUP BY 1, 2) WHERE rn = 1"))
 add("g04_album_titles", lambda k: L.group_releases(k.albums, k.tracks).groupBy("title").agg(F.count("*").alias("n")), sql("albums tracks", RELEASES + " SELECT title, count(*) AS n FROM g GROUP BY 1"))
 
 
-def merged_groups(k, whole=False):
-    """Release groups of an artist whose keys are alike to 0.85 (key: artist, first six letters; artist alone if `whole`) become one."""
-    g = L.group_releases(k.albums, k.tracks).withColumn("block", F.substring("key", 1, 6))
-    pairs = L.near_pairs(g, ["artist_id"], "release_id", "key", 0.85).toDF("id1", "id2", "key1", "key2") if whole else L.candidate_pairs(g, ["artist_id", "block"], "release_id", "key")
+def merged_groups(k):
+    """Release groups of an artist whose keys are alike to 0.85 become one."""
+    g = L.group_releases(k.albums, k.tracks)
+    pairs = L.near_pairs(g, ["artist_id"], "release_id", "key", 0.85).toDF("id1", "id2", "key1", "key2")
     pairs = pairs.filter(1 - F.levenshtein("key1", "key2") / F.greatest(F.length("key1"), F.length("key2")) >= 0.85)
     return g.join(L.merge_components(pairs), g.release_id == C("id"), "left").groupBy(F.coalesce("label", "release_id").alias("release")).agg(F.count("*").alias("groups"), F.sum("albums").alias("albums"))
 
 
 Q["g03_merged_groups"] = lambda spark, sf: merged_groups(load(spark, sf))
-SQL["g03_merged_groups"] = sql("albums tracks", RELEASES + ", e AS (SELECT x.release_id AS a, y.release_id AS b FROM g x JOIN g y ON x.artist_id = y.artist_id AND left(x.key, 6) = left(y.key, 6) AND x.release_id <> y.release_id AND 1 - levenshtein(x.key, y.key) / greatest(length(x.key), length(y.key)) >= 0.85), r AS (SELECT release_id AS id, release_id AS m FROM g UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id), l AS (SELECT id, min(m) AS release FROM r GROUP BY id) SELECT release, count(*) AS groups, CAST(sum(albums) AS BIGINT) AS albums FROM g JOIN l ON l.id = release_id GROUP BY 1").replace("WITH albums", "WITH RECURSIVE albums", 1)
-Q["g03_merged_groups_whole"] = lambda spark, sf: merged_groups(load(spark, sf), True)
-SQL["g03_merged_groups_whole"] = SQL["g03_merged_groups"].replace(" AND left(x.key, 6) = left(y.key, 6)", "")
+SQL["g03_merged_groups"] = sql("albums tracks", RELEASES + ", e AS (SELECT x.release_id AS a, y.release_id AS b FROM g x JOIN g y ON x.artist_id = y.artist_id AND x.release_id <> y.release_id AND 1 - levenshtein(x.key, y.key) / greatest(length(x.key), length(y.key)) >= 0.85), r AS (SELECT release_id AS id, release_id AS m FROM g UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id), l AS (SELECT id, min(m) AS release FROM r GROUP BY id) SELECT release, count(*) AS groups, CAST(sum(albums) AS BIGINT) AS albums FROM g JOIN l ON l.id = release_id GROUP BY 1").replace("WITH albums", "WITH RECURSIVE albums", 1)
 add("h02_page_metadata", lambda k: k.pages.select("page_id", S.by_class(C("html"), "date").alias("date"), S.by_class(C("html"), "nav").alias("nav"), F.nullif(F.regexp_extract("html", r'name="description" content="([^"]*)"', 1), F.lit("")).alias("description")), "SELECT page_id, nullif(trim(regexp_extract(html, 'class=\"[^\"]*date[^\"]*\"[^>]*>([^<]*)<', 1)), '') AS date, nullif(trim(regexp_extract(html, 'class=\"[^\"]*nav[^\"]*\"[^>]*>([^<]*)<', 1)), '') AS nav, nullif(regexp_extract(html, 'name=\"description\" content=\"([^\"]*)\"', 1), '') AS description FROM pages")
 add("p05_scrobble_tags", lambda k: k.events.select("event_id", F.array_join(S.scrobble_tags(F.when(C("event_id") % 2 == 0, F.concat(F.lit('{"tag":[{"name":"rap","count":'), (C("event_id") % 100).cast("string"), F.lit('},{"name":"jazz","count":50},{"name":"pop","count":5}]}'))).otherwise(F.lit('{"tag":{"name":"solo","count":20}}')), 10, 2), ",").alias("tags")), "SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'solo' WHEN event_id % 100 > 50 THEN 'rap,jazz' WHEN event_id % 100 = 50 THEN 'jazz,rap' WHEN event_id % 100 >= 10 THEN 'jazz,rap' ELSE 'jazz' END AS tags FROM events")
 song = lambda k: k.tracks.select("id", F.to_json(F.struct(C("title").alias("name"), F.array(F.struct(C("artist_id").alias("id")), F.struct((C("artist_id") + 1).alias("id"))).alias("artists"), F.struct(C("album_id").alias("id")).alias("album"), (C("duration_seconds") * 1000).alias("duration_ms"))).alias("doc"))

@@ -12,9 +12,6 @@ Q, SQL = {}, {}
 def add(name, build, text):
     Q[name] = lambda spark, sf: build(load(spark, sf))
     SQL[name] = text
-    if LINES in text:
-        Q[f"{name}_whole"] = lambda spark, sf: build(load(spark, sf), whole)
-        SQL[f"{name}_whole"] = text.replace(LINES, TEXTS)
 
 
 def norm(x, aggressive=False):
@@ -35,13 +32,9 @@ def sub(x, *pairs):
 
 FEAT = "(?:feat\\.?|featuring|ft\\.?|avec|with)\\s+"
 NO_FEAT = (f"(?i)\\({FEAT}[^)]+\\)", ""), (f"(?i)\\[{FEAT}[^\\]]+\\]", ""), (f"(?i)\\b{FEAT}.+", "")
-LINES = "(SELECT doc_id AS id, left(text, 80) AS s FROM documents)"
-line = lambda k: k.documents.select(C("doc_id").alias("id"), F.substring("text", 1, 80).alias("s"))
-#: Every query of LINES is registered a second time, as NAME_whole, over whole texts.
 TEXTS = "(SELECT doc_id AS id, text AS s FROM documents)"
-whole = lambda k: k.documents.select(C("doc_id").alias("id"), C("text").alias("s"))
-one = lambda f: lambda k, rows=line: rows(k).select("id", f(C("s")).alias("out"))
-of = lambda expr: f"SELECT id, {expr} AS out FROM {LINES}"
+one = lambda f: lambda k: k.documents.select(C("doc_id").alias("id"), f(C("text")).alias("out"))
+of = lambda expr: f"SELECT id, {expr} AS out FROM {TEXTS}"
 title = lambda f: lambda k: k.tracks.select("id", f(C("title")).alias("out"))
 of_title = lambda expr: sql("tracks", f"SELECT id, {expr} AS out FROM tracks")
 names = lambda f: lambda k: k.part.select(C("p_partkey").alias("id"), f(C("p_name")).alias("out"))
@@ -75,7 +68,7 @@ add("n17_normalize_instrument", names(lambda c: T.lookup(F.element_at(F.array(*(
 add("n18_validate_names", one(lambda c: F.concat_ws(",", T.valid_artist_name(c).cast("string"), T.valid_title(c).cast("string"))), of("(regexp_matches(s, '[a-zA-Z]') AND length(s) <= 100) || ',' || (regexp_matches(s, '[a-zA-Z0-9]') AND length(s) <= 200)"))
 fr = " + ".join([f"CASE WHEN list_contains(ws, '{w}') THEN 1 ELSE 0 END" for w in T.FRENCH] + [f"CASE WHEN regexp_matches(t, '\\b{w}\\b') THEN 1 ELSE 0 END" for w in T.FRENCH_PATTERNS])
 en = " + ".join(f"CASE WHEN list_contains(ws, '{w}') THEN 1 ELSE 0 END" for w in T.ENGLISH)
-add("n19_detect_language", one(T.detect_language), f"WITH a AS (SELECT id, {norm('s')} AS t FROM {LINES}), b AS (SELECT id, t, string_split(t, ' ') AS ws FROM a), c AS (SELECT id, {fr} AS f, {en} AS e FROM b) SELECT id, CASE WHEN f > e THEN 'fr' WHEN e > f THEN 'en' ELSE 'unknown' END AS out FROM c")
+add("n19_detect_language", one(T.detect_language), f"WITH a AS (SELECT id, {norm('s')} AS t FROM {TEXTS}), b AS (SELECT id, t, string_split(t, ' ') AS ws FROM a), c AS (SELECT id, {fr} AS f, {en} AS e FROM b) SELECT id, CASE WHEN f > e THEN 'fr' WHEN e > f THEN 'en' ELSE 'unknown' END AS out FROM c")
 add("n20_text_stats", lambda k: k.tracks.select("id", T.text_stats(C("title")).alias("x")).select("id", "x.*"), sql("tracks", f"SELECT id, length(title)::INT AS chars, len(regexp_split_to_array(trim(title), '\\s+'))::INT AS words, length(regexp_replace(title, '[^a-zA-Z0-9]', '', 'g'))::INT AS alnum, {feat_sql} <> '' AS has_featuring, regexp_matches(title, '\\([^)]*\\)') AS has_parentheses FROM tracks"))
 add("n21_search_terms", lambda k: k.tracks.join(k.artists.select(C("id").alias("artist_id"), "name"), "artist_id").select("id", F.array_join(F.array_sort(T.search_terms(C("name"), C("title"))), ";").alias("out")), sql("tracks artists", f", n AS (SELECT tracks.id, {norm('name')} AS a, {norm('title')} AS t FROM tracks JOIN artists ON artist_id = artists.id) SELECT id, array_to_string(list_sort(list_distinct(list_filter([a || ' ' || t, a, t] || string_split(t, ' '), lambda x: length(x) > 2))), ';') AS out FROM n"))
 add("n22_format_duration", lambda k: k.tracks.select("id", T.format_duration(C("duration_seconds") * 12).alias("out")), sql("tracks", "SELECT id, CASE WHEN s >= 3600 THEN lpad(CAST(s // 3600 AS VARCHAR), 2, '0') || ':' ELSE '' END || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS out FROM (SELECT id, duration_seconds * 12 AS s FROM tracks)"))

@@ -58,7 +58,7 @@ class Catalog:
     @cached_property
     def credits(self) -> DataFrame:
         kind = F.when(F.col("l_returnflag") == "R", "producer").when(F.col("l_returnflag") == "A", "songwriter").when(F.col("l_linestatus") == "O", "featuring").otherwise("mixing")
-        return self.lineitem.join(F.broadcast(self.supplier), F.col("l_suppkey") == F.col("s_suppkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("track_id"), F.col("s_name").alias("person_name"), kind.alias("credit_type"), F.col("l_partkey").alias("part"))
+        return self.lineitem.join(self.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("track_id"), F.col("s_name").alias("person_name"), kind.alias("credit_type"), F.col("l_partkey").alias("part"))
 
     @cached_property
     def sessions(self) -> DataFrame:

@@ -1,7 +1,8 @@
 """Request rates, activity sessions, session states, cache views, progress, alerts and log summaries.
 
 The functions take a streaming or a static DataFrame of events with a timestamp `ts` and return an
-aggregated one, to be written in update or append mode. State is bounded by the watermark `late`.
+aggregated one, to be written in update or append mode. State is bounded by the watermark `late`: what is
+grouped by key alone on a table is, on a stream, also grouped by a period `keep`, after which it is freed.
 """
 
 from collections.abc import Iterator
@@ -39,19 +40,27 @@ def activity_sessions(events: DataFrame, key: str, gap: str = "5 minutes") -> Da
     return out.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def latest_states(events: DataFrame, key: str) -> DataFrame:
+KEEP = "30 days"
+
+
+def by_period(df: DataFrame, keep: str, *keys: str):
+    """The rows grouped by key; on a stream by key and period, so that a key's state ends with its period."""
+    return df.groupBy(*keys, F.window("ts", keep).alias("period")) if df.isStreaming else df.groupBy(*keys)
+
+
+def latest_states(events: DataFrame, key: str, keep: str = KEEP) -> DataFrame:
     """Latest status, first and last time and number of failures of each key (update mode)."""
-    return timed(events).groupBy(key).agg(F.max_by("status", F.struct("ts", "id")).alias("status"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count_if(F.col("status") == "failed").alias("failures"))
+    return by_period(timed(events), keep, key).agg(F.max_by("status", F.struct("ts", "id")).alias("status"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count_if(F.col("status") == "failed").alias("failures"))
 
 
-def cache_view(entries: DataFrame) -> DataFrame:
+def cache_view(entries: DataFrame, keep: str = KEEP) -> DataFrame:
     """Last write of each key and when it expires."""
-    return timed(entries.withColumn("ts", F.col("created_at"))).groupBy("key").agg(F.max_by("data", F.struct("ts", "event_id")).alias("data"), F.max("ts").alias("written"), F.max("expires_at").alias("expires_at"), F.count("*").alias("writes"))
+    return by_period(timed(entries.withColumn("ts", F.col("created_at"))), keep, "key").agg(F.max_by("data", F.struct("ts", "event_id")).alias("data"), F.max("ts").alias("written"), F.max("expires_at").alias("expires_at"), F.count("*").alias("writes"))
 
 
-def progress(events: DataFrame) -> DataFrame:
+def progress(events: DataFrame, keep: str = KEEP) -> DataFrame:
     """Latest completed number of each step of a session."""
-    return timed(events).groupBy("session", "status").agg(F.max_by("found", F.struct("ts", "id")).alias("latest"), F.max("found").alias("best"))
+    return by_period(timed(events), keep, "session", "status").agg(F.max_by("found", F.struct("ts", "id")).alias("latest"), F.max("found").alias("best"))
 
 
 def first_arrivals(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,10 +92,19 @@ def adapted(multiplier: float, ok: bool) -> float:
 
 
 def adaptive_limits(requests: DataFrame, base: int = 60) -> DataFrame:
-    """The limit of each api after all its requests in order: max(1, int(base * multiplier)). Each key's events are folded in its own row."""
-    step = lambda m, x: F.when(x["ok"], F.least(F.lit(1.0), m * 1.02)).otherwise(F.greatest(F.lit(0.1), m * 0.8))
-    rows = requests.groupBy("api", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "ok"))).alias("xs"))
-    m = F.aggregate("xs", F.lit(1.0), step)
+    """The limit of each api after all its requests of a day in order: max(1, int(base * multiplier)).
+
+    Each request scales and clamps the multiplier, and so does a run of requests: the runs of a minute are folded
+    first, then those of a day, so that no row holds more than a minute's requests or a day's minutes.
+    """
+    step = lambda s, x: F.when(
+        x["ok"], F.struct((s["by"] * 1.02).alias("by"), F.least(F.lit(1.0), s["lo"] * 1.02).alias("lo"), F.least(F.lit(1.0), s["hi"] * 1.02).alias("hi"))
+    ).otherwise(F.struct((s["by"] * 0.8).alias("by"), F.greatest(F.lit(0.1), s["lo"] * 0.8).alias("lo"), F.greatest(F.lit(0.1), s["hi"] * 0.8).alias("hi")))
+    unit = F.struct(F.lit(1.0).alias("by"), F.lit(0.0).alias("lo"), F.lit(1e300).alias("hi"))
+    runs = requests.groupBy("api", F.date_trunc("minute", "ts").alias("minute")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "ok"))).alias("xs"))
+    runs = runs.select("api", F.to_date("minute").alias("day"), "minute", F.aggregate("xs", unit, step).alias("run"))
+    rows = runs.groupBy("api", "day").agg(F.array_sort(F.collect_list(F.struct("minute", "run"))).alias("xs"))
+    m = F.aggregate("xs", F.lit(1.0), lambda m, x: F.least(x["run"]["hi"], F.greatest(x["run"]["lo"], m * x["run"]["by"])))
     return rows.select("api", "day", F.greatest(F.lit(1), (base * m).cast("int")).alias("lim"))
 
 

@@ -1,9 +1,7 @@
-"""Catalogue queries against their DuckDB SQL on the smallest tables: every fourth, or all with ALL_QUERIES=1.
-
-All of them run against their SQL on larger tables outside of the tests.
-"""
+"""Every catalogue query against its DuckDB SQL on the smallest tables; the Spark side runs several queries at a time."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -12,6 +10,8 @@ from mediagrain import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Queries without SQL, each tested against a plain version elsewhere.
+PLAIN = {"c11_merge_credits"}
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +24,19 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module")
+def collected(spark):
+    """A function of a query's name that gives its columns and rows, which are being collected meanwhile."""
+
+    def run(name):
+        got = plans.queries()[name](spark, SF)
+        return got.columns, [x.asDict() for x in got.collect()]
+
+    with ThreadPoolExecutor(6) as pool:
+        found = {name: pool.submit(run, name) for name in NAMES}
+        yield lambda name: found[name].result()
+
+
 def plain(v):
     if isinstance(v, float):
         return None if v != v else round(v, 6)
@@ -34,17 +47,17 @@ def rows(dicts):
     return sorted(repr([(k, plain(v)) for k, v in sorted(d.items())]) for d in dicts)
 
 
-NAMES = sorted(plans.queries())[:: 1 if os.environ.get("ALL_QUERIES") else 4]
+NAMES = sorted(plans.oracle_sql())
 
 
 def test_every_query_has_sql():
-    assert set(plans.queries()) == set(plans.oracle_sql())
+    assert set(plans.queries()) - PLAIN == set(NAMES)
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_matches_sql(spark, duck, name):
-    got = plans.queries()[name](spark, SF)
+def test_matches_sql(collected, duck, name):
+    columns, got = collected(name)
     r = duck.execute(plans.oracle_sql()[name])
     names = [d[0] for d in r.description]
-    assert sorted(names) == sorted(got.columns)
-    assert rows(x.asDict() for x in got.collect()) == rows(dict(zip(names, x, strict=True)) for x in r.fetchall())
+    assert sorted(names) == sorted(columns)
+    assert rows(got) == rows(dict(zip(names, x, strict=True)) for x in r.fetchall())

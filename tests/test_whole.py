@@ -1,4 +1,4 @@
-"""Queries named NAME_whole look at whole texts and tables: all of them against their SQL, and against the part NAME sees."""
+"""Operators that look at whole texts, whole tables and all pairs."""
 
 import math
 import random
@@ -8,49 +8,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediagrain import plans
+from mediagrain.operators import lookup, ranking
+from mediagrain.operators.components import components, spread_join
 from mediagrain.operators.documents import repetition_of_all
 from mediagrain.operators.linkage import candidate_pairs, near_pairs
-from tests.test_oracle import SF, duck, rows  # noqa: F401
-
-TEXTS = "n01_normalize_text n01b_normalize_text_aggressive n02_clean_artist_name n05_remove_special_chars n10_name_key n13_fix_encoding n14_strip_control_chars n16_name_case n18_validate_names n19_detect_language".split()
-
-
-def matched(spark, duck, name):  # noqa: F811
-    got = [x.asDict() for x in plans.queries()[name](spark, SF).collect()]
-    r = duck.execute(plans.oracle_sql()[name])
-    names = [d[0] for d in r.description]
-    assert rows(got) == rows(dict(zip(names, x, strict=True)) for x in r.fetchall())
-    return got
-
-
-@pytest.mark.parametrize("name", TEXTS)
-def test_whole_texts(spark, duck, name):  # noqa: F811
-    got = {r["id"]: r["out"] for r in matched(spark, duck, f"{name}_whole")}
-    part = {r["id"]: r["out"] for r in plans.queries()[name](spark, SF).collect()}
-    assert set(got) == set(part) and got != part
-
-
-TABLES = "q05_tracks_by_artist q06_albums_by_artist q07_credits_by_track a10_selected_sessions q27_invalidate_on_event w04_distinct_in_order d08_apply_merges d13_components d14_cross_reference d16_best_match".split()
-
-
-@pytest.mark.parametrize("name", TABLES)
-def test_whole_tables(spark, duck, name):  # noqa: F811
-    got = rows(matched(spark, duck, f"{name}_whole"))
-    assert got != rows(x.asDict() for x in plans.queries()[name](spark, SF).collect())
+from tests.test_oracle import SF
 
 
 def test_every_key_is_in_order(spark):
     for name, key in ("q05_tracks_by_artist", "artist_id"), ("q06_albums_by_artist", "artist_id"), ("q07_credits_by_track", "track_id"):
-        keys = [r[key] for r in plans.queries()[f"{name}_whole"](spark, SF).collect()]
+        keys = [r[key] for r in plans.queries()[name](spark, SF).collect()]
         assert keys == sorted(keys) and len(set(keys)) > 100, name
 
 
-@pytest.mark.parametrize("name", ["d01_track_duplicates", "d04_confidence", "d06_artist_duplicates", "d07_should_merge", "d12_merge_similar_names", "g03_merged_groups"])
-def test_keys_lose_nothing(spark, duck, name):  # noqa: F811
-    matched(spark, duck, f"{name}_whole")
-
-
-@pytest.mark.parametrize("ratio", [0.9, 0.85])
+@pytest.mark.parametrize("ratio", [0.9, 0.85, 0.7])
 def test_near_pairs_miss_none(spark, ratio):
     rng = random.Random(5)
     names = ["", "a", "b", "ab"]
@@ -62,17 +33,55 @@ def test_near_pairs_miss_none(spark, ratio):
                 at = rng.randrange(len(x))
                 x[at : at + rng.randrange(2)] = rng.choice(["", "z", "a"])
             names.append("".join(x))
+    rng.shuffle(names)
     df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
     near = lambda d: d.filter(1 - F.levenshtein("name1", "name2") / F.greatest(F.length("name1"), F.length("name2"), F.lit(1)) >= ratio).select("id1", "id2").collect()
-    got, want = near(near_pairs(df, [], "id", "name", ratio)), near(candidate_pairs(df.withColumn("k", F.lit(1)), ["k"], "id", "name"))
+    got, want = near(near_pairs(df, [], "id", "name", ratio, common=20)), near(candidate_pairs(df.withColumn("k", F.lit(1)), ["k"], "id", "name"))
     assert len(want) > 20 and sorted(got) == sorted(want)
 
 
-def test_all_frames_meet(spark, duck):  # noqa: F811
-    matched(spark, duck, "f02_repetition_whole")
+def test_all_frames_meet(spark):
     far = spark.createDataFrame([(1, i, [1.0, 0.0] if i in (0, 59) else [math.cos(1.6 + i), math.sin(1.6 + i) * 9]) for i in range(60)], "g int, k int, v array<double>")
     v = [np.array(r.v) / np.linalg.norm(r.v) for r in far.collect()]
     want = sum(a @ b > 0.8 for i, a in enumerate(v) for b in v[i + 1 :])
     for block in (7, 512):
         got = repetition_of_all(far, "g", "k", "v", block=block).first()
         assert (got.alike, got.pairs) == (want, 60 * 59 // 2)
+
+
+def test_oldest_rows_go(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(100)], "at int, key int").repartition(5)
+    for share in (0.0, 0.004, 0.5, 0.77, 1.0):
+        left = sorted((r.at, r.key) for r in lookup.evict_oldest(df, share, "at", "key").collect())
+        assert left == sorted((i % 7, i) for i in range(100))[int(100 * share) :]
+
+
+def test_invalidation_by_kind_of_pattern(spark):
+    entries = spark.createDataFrame([(k,) for k in ("a:1", "a:12", "b:1", "b:22", "c_1", "cx1", "z:9", "q")], "key string")
+    events = spark.createDataFrame([("x", 1), ("x", 12), ("y", 2), ("w", 9), ("v", 0)], "event string, id long")
+    rules = spark.createDataFrame([("x", "a:{id}"), ("y", "b:{id}*"), ("w", "*:{id}"), ("v", "c_?")], "event string, pattern string")
+    assert sorted(r.key for r in lookup.invalidate(entries, events, rules).collect()) == ["b:1", "cx1", "q"]
+    assert lookup.invalidate(entries, events.limit(0), rules).count() == 8
+
+
+def test_exponential_mean_over_chunks(spark):
+    rng = random.Random(3)
+    given = [(k, 1_700_000_000 + rng.randrange(90_000), i, rng.random()) for k in "ab" for i in range(60)]
+    df = spark.createDataFrame(given, "k string, t long, id int, x double").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r.k: r.ema for r in ranking.exponential_mean(df, "k", ["ts", "id"], "x").collect()}
+    for k in "ab":
+        xs = [x for c, t, i, x in sorted(given) if c == k]
+        m = xs[0]
+        for x in xs[1:]:
+            m = (m + x) / 2
+        assert abs(got[k] - m) < 1e-12
+
+
+def test_hubs_and_hot_keys_are_spread(spark):
+    edges = [(100, i) for i in range(101, 160)] + [(3, 100), (7, 8), (8, 9), (9, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.id: r.label for r in components(df, spread=1).collect()} == {**dict.fromkeys([3, *range(100, 160)], 3), 7: 7, 8: 7, 9: 7}
+    rows = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 1), ("gone", 2)], "k string, i int")
+    by = spark.createDataFrame([("hot", 50, "H"), ("cold", 1, "C")], "k string, n long, v string")
+    got = spread_join(rows, by, ["k"], most=4, floor=5)
+    assert sorted((r.k, r.v) for r in got.collect()) == [("cold", "C")] + [("hot", "H")] * 50
