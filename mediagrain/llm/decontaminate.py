@@ -1,15 +1,17 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, checked word by word.
 
-The benchmark's word windows are hashed into a small table that every task holds. A task hashes all
-windows of its documents with numpy, asks a bit table, then the hash set, and compares the words of
-each hit with the item's, so the result doesn't rest on hashes. Nothing is shuffled.
+The benchmark's word windows are hashed into sorted arrays (about 5 bytes for each of its own), which every
+task holds. A task hashes all windows of its documents with numpy, asks a bit table, then the hash set, and
+compares the words of each hit with the item's, so the result doesn't rest on hashes. Nothing is shuffled.
 
-A benchmark over `block_mb` is cut into blocks by item; the documents then pass one block after
-another in the same stage and carry their hit words along, so no broadcast exceeds the bound.
+A benchmark over `block_mb` is cut into blocks by item, built one at a time in the driver; each block is a
+job of its own over the documents, which carry their hit words along in a written table, so no broadcast
+exceeds the bound (but for a single item that is longer by itself).
 
 Nulls and odd cases: a null or empty text has no words and is clean; a null item id is the empty id;
 items without words never occur; repeated items or item ids count once; an empty benchmark hits nothing;
-repeated document rows are judged one by one. Other columns of the input are never looked at.
+repeated document rows are judged one by one; windows of equal words are one window, whose items all count;
+a doc_id may be of any type. Other columns of the input, whatever their names, are never looked at.
 """
 
 import numpy as np
@@ -17,42 +19,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediagrain.llm.textkit import ALNUM, LOWER, Words, bounded_batches, gram_hashes, inside, per_row, text_slices, word_hashes
+from mediagrain.llm.components import written
+from mediagrain.llm.textkit import ALNUM, LOWER, Words, bounded_batches, gram_hashes, inside, per_row, text_slices, window_sums, word_hashes
 
 
 class Windows:
-    """The windows of some benchmark items: hash -> [(words, item ids)], and a bit table by window length."""
+    """The distinct windows of some benchmark items.
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
-        self.known: dict[int, dict[int, dict[bytes, list[str]]]] = {}
-        col = pa.array([t for _, t in items], pa.large_string())
-        for lo, _, data, off in text_slices(col):
+    For each window length: the sorted hashes, the place of one such window in the benchmark's words, and the
+    bounds of its items in `items`; a bit table answers most questions.
+    """
+
+    def __init__(self, table: pa.Table, n: int):
+        """`table` has item_id and text."""
+        self.ids = table.column("item_id").combine_chunks()
+        data_, starts, ends, base, words = [], [], [], 0, 0
+        found: dict[int, list] = {}
+        for lo, _, data, off in text_slices(table.column("text")):
             w = Words(LOWER[data], off, ALNUM)
-            hashes = word_hashes(w)
-            for r, size in enumerate(w.counts):
-                if size:
-                    k, at = min(n, int(size)), int(w.first[r])
-                    for i, h in enumerate(gram_hashes(hashes[at : at + size], k).tolist()):
-                        ids = self.known.setdefault(k, {}).setdefault(h, {}).setdefault(w.join(at + i, at + i + k), [])
-                        if items[lo + r][0] not in ids:
-                            ids.append(items[lo + r][0])
-        self.bits = {}
-        for k, hashes in self.known.items():
-            self.bits[k] = np.zeros(1 << 22, bool)
-            self.bits[k][np.fromiter(hashes, np.uint64, len(hashes)) >> np.uint64(42)] = True
+            rows, counts, h1, h2 = w.rows(), w.counts, word_hashes(w), word_hashes(w, 1)
+            data_.append(w.data)
+            starts.append(w.starts + base)
+            ends.append(w.ends + base)
+            at = np.flatnonzero(inside(rows, n))
+            if len(at):
+                found.setdefault(n, []).append((gram_hashes(h1, n)[at], gram_hashes(h2, n)[at], at + words, rows[at] + lo))
+            for k in np.unique(counts[(counts > 0) & (counts < n)]).tolist():
+                r = np.flatnonzero(counts == k)
+                a, e = w.first[r], w.first[r] + k
+                found.setdefault(k, []).append((window_sums(h1, a, e), window_sums(h2, a, e), a + words, r + lo))
+            base += len(data)
+            words += len(rows)
+        join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+        self.data, self.starts, self.ends = join(data_, np.uint8), join(starts, np.uint32), join(ends, np.uint32)
+        self.known, self.bits = {}, {}
+        for k, parts in found.items():
+            h, h2, at, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((item, h2, h))
+            h, h2, at, item = h[order], h2[order], at[order], item[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
+            first = np.flatnonzero(new)
+            self.known[k] = h[first], at[first].astype(np.uint32), np.append(first, len(h)).astype(np.int64), item.astype(np.int32)
+            size = min(26, max(12, int(len(first) * 16 - 1).bit_length()))
+            self.bits[k] = size, np.zeros(1 << size, bool)
+            self.bits[k][1][h[first] >> np.uint64(64 - size)] = True
+
+    def nbytes(self) -> int:
+        parts = [self.data, self.starts, self.ends, *(a for x in self.known.values() for a in x), *(b for _, b in self.bits.values())]
+        return sum(a.nbytes for a in parts)
+
+    def _words(self, i: int, k: int) -> list[bytes]:
+        return [self.data[self.starts[x] : self.ends[x]].tobytes() for x in range(i, i + k)]
 
     def mark(self, w: Words, hashes: np.ndarray, rows: np.ndarray, items: list[set]) -> np.ndarray:
-        """Which words are inside an occurring window; adds the items to each text's set."""
+        """Which words are inside an occurring window; adds the items (as numbers) to each text's set."""
         delta = np.zeros(len(hashes) + 1, np.int64)
-        for k, known in self.known.items():
-            g = gram_hashes(hashes, k)
-            for i in np.flatnonzero(self.bits[k][g >> np.uint64(42)] & inside(rows, k)).tolist():
-                if (same := known.get(int(g[i]))) and (ids := same.get(w.join(i, i + k))):
-                    delta[i] += 1
-                    delta[i + k] -= 1
-                    items[rows[i]].update(ids)
+        for k, (known, place, bounds, item) in self.known.items():
+            g, (size, bits) = gram_hashes(hashes, k), self.bits[k]
+            at = np.flatnonzero(bits[g >> np.uint64(64 - size)] & inside(rows, k))
+            first = np.searchsorted(known, g[at])
+            hit = first < len(known)
+            hit[hit] = known[first[hit]] == g[at[hit]]
+            for i, x in zip(at[hit].tolist(), first[hit].tolist(), strict=True):
+                own = None
+                while x < len(known) and known[x] == g[i]:
+                    own = own or [w.data[w.starts[y] : w.ends[y]].tobytes() for y in range(i, i + k)]
+                    if own == self._words(int(place[x]), k):
+                        delta[i] += 1
+                        delta[i + k] -= 1
+                        items[rows[i]].update(item[bounds[x] : bounds[x + 1]].tolist())
+                    x += 1
         return np.cumsum(delta[:-1]) > 0
 
+    def names(self, items: set) -> list[str]:
+        return [self.ids[i].as_py() for i in items]
+
 
 def _kept(data: np.ndarray, w: Words, hit: np.ndarray, r: int) -> bytes:
     """A text without its runs of hit words (and what stands between the words of a run)."""
@@ -66,25 +108,24 @@ def _kept(data: np.ndarray, w: Words, hit: np.ndarray, r: int) -> bytes:
     return b"".join([*out, data[at:hi].tobytes()])
 
 
-def _blocks(items: DataFrame, block_mb: int):
-    """The benchmark's items as lists of about `block_mb` at most, one in the driver at a time."""
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-int(size) * 4 // (block_mb << 20)))
-    for b in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield [(i, t) for i, t in part.collect()]
+def _blocks(items: DataFrame, block_mb: float) -> list:
+    """For each of the benchmark's blocks of about `block_mb` a function that fetches its items."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-int(size) // int(block_mb * (1 << 20))))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return [lambda b=b: items.filter(block == b).toArrow() for b in range(n)]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_mb: int = 64, with_text: bool = False) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_mb: float = 16, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, item_ids (array), and kept_text (hit spans cut out) if asked for."""
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter(F.col("text").isNotNull()).distinct()
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull()).distinct()
     df = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(None).cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("item_ids"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("string").alias("kept_text"))
     schema = df.schema
-    parts = list(_blocks(items, block_mb))
-    for b, part in enumerate(parts):
-        shared, last = spark.sparkContext.broadcast(Windows(part, n)), b == len(parts) - 1
+    blocks = _blocks(items, block_mb)
+    for b, fetch in enumerate(blocks):
+        shared, last = spark.sparkContext.broadcast(Windows(fetch(), n)), b == len(blocks) - 1
 
         def run(batches, shared=shared, last=last, first=b == 0):
             windows: Windows = shared.value
@@ -93,16 +134,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_mb: int = 64,
                 out = {"hits": [], "item_ids": [], "n_words": [], "n_hit": [], "kept_text": []}
                 for lo, hi, data, off in text_slices(text):
                     w = Words(LOWER[data], off, ALNUM)
-                    rows = w.rows()
-                    items = [set() for _ in range(hi - lo)] if first else [set(x) for x in batch.column("item_ids").slice(lo, hi - lo).to_pylist()]
-                    hit = windows.mark(w, word_hashes(w), rows, items)
+                    items = [set() for _ in range(hi - lo)]
+                    hit = windows.mark(w, word_hashes(w), w.rows(), items)
+                    names = [windows.names(x) for x in items]
                     if not first:
                         for r, old in enumerate(batch.column("hits").slice(lo, hi - lo).to_pylist()):
                             hit[np.asarray(old or [], np.int64) + w.first[r]] = True
+                        names = [x + y for x, y in zip(names, batch.column("item_ids").slice(lo, hi - lo).to_pylist(), strict=True)]
                     hits = per_row(hit, w.first)
                     out["n_words"].append(w.counts)
                     out["n_hit"].append(hits)
-                    out["item_ids"] += [sorted(x) for x in items]
+                    out["item_ids"] += [sorted(set(x)) for x in names]
                     out["hits"] += [None] * (hi - lo) if last else [(np.flatnonzero(hit[w.first[r] : w.first[r + 1]])).tolist() for r in range(hi - lo)]
                     out["kept_text"] += [_kept(data, w, hit, r).decode() if h else None for r, h in enumerate(hits)] if last and with_text else [None] * (hi - lo)
                 arrays = {"doc_id": batch.column("doc_id"), "text": text if with_text or not last else pa.nulls(len(text), text.type)}
@@ -114,6 +156,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_mb: int = 64,
                 yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
 
         df = df.select("doc_id", "text", "hits", "item_ids", "n_words", "n_hit", "kept_text").mapInArrow(run, schema)
+        if not last:
+            df = written(df, "block")
+            shared.unpersist()
     if with_text:
         df = df.withColumn("kept_text", F.coalesce("kept_text", "text"))
     return df.drop("hits", "text", *([] if with_text else ["kept_text"]))

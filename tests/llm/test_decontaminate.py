@@ -1,4 +1,8 @@
+import numpy as np
+import pyarrow as pa
+
 from mediagrain.llm import decontaminate as d
+from mediagrain.llm.textkit import ALNUM, Words, column_bytes, gram_hashes, word_hashes
 
 
 def test_spans_items_and_odd_rows(spark, odd_docs, no_docs):
@@ -8,8 +12,9 @@ def test_spans_items_and_odd_rows(spark, odd_docs, no_docs):
         "doc_id long, text string, n_words int, hits string",
     )
     bench = spark.createDataFrame([("10", " ".join(words)), ("9", " ".join(words[:12])), ("7", "short, ITEM"), ("8", ""), (None, "zz"), ("7", "short, ITEM"), ("6", None)], "item_id string, text string")
-    for block in (64, 0.00001):
-        got = {r.doc_id: r for r in d.scan(docs, bench, block_mb=64).collect()} if block == 64 else {r.doc_id: r for r in _blocks(d, docs, bench)}
+    for block_mb in (16, 0.0002):
+        assert (len(d._blocks(bench.select("item_id", "text").filter("text is not null"), block_mb)) > 1) == (block_mb < 1)
+        got = {r.doc_id: r for r in d.scan(docs, bench, block_mb=block_mb).collect()}
         assert (got[1].n_words, got[1].n_hit, got[1].item_ids) == (12, 10, ["10", "9"])
         assert (got[2].n_hit, got[2].item_ids) == (0, [])
         assert (got[3].n_hit, got[3].item_ids) == (2, ["7"])
@@ -23,11 +28,27 @@ def test_spans_items_and_odd_rows(spark, odd_docs, no_docs):
     assert d.decontaminate(odd_docs, bench).count() == 9
 
 
-def _blocks(d, docs, bench):
-    """The same by several blocks of items."""
-    whole = d._blocks
-    d._blocks = lambda items, mb: ([r] for r in [tuple(x) for x in items.collect()])
-    try:
-        return d.scan(docs, bench).collect()
-    finally:
-        d._blocks = whole
+def test_blocks_give_the_same_texts(spark, sf):
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(str, d.scan(docs, bench, with_text=True).collect()))
+    assert sorted(map(str, d.scan(docs, bench, block_mb=0.002, with_text=True).collect())) == whole
+    assert len(d._blocks(bench, 0.002)) > 2
+
+
+def test_windows_are_compact_and_compare_words():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"word{x}" for x in rng.integers(0, 50_000, 4000)) for _ in range(100)]
+    table = pa.table({"item_id": [str(i) for i in range(100)], "text": texts})
+    windows = d.Windows(table, 10)
+    size = sum(map(len, texts))
+    assert windows.nbytes() < 8 * size
+    data, off = column_bytes(pa.array([" ".join(texts[7].split()[100:130]), "word1 " * 40]))
+    w = Words(data, off, ALNUM)
+    items = [set(), set()]
+    assert windows.mark(w, word_hashes(w), w.rows(), items).sum() == 30 and items == [{7}, set()]
+    other = word_hashes(w).copy()
+    known, place, bounds, item = windows.known[10]
+    known[:] = np.sort(gram_hashes(other, 10)[-1:].repeat(len(known)))  # every hash is that of the last window
+    windows.bits[10][1][:] = True
+    items = [set(), set()]
+    assert windows.mark(w, other, w.rows(), items).sum() == 0 and items == [set(), set()]
