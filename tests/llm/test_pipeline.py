@@ -23,9 +23,10 @@ def plain_line_dedup(docs):
     for r in sorted(docs, key=lambda r: r.doc_id):
         lines = r.text.split("\n")
         v = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        r = [(v[i] + 31 * (v[i - 1] if i else 0)) % 2**32 for i in range(len(v))]
         chunks, at = [], 0
         for i in range(len(lines)):
-            if i == len(lines) - 1 or (v[i] + 31 * (v[i - 1] if i else 0)) % 4 == 0:
+            if i == len(lines) - 1 or (1 <= i <= len(lines) - 3 and r[i] < r[i - 1] and r[i] <= r[i + 1]):
                 chunks.append(lines[at : i + 1])
                 at = i + 1
         kept = []
