@@ -174,7 +174,7 @@ class SignatureTrees:
         if not top:
             return
         roots = np.arange(len(self.levels[top][0]))
-        chunk = max(256, chunk_bytes // (8 * self.levels[0][0].shape[1]))
+        chunk = min(1 << 13, max(256, chunk_bytes // (8 * self.levels[0][0].shape[1])))  # a pair of nodes makes fan * fan below
         stack = [(top, roots, roots)]
         while stack:
             level, i, j = stack.pop()
@@ -332,6 +332,7 @@ def _pair_units(nodes: DataFrame, by: list[str], meets) -> DataFrame:
 
 def _grouped(members: DataFrame, name: str, weight) -> DataFrame:
     """The rows of groups of two or more, with the group's summed weight; written."""
+    members = written(members, f"{name}_all")
     sizes = written(members.groupBy("grp").agg(F.count("*").alias("n"), F.sum(weight).alias("weight")).filter("n > 1"), f"{name}_sizes")
     rows = members.withColumnRenamed("n", "size")
     return written(spread_join(rows, sizes, ["grp"]).select("grp", "doc_id", F.col("size").alias("n"), "weight"), name)
