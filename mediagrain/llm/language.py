@@ -14,7 +14,8 @@ Scoring is a numpy pass inside the scan's tasks over whole texts; nothing is shu
 
 Nulls and odd cases: a null text or one without a letter is `und` with score 0; rows with a null language,
 text or id train nothing; equal code lengths go to the first language by name; without training rows all
-is `und`; an empty table gives no rows; other columns are never looked at.
+is `und`; repeated rows are judged one by one; an empty table gives no rows; other columns, whatever their
+names, are never looked at.
 """
 
 import numpy as np

@@ -16,8 +16,13 @@ What is left when a task ends goes down through the tiers as full windows; only
 smallest tier, is padded. sequence_id = task's partition * 2**36 + a running number, step_group alike; a
 task that is run anew reads the same rows in the same order and so gives the same ids.
 
+A DataFrame that isn't read from files alone (a join, a shuffle) is written to the shared folder first, because
+a task that is run anew must see the same rows in the same order.
+
 Nulls and odd cases: a null text is the empty text, whose document is the closing token alone; an empty
-table gives no rows; repeated rows are packed one by one; very long texts are cut over many windows.
+table gives no rows; repeated rows are packed one by one; very long texts are cut over many windows; pieces of
+equal length are taken by row order; a doc_id may be null or of any type; other columns, whatever their names,
+are never looked at.
 """
 
 import re
@@ -29,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediagrain.llm.components import written
 from mediagrain.llm.textkit import bounded_batches, column_bytes
 
 TIERS = (256, 512, 1024, 2048)
@@ -194,6 +200,12 @@ def step_groups(windows: list[tuple[int, list]], step_tokens: int, longest: int)
     return out
 
 
+def from_files(df: DataFrame) -> bool:
+    """Whether the rows come from files by narrow steps alone, so that a task sees the same rows each time it is run."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return all(any(x in line for x in ("Project ", "Filter ", "Relation ")) for line in plan.splitlines() if line.strip())
+
+
 def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = 1, pool_tokens: int = 1 << 19, step_tokens: int = 32_768, cache_words: int = 800_000) -> DataFrame:
     """One row per piece: doc_id and the columns of SCHEMA."""
     bounded_batches(docs.sparkSession)
@@ -242,7 +254,10 @@ def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = 1, pool_tok
         if doc_type is not None and rows:
             yield flush(True)
 
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if not from_files(rows):
+        rows = written(rows, "to_pack")
+    return rows.mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ rows among the training labels unless given. Scoring is a numpy pass inside the
 texts, with nothing shuffled.
 
 Nulls and odd cases: a null or empty text has no words and gets the score of the bias alone; null labels
-and ids are no training rows; repeated labels count once; without positives every score is 0; an empty
-table gives no rows; other columns are never looked at.
+and ids are no training rows; repeated labels count once (the largest); repeated rows are scored one by one;
+equal texts get equal scores, and a score of just the threshold is toxic; without positives every score is 0; an
+empty table gives no rows; other columns, whatever their names, are never looked at.
 """
 
 import numpy as np
@@ -53,21 +54,31 @@ def scaled(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(1.0 + n), 3)
 
 
+def nnpu_risk(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray]:
+    """prior * R_P(+), the corrected negative risk R_U(-) - prior * R_P(-), and the gradient for (w, b) of the step to take.
+
+    The gradient is that of both risks; where the negative risk is below zero, that of its opposite alone.
+    """
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    own = w.astype(p.dtype)  # so that the sample is not copied to a wider type
+    fp, fu = p @ own + b, u @ own + b
+    positive = prior * np.logaddexp(0, -fp).mean()
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    on_p = -prior * sigmoid(-fp) / len(fp)  # of prior * R_P(+)
+    neg_p, neg_u = -prior * sigmoid(fp) / len(fp), sigmoid(fu) / len(fu)
+    if negative < 0:
+        on_p, neg_p, neg_u = 0 * on_p, -neg_p, -neg_u
+    gp = on_p + neg_p
+    return positive, negative, np.append(p.T @ gp.astype(p.dtype) + u.T @ neg_u.astype(u.dtype), gp.sum() + neg_u.sum())
+
+
 def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear nnPU classifier, by Adam on the whole sample."""
     p, u = x[positive], x[~positive]
     w, b = np.zeros(x.shape[1]), -2.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        fp, fu = p @ w + b, u @ w + b
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        on_p = -prior * sigmoid(-fp) / len(fp)  # of prior * R_P(+)
-        neg_p, neg_u = -prior * sigmoid(fp) / len(fp), sigmoid(fu) / len(fu)
-        if negative < 0:
-            on_p, neg_p, neg_u = 0 * on_p, -neg_p, -neg_u
-        gp = on_p + neg_p
-        g = np.append(p.T @ gp + u.T @ neg_u + decay * w, gp.sum() + neg_u.sum())
+        g = nnpu_risk(p, u, w, b, prior)[2] + decay * np.append(w, 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
