@@ -5,10 +5,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Theme keywords, explicit words and stop words.
-THEMES = {"money": ("money", "cash", "rich", "argent"), "success": ("success", "win", "top", "best"), "struggle": ("fight", "hard", "pain", "dur"), "street": ("street", "block", "rue"), "family": ("mother", "brother", "famille"), "love": ("love", "heart", "amour"), "drugs": ("smoke", "high", "joint"), "violence": ("gun", "war", "blood", "sang")}
+# Explicit words.
 EXPLICIT = ("shit", "fuck", "bitch", "ass", "damn", "hell", "merde", "putain", "connard", "salope", "bordel")
-STOPS = ("le", "de", "et", "un", "en", "que", "pour", "dans", "ce", "une", "sur", "avec", "par", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from")
 
 
 def clean_lyrics(c: Column) -> Column:
@@ -41,23 +39,6 @@ def repeated_lines(lines: DataFrame, key: str) -> DataFrame:
     return lines.filter(F.trim("line") != "").groupBy(key, F.lower(F.trim("line")).alias("line")).agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).filter("n > 1")
 
 
-def end_rhymes(lines: DataFrame, key: str) -> DataFrame:
-    """Groups of two or more lines that end in the same three letters: rhyming lines, groups, density."""
-    last = F.lower(F.regexp_extract("line", r"(\w+)\s*$", 1))
-    rhyme = lines.withColumn("r", F.right(last, F.lit(3))).filter(F.length("r") == 3)
-    total = lines.filter(F.trim("line") != "").groupBy(key).agg(F.count("*").alias("lines"))
-    groups = rhyme.groupBy(key, "r").agg(F.count("*").alias("n")).filter("n > 1").groupBy(key).agg(F.sum("n").alias("rhyming"), F.count("*").alias("groups"))
-    return total.join(groups, key, "left").na.fill(0, ["rhyming", "groups"]).withColumn("density", F.round(F.col("rhyming") / F.col("lines"), 6))
-
-
-def themes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Keyword hits of each theme: exploded words against a broadcast keyword table."""
-    spark = df.sparkSession
-    table = spark.createDataFrame([(w, t) for t, ws in THEMES.items() for w in ws], "word string, theme string")
-    hits = df.select(key, F.explode(words(F.col(text))).alias("word")).join(F.broadcast(table), "word")
-    return hits.groupBy(key, "theme").agg(F.count("*").alias("n"))
-
-
 def explicit(df: DataFrame, key: str, text: str) -> DataFrame:
     w = words(F.col(text))
     n = F.size(F.filter(w, lambda x: x.isin(*EXPLICIT)))
@@ -65,17 +46,32 @@ def explicit(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, n.alias("explicit"), F.when(share > 0.05, "high").when(share > 0.02, "medium").when(n > 0, "low").otherwise("none").alias("severity"))
 
 
-def vocabulary(df: DataFrame, key: str, text: str, k: int = 10) -> DataFrame:
-    """The k most frequent words that aren't stop words, most frequent first, ties by word."""
-    counts = df.select(key, F.explode(words(F.col(text))).alias("word")).filter(~F.col("word").isin(*STOPS)).groupBy(key, "word").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "word"))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= k)
+# Patterns of page fields, the first that hits counts.
+FIELD_PATTERNS = {
+    "bpm": (r"(?i)(?:BPM|Tempo):\s*(\d+)", r"(?i)(\d+)\s*BPM", r"(?i)Beats Per Minute.*?(\d+)"),
+    "key": (r"(?i)(?:Key|Tonalité):\s*([A-G][#b]?\s*(?:major|minor|maj|min)?)", r"(?i)Musical Key.*?([A-G][#b]?\s*(?:major|minor|maj|min)?)"),
+    "minutes": (r"(?i)(?:Duration|Length):\s*(\d+):\d+", r"(?i)(\d+):\d+\s*(?:minutes?|mins?)"),
+    "seconds": (r"(?i)(?:Duration|Length):\s*\d+:(\d+)", r"(?i)\d+:(\d+)\s*(?:minutes?|mins?)"),
+    "year": (r"(?i)(?:year|released?)[:\s]*(\d{4})",),
+    "label": (r"(?i)(?:record label|label):\s*([^,\n<]+)",),
+    "genre": (r"(?i)(?:genre|style):\s*([^,\n<]+)",),
+    "album": (r"(?i)album:\s*([^,\n<]+)",),
+}
+
+
+def first_hit(c: Column, patterns) -> Column:
+    """The first group of the first pattern that hits; null if none does."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in patterns))
 
 
 def page_details(pages: DataFrame) -> DataFrame:
-    """Title, heading, language and charset of each page."""
-    first = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
-    return pages.select("page_id", first(r"<title>([^<]*)</title>").alias("title"), first(r"<h1[^>]*>([^<]*)</h1>").alias("h1"), first(r'<html lang="([^"]*)"').alias("lang"), first(r'charset="([^"]*)"').alias("charset"))
+    """Heading (or title), split in artist and title at ` - `, language, charset, and the fields of music pages: bpm, key, seconds, year, label, genre, album."""
+    first = lambda p: F.nullif(F.trim(F.regexp_extract("html", p, 1)), F.lit(""))
+    found = pages.select("page_id", F.coalesce(first(r"<h1[^>]*>([^<]*)</h1>"), first(r"<title>([^<]*)</title>")).alias("heading"), first(r'<html lang="([^"]*)"').alias("lang"), first(r'charset="([^"]*)"').alias("charset"), *(F.trim(first_hit(F.col("html"), ps)).alias(c) for c, ps in FIELD_PATTERNS.items()))
+    parts = F.split("heading", " - ", 2)
+    two = F.size(parts) == 2
+    length = F.col("minutes").cast("int") * 60 + F.col("seconds").cast("int")
+    return found.select("page_id", "heading", F.when(two, F.trim(parts[0])).alias("artist"), F.when(two, F.trim(parts[1])).alias("title"), "lang", "charset", F.col("bpm").cast("int").alias("bpm"), "key", length.alias("duration_seconds"), F.col("year").cast("int").alias("year"), "label", "genre", "album")
 
 
 def page_text(c: Column) -> Column:
@@ -83,11 +79,16 @@ def page_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"\s+", " "))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """A row for each anchor: page, position, target, text."""
+def page_links(pages: DataFrame, only: str | None = None) -> DataFrame:
+    """A row for each anchor: page, its url, position, absolute target and text; `only` is a pattern that the target's path must hold."""
     pattern = r'<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
     pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), 1).alias("href"), F.regexp_extract_all("html", F.lit(pattern), 2).alias("label"))
-    return pages.select("page_id", F.posexplode(pairs).alias("pos", "x")).select("page_id", "pos", "x.*")
+    rows = pages.select("page_id", "url", F.posexplode(pairs).alias("pos", "x")).select("page_id", "url", "pos", "x.*")
+    site, folder = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]+)", 1), F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]+(?:/[^?#]*/|/)?)", 1)
+    scheme = F.regexp_extract("url", r"^([a-zA-Z]+:)", 1)
+    target = F.when(F.col("href").rlike("^[a-zA-Z]+:"), F.col("href")).when(F.col("href").startswith("//"), F.concat(scheme, F.col("href"))).when(F.col("href").startswith("/"), F.concat(site, F.col("href"))).when(F.col("href").rlike("^[?#]|^$"), F.concat(F.regexp_extract("url", "^([^?#]*)", 1), F.col("href"))).otherwise(F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), F.col("href")))
+    out = rows.select("page_id", "url", "pos", target.alias("target"), F.trim("label").alias("label"))
+    return out.filter(F.regexp_extract("target", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1).rlike(only)) if only else out
 
 
 def flatten_payload(df: DataFrame, column: str, schema: str, prefix: str = "") -> DataFrame:
@@ -95,17 +96,32 @@ def flatten_payload(df: DataFrame, column: str, schema: str, prefix: str = "") -
     return df.withColumn("_p", F.from_json(column, schema)).select(*[c for c in df.columns if c != column], "_p.*")
 
 
-def key_of(vector: Column, profile: list[float]) -> Column:
-    """The rotation (0 to 11) of a 12-bin profile that correlates best with the vector."""
-    mean = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x) / 12
-    m = sum(profile) / 12
-    best = None
-    for k in range(12):
-        turned = F.array(*(F.lit(profile[(i - k) % 12] - m) for i in range(12)))
-        score = F.aggregate(F.zip_with(vector, turned, lambda x, p: (x - mean) * p), F.lit(0.0), lambda a, x: a + x)
-        entry = F.struct(F.round(score, 6).alias("score"), F.lit(-k).alias("k"))
+# The key profiles, note names, and the factor on the confidence of minor keys.
+PROFILES = {"major": (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88), "minor": (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)}
+NOTES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
+MINOR = 1.1
+
+
+def key_profiles() -> list[tuple[str, list[float]]]:
+    """The 24 turned profiles by name, each less its mean and of length 1."""
+    out = []
+    for k, note in enumerate(NOTES):
+        for mode, profile in PROFILES.items():
+            m = sum(profile) / 12
+            size = sum((x - m) ** 2 for x in profile) ** 0.5
+            out.append((f"{note}_{mode}", [(profile[(i - k) % 12] - m) / size for i in range(12)]))
+    return out
+
+
+def key_of(vector: Column) -> Column:
+    """A struct (key, confidence): the key whose profile correlates best with a 12-bin vector (ties: the first), its correlation, times 1.1 if minor."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    best, size = None, F.sqrt(total(F.transform(vector, lambda x: (x - total(vector) / 12) * (x - total(vector) / 12))))
+    for i, (name, profile) in enumerate(key_profiles()):
+        r = F.round(F.try_divide(total(F.zip_with(vector, F.array(*(F.lit(p) for p in profile)), lambda x, p: x * p)), size), 6)
+        entry = F.struct(r.alias("r"), F.lit(-i).alias("i"), F.lit(name).alias("key"))
         best = entry if best is None else F.greatest(best, entry)
-    return -best["k"]
+    return F.struct(best["key"].alias("key"), F.round(best["r"] * F.when(best["key"].contains("minor"), MINOR).otherwise(1.0), 6).alias("confidence"))
 
 
 def per_dimension(df: DataFrame, group: str, vector: str) -> DataFrame:

@@ -7,7 +7,7 @@ projection: an array of issues, the score and flags; nothing is shuffled.
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -95,11 +95,39 @@ def freshness(date: Column, as_of: Column) -> Column:
     return F.when(date.isNull(), 0.0).when(age <= 30, 100.0).when(age <= 60, 50.0).otherwise(25.0)
 
 
-def uniqueness(tracks: DataFrame, key: Column) -> DataFrame:
-    """0 for tracks of an artist that share the key with another, else 100; counted, not paired."""
-    keyed = tracks.select("id", "artist_id", key.alias("_key"))
-    n = keyed.groupBy("artist_id", "_key").agg(F.count("*").alias("_n"))
-    return keyed.join(n, ["artist_id", "_key"]).select("id", F.when(F.col("_n") > 1, 0.0).otherwise(100.0).alias("uniqueness"))
+def consistency(featured: Column, n_credits: Column) -> Column:
+    """100 where featured names or credits could be checked, 0 where there is nothing to check."""
+    return F.when(featured | (n_credits > 0), 100.0).otherwise(0.0)
+
+
+def uniqueness(tracks: DataFrame, least: float = 0.9) -> DataFrame:
+    """0 for tracks of an artist with another whose lower-cased title shares more than `least` of the words (Jaccard), else 100.
+
+    Equal word sets are counted. Different ones meet by a prefix of their words: of n words, sets above the bound share
+    one of the first n - ceil(least * n) + 1 in any common order; sets of fewer than 1 / (1 - least) words can't differ.
+    """
+    words = F.array_sort(F.array_distinct(F.split(F.trim(F.lower("title")), r"\s+")))
+    keyed = tracks.select("id", "artist_id", words.alias("w"))
+    sets = keyed.groupBy("artist_id", "w").agg(F.count("*").alias("n"))
+    n = F.size("w")
+    long = sets.filter(n > 1 / (1 - least) - 1)
+    order = F.transform(F.array_sort(F.transform("w", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s["x"])
+    prefixed = long.select("artist_id", "w", F.explode(F.slice(order, 1, n - F.ceil(least * n).cast("int") + 1)).alias("word"))
+    met = prefixed.join(prefixed.withColumnRenamed("w", "v"), ["artist_id", "word"]).filter(F.col("w") != F.col("v"))
+    near = met.filter(F.size(F.array_intersect("w", "v")) > least * F.size(F.array_union("w", "v"))).select("artist_id", "w").distinct().withColumn("near", F.lit(True))
+    judged = sets.join(near, ["artist_id", "w"], "left")
+    return keyed.join(judged, ["artist_id", "w"]).select("id", F.when((F.col("n") > 1) | F.col("near"), 0.0).otherwise(100.0).alias("uniqueness"))
+
+
+#: Weights of the five metrics in the overall score.
+METRICS = [("completeness", 0.35), ("validity", 0.20), ("consistency", 0.15), ("freshness", 0.10), ("uniqueness", 0.20)]
+
+
+def recommendations(issues: Column) -> Column:
+    """What to do first, from the issues and the metrics of a row."""
+    has = lambda name: F.exists(issues, lambda x: x["name"] == name)
+    critical = F.size(F.filter(issues, lambda x: x["severity"] == "critical"))
+    return F.array_compact(F.array(F.when(critical > 0, F.concat(F.lit("fix_critical:"), critical.cast("string"))), F.when(F.col("completeness") < 70, "enrich"), F.when(F.col("freshness") < 50, "refresh"), F.when(has("no_producer"), "add_producer"), F.when(F.col("n_credits") == 0, "extract_credits")))
 
 
 def weighted(parts: list[tuple[str, float]]) -> Column:
@@ -122,12 +150,21 @@ def modal_fix(df: DataFrame, group: str, column: str) -> DataFrame:
     return df.join(best, group).withColumn("fixed", F.col(column) != F.col("modal")).drop(column).withColumnRenamed("modal", column)
 
 
-def improvement_plan(scored: DataFrame, k: int = 10) -> DataFrame:
-    """The k most urgent steps of each row: critical issues, then others, then metrics below 50."""
-    order = F.when(F.col("x.severity") == "critical", 1).when(F.col("x.severity") == "warning", 2).otherwise(3)
-    steps = scored.select("id", F.explode("issues").alias("x")).select("id", order.alias("priority"), F.col("x.name").alias("step"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("priority", "step"))
-    return steps.withColumn("rank", rank).filter(F.col("rank") <= k)
+def improvement_plan(scored: DataFrame, k: int = 10, majors: int = 5) -> DataFrame:
+    """The k first steps of each row (rank, priority, step, gain): all critical issues, the first major ones, metrics below 50; in the row itself."""
+    step = lambda priority, name, gain: F.struct(F.lit(priority).alias("priority"), name.alias("step"), F.round(gain, 4).alias("gain"))
+    of = lambda severity: F.filter("issues", lambda x: x["severity"] == severity)
+    critical = F.transform(of("critical"), lambda x: step(1, x["name"], F.lit(10.0)))
+    major = F.transform(F.slice(of("warning"), 1, majors), lambda x: step(2, x["name"], F.lit(5.0)))
+    weak = F.array_compact(F.array(*(F.when(F.col(m) < 50, step(3, F.lit(m), (100 - F.col(m)) / 2)) for m, _ in METRICS)))
+    return scored.select("id", F.posexplode(F.slice(F.concat(critical, major, weak), 1, k)).alias("pos", "x")).select("id", (F.col("pos") + 1).alias("rank"), "x.*")
+
+
+def suggestions(metrics: DataFrame) -> DataFrame:
+    """(id, category, priority) for each metric below 60 that has a remedy."""
+    urgency = {"completeness": "high", "validity": "high", "consistency": "medium", "freshness": "medium"}
+    found = F.array_compact(F.array(*(F.when(F.col(m) < 60, F.struct(F.lit(m).alias("category"), F.lit(p).alias("priority"))) for m, p in urgency.items())))
+    return metrics.select("id", F.inline(found))
 
 
 def change_counts(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -37,42 +37,51 @@ add("l03_basic_stats", lambda k: D.basic_stats(k.lyrics, "lyrics").drop("lyrics"
 MARKED = "WITH m AS (SELECT conv_id, turn * 2 AS pos, CASE role WHEN 'user' THEN '[Verse ' WHEN 'assistant' THEN '[Chorus ' ELSE '[Bridge ' END || turn || ']' AS line FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, text FROM conversations), k AS (SELECT *, lower(regexp_extract(line, '^\\[(\\w+)[^\\]]*\\]', 1)) AS marker FROM m), s AS (SELECT *, sum((marker <> '')::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS section FROM k) "
 add("l04_sections", lambda k: D.sections(marked(k), "conv_id"), MARKED + "SELECT conv_id, CAST(section AS BIGINT) AS section, max(marker) AS kind, count(*) FILTER (WHERE marker = '') AS lines FROM s WHERE section > 0 GROUP BY conv_id, section")
 add("l05_repeated_lines", lambda k: D.repeated_lines(lines(k), "id"), sql("lyrics", LINES + " SELECT id, lower(trim(line)) AS line, count(*) AS n, min(pos)::INT AS first_pos FROM x WHERE trim(line) <> '' GROUP BY 1, 2 HAVING count(*) > 1"))
-add("l06_end_rhymes", lambda k: D.end_rhymes(lines(k), "id"), sql("lyrics", LINES + ", r AS (SELECT id, right(lower(regexp_extract(line, '(\\w+)\\s*$', 1)), 3) AS r FROM x), g AS (SELECT id, sum(n) AS rhyming, count(*) AS groups FROM (SELECT id, r, count(*) AS n FROM r WHERE length(r) = 3 GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1), t AS (SELECT id, count(*) AS lines FROM x WHERE trim(line) <> '' GROUP BY 1) SELECT t.id, lines, CAST(coalesce(rhyming, 0) AS BIGINT) AS rhyming, coalesce(groups, 0) AS groups, round(coalesce(rhyming, 0) / lines, 6) AS density FROM t LEFT JOIN g ON g.id = t.id"))
-KEYWORDS = ", ".join(f"('{w}', '{t}')" for t, ws in D.THEMES.items() for w in ws)
-add("l07_themes", lambda k: D.themes(k.lyrics.withColumn("lyrics", F.concat("lyrics", F.lit(" money Love gun "), F.when(C("id") % 2 == 0, "cash rue").otherwise("top"))), "id", "lyrics"), sql("lyrics", f", w AS (SELECT id, unnest({WORDS}) AS word FROM (SELECT id, lyrics || ' money Love gun ' || CASE WHEN id % 2 = 0 THEN 'cash rue' ELSE 'top' END AS lyrics FROM lyrics)) SELECT id, theme, count(*) AS n FROM w JOIN (VALUES {KEYWORDS}) k(word, theme) USING (word) GROUP BY 1, 2"))
-add("l08_section_artists", lambda k: k.conversations.select("conv_id", "turn", F.array_join(F.regexp_extract_all(F.concat(F.lit("[feat. "), "role", F.lit("] ["), "role", F.lit(":] "), "text"), F.lit(r"(?i)\[(?:feat\.?|featuring|ft\.?)\s*([^\]]+)\]"), 1), ";").alias("guests")), "SELECT conv_id, turn, array_to_string(regexp_extract_all('[feat. ' || role || '] [' || role || ':] ' || text, '(?i)\\[(?:feat\\.?|featuring|ft\\.?)\\s*([^\\]]+)\\]', 1), ';') AS guests FROM conversations")
-FR, EN = ("le", "de", "et", "un", "en", "que", "la", "les"), ("the", "and", "or", "in", "on", "to", "of", "is")
 
 
-def language(k):
-    w = D.words(C("lyrics"))
-    share = lambda ws: F.try_divide(F.size(F.filter(w, lambda x: x.isin(*ws))).cast("double"), F.size(w))
-    x = k.lyrics.select("id", F.coalesce(share(FR), F.lit(0.0)).alias("f"), F.coalesce(share(EN), F.lit(0.0)).alias("e"))
-    return x.select("id", F.when(C("f") > 1.5 * C("e"), "fr").when(C("e") > 1.5 * C("f"), "en").otherwise("mixed").alias("language"))
-
-
-add("l09_language", language, sql("lyrics", f", w AS (SELECT id, {WORDS} AS w FROM lyrics), s AS (SELECT id, coalesce(len(list_filter(w, lambda x: x IN ({quoted(FR)}))) / nullif(len(w), 0), 0) AS f, coalesce(len(list_filter(w, lambda x: x IN ({quoted(EN)}))) / nullif(len(w), 0), 0) AS e FROM w) SELECT id, CASE WHEN f > 1.5 * e THEN 'fr' WHEN e > 1.5 * f THEN 'en' ELSE 'mixed' END AS language FROM s"))
 add("l10_explicit", lambda k: D.explicit(k.lyrics.withColumn("lyrics", F.concat("lyrics", F.when(C("id") % 3 == 0, " Damn merde!").otherwise(""))), "id", "lyrics"), sql("lyrics", f", w AS (SELECT id, {WORDS} AS w FROM (SELECT id, lyrics || CASE WHEN id % 3 = 0 THEN ' Damn merde!' ELSE '' END AS lyrics FROM lyrics)), n AS (SELECT id, len(list_filter(w, lambda x: x IN ({quoted(D.EXPLICIT)})))::INT AS explicit, len(w) AS n FROM w) SELECT id, explicit, CASE WHEN explicit / nullif(n, 0) > 0.05 THEN 'high' WHEN explicit / nullif(n, 0) > 0.02 THEN 'medium' WHEN explicit > 0 THEN 'low' ELSE 'none' END AS severity FROM n"))
-add("l11_vocabulary", lambda k: D.vocabulary(k.lyrics, "id", "lyrics").withColumn("rank", C("rank").cast("int")), sql("lyrics", f", w AS (SELECT id, unnest({WORDS}) AS word FROM lyrics), c AS (SELECT id, word, count(*) AS n FROM w WHERE word NOT IN ({quoted(D.STOPS)}) GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, word)::INT AS rank FROM c) WHERE rank <= 10"))
-add("a21_lyrics_insights", lambda k: D.basic_stats(k.lyrics, "lyrics").groupBy("lang").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.max("lines").alias("most_lines")), sql("lyrics", f"SELECT lang, count(*) AS n, CAST(sum(len({WORDS})) AS BIGINT) AS words, max(len(list_filter(string_split(lyrics, chr(10)), lambda x: trim(x) <> '')))::INT AS most_lines FROM lyrics GROUP BY 1"))
 
 
 add("c16_dedup_credits", lambda k: k.credits.dropDuplicates(["track_id", "person_name", "credit_type"]).select("track_id", "person_name", "credit_type"), sql("credits", "SELECT DISTINCT track_id, person_name, credit_type FROM credits"))
 add("c17_fix_types", lambda k: k.credits.groupBy(F.element_at(F.create_map(F.lit("mixing"), F.lit("mixing_engineer"), F.lit("featuring"), F.lit("featured_artist")), C("credit_type")).alias("fixed"), "credit_type").agg(F.count("*").alias("n")), sql("credits", "SELECT CASE credit_type WHEN 'mixing' THEN 'mixing_engineer' WHEN 'featuring' THEN 'featured_artist' END AS fixed, credit_type, count(*) AS n FROM credits GROUP BY 1, 2"))
 
+def music_pages(k):
+    """The pages with a heading and fields of a music page that differ by page."""
+    n = C("page_id")
+    pick = lambda *xs: F.get(F.array(*(F.lit(x) for x in xs)), (n % len(xs)).cast("int"))
+    number = lambda m, by: (by + n % m).cast("string")
+    tail = F.concat(F.lit("<div class=\"x-date\">"), number(9, 1990), F.lit("</div><p>"), pick("BPM: ", "Tempo:", "", "about "), number(90, 70), pick("", "", " bpm", ""), F.lit("</p><p>"), pick("Key: ", "Musical Key is "), pick("A# minor", "C major", "F"), F.lit("</p><p>"), pick("Duration: 3:", "Length:4:", "in 5:"), F.lpad((n % 60).cast("string"), 2, "0"), pick("", "", " minutes"), F.lit("</p><p>"), pick("Released 1", "Year: 1", "no "), (900 + n % 99).cast("string"), F.lit("</p><p>Record label: L"), number(5, 0), F.lit(", Inc</p><p class=\"my-label\"> "), number(4, 0), F.lit("</p><p>Genre: "), pick("rap", "soul "), F.lit("</p><span class='g'>Album:"), number(3, 1), F.lit("</span>"))
+    return k.pages.select("page_id", "url", F.concat(F.when(n % 2 == 0, F.concat(F.lit("<h1> Artist "), number(7, 0), F.lit(" - Song - "), number(5, 0), F.lit("</h1>"))).otherwise(""), "html", tail).alias("html"))
+
+
+def choose(*xs):
+    return "([" + ", ".join("'" + x + "'" for x in xs) + f"])[page_id % {len(xs)} + 1]"
+
+
+MUSIC = f"WITH h AS (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN '<h1> Artist ' || (page_id % 7) || ' - Song - ' || (page_id % 5) || '</h1>' ELSE '' END || html || '<div class=\"x-date\">' || (1990 + page_id % 9) || '</div><p>' || {choose('BPM: ', 'Tempo:', '', 'about ')} || (70 + page_id % 90) || {choose('', '', ' bpm', '')} || '</p><p>' || {choose('Key: ', 'Musical Key is ')} || {choose('A# minor', 'C major', 'F')} || '</p><p>' || {choose('Duration: 3:', 'Length:4:', 'in 5:')} || lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') || {choose('', '', ' minutes')} || '</p><p>' || {choose('Released 1', 'Year: 1', 'no ')} || (900 + page_id % 99) || '</p><p>Record label: L' || (page_id % 5) || ', Inc</p><p class=\"my-label\"> ' || (page_id % 4) || '</p><p>Genre: ' || {choose('rap', 'soul ')} || '</p><span class=''g''>Album:' || (1 + page_id % 3) || '</span>' AS html FROM pages)"
+
+
+def hit(patterns):
+    return "coalesce(" + ", ".join("nullif(regexp_extract(html, '" + x + "', 1), '')" for x in patterns) + ")"
+
+
 one = lambda p: f"nullif(regexp_extract(html, '{p}', 1), '')"
-add("h01_page_details", lambda k: D.page_details(k.pages), f"SELECT page_id, {one('<title>([^<]*)</title>')} AS title, {one('<h1[^>]*>([^<]*)</h1>')} AS h1, {one('<html lang=\"([^\"]*)\"')} AS lang, {one('charset=\"([^\"]*)\"')} AS charset FROM pages")
+FOUND = f", f AS (SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '')) AS heading, {one('<html lang=\"([^\"]*)\"')} AS lang, {one('charset=\"([^\"]*)\"')} AS charset, " + ", ".join(f"trim({hit(ps)}) AS {c}" for c, ps in D.FIELD_PATTERNS.items()) + " FROM h)"
+add("h01_page_details", lambda k: D.page_details(music_pages(k)), MUSIC + FOUND + " SELECT page_id, heading, CASE WHEN contains(heading, ' - ') THEN trim(split_part(heading, ' - ', 1)) END AS artist, CASE WHEN contains(heading, ' - ') THEN trim(heading[position(' - ' IN heading) + 3:]) END AS title, lang, charset, CAST(bpm AS INT) AS bpm, key, CAST(minutes AS INT) * 60 + CAST(seconds AS INT) AS duration_seconds, CAST(year AS INT) AS year, label, genre, album FROM f")
 add("h03_page_text", lambda k: k.pages.select("page_id", F.md5(D.page_text(C("html"))).alias("digest")), "SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>', ' ', 'g'), '(?s)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM pages")
-A = '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
-add("h04_page_links", lambda k: D.page_links(k.pages), f"SELECT page_id, (unnest(range(len(regexp_extract_all(html, '{A}', 1)))))::INT AS pos, unnest(regexp_extract_all(html, '{A}', 1)) AS href, unnest(regexp_extract_all(html, '{A}', 2)) AS label FROM pages")
+ANCHOR = '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+LINKS = f", a AS (SELECT page_id, url, unnest(range(len(x))) AS pos, unnest(x) AS href, unnest(y) AS label FROM (SELECT page_id, url, regexp_extract_all(html, '{ANCHOR}', 1) AS x, regexp_extract_all(html, '{ANCHOR}', 2) AS y FROM h)), l AS (SELECT page_id, url, CAST(pos AS INT) AS pos, CASE WHEN regexp_matches(href, '^[a-zA-Z]+:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([a-zA-Z]+:)', 1) || href WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || href WHEN regexp_matches(href, '^[?#]|^$') THEN regexp_extract(url, '^([^?#]*)', 1) || href ELSE regexp_extract(url, '^([a-zA-Z]+://[^/?#]+(?:/[^?#]*/|/)?)', 1) || CASE WHEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]+(?:/[^?#]*/|/)?)', 1) LIKE '%/' THEN '' ELSE '/' END || href END AS target, trim(label) AS label FROM a)"
+linked = lambda k: music_pages(k).withColumn("html", F.concat("html", F.lit('<a href="track/1?x=2">One</a><a class="t" href="//cdn.x/song/2"> Two </a><a href="#top">Top</a><a href="mailto:a@b">M</a>')))
+LINKED = MUSIC + ", g AS (SELECT page_id, url, html || '<a href=\"track/1?x=2\">One</a><a class=\"t\" href=\"//cdn.x/song/2\"> Two </a><a href=\"#top\">Top</a><a href=\"mailto:a@b\">M</a>' AS html FROM h)" + LINKS.replace("FROM h)", "FROM g)")
+add("h04_page_links", lambda k: D.page_links(linked(k)), LINKED + " SELECT * FROM l")
+add("h04b_track_links", lambda k: D.page_links(linked(k), "/(track|morceau|song)/"), LINKED + " SELECT * FROM l WHERE regexp_matches(regexp_extract(target, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/(track|morceau|song)/')")
 add("p01_event_payload", lambda k: D.flatten_payload(k.events.select("event_id", "props"), "props", "k bigint, missing string"), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, NULL::VARCHAR AS missing FROM events")
 album = lambda k: k.albums.join(k.tracks.groupBy(C("album_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("track_number", "title"))).alias("tracks")), "id").select("id", F.to_json(F.struct("title", "tracks")).alias("doc"))
 add("p02_album_payload", lambda k: D.flatten_payload(album(k), "doc", "title string, tracks array<struct<track_number:int,title:string>>").select("id", F.inline_outer("tracks")), sql("albums tracks", "SELECT albums.id, track_number, tracks.title FROM albums JOIN tracks ON album_id = albums.id"))
 
-PROFILE = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]  # fixed values: the major key profile
 vec = lambda k: k.embeddings.select("vec_id", "label", F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("v"))
-KEYS = " UNION ALL ".join(f"SELECT vec_id, {k} AS k, round(list_sum([({' , '.join(f'(v[{i + 1}] - m) * {PROFILE[(i - k) % 12] - sum(PROFILE) / 12!r}::DOUBLE' for i in range(12))})]::DOUBLE[]), 6) AS score FROM v".replace("[(", "[").replace(")]::", "]::") for k in range(12))
-add("f01_key_detection", lambda k: vec(k).select("vec_id", D.key_of(C("v"), PROFILE).alias("key")), f"WITH v AS (SELECT vec_id, v, list_sum(v) / 12 AS m FROM (SELECT vec_id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS v FROM embeddings)), s AS ({KEYS}) SELECT vec_id, arg_max(k, (score, -k))::INT AS key FROM s GROUP BY vec_id")
+TURNED = " UNION ALL ".join(f"SELECT {i} AS i, '{name}' AS key, {profile} AS p" for i, (name, profile) in enumerate(D.key_profiles()))
+add("f01_key_detection", lambda k: vec(k).select("vec_id", D.key_of(C("v")).alias("x")).select("vec_id", "x.*"), f"WITH v AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: (x - list_sum(v) / 12) ** 2))) AS size FROM v), s AS (SELECT vec_id, i, key, round(list_inner_product(v, p::DOUBLE[]) / size, 6) AS r FROM m, ({TURNED}) t), b AS (SELECT vec_id, arg_max(key, (r, -i)) AS key, max(r) AS r FROM s GROUP BY 1) SELECT vec_id, key, round(r * CASE WHEN contains(key, 'minor') THEN 1.1 ELSE 1 END, 6) AS confidence FROM b")
 add("f06_per_dimension", lambda k: D.per_dimension(vec(k), "label", "v"), "SELECT label, dim::INT AS dim, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std FROM (SELECT label, unnest(range(12)) AS dim, unnest(embedding[1:12])::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
 BANDS = [("low", 0, 3), ("mid", 3, 8), ("high", 8, 12)]
 add("f07_band_energy", lambda k: D.band_energy(vec(k), "vec_id", "v", BANDS), "SELECT vec_id, CASE WHEN dim < 3 THEN 'low' WHEN dim < 8 THEN 'mid' ELSE 'high' END AS band, round(avg(abs(x)), 5) AS energy FROM (SELECT vec_id, unnest(range(12)) AS dim, unnest(embedding[1:12])::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")

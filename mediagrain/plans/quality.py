@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from mediagrain.functions import text as T
 from mediagrain.operators import quality as K
 from mediagrain.operators import ranking as R
+from mediagrain.plans.textual import feat_sql
 from mediagrain.sources.catalog import load, sql
 
 C = F.col
@@ -62,21 +63,26 @@ CHECKS = [("duration_seconds", "duration_seconds BETWEEN 30 AND 600"), ("bpm", "
 VALID = "CASE WHEN p = 0 THEN 0 ELSE v * 100.0 / p END"
 add("v15_validity", lambda k: k.tracks.select("id", F.round(K.validity(CHECKS), 6).alias("validity")), sql("tracks", f", c AS (SELECT id, {' + '.join(f'CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END' for c, _ in CHECKS)} AS p, {' + '.join(f'CASE WHEN {p} THEN 1 ELSE 0 END' for _, p in CHECKS)} AS v FROM tracks) SELECT id, round({VALID}, 6)::DOUBLE AS validity FROM c"))
 add("v16_freshness", lambda k: k.albums.select("id", K.freshness(C("release_date"), F.lit("1995-06-30").cast("date")).alias("freshness")), sql("albums", "SELECT id, CASE WHEN DATE '1995-06-30' - release_date <= 30 THEN 100.0 WHEN DATE '1995-06-30' - release_date <= 60 THEN 50.0 ELSE 25.0 END::DOUBLE AS freshness FROM albums"))
-add("v17_uniqueness", lambda k: K.uniqueness(k.tracks, T.title_key(C("title"))), sql("tracks", ", k AS (SELECT id, artist_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(title, '\\([^)]*\\)', '', 'g'), '\\[[^\\]]*\\]', '', 'g')), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS key FROM tracks) SELECT id, CASE WHEN count(*) OVER (PARTITION BY artist_id, key) > 1 THEN 0.0 ELSE 100.0 END::DOUBLE AS uniqueness FROM k"))
+WORD_SETS = ", ws AS (SELECT id, artist_id, list_sort(list_distinct(regexp_split_to_array(trim(lower(title)), '\\s+'))) AS w FROM tracks), sets AS (SELECT artist_id, w, count(*) AS n FROM ws GROUP BY 1, 2), near AS (SELECT DISTINCT x.artist_id, x.w FROM sets x JOIN sets y ON x.artist_id = y.artist_id AND x.w <> y.w AND len(list_intersect(x.w, y.w)) > 0.9 * len(list_distinct(x.w || y.w))), uq AS (SELECT ws.id, CASE WHEN n > 1 OR near.w IS NOT NULL THEN 0.0 ELSE 100.0 END::DOUBLE AS uniqueness FROM ws JOIN sets ON sets.artist_id = ws.artist_id AND sets.w = ws.w LEFT JOIN near ON near.artist_id = ws.artist_id AND near.w = ws.w)"
+FEATURED = T.featured_text
+add("v16b_consistency", lambda k: tracks(k).select("id", K.consistency(FEATURED(C("title")) != "", C("n_credits")).alias("consistency")), sql(V, FACTS + f" SELECT id, CASE WHEN {feat_sql} <> '' OR n_credits > 0 THEN 100.0 ELSE 0.0 END::DOUBLE AS consistency FROM t"))
+add("v17_uniqueness", lambda k: K.uniqueness(k.tracks), sql("tracks", WORD_SETS + " SELECT * FROM uq"))
 
 
-def overall(k):
-    df = k.tracks.withColumns({"c": K.completeness(FIELDS), "v": K.validity(CHECKS), "f": K.freshness(C("release_date"), F.lit(AS_OF).cast("date"))})
-    df = df.withColumn("overall", F.round(K.weighted([("c", 0.35), ("v", 0.45), ("f", 0.2)]), 4))
-    return df.select("id", "overall", K.ladder(C("overall"), K.QUALITY_STEPS, "very_poor").alias("level"))
+def measured(k):
+    """Validated tracks with the five metrics and the overall score."""
+    df = validated(k).withColumns({"completeness": K.completeness(FIELDS), "validity": K.validity(CHECKS), "consistency": K.consistency(FEATURED(C("title")) != "", C("n_credits")), "freshness": K.freshness(C("release_date"), F.lit(AS_OF).cast("date"))})
+    return df.join(K.uniqueness(k.tracks), "id").withColumn("overall", F.round(K.weighted(K.METRICS), 4))
 
 
-OVERALL = f", c AS (SELECT id, {COMPLETE} AS c, {' + '.join(f'CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END' for c, _ in CHECKS)} AS p, {' + '.join(f'CASE WHEN {p} THEN 1 ELSE 0 END' for _, p in CHECKS)} AS v, CASE WHEN DATE '{AS_OF}' - release_date <= 30 THEN 100 WHEN DATE '{AS_OF}' - release_date <= 60 THEN 50 ELSE 25 END AS f FROM tracks), o AS (SELECT id, round((c * 0.35 + {VALID} * 0.45 + f * 0.2)::DOUBLE, 4) AS overall FROM c) "
+MEASURED = FACTS + WORD_SETS + f", pv AS (SELECT id, {' + '.join(f'CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END' for c, _ in CHECKS)} AS p, {' + '.join(f'CASE WHEN {x} THEN 1 ELSE 0 END' for _, x in CHECKS)} AS v FROM t), me AS (SELECT t.*, {COMPLETE} AS completeness, {VALID} AS validity, CASE WHEN {feat_sql} <> '' OR n_credits > 0 THEN 100 ELSE 0 END AS consistency, CASE WHEN release_date IS NULL THEN 0 WHEN DATE '{AS_OF}' - release_date <= 30 THEN 100 WHEN DATE '{AS_OF}' - release_date <= 60 THEN 50 ELSE 25 END AS freshness, uniqueness FROM t JOIN pv USING (id) JOIN uq USING (id)), o AS (SELECT *, round(({' + '.join(f'{m} * {w}' for m, w in K.METRICS)})::DOUBLE, 4) AS overall FROM me)"
 QLADDER = "CASE WHEN overall >= 90 THEN 'excellent' WHEN overall >= 75 THEN 'good' WHEN overall >= 60 THEN 'average' WHEN overall >= 40 THEN 'poor' ELSE 'very_poor' END"
-add("v18_overall_quality", overall, sql("tracks", OVERALL + f"SELECT id, overall, {QLADDER} AS level FROM o"))
-sev = {r.name: {"critical": 1, "warning": 2}.get(r.severity, 3) for r in K.track_rules()}
-steps = " UNION ALL ".join(f"SELECT id, {sev[r.name]} AS priority, '{r.name}' AS step FROM t WHERE {duck(r.when)}" for r in K.track_rules())
-add("v19_improvement_plan", lambda k: K.improvement_plan(validated(k), 3).select("id", "priority", "step", C("rank").cast("int").alias("rank")), sql(V, FACTS + f", s AS ({steps}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, step)::INT AS rank FROM s) WHERE rank <= 3"))
+CRITICAL = "(" + " + ".join(f"CASE WHEN {duck(r.when)} THEN 1 ELSE 0 END" for r in K.track_rules() if r.severity == "critical") + ")"
+add("v18_overall_quality", lambda k: measured(k).select("id", "overall", K.ladder(C("overall"), K.QUALITY_STEPS, "very_poor").alias("level"), F.array_join(K.recommendations(C("issues")), ",").alias("recommendations")), sql(V, MEASURED + f" SELECT id, overall, {QLADDER} AS level, concat_ws(',', CASE WHEN {CRITICAL} > 0 THEN 'fix_critical:' || {CRITICAL} END, CASE WHEN completeness < 70 THEN 'enrich' END, CASE WHEN freshness < 50 THEN 'refresh' END, CASE WHEN NOT has_producer THEN 'add_producer' END, CASE WHEN n_credits = 0 THEN 'extract_credits' END) AS recommendations FROM o"))
+STEPS = " UNION ALL ".join(f"SELECT id, {1 if r.severity == 'critical' else 2} AS priority, {i} AS i, '{r.name}' AS step, {10.0 if r.severity == 'critical' else 5.0}::DOUBLE AS gain FROM o WHERE {duck(r.when)}" for i, r in enumerate(K.track_rules()) if r.severity != "info")
+WEAK = " UNION ALL ".join(f"SELECT id, 3 AS priority, {100 + i} AS i, '{m}' AS step, round((100 - {m}) / 2, 4)::DOUBLE AS gain FROM o WHERE {m} < 50" for i, (m, _) in enumerate(K.METRICS))
+add("v19_improvement_plan", lambda k: K.improvement_plan(measured(k)), sql(V, MEASURED + f", s AS ({STEPS} UNION ALL {WEAK}), r AS (SELECT *, row_number() OVER (PARTITION BY id, priority ORDER BY i) AS own FROM s), q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, i)::INT AS rank FROM r WHERE priority <> 2 OR own <= 5) SELECT id, rank, priority, step, gain FROM q WHERE rank <= 10"))
+add("v19b_suggestions", lambda k: K.suggestions(measured(k)), sql(V, MEASURED + " " + " UNION ALL ".join(f"SELECT id, '{m}' AS category, '{p}' AS priority FROM o WHERE {m} < 60" for m, p in (("completeness", "high"), ("validity", "high"), ("consistency", "medium"), ("freshness", "medium")))))
 add("v20_deduction_score", lambda k: out(K.apply_rules(k.tracks, K.DEDUCTIONS, [("genre IS NOT NULL AND status IS NOT NULL", 5)])), sql("tracks", rule_sql(K.DEDUCTIONS, [("genre IS NOT NULL AND status IS NOT NULL", 5)], "tracks")))
 points = [("title IS NOT NULL", 3), ("artist_id IS NOT NULL", 3), ("bpm IS NOT NULL", 1), ("has_lyrics", 2), ("duration_seconds IS NOT NULL", 1)]
 add("v21_source_quality", lambda k: k.tracks.select("id", sum((F.when(F.expr(p), n).otherwise(0) for p, n in points), F.lit(0)).alias("points")).withColumn("level", F.when(C("points") >= 8, "high").when(C("points") >= 5, "medium").otherwise("low")), sql("tracks", f", p AS (SELECT id, {' + '.join(f'CASE WHEN {p} THEN {n} ELSE 0 END' for p, n in points)} AS points FROM tracks) SELECT id, points, CASE WHEN points >= 8 THEN 'high' WHEN points >= 5 THEN 'medium' ELSE 'low' END AS level FROM p"))
@@ -97,4 +103,4 @@ def issue_report(checked):
 
 add("a13_validation_report", lambda k: issue_report(validated(k)), sql(V, FACTS + ", i AS (" + " UNION ALL ".join(f"SELECT id, '{r.name}' AS name, '{r.severity}' AS severity FROM t WHERE {duck(r.when)}" for r in K.track_rules()) + ") SELECT name, severity, count(*) AS n, array_to_string(list_sort(list(id))[1:3], ',') AS examples FROM i GROUP BY name, severity"))
 add("a14_validation_stats", lambda k: validated(k).agg(F.count_if("is_valid").alias("valid"), F.count_if(~C("is_valid")).alias("invalid"), F.sum(F.size("issues")).alias("issues"), F.round(F.avg("score"), 6).alias("mean_score")), sql(V, FACTS + f", s AS ({STD}) SELECT count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE NOT is_valid) AS invalid, CAST(sum(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END) AS BIGINT) AS issues, round(avg(score), 6) AS mean_score FROM s"))
-add("a16_artist_quality", lambda k: overall(k).join(k.tracks.select("id", "artist_id"), "id").groupBy("artist_id").agg(F.round(F.sum("overall"), 4).alias("sum_quality"), F.round(F.avg((C("overall") < 60).cast("double")), 6).alias("low_share")), sql("tracks", OVERALL + "SELECT artist_id, round(sum(overall), 4) AS sum_quality, round(avg(CASE WHEN overall < 60 THEN 1.0 ELSE 0.0 END), 6) AS low_share FROM o JOIN tracks USING (id) GROUP BY artist_id"))
+add("a16_artist_quality", lambda k: measured(k).groupBy("artist_id").agg(F.round(F.sum("overall"), 4).alias("sum_quality"), F.round(F.avg((C("overall") < 60).cast("double")), 6).alias("low_share")), sql(V, MEASURED + " SELECT artist_id, round(sum(overall), 4) AS sum_quality, round(avg(CASE WHEN overall < 60 THEN 1.0 ELSE 0.0 END), 6) AS low_share FROM o GROUP BY artist_id"))

@@ -7,7 +7,7 @@ from mediagrain.operators import documents as D
 from mediagrain.operators import linkage as L
 from mediagrain.operators import ranking as R
 from mediagrain.operators import shaping as S
-from mediagrain.plans.documents import WORDS
+from mediagrain.plans.documents import MUSIC, hit, music_pages
 from mediagrain.plans.linkage import RELEASES
 from mediagrain.plans.textual import norm
 from mediagrain.sources.catalog import load, sql
@@ -52,7 +52,8 @@ def merged_groups(k):
 
 Q["g03_merged_groups"] = lambda spark, sf: merged_groups(load(spark, sf))
 SQL["g03_merged_groups"] = sql("albums tracks", RELEASES + ", e AS (SELECT x.release_id AS a, y.release_id AS b FROM g x JOIN g y ON x.artist_id = y.artist_id AND x.release_id <> y.release_id AND 1 - levenshtein(x.key, y.key) / greatest(length(x.key), length(y.key)) >= 0.85), r AS (SELECT release_id AS id, release_id AS m FROM g UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id), l AS (SELECT id, min(m) AS release FROM r GROUP BY id) SELECT release, count(*) AS groups, CAST(sum(albums) AS BIGINT) AS albums FROM g JOIN l ON l.id = release_id GROUP BY 1").replace("WITH albums", "WITH RECURSIVE albums", 1)
-add("h02_page_metadata", lambda k: k.pages.select("page_id", S.by_class(C("html"), "date").alias("date"), S.by_class(C("html"), "nav").alias("nav"), F.nullif(F.regexp_extract("html", r'name="description" content="([^"]*)"', 1), F.lit("")).alias("description")), "SELECT page_id, nullif(trim(regexp_extract(html, 'class=\"[^\"]*date[^\"]*\"[^>]*>([^<]*)<', 1)), '') AS date, nullif(trim(regexp_extract(html, 'class=\"[^\"]*nav[^\"]*\"[^>]*>([^<]*)<', 1)), '') AS nav, nullif(regexp_extract(html, 'name=\"description\" content=\"([^\"]*)\"', 1), '') AS description FROM pages")
+CLASSES = ("date", "label", "nav")
+add("h02_page_metadata", lambda k: music_pages(k).select("page_id", *(S.by_class(C("html"), c).alias(c) for c in CLASSES), *(F.nullif(F.trim(F.regexp_extract("html", p, 1)), F.lit("")).alias(c) for c, p in (("title", "<title>([^<]*)</title>"), ("h1", "<h1[^>]*>([^<]*)</h1>"), ("description", 'name="description" content="([^"]*)"'))), D.first_hit(C("html"), D.FIELD_PATTERNS["album"]).alias("album"), F.trim(D.first_hit(C("html"), D.FIELD_PATTERNS["genre"])).alias("genre")), MUSIC + " SELECT page_id, " + ", ".join(f"nullif(trim(regexp_extract(html, 'class=\"[^\"]*{c}[^\"]*\"[^>]*>([^<]*)<', 1)), '') AS {c}" for c in CLASSES) + ", nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, nullif(trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)), '') AS h1, nullif(trim(regexp_extract(html, 'name=\"description\" content=\"([^\"]*)\"', 1)), '') AS description, " + hit(D.FIELD_PATTERNS["album"]) + " AS album, trim(" + hit(D.FIELD_PATTERNS["genre"]) + ") AS genre FROM h")
 add("p05_scrobble_tags", lambda k: k.events.select("event_id", F.array_join(S.scrobble_tags(F.when(C("event_id") % 2 == 0, F.concat(F.lit('{"tag":[{"name":"rap","count":'), (C("event_id") % 100).cast("string"), F.lit('},{"name":"jazz","count":50},{"name":"pop","count":5}]}'))).otherwise(F.lit('{"tag":{"name":"solo","count":20}}')), 10, 2), ",").alias("tags")), "SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'solo' WHEN event_id % 100 > 50 THEN 'rap,jazz' WHEN event_id % 100 = 50 THEN 'jazz,rap' WHEN event_id % 100 >= 10 THEN 'jazz,rap' ELSE 'jazz' END AS tags FROM events")
 song = lambda k: k.tracks.select("id", F.to_json(F.struct(C("title").alias("name"), F.array(F.struct(C("artist_id").alias("id")), F.struct((C("artist_id") + 1).alias("id"))).alias("artists"), F.struct(C("album_id").alias("id")).alias("album"), (C("duration_seconds") * 1000).alias("duration_ms"))).alias("doc"))
 SONG = "name string, artists array<struct<id:bigint>>, album struct<id:bigint>, duration_ms bigint"
@@ -63,13 +64,5 @@ add("f05_analysis_quality", lambda k: k.tracks.select("id", S.analysis_quality([
 add("f04_summary_features", lambda k: k.embeddings.select("vec_id", F.round(F.coalesce(C("embedding")[0], F.lit(0.0)).cast("double"), 5).alias("tempo"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: F.greatest(a, x.cast("double"))), 5).alias("peak")), "SELECT vec_id, round(embedding[1]::DOUBLE, 5) AS tempo, round(greatest(0, list_max(embedding))::DOUBLE, 5) AS peak FROM embeddings")
 
 
-def all_lyrics(k):
-    """The analyses of a document in one wide row, joined by id."""
-    stats = D.basic_stats(k.lyrics, "lyrics").select("id", "words", "unique_words", "lines")
-    return stats.join(D.explicit(k.lyrics, "id", "lyrics"), "id").join(D.vocabulary(k.lyrics, "id", "lyrics", 1).select("id", C("word").alias("top_word")), "id", "left")
-
-
-Q["l12_process_lyrics"] = lambda spark, sf: all_lyrics(load(spark, sf))
-SQL["l12_process_lyrics"] = sql("lyrics", f", w AS (SELECT id, lyrics, {WORDS} AS w FROM lyrics), e AS (SELECT *, len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in D.EXPLICIT)})))::INT AS explicit FROM w), c AS (SELECT id, word, count(*) AS n FROM (SELECT id, unnest(w) AS word FROM w) WHERE word NOT IN ({', '.join(repr(x) for x in D.STOPS)}) GROUP BY 1, 2), t AS (SELECT id, arg_min(word, (-n, word)) AS top_word FROM c GROUP BY 1) SELECT e.id, len(w)::INT AS words, len(list_distinct(w))::INT AS unique_words, len(list_filter(string_split(lyrics, chr(10)), lambda x: trim(x) <> ''))::INT AS lines, explicit, CASE WHEN explicit / nullif(len(w), 0) > 0.05 THEN 'high' WHEN explicit / nullif(len(w), 0) > 0.02 THEN 'medium' WHEN explicit > 0 THEN 'low' ELSE 'none' END AS severity, top_word FROM e LEFT JOIN t ON t.id = e.id")
 add("u03_one_to_many", lambda k: k.tracks.select("id", F.inline(F.transform(F.split(T.normalize_text(C("title")), " "), lambda w, i: F.struct(i.alias("pos"), w.alias("word"))))), sql("tracks", f", n AS (SELECT id, string_split({norm('title')}, ' ') AS w FROM tracks) SELECT id, (unnest(range(len(w))))::INT AS pos, unnest(w) AS word FROM n"))
 add("u04_custom_fold", lambda k: k.embeddings.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda m, x: (m + x.cast("double")) / 2), 5).alias("fold")), "SELECT vec_id, round(list_reduce([0.0::DOUBLE] || list_transform(embedding, lambda x: x::DOUBLE), lambda m, x: (m + x) / 2), 5) AS fold FROM embeddings")
