@@ -5,6 +5,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediagrain.functions.text import clean_artist_name
+from mediagrain.operators.credits import normal_role
+
 # Explicit words.
 EXPLICIT = ("shit", "fuck", "bitch", "ass", "damn", "hell", "merde", "putain", "connard", "salope", "bordel")
 
@@ -96,6 +99,52 @@ def flatten_payload(df: DataFrame, column: str, schema: str, prefix: str = "") -
     return df.withColumn("_p", F.from_json(column, schema)).select(*[c for c in df.columns if c != column], "_p.*")
 
 
+RELEASE = "id long, title string, year int, country string, artists array<struct<id:long,name:string>>, labels array<struct<name:string,catno:string>>, formats array<struct<name:string,qty:string,descriptions:array<string>>>, identifiers array<struct<type:string,value:string>>, images array<struct<type:string,uri:string>>, tracklist array<struct<position:string,title:string,duration:string,extraartists:array<struct<name:string,role:string>>>>, extraartists array<struct<name:string,role:string>>"
+TRACK = "id long, name string, artists array<struct<id:long,name:string>>, album struct<id:long,name:string,release_date:string,total_tracks:int,images:array<struct<url:string>>>, duration_ms long, explicit boolean, popularity int, track_number int"
+SONG = "id long, title string, primary_artist struct<id:long,name:string>, featured_artists array<struct<id:long,name:string>>, producer_artists array<struct<id:long,name:string>>, album struct<id:long,name:string>, stats struct<pageviews:long>, release_date string"
+
+
+def parsed_payload(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """The payload as a struct `p`; broken JSON gives nulls inside."""
+    return df.select(F.from_json(column, schema).alias("p"))
+
+
+def release_payload(df: DataFrame, column: str) -> DataFrame:
+    """A row for each release: its own fields, artists, first label and format, the last barcode and matrix number, primary (else first) image, tracks, credits by role."""
+    p = lambda x: F.col(f"p.{x}")
+    first = lambda x: F.get(p(x), F.lit(0))
+    last = lambda kind: F.element_at(F.concat(F.array(F.lit(None).cast("struct<type:string,value:string>")), F.filter(p("identifiers"), lambda i: i["type"] == kind)), -1)["value"]
+    cover = F.coalesce(F.get(F.filter(p("images"), lambda i: i["type"] == "primary"), F.lit(0))["uri"], first("images")["uri"])
+    credits = F.transform(p("extraartists"), lambda x: F.concat(normal_role(x["role"]), F.lit("="), clean_artist_name(x["name"])))
+    return parsed_payload(df, column, RELEASE).select(
+        p("id").alias("id"), p("title").alias("title"), p("year").alias("year"), p("country").alias("country"),
+        F.array_join(F.transform(p("artists"), lambda a: clean_artist_name(a["name"])), ";").alias("artists"), first("artists")["id"].alias("main_artist_id"), clean_artist_name(first("artists")["name"]).alias("main_artist"),
+        first("labels")["name"].alias("main_label"), first("labels")["catno"].alias("catalog_number"), first("formats")["name"].alias("main_format"), F.array_join(first("formats")["descriptions"], ";").alias("format_descriptions"),
+        last("Barcode").alias("barcode"), last("Matrix / Runout").alias("matrix_number"), cover.alias("cover_art_url"), F.size(p("tracklist")).alias("tracks"), F.array_join(credits, ";").alias("credits"),
+    )
+
+
+def release_tracks(df: DataFrame, column: str) -> DataFrame:
+    """A row for each track of a release: position, title, seconds, credits."""
+    rows = parsed_payload(df, column, RELEASE).select(F.col("p.id").alias("id"), F.explode("p.tracklist").alias("t"))
+    at = F.split("t.duration", ":")
+    credits = F.transform("t.extraartists", lambda x: F.concat(normal_role(x["role"]), F.lit("="), clean_artist_name(x["name"])))
+    return rows.select("id", F.col("t.position").alias("position"), F.col("t.title").alias("title"), (at[0].cast("int") * 60 + at[1].cast("int")).alias("seconds"), F.coalesce(F.array_join(credits, ";"), F.lit("")).alias("credits"))
+
+
+def track_payload(df: DataFrame, column: str) -> DataFrame:
+    """A row for each track: own fields, main artist, the others, album columns and cover."""
+    names = lambda a: F.array_join(F.transform(a, lambda x: x["name"]), ";")
+    out = parsed_payload(df, column, TRACK)
+    return out.select("p.id", F.col("p.name").alias("title"), F.get("p.artists", F.lit(0))["name"].alias("artist"), names(F.slice("p.artists", F.lit(2), F.greatest(F.size("p.artists"), F.lit(0)))).alias("others"), F.floor(F.col("p.duration_ms") / 1000).alias("seconds"), "p.explicit", "p.popularity", "p.track_number", F.col("p.album.id").alias("album_id"), F.col("p.album.name").alias("album"), F.to_date("p.album.release_date").alias("release_date"), F.col("p.album.total_tracks").alias("total_tracks"), F.get("p.album.images", F.lit(0))["url"].alias("cover_url"))
+
+
+def song_payload(df: DataFrame, column: str) -> DataFrame:
+    """A row for each song: artist, guests, producers, album, page views."""
+    names = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["name"]), ";"), F.lit(""))
+    return parsed_payload(df, column, SONG).select("p.id", "p.title", F.col("p.primary_artist.name").alias("artist"), names("p.featured_artists").alias("guests"), names("p.producer_artists").alias("producers"), F.col("p.album.id").alias("album_id"), F.col("p.album.name").alias("album"), F.col("p.stats.pageviews").alias("pageviews"), F.to_date("p.release_date").alias("release_date"))
+
+
 # The key profiles, note names, and the factor on the confidence of minor keys.
 PROFILES = {"major": (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88), "minor": (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)}
 NOTES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")

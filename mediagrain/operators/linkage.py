@@ -105,6 +105,48 @@ def source_priority(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     return grouped.join(best, "grp").select("id", "kept")
 
 
+def featuring_variants(tracks: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Pairs of an artist's tracks whose titles without guests are alike to the threshold and whose guests differ."""
+    x = T.extract_featured(F.col("title"))
+    df = tracks.select("artist_id", "id", T.normalize_text(x["title"]).alias("t"), F.array_sort(x["artists"]).alias("f")).withColumn("row", F.struct("id", "f"))
+    near = near_pairs(df, ["artist_id"], "row", "t", threshold)
+    near = near.filter(1 - F.levenshtein("name1", "name2") / F.greatest(F.length("name1"), F.length("name2"), F.lit(1)) >= threshold)
+    return near.filter(F.col("id1.f") != F.col("id2.f")).select("id1.id", "id2.id").toDF("id1", "id2").distinct()
+
+
+def merge_enrichments(ref: DataFrame, others: DataFrame, key: list[str], least: float = 0.8) -> DataFrame:
+    """(id, sources, mean, lo, hi): each row's confidence with those of its match in every source, by id, else by the likest title above `least`.
+
+    ref has id, title, confidence and the key columns, in which titles are compared; others source, other_id, other_title, other_confidence too.
+    """
+    by_id = ref.join(others.select("source", F.col("other_id").alias("id"), "other_confidence").groupBy("source", "id").agg(F.max("other_confidence").alias("c")), "id").select("id", "source", "c")
+    named = ref.select(*key, F.struct(F.lit("").alias("s"), F.col("id").alias("i"), F.lit(0.0).alias("c")).alias("row"), F.lower("title").alias("t"))
+    offered = others.select(*key, F.struct(F.col("source").alias("s"), F.col("other_id").alias("i"), F.col("other_confidence").alias("c")).alias("row"), F.lower("other_title").alias("t"))
+    near = near_pairs(named.unionByName(offered), key, "row", "t", least).filter("id1.s = '' and id2.s <> ''")
+    score = 1 - F.levenshtein("name1", "name2") / F.greatest(F.length("name1"), F.length("name2"), F.lit(1))
+    near = near.withColumn("score", score).filter(F.col("score") > least)
+    best = near.groupBy(F.col("id1.i").alias("id"), F.col("id2.s").alias("source")).agg(F.max_by("id2.c", F.struct("score", -F.col("id2.i"))).alias("c"))
+    found = by_id.unionByName(best.join(by_id.select("id", "source"), ["id", "source"], "left_anti"))
+    every = found.select("id", "c").unionByName(ref.select("id", F.col("confidence").alias("c")))
+    return every.groupBy("id").agg((F.count("*") - 1).alias("sources"), F.round(F.avg("c"), 6).alias("mean_conf"), F.round(F.min("c"), 6).alias("min_conf"), F.round(F.max("c"), 6).alias("max_conf"))
+
+
+def album_titles(rows: DataFrame, group: list[str]) -> DataFrame:
+    """The title of each group: the most frequent one or, among those alike to it above 0.9, the shortest, then the first."""
+    counts = rows.groupBy(*group, "title").agg(F.count("*").alias("n"))
+    modal = counts.groupBy(*group).agg(F.min(F.struct((-F.col("n")).alias("m"), "title")).alias("x")).select(*group, F.col("x.title").alias("modal"))
+    like = counts.join(modal, group).filter((F.col("title") == F.col("modal")) | (T.ratio(F.col("title"), F.col("modal")) > 0.9))
+    return like.groupBy(*group).agg(F.min_by("title", F.struct(F.length("title"), "title")).alias("title"))
+
+
+def assign_releases(tracks: DataFrame, groups: DataFrame, existing: DataFrame) -> DataFrame:
+    """(id, album, reused): each track's album: the existing one with its group's artist and key, else the group's own; groups need a title, an artist and a track."""
+    valid = groups.filter("title is not null and title <> '' and artist_id is not null and tracks > 0")
+    known = existing.groupBy("artist_id", "key").agg(F.min("id").alias("known"))
+    album = valid.join(known, ["artist_id", "key"], "left").select("artist_id", "key", F.coalesce("known", "release_id").alias("album"), F.col("known").isNotNull().alias("reused"))
+    return tracks.join(album, ["artist_id", "key"]).select("id", "album", "reused")
+
+
 def merge_components(pairs: DataFrame, survivors: str = "label") -> DataFrame:
     """(id, survivor): every id of the pairs with the smallest id of its component."""
     return components(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"))).withColumnRenamed("label", survivors)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediagrain.operators.components import shared_folder
+from mediagrain.operators.ranking import global_rank
 
 
 def get_by_id(df: DataFrame, value, column: str = "id") -> DataFrame:
@@ -140,12 +141,11 @@ def for_extraction(tracks: DataFrame, failed: DataFrame) -> DataFrame:
     return todo.join(failed.select("id"), "id", "left_anti")
 
 
-def prioritise(tracks: DataFrame, size: int, buckets: str = "album_id") -> DataFrame:
-    """Additive priority and, inside each value of `buckets`, a batch number of `size` rows by priority."""
+def prioritise(tracks: DataFrame, size: int) -> DataFrame:
+    """Additive priority and the number of the batch of `size` rows, over the whole table by descending priority."""
     score = F.when(F.col("duration_seconds").isNull(), 3).otherwise(0) + F.when(F.col("bpm").isNull(), 2).otherwise(0) + F.when(F.col("has_lyrics"), 0).otherwise(1)
-    df = tracks.withColumn("priority", score)
-    rank = F.row_number().over(Window.partitionBy(buckets).orderBy(F.desc("priority"), "id"))
-    return df.withColumn("batch", F.floor((rank - 1) / size).cast("int") + 1)
+    ranked = global_rank(tracks.withColumn("priority", score), F.desc("priority"), "id")
+    return ranked.withColumn("batch", F.floor((F.col("rank") - 1) / size) + 1).drop("rank")
 
 
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediagrain.operators.components import shared_folder
+
 
 def union_all(*tables: DataFrame) -> DataFrame:
     out = tables[0]
@@ -52,6 +54,16 @@ def last_k(df: DataFrame, group: list[str], order: list, value: str, k: int, nam
     return top.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", value))), lambda x: x[value]).alias(name))
 
 
+def global_rank(df: DataFrame, *order) -> DataFrame:
+    """Adds rank, 1 to n over the whole table: ranges of the order are numbered by themselves, then shifted by the rows before them."""
+    shared_folder(df.sparkSession)
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn("rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")
+
+
 def exponential_mean(df: DataFrame, group: str, order: list[str], value: str, chunk: str = "hour") -> DataFrame:
     """The fold m = (m + x) / 2 from the first value on.
 

@@ -40,16 +40,39 @@ def scrobble_tags(c: Column, least: int, k: int) -> Column:
     return F.slice(F.transform(F.array_sort(F.transform(tags, lambda t: F.struct((-t["count"]).alias("c"), t["name"].alias("name")))), lambda t: t["name"]), 1, k)
 
 
-def subgenre_scores(tempo: Column, density: Column, low: Column) -> Column:
-    """Additive scores of three styles."""
-    add = lambda *rules: sum((F.when(r, p).otherwise(0.0) for r, p in rules), F.lit(0.0))
+def subgenre_scores(tempo: Column, trap_pattern: Column, sub_bass: Column, percussive: Column, harmonic: Column, mid: Column) -> Column:
+    """Additive scores of three styles: tempo, a drum pattern, shares of the sub-bass and mid bands, percussive against harmonic energy."""
+    add = lambda *rules: F.least(F.lit(1.0), sum((F.when(r, p).otherwise(0.0) for r, p in rules), F.lit(0.0)))
     return F.struct(
-        add((tempo.between(130, 170), 0.4), (low > 0.4, 0.3), (density > 4, 0.3)).alias("trap"),
-        add((tempo.between(80, 100), 0.4), (low.between(0.2, 0.4), 0.3), (density < 4, 0.3)).alias("boom_bap"),
-        add((tempo.between(60, 80), 0.5), (density < 3, 0.5)).alias("cloud"),
+        add((tempo.between(130, 150), 0.3), (trap_pattern, 0.4), (sub_bass > 0.15, 0.3)).alias("trap"),
+        add((tempo.between(85, 105), 0.4), (percussive > 0.8 * harmonic, 0.3)).alias("boom_bap"),
+        add((tempo.between(140, 180), 0.4), (mid > 0.25, 0.3)).alias("drill"),
     )
 
 
+# The analyses of a track and their fields in its summary.
+SUMMARY = {
+    "basic": {"duration_seconds": "duration_seconds double", "energy_level": "rms_energy double", "brightness": "spectral_centroid double"},
+    "rhythm": {"bpm": "bpm double", "rhythm_regularity": "rhythm_regularity double", "trap_detected": "trap_pattern_detected boolean"},
+    "harmonic": {"detected_key": "detected_key string", "key_confidence": "key_confidence double", "harmonic_complexity": "harmonic_complexity double"},
+    "energy": {"bass_energy": "bass_energy double", "vocal_energy": "mid_energy double", "dynamic_range": "dynamic_range double"},
+    "rap_specific": {"vocal_density": "vocal_density double", "flow_style": "flow_style string"},
+}
+
+
+def summary_features(df: DataFrame, key: str, column: str) -> DataFrame:
+    """One flat row of the nested results of the analyses (JSON); what an analysis lacks is null."""
+    schema = ", ".join(f"{part} struct<{', '.join(f.replace(' ', ':') for f in fields.values())}>" for part, fields in SUMMARY.items())
+    nested = df.select(key, F.from_json(column, schema).alias("x"))
+    return nested.select(key, *(F.col(f"x.{part}.{f.split()[0]}").alias(name) for part, fields in SUMMARY.items() for name, f in fields.items()))
+
+
+def names_in_text(c: Column) -> Column:
+    """The names of a list in prose, without parts that hold a word of its own wording."""
+    parts = F.transform(F.split(c, r"[,;&\n]| and | et "), lambda x: F.trim(x))
+    return F.filter(parts, lambda x: (F.length(x) > 1) & ~F.lower(x).rlike("produced|mixed|written|by|credits|show|more"))
+
+
 def analysis_quality(fields: list[str]) -> Column:
     """Share of features present and the names of the missing ones."""
     present = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))

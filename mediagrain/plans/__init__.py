@@ -1,8 +1,8 @@
 """The registered queries of the catalogue operators."""
 
-from mediagrain.plans import credits, documents, linkage, lyrics, quality, relational, reports, shaping, streams, textual
+from mediagrain.plans import credits, documents, linkage, lyrics, payloads, quality, relational, reports, shaping, streams, textual
 
-MODULES = (relational, textual, quality, reports, linkage, documents, streams, shaping, credits, lyrics)
+MODULES = (relational, textual, quality, reports, linkage, documents, streams, shaping, credits, lyrics, payloads)
 
 
 def queries() -> dict:

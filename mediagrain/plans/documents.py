@@ -43,7 +43,19 @@ add("l10_explicit", lambda k: D.explicit(k.lyrics.withColumn("lyrics", F.concat(
 
 
 add("c16_dedup_credits", lambda k: k.credits.dropDuplicates(["track_id", "person_name", "credit_type"]).select("track_id", "person_name", "credit_type"), sql("credits", "SELECT DISTINCT track_id, person_name, credit_type FROM credits"))
-add("c17_fix_types", lambda k: k.credits.groupBy(F.element_at(F.create_map(F.lit("mixing"), F.lit("mixing_engineer"), F.lit("featuring"), F.lit("featured_artist")), C("credit_type")).alias("fixed"), "credit_type").agg(F.count("*").alias("n")), sql("credits", "SELECT CASE credit_type WHEN 'mixing' THEN 'mixing_engineer' WHEN 'featuring' THEN 'featured_artist' END AS fixed, credit_type, count(*) AS n FROM credits GROUP BY 1, 2"))
+# Credit types by normalised role.
+TYPES = {"producer": "producer", "executive_producer": "executive_producer", "co_producer": "co_producer", "mixing": "mixing", "mastering": "mastering", "recording": "recording", "featuring": "featuring", "songwriter": "songwriter", "composer": "composer", "guitar": "guitar", "piano": "piano", "drums": "drums", "bass": "bass", "saxophone": "saxophone"}
+
+
+def fixed_types(k):
+    """Types as they come in, by part; their normalised form where it is known, and whether that changes them."""
+    raw = F.element_at(F.array(C("credit_type"), F.concat(F.lit(" "), F.upper("credit_type"), F.lit(" ")), F.lit("Co-Producer"), F.lit("executive producer"), F.lit("beatbox")), (C("part") % 5 + 1).cast("int"))
+    role = F.regexp_replace(F.lower(F.trim("raw")), "[ -]+", "_")
+    out = k.credits.select("track_id", "person_name", raw.alias("raw")).withColumn("new", F.element_at(F.create_map(*(F.lit(x) for kv in TYPES.items() for x in kv)), role))
+    return out.select("raw", F.coalesce("new", "raw").alias("fixed"), (C("new").isNotNull() & (C("new") != C("raw"))).alias("changed")).groupBy("raw", "fixed", "changed").agg(F.count("*").alias("n"))
+
+
+add("c17_fix_types", fixed_types, sql("credits", ", r AS (SELECT CASE part % 5 WHEN 0 THEN credit_type WHEN 1 THEN ' ' || upper(credit_type) || ' ' WHEN 2 THEN 'Co-Producer' WHEN 3 THEN 'executive producer' ELSE 'beatbox' END AS raw FROM credits), f AS (SELECT raw, CASE WHEN raw = 'beatbox' THEN NULL ELSE regexp_replace(lower(trim(raw)), '[ -]+', '_', 'g') END AS new FROM r) SELECT raw, coalesce(new, raw) AS fixed, new IS NOT NULL AND new <> raw AS changed, count(*) AS n FROM f GROUP BY 1, 2, 3"))
 
 def music_pages(k):
     """The pages with a heading and fields of a music page that differ by page."""

@@ -23,7 +23,18 @@ CONF = "CASE WHEN score >= 0.95 THEN 'certain' WHEN score >= 0.85 THEN 'high' WH
 dup = lambda k: L.track_duplicates(k.tracks)
 add("d01_track_duplicates", dup, sql("tracks", KEYED + f" SELECT *, {CONF} AS confidence FROM d WHERE kind IS NOT NULL"))
 add("d02_remix_variants", lambda k: dup(k).filter("kind = 'remix'").select("id1", "id2"), sql("tracks", KEYED + " SELECT id1, id2 FROM d WHERE kind = 'remix'"))
-add("d03_featuring_variants", lambda k: dup(k).filter("kind = 'featuring'").select("id1", "id2"), sql("tracks", KEYED + " SELECT id1, id2 FROM d WHERE kind = 'featuring'"))
+GUESTS = f", k AS (SELECT id, artist_id, {norm('trim(' + sub('title', *NO_FEAT) + ')')} AS t, {feat_sql} AS f FROM tracks)"
+add("d03_featuring_variants", lambda k: L.featuring_variants(k.tracks), sql("tracks", GUESTS + " SELECT x.id AS id1, y.id AS id2 FROM k x JOIN k y ON x.artist_id = y.artist_id AND x.id < y.id AND x.f <> y.f AND 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t), 1) >= 0.95"))
+REPORT = sql("tracks", KEYED + f", c AS (SELECT *, {CONF} AS confidence FROM d WHERE kind IS NOT NULL) ")
+
+
+def duplicate_report(k):
+    """Duplicates by type, confidence and in all, with those that are certain or exact."""
+    return dup(k).groupingSets([[C("kind")], [C("confidence")], []], "kind", "confidence").agg(F.count("*").alias("n"), F.count_if(C("score") >= 0.95).alias("certain"), F.count_if(C("kind") == "exact").alias("exact"))
+
+
+add("a17b_dedup_report", duplicate_report, REPORT + "SELECT kind, confidence, count(*) AS n, count(*) FILTER (WHERE score >= 0.95) AS certain, count(*) FILTER (WHERE kind = 'exact') AS exact FROM c GROUP BY GROUPING SETS ((kind), (confidence), ())")
+add("a17c_top_matches", lambda k: dup(k).filter("kind <> 'exact'").orderBy(F.desc("score"), "id1", "id2").limit(10), REPORT + "SELECT * FROM c WHERE kind <> 'exact' ORDER BY score DESC, id1, id2 LIMIT 10")
 add("d04_confidence", lambda k: dup(k).groupBy("confidence", "kind").agg(F.count("*").alias("n")), sql("tracks", KEYED + f" SELECT {CONF} AS confidence, kind, count(*) AS n FROM d WHERE kind IS NOT NULL GROUP BY 1, 2"))
 CREDIT_GROUPS = f", c AS (SELECT track_id, credit_type, {norm('person_name')} AS name, count(*) AS n FROM credits GROUP BY 1, 2, 3), e AS (SELECT x.track_id, x.credit_type, x.name AS a, y.name AS b FROM c x JOIN c y ON x.track_id = y.track_id AND x.credit_type = y.credit_type AND x.name <> y.name AND 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name), 1) >= 0.9), r AS (SELECT track_id, credit_type, name AS id, name AS m FROM c UNION SELECT e.track_id, e.credit_type, e.b, r.m FROM r JOIN e ON e.track_id = r.track_id AND e.credit_type = r.credit_type AND e.a = r.id), l AS (SELECT track_id, credit_type, id, min(m) AS name FROM r GROUP BY ALL)"
 add("d05_credit_duplicates", lambda k: L.credit_duplicates(k.credits), sql("credits", CREDIT_GROUPS + " SELECT l.track_id, l.credit_type, l.name, count(*) AS names, CAST(sum(n) AS BIGINT) AS n FROM l JOIN c ON c.track_id = l.track_id AND c.credit_type = l.credit_type AND c.name = l.id GROUP BY 1, 2, 3 HAVING sum(n) > 1").replace("WITH credits", "WITH RECURSIVE credits", 1))
@@ -54,7 +65,18 @@ Q["d12_merge_similar_names"] = lambda spark, sf: merged_names(load(spark, sf))
 SQL["d12_merge_similar_names"] = sql("tracks", NAMES + ", c AS (SELECT grp, arg_min(id, (-length(id), id)) AS canonical FROM g GROUP BY grp) SELECT id AS name, canonical FROM g JOIN c USING (grp)").replace("WITH tracks", "WITH RECURSIVE tracks", 1)
 add("d13_components", lambda k: L.merge_components(twins(k)), FOUND + " SELECT id, min(m) AS label FROM r GROUP BY id")
 add("d14_cross_reference", lambda k: L.cross_reference(k.part.select(C("p_partkey").alias("id"), "p_brand", C("p_name").alias("name")), k.part.select((C("p_partkey") % 5).alias("source"), C("p_partkey").alias("other_id"), "p_brand", C("p_name").alias("other_name")), ["p_brand"], F.when(C("id") != C("other_id"), T.word_jaccard(C("name"), C("other_name"))), 0.3), "WITH s AS (SELECT x.p_partkey AS id, y.p_partkey % 5 AS source, y.p_partkey AS other_id, round(len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' ')))::DOUBLE / len(list_distinct(string_split(x.p_name, ' ') || string_split(y.p_name, ' '))), 6) AS score FROM part x JOIN part y ON x.p_brand = y.p_brand WHERE x.p_partkey <> y.p_partkey) SELECT id, source, other_id, score FROM (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY score DESC, other_id) AS rn FROM s WHERE score > 0.3) WHERE rn = 1")
-add("d15_merge_enrichments", lambda k: k.tracks.join(k.credits.groupBy(C("track_id").alias("id")).agg(F.avg((C("part") % 10 / 10).cast("double")).alias("m"), F.min((C("part") % 10 / 10).cast("double")).alias("lo"), F.max((C("part") % 10 / 10).cast("double")).alias("hi")), "id").select("id", F.round("m", 6).alias("mean_conf"), F.round("lo", 6).alias("min_conf"), F.round("hi", 6).alias("max_conf")), sql("tracks credits", "SELECT track_id AS id, round(avg(part % 10 / 10), 6) AS mean_conf, round(min(part % 10 / 10), 6) AS min_conf, round(max(part % 10 / 10), 6) AS max_conf FROM credits GROUP BY 1"))
+rated = lambda k: k.tracks.withColumn("confidence", (C("id") % 10 / 10).cast("double"))
+
+
+def enrichments(k):
+    """Two sources: one with half of the ids, one with other ids and titles with an edit."""
+    own = rated(k).filter("id % 2 = 0").select("artist_id", F.lit("ids").alias("source"), C("id").alias("other_id"), C("title").alias("other_title"), (C("id") % 7 / 7).cast("double").alias("other_confidence"))
+    edited = rated(k).filter("id % 3 = 0").select("artist_id", F.lit("titles").alias("source"), (C("id") + 10**9).alias("other_id"), F.concat("title", F.lit("s")).alias("other_title"), (C("id") % 5 / 5).cast("double").alias("other_confidence"))
+    return L.merge_enrichments(rated(k), own.unionByName(edited), ["artist_id"])
+
+
+ENRICHED = ", r AS (SELECT id, artist_id, lower(title) AS t, id % 10 / 10 AS c FROM tracks), o AS (SELECT artist_id, 'ids' AS source, id, lower(title) AS t, id % 7 / 7 AS c FROM tracks WHERE id % 2 = 0 UNION ALL SELECT artist_id, 'titles', id + 1000000000, lower(title || 's'), id % 5 / 5 FROM tracks WHERE id % 3 = 0), i AS (SELECT r.id, source, max(o.c) AS c FROM r JOIN o ON o.id = r.id GROUP BY 1, 2), n AS (SELECT r.id, o.source, o.id AS other, o.c, 1 - levenshtein(r.t, o.t) / greatest(length(r.t), length(o.t), 1) AS score FROM r JOIN o ON o.artist_id = r.artist_id), b AS (SELECT id, source, arg_max(c, (score, -other)) AS c FROM n WHERE score > 0.8 AND (id, source) NOT IN (SELECT id, source FROM i) GROUP BY 1, 2), e AS (SELECT id, c FROM i UNION ALL SELECT id, c FROM b UNION ALL SELECT id, c FROM r)"
+add("d15_merge_enrichments", enrichments, sql("tracks", ENRICHED + " SELECT id, count(*) - 1 AS sources, round(avg(c), 6) AS mean_conf, round(min(c), 6) AS min_conf, round(max(c), 6) AS max_conf FROM e GROUP BY 1"))
 BEST = "WITH r AS (SELECT p_partkey AS id, p_brand, p_name AS name FROM part), s AS (SELECT r.id, y.p_partkey AS other_id, round(0.6 * (len(list_intersect(string_split(name, ' '), string_split(y.p_name, ' ')))::DOUBLE / len(list_distinct(string_split(name, ' ') || string_split(y.p_name, ' ')))) + 0.4 * (y.p_size > 25)::INT, 6) AS score FROM r JOIN part y ON r.p_brand = y.p_brand AND r.id <> y.p_partkey), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id) AS rn FROM s WHERE score >= 0.5) WHERE rn = 1) SELECT r.id, b.other_id, b.score, b.id IS NOT NULL AS found FROM r LEFT JOIN b USING (id)"
 
 
@@ -80,7 +102,16 @@ add("g01_release_groups", rel, sql("albums tracks", RELEASES + f" SELECT *, {KIN
 add("g02_group_key", lambda k: k.albums.select("id", L.release_key(C("title")).alias("key")), sql("albums", f"SELECT id, {KEY} AS key FROM albums"))
 add("g06_release_types", lambda k: rel(k).groupBy("kind").agg(F.count("*").alias("n"), F.sum("tracks").alias("tracks")), sql("albums tracks", RELEASES + f" SELECT {KIND} AS kind, count(*) AS n, CAST(sum(tracks) AS BIGINT) AS tracks FROM g GROUP BY 1"))
 add("g08_orphan_buckets", lambda k: k.tracks.groupBy("artist_id", L.orphan_bucket(C("title")).alias("bucket")).agg(F.count("*").alias("n")), sql("tracks", "SELECT artist_id, CASE WHEN contains(lower(title), 'feat') THEN 'collaborations' WHEN contains(lower(title), 'remix') THEN 'remixes' WHEN regexp_matches(lower(title), 'freestyle|live') THEN 'freestyles' ELSE 'singles' END AS bucket, count(*) AS n FROM tracks GROUP BY 1, 2"))
-add("g09_assign_releases", lambda k: k.tracks.join(k.albums.select(C("id").alias("album_id"), L.release_key(C("title")).alias("key"), C("artist_id").alias("owner")), "album_id").join(rel(k).select(C("artist_id").alias("owner"), "key", "release_id"), ["owner", "key"]).select("id", "release_id"), sql("albums tracks", RELEASES + " SELECT tracks.id, release_id FROM tracks JOIN a ON a.id = album_id JOIN g ON g.artist_id = a.artist_id AND g.key = a.key"))
+def assigned(k):
+    """Every fifth album is an existing one; a group with one of them is assigned to it."""
+    keyed = k.albums.select("id", "artist_id", L.release_key(C("title")).alias("key"))
+    own = k.tracks.select("id", "album_id").join(keyed.select(C("id").alias("album_id"), "artist_id", "key"), "album_id")
+    return L.assign_releases(own, rel(k), keyed.filter("id % 5 = 0"))
+
+
+add("g09_assign_releases", assigned, sql("albums tracks", RELEASES + ", x AS (SELECT artist_id, key, min(id) AS known FROM a WHERE id % 5 = 0 GROUP BY 1, 2) SELECT tracks.id, coalesce(known, release_id) AS album, known IS NOT NULL AS reused FROM tracks JOIN a ON a.id = album_id JOIN g ON g.artist_id = a.artist_id AND g.key = a.key LEFT JOIN x ON x.artist_id = g.artist_id AND x.key = g.key WHERE g.tracks > 0"))
+TITLED = f", a AS (SELECT artist_id, CASE WHEN {KEY} = '' THEN '_ORPHANS_' ELSE {KEY} END AS key, title FROM albums), c AS (SELECT artist_id, key, title, {norm('title')} AS t, count(*) AS n FROM a GROUP BY ALL), m AS (SELECT artist_id, key, arg_min(title, (-n, title)) AS modal, arg_min(t, (-n, title)) AS mt FROM c GROUP BY 1, 2)"
+add("g04_album_titles", lambda k: L.album_titles(k.albums.select("artist_id", L.release_key(C("title")).alias("key"), "title"), ["artist_id", "key"]), sql("albums", TITLED + " SELECT artist_id, key, arg_min(title, (length(title), title)) AS title FROM c JOIN m USING (artist_id, key) WHERE title = modal OR (t <> '' AND mt <> '' AND 1 - levenshtein(t, mt) / greatest(length(t), length(mt)) > 0.9) GROUP BY 1, 2"))
 add("g10_resolution_counters", lambda k: rel(k).agg(F.count("*").alias("releases"), F.sum("albums").alias("albums"), F.count_if(C("albums") > 1).alias("merged")), sql("albums tracks", RELEASES + " SELECT count(*) AS releases, CAST(sum(albums) AS BIGINT) AS albums, count(*) FILTER (WHERE albums > 1) AS merged FROM g"))
 
 holes = lambda k: k.tracks.withColumn("release_date", F.when(C("id") % 4 > 0, C("release_date")))
@@ -91,8 +122,50 @@ RANGES = [("standard", 80, 100), ("promo", 120, 135), ("small", 60, 90)]
 BPM = "CASE WHEN lower(genre) LIKE '%standard%' THEN 90 WHEN lower(genre) LIKE '%promo%' THEN 127 WHEN lower(genre) LIKE '%small%' THEN 75 END"
 add("e03_infer_bpm", lambda k: E.infer_bpm(k.tracks, RANGES).select("id", "bpm", "bpm_inferred"), sql("tracks", f"SELECT id, coalesce(bpm, {BPM})::DOUBLE AS bpm, bpm IS NULL AND {BPM} IS NOT NULL AS bpm_inferred FROM tracks"))
 add("e04_infer_genre", lambda k: E.fill_from(k.tracks.withColumn("genre", F.when(C("id") % 3 > 0, C("genre"))), k.artists.select(C("id").alias("artist_id"), "genre"), "artist_id", "genre", 0.8).select("id", "genre", "genre_confidence"), sql("tracks artists", "SELECT tracks.id, CASE WHEN tracks.id % 3 > 0 THEN tracks.genre ELSE artists.genre END AS genre, CASE WHEN tracks.id % 3 = 0 THEN 0.8::DOUBLE END AS genre_confidence FROM tracks JOIN artists ON artist_id = artists.id"))
-add("e05_change_log", lambda k: E.change_log(k.tracks, k.tracks.withColumns({"title": T.normalize_title(C("title"), True, True), "genre": F.lower("genre")}), "id", ["title", "genre"]), sql("tracks", f", n AS (SELECT id, title, trim({sub('title', *NO_FEAT, ('(?i)\\b(?:remix|version|edit|mix|instrumental|acapella|radio|clean|explicit)\\b', ''), ('\\(\\s*\\)', ''), ('\\[\\s*\\]', ''), ('\\s+', ' '))}) AS t, genre FROM tracks) SELECT id, 'title' AS field, title AS old, t AS new FROM n WHERE t <> title UNION ALL SELECT id, 'genre', genre, lower(genre) FROM n WHERE lower(genre) <> genre"))
-add("e06_log_stats", lambda k: E.change_log(k.tracks, E.infer_bpm(k.tracks, RANGES), "id", ["bpm"]).groupBy("field").agg(F.count("*").alias("n"), F.countDistinct("new").alias("values")), sql("tracks", f"SELECT 'bpm' AS field, count(*) AS n, count(DISTINCT {BPM}) AS values FROM tracks WHERE bpm IS NULL AND {BPM} IS NOT NULL HAVING count(*) > 0"))
+def raw_tracks(k):
+    """Tracks as they may come in: artist names with a guest, dates in three forms or none, years missing."""
+    day = lambda f: F.date_format("release_date", f)
+    return k.tracks.select("id", "title", "genre", F.concat(F.lit(" Artist [x] @ "), C("artist_id").cast("string")).alias("artist"), F.when(C("id") % 4 == 0, day("yyyy/MM/dd")).when(C("id") % 4 == 1, day("dd.MM.yyyy")).when(C("id") % 4 == 2, day("yyyy-MM-dd")).alias("date"), F.when(C("id") % 3 == 0, F.year("release_date").cast("string")).alias("year"))
+
+
+def corrected(k):
+    df = raw_tracks(k)
+    day = F.coalesce(F.try_to_timestamp("date", F.lit("yyyy/MM/dd")), F.try_to_timestamp("date", F.lit("dd.MM.yyyy")), F.try_to_timestamp("date", F.lit("yyyy-MM-dd"))).cast("date")
+    return df.withColumns({"title": T.normalize_title(C("title"), True, True), "genre": F.lower("genre"), "artist": T.clean_artist_name(C("artist")), "date": day.cast("string"), "year": F.coalesce("year", F.year(day).cast("string"))})
+
+
+FIELDS5 = ["title", "genre", "artist", "date", "year"]
+SOURCES = {"title": "title_rules", "genre": "genre_rules", "artist": "name_rules", "date": "date_forms", "year": "date"}
+CHANGES = f", n AS (SELECT id, title, trim({sub('title', *NO_FEAT, ('(?i)\\b(?:remix|version|edit|mix|instrumental|acapella|radio|clean|explicit)\\b', ''), ('\\(\\s*\\)', ''), ('\\[\\s*\\]', ''), ('\\s+', ' '))}) AS t, genre, artist_id, strftime(release_date, '%Y-%m-%d') AS d, CASE id % 4 WHEN 0 THEN strftime(release_date, '%Y/%m/%d') WHEN 1 THEN strftime(release_date, '%d.%m.%Y') WHEN 2 THEN strftime(release_date, '%Y-%m-%d') END AS date, CASE WHEN id % 3 = 0 THEN CAST(year(release_date) AS VARCHAR) END AS year FROM tracks), l AS (SELECT id, 'title' AS field, title AS old, t AS new FROM n UNION ALL SELECT id, 'genre', genre, lower(genre) FROM n UNION ALL SELECT id, 'artist', ' Artist [x] @ ' || artist_id, 'Artist x at ' || artist_id FROM n UNION ALL SELECT id, 'date', date, CASE WHEN date IS NOT NULL THEN d END FROM n UNION ALL SELECT id, 'year', year, coalesce(year, CASE WHEN date IS NOT NULL THEN d[1:4] END) FROM n), g AS (SELECT * FROM l WHERE old IS DISTINCT FROM new)"
+add("e05_change_log", lambda k: E.change_log(raw_tracks(k), corrected(k), "id", FIELDS5), sql("tracks", CHANGES + " SELECT * FROM g"))
+def log_stats(k):
+    """Changes by field and source: number, rows that were empty before, share of all rows."""
+    log = E.change_log(raw_tracks(k), corrected(k), "id", FIELDS5)
+    source = F.element_at(F.create_map(*(F.lit(x) for kv in SOURCES.items() for x in kv)), C("field"))
+    n = log.groupBy("field", source.alias("source")).agg(F.count("*").alias("n"), F.count_if(C("old").isNull()).alias("filled"))
+    return n.crossJoin(F.broadcast(k.tracks.agg(F.count("*").alias("all")))).select("field", "source", "n", "filled", F.round(C("n") / C("all"), 6).alias("share"))
+
+
+CASES = " ".join("WHEN '" + a + "' THEN '" + b + "'" for a, b in SOURCES.items())
+add("e06_log_stats", log_stats, sql("tracks", CHANGES + f" SELECT field, CASE field {CASES} END AS source, count(*) AS n, count(*) FILTER (WHERE old IS NULL) AS filled, round(count(*) / (SELECT count(*) FROM tracks), 6) AS share FROM g GROUP BY 1, 2"))
+
+
+def attempts(k):
+    """An enrichment attempt for each missing field: its source, whether it helped, confidence, reason of failure."""
+    row = lambda df, field, source, ok, conf, reason: df.select("id", F.lit(field).alias("field"), F.lit(source).alias("source"), ok.alias("ok"), F.when(ok, conf).alias("confidence"), F.when(~ok, reason).alias("reason"))
+    bpm = row(E.infer_bpm(k.tracks, RANGES).filter("bpm is null or bpm_inferred"), "bpm", "genre_ranges", C("bpm_inferred"), F.lit(0.6), F.lit("no_range"))
+    length = row(k.tracks.filter("duration_seconds is null"), "duration_seconds", "album", F.lit(False), F.lit(0.0), F.lit("no_source"))
+    dates = row(holes(k).filter("release_date is null"), "release_date", "album", F.lit(True), F.lit(0.9), F.lit(""))
+    return bpm.unionByName(length).unionByName(dates)
+
+
+def enrichment_summary(k):
+    out = attempts(k).groupingSets([[C("field")], [C("source")], [C("reason")], []], "field", "source", "reason").agg(F.count("*").alias("n"), F.round(F.avg(C("ok").cast("double")), 6).alias("success"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return out.filter("not (field is null and source is null and reason is null and success = 1)")
+
+
+ATTEMPTS = f", t AS (SELECT id, 'bpm' AS field, 'genre_ranges' AS source, {BPM} IS NOT NULL AS ok, 0.6 AS c, 'no_range' AS why FROM tracks WHERE bpm IS NULL UNION ALL SELECT id, 'duration_seconds', 'album', false, 0, 'no_source' FROM tracks WHERE duration_seconds IS NULL UNION ALL SELECT id, 'release_date', 'album', true, 0.9, '' FROM tracks WHERE id % 4 = 0), u AS (SELECT id, field, source, ok, CASE WHEN ok THEN c END AS confidence, CASE WHEN NOT ok THEN why END AS reason FROM t), s AS (SELECT field, source, reason, count(*) AS n, round(avg(ok::INT), 6) AS success, round(avg(confidence), 6)::DOUBLE AS confidence FROM u GROUP BY GROUPING SETS ((field), (source), (reason), ()))"
+add("a18b_enrichment_summary", enrichment_summary, sql("tracks", ATTEMPTS + " SELECT * FROM s WHERE NOT (field IS NULL AND source IS NULL AND reason IS NULL AND success = 1)"))
 add("e07_missing_fields", lambda k: k.tracks.select("id", F.array_join(E.missing_fields(["duration_seconds", "bpm", "genre"]), ",").alias("missing")), sql("tracks", "SELECT id, concat_ws(',', CASE WHEN duration_seconds IS NULL THEN 'duration_seconds' END, CASE WHEN bpm IS NULL THEN 'bpm' END, CASE WHEN genre IS NULL THEN 'genre' END) AS missing FROM tracks"))
 
 

@@ -55,7 +55,7 @@ add("q22_filter_sessions", lambda k: L.since(k.sessions.filter("status = 'failed
 add("q23_old_final_sessions", lambda k: L.old_final(k.sessions, F.lit(AS_OF).cast("timestamp"), 10).select("id", "session", "status"), sql("sessions", "SELECT id, session, status FROM sessions WHERE status IN ('completed', 'failed') AND ts < TIMESTAMP '2024-01-10'"))
 add("q23b_open_sessions_by_status", lambda k: L.open_by_status(k.sessions).select("status", F.array_join("sessions", ",").alias("sessions")), sql("sessions", "SELECT status, string_agg(session, ',' ORDER BY session) AS sessions FROM (SELECT DISTINCT status, session FROM sessions WHERE status <> 'completed') GROUP BY status"))
 add("q24_filter_for_extraction", lambda k: L.for_extraction(k.tracks, k.tracks.filter("status = 'failed'")).select("id", "status"), sql("tracks", "SELECT id, status FROM tracks WHERE status = 'pending' AND title <> ''"))
-add("q25_prioritise_and_batch", lambda k: L.prioritise(k.tracks, 2).select("id", "priority", "batch"), sql("tracks", ", p AS (SELECT id, album_id, CASE WHEN duration_seconds IS NULL THEN 3 ELSE 0 END + CASE WHEN bpm IS NULL THEN 2 ELSE 0 END + CASE WHEN has_lyrics THEN 0 ELSE 1 END AS priority FROM tracks) SELECT id, priority, CAST((row_number() OVER (PARTITION BY album_id ORDER BY priority DESC, id) - 1) // 2 + 1 AS INT) AS batch FROM p"))
+add("q25_prioritise_and_batch", lambda k: L.prioritise(k.tracks, 50).select("id", "priority", "batch"), sql("tracks", ", p AS (SELECT id, CASE WHEN duration_seconds IS NULL THEN 3 ELSE 0 END + CASE WHEN bpm IS NULL THEN 2 ELSE 0 END + CASE WHEN has_lyrics THEN 0 ELSE 1 END AS priority FROM tracks) SELECT id, priority, (row_number() OVER (ORDER BY priority DESC, id) - 1) // 50 + 1 AS batch FROM p"))
 add("q26_table_counts", lambda k: L.table_counts({"artists": k.artists, "albums": k.albums, "tracks": k.tracks, "credits": k.credits, "sessions": k.sessions}), sql("artists albums tracks credits sessions", "SELECT 'artists' AS table_name, count(*) AS n FROM artists UNION ALL SELECT 'albums', count(*) FROM albums UNION ALL SELECT 'tracks', count(*) FROM tracks UNION ALL SELECT 'credits', count(*) FROM credits UNION ALL SELECT 'sessions', count(*) FROM sessions"))
 
 

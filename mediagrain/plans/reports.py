@@ -38,6 +38,17 @@ def status_counts(k):
 
 
 add("a07_status_counts", status_counts, sql("sessions", "SELECT status, count(id) AS n, round(avg(found), 6) AS mean_found FROM (VALUES ('created'), ('in_progress'), ('paused'), ('completed'), ('failed'), ('cancelled')) d(status) LEFT JOIN sessions USING (status) GROUP BY status"))
+def session_stats(k):
+    """(kind, name, value): sessions of every status, mean seconds of completed sessions, the ten busiest sessions."""
+    row = lambda df, kind, name, value: df.select(F.lit(kind).alias("kind"), C(name).cast("string").alias("name"), C(value).cast("double").alias("value"))
+    last = k.sessions.groupBy("session").agg(F.max_by("status", F.struct("ts", "id")).alias("status"), (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("seconds"), F.count("*").alias("n"))
+    domain = k.spark.createDataFrame([(s,) for s in ("created", "in_progress", "paused", "completed", "failed", "cancelled")], "status string")
+    counts = domain.join(last.groupBy("status").agg(F.count("*").alias("n")), "status", "left").na.fill(0, ["n"])
+    done = last.agg(F.lit("all").alias("name"), F.round(F.avg(F.when(C("status") == "completed", C("seconds"))), 4).alias("value"))
+    return row(counts, "status", "status", "n").unionByName(row(done, "completion_seconds", "name", "value")).unionByName(row(last.orderBy(F.desc("n"), "session").limit(10), "busiest", "session", "n")).unionByName(row(last.agg(F.lit("sessions").alias("name"), F.count("*").alias("n")), "total", "name", "n"))
+
+
+add("a07b_session_global_stats", session_stats, sql("sessions", ", l AS (SELECT session, arg_max(status, (ts, id)) AS status, floor(epoch(max(ts))) - floor(epoch(min(ts))) AS seconds, count(*) AS n FROM sessions GROUP BY 1) SELECT 'status' AS kind, status AS name, count(session)::DOUBLE AS value FROM (VALUES ('created'), ('in_progress'), ('paused'), ('completed'), ('failed'), ('cancelled')) d(status) LEFT JOIN l USING (status) GROUP BY 2 UNION ALL SELECT 'completion_seconds', 'all', round(avg(seconds) FILTER (WHERE status = 'completed'), 4) FROM l UNION ALL SELECT * FROM (SELECT 'busiest', CAST(session AS VARCHAR), n::DOUBLE FROM l ORDER BY n DESC, session LIMIT 10) UNION ALL SELECT 'total', 'sessions', count(*)::DOUBLE FROM l"))
 add("a08_session_summary", lambda k: k.sessions.groupBy("session").agg(F.round(100 * F.avg((C("status") == "completed").cast("double")), 6).alias("progress"), F.min("ts").alias("started"), F.max("ts").alias("ended")).join(R.last_k(k.sessions, ["session"], [F.desc("ts"), F.desc("id")], "id", 5), "session").withColumn("latest", F.array_join("latest", ",")), sql("sessions", "SELECT session, round(100 * avg(CASE WHEN status = 'completed' THEN 1.0 ELSE 0.0 END), 6) AS progress, min(ts) AS started, max(ts) AS ended, array_to_string(list(id ORDER BY ts DESC, id DESC)[1:5], ',') AS latest FROM sessions GROUP BY 1"))
 add("a09_dashboard_stats", lambda k: k.sessions.agg(F.count_if(C("status") == "in_progress").alias("active"), F.countDistinct("session").alias("sessions"), F.count_if(C("ts") >= F.lit("2024-01-13").cast("timestamp")).alias("last_week")), sql("sessions", "SELECT count(*) FILTER (WHERE status = 'in_progress') AS active, count(DISTINCT session) AS sessions, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-13') AS last_week FROM sessions"))
 add("a10_selected_sessions", lambda k: k.sessions.groupBy("session").agg(F.sum("found").alias("found"), F.round(F.try_divide(100.0 * F.count_if(C("status") == "completed"), F.count_if(C("status").isin("completed", "failed"))), 6).alias("success")), sql("sessions", "SELECT session, CAST(sum(found) AS BIGINT) AS found, round(100.0 * count(*) FILTER (WHERE status = 'completed') / nullif(count(*) FILTER (WHERE status IN ('completed', 'failed')), 0), 6)::DOUBLE AS success FROM sessions GROUP BY 1"))

@@ -36,10 +36,19 @@ SHEETS = f"WITH l AS (SELECT s_suppkey AS k, s_name, {list(LABELS)} AS ls FROM s
 add("c14_labelled_lines", lambda k: S.labelled_lines(sheets(k), "id", "text"), SHEETS + " SELECT id, CASE label WHEN 'produit par' THEN 'producer' WHEN 'mix' THEN 'mixing_engineer' WHEN 'paroles' THEN 'songwriter' ELSE 'label' END AS kind, name FROM n WHERE label IN ('produit par', 'mix', 'paroles', 'label') AND name <> '' AND len(string_split(name, ' ')) <= 4")
 add("c13_context_hits", lambda k: S.context_hits(k.conversations.withColumn("id", C("conv_id") * 1000 + C("turn")), "id", F.col("text"), "tion").groupBy("id").agg(F.count("*").alias("hits"), F.min_by("context", "pos").alias("first")), "SELECT conv_id * 1000 + turn AS id, len(x) AS hits, x[1] AS first FROM (SELECT conv_id, turn, regexp_extract_all(text, '.{0,20}(?:tion).{0,30}') AS x FROM conversations) WHERE len(x) > 0")
 add("c15_infer_role", lambda k: k.credits.groupBy(S.infer_role(F.concat(F.lit("by "), "credit_type")).alias("role")).agg(F.count("*").alias("n")), sql("credits", "SELECT CASE credit_type WHEN 'producer' THEN 'producer' WHEN 'mixing' THEN 'mixing_engineer' WHEN 'featuring' THEN 'featuring' ELSE 'other' END AS role, count(*) AS n FROM credits GROUP BY 1"))
+SENTENCES = ("Produced by {n}, Ann & Bob", "{n} and Zoe et Max", "credits: {n};show more", "Lucy,{n}\nA")
+prose = lambda k: k.supplier.select(C("s_suppkey").alias("id"), F.replace(F.get(F.array(*(F.lit(x) for x in SENTENCES)), (C("s_suppkey") % 4).cast("int")), F.lit("{n}"), C("s_name")).alias("text"))
+add("c15b_names_in_text", lambda k: prose(k).select("id", F.posexplode(S.names_in_text(C("text"))).alias("pos", "name")), "WITH t AS (SELECT s_suppkey AS id, replace((" + str(list(SENTENCES)).replace("\\n", "' || chr(10) || '") + ")[s_suppkey % 4 + 1], '{n}', s_name) AS text FROM supplier), n AS (SELECT id, list_filter(list_transform(regexp_split_to_array(text, '[,;&\n]| and | et '), lambda x: trim(x)), lambda x: length(x) > 1 AND NOT regexp_matches(lower(x), 'produced|mixed|written|by|credits|show|more')) AS ns FROM t) SELECT id, CAST(unnest(range(len(ns))) AS INT) AS pos, unnest(ns) AS name FROM n")
 add("c18_drop_invalid_credits", lambda k: k.credits.withColumn("name", F.when(C("part") % 5 == 0, F.lit("123")).otherwise(T.clean_artist_name(C("person_name")))).filter(T.valid_artist_name(C("name"))).groupBy("name").agg(F.count("*").alias("n")), sql("credits", "SELECT person_name AS name, count(*) AS n FROM credits WHERE part % 5 <> 0 GROUP BY 1"))
-add("g05_release_metadata", lambda k: R.modal(k.tracks, ["album_id"], "genre").join(k.tracks.groupBy("album_id").agg(F.sum(F.when(C("duration_seconds") > 0, C("duration_seconds"))).alias("seconds"), F.min("release_date").alias("first_date"), F.bool_or("has_lyrics").alias("any_lyrics")), "album_id"), sql("tracks", ", m AS (SELECT album_id, genre, n FROM (SELECT album_id, genre, count(*) AS n, row_number() OVER (PARTITION BY album_id ORDER BY count(*) DESC, genre) AS rn FROM tracks GROUP BY 1, 2) WHERE rn = 1) SELECT m.*, seconds, first_date, any_lyrics FROM m JOIN (SELECT album_id, CAST(sum(duration_seconds) AS BIGINT) AS seconds, min(release_date) AS first_date, bool_or(has_lyrics) AS any_lyrics FROM tracks GROUP BY 1) USING (album_id)"))
+def release_metadata(k):
+    """Per album: modal genre (rap if it has none), length, earliest date and year, any explicit track, mean page views."""
+    t = k.tracks.withColumns({"genre": F.when(C("album_id") % 6 > 0, C("genre")), "explicit": C("has_lyrics") & (C("id") % 4 == 0), "pageviews": F.when(C("id") % 3 > 0, C("id") % 1000)})
+    facts = t.groupBy("album_id").agg(F.sum(F.when(C("duration_seconds") > 0, C("duration_seconds"))).alias("seconds"), F.min("release_date").alias("first_date"), F.bool_or("explicit").alias("explicit"), F.round(F.avg("pageviews"), 4).alias("pageviews"))
+    return facts.join(R.modal(t.filter("genre is not null"), ["album_id"], "genre").select("album_id", "genre"), "album_id", "left").withColumns({"genre": F.coalesce("genre", F.lit("rap")), "year": F.year("first_date")})
+
+
+add("g05_release_metadata", release_metadata, sql("tracks", ", m AS (SELECT album_id, genre FROM (SELECT album_id, genre, row_number() OVER (PARTITION BY album_id ORDER BY count(*) DESC, genre) AS rn FROM tracks WHERE album_id % 6 > 0 GROUP BY 1, 2) WHERE rn = 1), f AS (SELECT album_id, CAST(sum(duration_seconds) FILTER (WHERE duration_seconds > 0) AS BIGINT) AS seconds, min(release_date) AS first_date, bool_or(has_lyrics AND id % 4 = 0) AS explicit, round(avg(CASE WHEN id % 3 > 0 THEN id % 1000 END), 4) AS pageviews FROM tracks GROUP BY 1) SELECT f.*, coalesce(genre, 'rap') AS genre, year(first_date)::INT AS year FROM f LEFT JOIN m USING (album_id)"))
 add("g07_primary_source", lambda k: R.modal(k.credits, ["track_id"], "credit_type"), sql("credits", "SELECT track_id, credit_type, n FROM (SELECT track_id, credit_type, count(*) AS n, row_number() OVER (PARTITION BY track_id ORDER BY count(*) DESC, credit_type) AS rn FROM credits GROUP BY 1, 2) WHERE rn = 1"))
-add("g04_album_titles", lambda k: L.group_releases(k.albums, k.tracks).groupBy("title").agg(F.count("*").alias("n")), sql("albums tracks", RELEASES + " SELECT title, count(*) AS n FROM g GROUP BY 1"))
 
 
 def merged_groups(k):
@@ -58,10 +67,7 @@ add("p05_scrobble_tags", lambda k: k.events.select("event_id", F.array_join(S.sc
 song = lambda k: k.tracks.select("id", F.to_json(F.struct(C("title").alias("name"), F.array(F.struct(C("artist_id").alias("id")), F.struct((C("artist_id") + 1).alias("id"))).alias("artists"), F.struct(C("album_id").alias("id")).alias("album"), (C("duration_seconds") * 1000).alias("duration_ms"))).alias("doc"))
 SONG = "name string, artists array<struct<id:bigint>>, album struct<id:bigint>, duration_ms bigint"
 add("p03_track_payload", lambda k: D.flatten_payload(song(k), "doc", SONG).select("id", C("artists")[0]["id"].alias("artist"), F.array_join(F.transform(F.slice("artists", 2, 10), lambda a: a["id"].cast("string")), ",").alias("others"), C("album.id").alias("album"), F.floor(C("duration_ms") / 1000).alias("seconds")), sql("tracks", "SELECT id, artist_id AS artist, CAST(artist_id + 1 AS VARCHAR) AS others, album_id AS album, CAST(duration_seconds AS BIGINT) AS seconds FROM tracks"))
-add("p06_song_payload", lambda k: D.flatten_payload(song(k), "doc", SONG).select("id", "name", F.size("artists").cast("long").alias("n")), sql("tracks", "SELECT id, title AS name, CAST(2 AS BIGINT) AS n FROM tracks"))
-add("f03_subgenre_scores", lambda k: k.tracks.select("id", S.subgenre_scores(C("bpm"), C("track_number").cast("double"), (C("duration_seconds") % 10 / 10).cast("double")).alias("x")).select("id", *(F.round(f"x.{c}", 6).alias(c) for c in ("trap", "boom_bap", "cloud"))), sql("tracks", ", t AS (SELECT id, bpm, track_number AS d, duration_seconds % 10 / 10 AS l FROM tracks) SELECT id, round((CASE WHEN bpm BETWEEN 130 AND 170 THEN 0.4 ELSE 0 END + CASE WHEN l > 0.4 THEN 0.3 ELSE 0 END + CASE WHEN d > 4 THEN 0.3 ELSE 0 END)::DOUBLE, 6) AS trap, round((CASE WHEN bpm BETWEEN 80 AND 100 THEN 0.4 ELSE 0 END + CASE WHEN l BETWEEN 0.2 AND 0.4 THEN 0.3 ELSE 0 END + CASE WHEN d < 4 THEN 0.3 ELSE 0 END)::DOUBLE, 6) AS boom_bap, round((CASE WHEN bpm BETWEEN 60 AND 80 THEN 0.5 ELSE 0 END + CASE WHEN d < 3 THEN 0.5 ELSE 0 END)::DOUBLE, 6) AS cloud FROM t"))
 add("f05_analysis_quality", lambda k: k.tracks.select("id", S.analysis_quality(["bpm", "duration_seconds", "genre"]).alias("x")).select("id", "x.*"), sql("tracks", "SELECT id, round(((bpm IS NOT NULL)::INT + (duration_seconds IS NOT NULL)::INT + (genre IS NOT NULL)::INT) / 3, 6) AS completeness, concat_ws(',', CASE WHEN bpm IS NULL THEN 'bpm' END, CASE WHEN duration_seconds IS NULL THEN 'duration_seconds' END, CASE WHEN genre IS NULL THEN 'genre' END) AS missing FROM tracks"))
-add("f04_summary_features", lambda k: k.embeddings.select("vec_id", F.round(F.coalesce(C("embedding")[0], F.lit(0.0)).cast("double"), 5).alias("tempo"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: F.greatest(a, x.cast("double"))), 5).alias("peak")), "SELECT vec_id, round(embedding[1]::DOUBLE, 5) AS tempo, round(greatest(0, list_max(embedding))::DOUBLE, 5) AS peak FROM embeddings")
 
 
 add("u03_one_to_many", lambda k: k.tracks.select("id", F.inline(F.transform(F.split(T.normalize_text(C("title")), " "), lambda w, i: F.struct(i.alias("pos"), w.alias("word"))))), sql("tracks", f", n AS (SELECT id, string_split({norm('title')}, ' ') AS w FROM tracks) SELECT id, (unnest(range(len(w))))::INT AS pos, unnest(w) AS word FROM n"))

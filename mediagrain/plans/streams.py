@@ -30,10 +30,17 @@ add("st09_daily_means", lambda k: S.daily_means(k.sessions, "found"), sql("sessi
 add("st10_alerts", lambda k: S.alerts(k.sessions, 2), sql("sessions", "SELECT session, date_trunc('hour', ts) AS started, count(*) AS failures FROM sessions WHERE status = 'failed' GROUP BY 1, 2 HAVING count(*) >= 2"))
 add("st11_log_summary", lambda k: S.log_summary(k.api_log), sql("api_log", "SELECT api, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS errors, count(*) FILTER (WHERE value > 50) AS slow FROM api_log GROUP BY 1, 2"))
 
-add("io01_read_entities", lambda k: k.tracks.agg(F.count("*").alias("tracks"), F.sum("id").alias("ids"), F.max("title").alias("last_title")), sql("tracks", "SELECT count(*) AS tracks, CAST(sum(id) AS BIGINT) AS ids, max(title) AS last_title FROM tracks"))
 add("io03_mapping_table", lambda k: k.credits.join(F.broadcast(X.mapping_table(k.spark, {"Production": ["producer"], "Writing": ["songwriter"], "Studio": ["mixing", "mastering"]})), C("credit_type") == C("alias"), "left").groupBy(F.coalesce("canonical", F.lit("other")).alias("canonical")).agg(F.count("*").alias("n")), sql("credits", "SELECT CASE credit_type WHEN 'producer' THEN 'Production' WHEN 'songwriter' THEN 'Writing' WHEN 'mixing' THEN 'Studio' ELSE 'other' END AS canonical, count(*) AS n FROM credits GROUP BY 1"))
-add("io04_nested_export", lambda k: X.nested_artists(k.artists.select("id", "name"), k.tracks).select("id", F.to_json("tracks").alias("tracks")).select("id", F.coalesce(F.md5("tracks"), F.lit("none")).alias("digest"), F.coalesce(F.length("tracks"), F.lit(0)).alias("size")).select("id", (C("size") > 0).alias("has_tracks")), sql("artists tracks", "SELECT id, id IN (SELECT artist_id FROM tracks) AS has_tracks FROM artists"))
 add("io05_flat_credits", lambda k: attach_credits(k.tracks.select("id"), k.credits).select("id", X.flat_credits(C("credits")).alias("credits")), sql("tracks credits", "SELECT id, coalesce(string_agg(person_name || ' (' || credit_type || ')', '; ' ORDER BY credit_type, person_name), '') AS credits FROM tracks LEFT JOIN credits ON track_id = id GROUP BY id"))
 add("io08_render_report", lambda k: X.render_report(artist_stats(k)), sql("artists tracks credits", ", c AS (SELECT track_id, count(*) AS c FROM credits GROUP BY 1), t AS (SELECT artist_id, count(*) AS tracks, count(*) FILTER (WHERE has_lyrics) AS l, CAST(sum(c) AS BIGINT) AS credits FROM tracks LEFT JOIN c ON track_id = id GROUP BY 1) SELECT id, '# ' || name || chr(10) || chr(10) || '- tracks: ' || coalesce(tracks, 0) || chr(10) || '- with lyrics: ' || coalesce(l, 0) || chr(10) || '- credits: ' || coalesce(credits, 0) AS report FROM artists LEFT JOIN t ON artist_id = id"))
 add("io11_export_filter", lambda k: X.export_filter(k.tracks.withColumn("quality", C("bpm") / 2), min_quality=60).select("id", "quality"), sql("tracks", "SELECT id, bpm / 2 AS quality FROM tracks WHERE status <> 'failed' AND coalesce(bpm / 2, 0) >= 60"))
 add("io12_project_export", lambda k: X.project_export(attach_credits(k.tracks, k.credits).withColumn("_raw", F.lit(1)).withColumn("has_complete_credits", F.size("credits") > 2).drop("credits"), ["genre", "release_date"]).select("id", "title", "has_complete_credits"), sql("tracks credits", "SELECT id, title, count(track_id) > 2 AS has_complete_credits FROM tracks LEFT JOIN credits ON track_id = id GROUP BY id, title"))
+
+requests = lambda k: k.cache.select("key", C("created_at").alias("ts"), "event_id", F.when(C("event_id") % 4 == 0, "write").otherwise("read").alias("kind"))
+add("st04b_session_machine", lambda k: S.session_machine(k.sessions), sql("sessions", ", b AS (SELECT *, lag(status) OVER (PARTITION BY session ORDER BY ts, id) AS before FROM sessions) SELECT session, arg_max(status, (ts, id)) AS status, count(*) FILTER (WHERE before = 'failed' AND status IN ('in_progress', 'created')) AS restarts, count(*) FILTER (WHERE status = 'paused' AND before IS DISTINCT FROM 'paused') AS pauses, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds, arg_max(status, (ts, id)) IN ('completed', 'failed') AS over FROM b GROUP BY 1"))
+add("st05b_cache_hits", lambda k: S.cache_hits(requests(k)), sql("cache", ", r AS (SELECT key, created_at AS ts, event_id, event_id % 4 = 0 AS w FROM cache), l AS (SELECT *, max(CASE WHEN w THEN ts END) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM r), h AS (SELECT CAST(ts AS DATE) AS day, coalesce(last > ts - INTERVAL 7 DAY, false) AS hit FROM l WHERE NOT w) SELECT day, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, round(avg(hit::INT), 6) AS hit_rate FROM h GROUP BY 1"))
+steps = lambda k: k.sessions.groupBy("session", C("status").alias("step")).agg(F.count_if(C("found") > 20).alias("done"), F.count("*").alias("total"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+add("st06b_overall_progress", lambda k: S.overall_progress(steps(k)), sql("sessions", ", s AS (SELECT session, count(*) FILTER (WHERE found > 20) AS done, count(*) AS total, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS elapsed FROM sessions GROUP BY 1) SELECT session, done, total, round(100.0 * done / total, 4)::DOUBLE AS pct, round(elapsed * (total - done) / nullif(done, 0), 4) AS eta_seconds FROM s"))
+add("st08b_snapshots", lambda k: S.snapshots(S.rate_windows(k.api_log, "6 hours"), "api"), sql("api_log", ", w AS (SELECT api, time_bucket(INTERVAL 6 HOURS, ts) AS started, count(*) AS n FROM api_log GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY api ORDER BY started DESC) AS rn FROM w), m AS (SELECT api, count(*) FILTER (WHERE rn <= 100) AS kept, avg(n) FILTER (WHERE rn <= 100) AS mean, avg(n) FILTER (WHERE rn <= 10) AS a, avg(n) FILTER (WHERE rn > 10 AND rn <= 20) AS b FROM r GROUP BY 1) SELECT api, kept, round(mean, 6) AS mean, round(a, 6) AS recent, round(b, 6) AS previous, CASE WHEN a > b THEN 'up' WHEN a < b THEN 'down' ELSE 'flat' END AS trend FROM m"))
+add("st09b_daily_trend", lambda k: S.daily_trend(k.sessions, "found"), sql("sessions", ", d AS (SELECT CAST(ts AS DATE) AS day, round(avg(found), 6) AS mean, count(*) AS n FROM sessions GROUP BY 1), l AS (SELECT *, lag(mean) OVER (ORDER BY day) AS b FROM d) SELECT day, mean, n, CASE WHEN b IS NULL OR mean = b THEN 'stable' WHEN mean > b THEN 'improving' ELSE 'declining' END AS trend FROM l"))
+add("st10b_size_alerts", lambda k: S.size_alerts(k.cache.withColumn("ts", C("created_at")), 200), sql("cache", "SELECT CAST(created_at AS DATE) AS day, CAST(sum(strlen(data)) AS BIGINT) AS bytes, count(*) AS writes FROM cache GROUP BY 1 HAVING sum(strlen(data)) > 200"))

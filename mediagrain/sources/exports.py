@@ -19,10 +19,15 @@ def mapping_table(spark: SparkSession, mapping: dict[str, list[str]]) -> DataFra
     return spark.createDataFrame([(a.lower(), c) for c, aliases in mapping.items() for a in aliases], "alias string, canonical string")
 
 
-def nested_artists(artists: DataFrame, tracks: DataFrame) -> DataFrame:
-    """An artist to a row, with its sorted tracks inside."""
-    t = tracks.groupBy(F.col("artist_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "title", "duration_seconds"))).alias("tracks"))
-    return artists.join(t, "id", "left")
+def nested_artists(artists: DataFrame, tracks: DataFrame, albums: DataFrame, credits: DataFrame) -> DataFrame:
+    """An artist to a row, with sorted tracks (and their credits) and albums inside, and a struct of totals."""
+    c = credits.groupBy(F.col("track_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("credit_type", "person_name"))).alias("credits"))
+    t = tracks.join(c, "id", "left").groupBy(F.col("artist_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "title", "duration_seconds", F.coalesce("credits", F.array().cast("array<struct<credit_type:string,person_name:string>>")).alias("credits")))).alias("tracks"))
+    a = albums.groupBy(F.col("artist_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("album_id"), "title", "release_date"))).alias("albums"))
+    out = artists.join(t, "id", "left").join(a, "id", "left")
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    stats = F.struct(n("tracks").alias("tracks"), n("albums").alias("albums"), F.coalesce(F.aggregate("tracks", F.lit(0), lambda x, t: x + F.size(t["credits"])), F.lit(0)).alias("credits"))
+    return out.withColumn("stats", stats)
 
 
 def flat_credits(c: Column) -> Column:

@@ -8,10 +8,12 @@ grouped by key alone on a table is, on a stream, also grouped by a period `keep`
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mediagrain.operators.ranking import recent_trend
+
 LATE = "1 hour"
 
 
@@ -53,6 +55,60 @@ def latest_states(events: DataFrame, key: str, keep: str = KEEP) -> DataFrame:
     return by_period(timed(events), keep, key).agg(F.max_by("status", F.struct("ts", "id")).alias("status"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count_if(F.col("status") == "failed").alias("failures"))
 
 
+def session_machine(events: DataFrame) -> DataFrame:
+    """Per session: latest status, restarts (going on after a failure), pauses, seconds from the first to the last event, and whether it is over."""
+    w = Window.partitionBy("session").orderBy("ts", "id")
+    df = events.withColumn("before", F.lag("status").over(w))
+    restart = (F.col("before") == "failed") & F.col("status").isin("in_progress", "created")
+    out = df.groupBy("session").agg(F.max_by("status", F.struct("ts", "id")).alias("status"), F.count_if(restart).alias("restarts"), F.count_if((F.col("status") == "paused") & ~F.col("before").eqNullSafe(F.lit("paused"))).alias("pauses"), (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("seconds"))
+    return out.withColumn("over", F.col("status").isin("completed", "failed"))
+
+
+def cache_hits(requests: DataFrame, days: int = 7) -> DataFrame:
+    """Reads of each day that found a write of their key at most `days` old, and those that didn't. requests: key, ts, event_id, kind (read or write)."""
+    w = Window.partitionBy("key").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("kind") == "write", F.col("ts"))).over(w)
+    df = requests.withColumn("hit", F.coalesce(last > F.col("ts") - F.make_interval(days=F.lit(days)), F.lit(False))).filter("kind = 'read'")
+    return df.groupBy(F.to_date("ts").alias("day")).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"))
+
+
+def overall_progress(steps: DataFrame) -> DataFrame:
+    """Per session over its steps (session, step, done, total, first, last): percentage done and the seconds left at the pace so far."""
+    out = steps.groupBy("session").agg(F.sum("done").alias("done"), F.sum("total").alias("total"), (F.unix_timestamp(F.max("last")) - F.unix_timestamp(F.min("first"))).alias("elapsed"))
+    left = F.try_divide(F.col("elapsed") * (F.col("total") - F.col("done")), F.col("done"))
+    return out.select("session", "done", "total", F.round(F.try_divide(100.0 * F.col("done"), F.col("total")), 4).alias("pct"), F.round(left, 4).alias("eta_seconds"))
+
+
+def snapshots(metrics: DataFrame, key: str, keep: int = 100, k: int = 10) -> DataFrame:
+    """Per key the last `keep` snapshots (key, started, n): their number and mean, and the trend of the last k against the k before."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("started")))
+    kept = metrics.withColumn("_rn", rank).filter(F.col("_rn") <= keep)
+    size = kept.groupBy(key).agg(F.count("*").alias("kept"), F.round(F.avg("n"), 6).alias("mean"))
+    return size.join(recent_trend(kept.drop("_rn"), key, ["started"], "n", k), key)
+
+
+def daily_trend(events: DataFrame, value: str) -> DataFrame:
+    """Daily means with the change from the day before (one row a day: the window over all days is small)."""
+    days = daily_means(events, value)
+    before = F.lag("mean").over(Window.orderBy("day"))
+    return days.withColumn("trend", F.when(before.isNull() | (F.col("mean") == before), "stable").when(F.col("mean") > before, "improving").otherwise("declining"))
+
+
+def size_alerts(entries: DataFrame, most: int) -> DataFrame:
+    """Days on which the written data exceed a size."""
+    out = timed(entries).groupBy(F.window("ts", "1 day").alias("w")).agg(F.sum(F.octet_length("data")).alias("bytes"), F.count("*").alias("writes"))
+    return out.filter(F.col("bytes") > most).select(F.to_date("w.start").alias("day"), "bytes", "writes")
+
+
+def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Runs a stream over what there is now and writes it as Parquet: each batch a folder, once, so that a batch that is run anew replaces its own."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def cache_view(entries: DataFrame, keep: str = KEEP) -> DataFrame:
     """Last write of each key and when it expires."""
     return by_period(timed(entries.withColumn("ts", F.col("created_at"))), keep, "key").agg(F.max_by("data", F.struct("ts", "event_id")).alias("data"), F.max("ts").alias("written"), F.max("expires_at").alias("expires_at"), F.count("*").alias("writes"))
