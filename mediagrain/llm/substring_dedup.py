@@ -148,7 +148,7 @@ def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 w1 = gram_hashes(word_hashes(w), window)[at] if len(at) else np.zeros(0, U64)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(Plain(w).digests(at, at + window)), pa.array(ids[lo + row].astype(np.int64)), pa.array(pos.astype(np.int32))], names=["w1", "w2", "doc_id", "a"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "w1 long, w2 long, doc_id long, a int")
+    return docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "w1 long, w2 long, doc_id long, a int")
 
 
 def _cells(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def _cells(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 cols = list(zip(*out, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["f", "cell", "n", "words"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "cells").mapInArrow(run, "f long, cell int, n long, words binary")
+    return docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "cells").mapInArrow(run, "f long, cell int, n long, words binary")
 
 
 def _equal(words: list[bytes], a: int, e: int, shift: int, cell: int, other: list[bytes]) -> bool:
