@@ -71,7 +71,7 @@ add("a19_enrichment_priorities", priorities, sql("tracks", MISSING + "SELECT fie
 add("a20_enrichment_plan", lambda k: priorities(k).withColumn("gain", F.sum("missing").over(Window.orderBy(F.desc("missing"), "field").rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("gain", F.lit(0.0)) < 60).select("field", "missing"), sql("tracks", MISSING + "SELECT field, missing FROM (SELECT *, sum(missing) OVER (ORDER BY missing DESC, field ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gain FROM m) WHERE coalesce(gain, 0) < 60"))
 add("a23_processor_quality", lambda k: k.api_log.groupBy("api").agg(F.round((F.avg(C("ok").cast("double")) * 100 + F.avg(F.least("value", F.lit(100.0)))) / 2, 6).alias("quality"), F.count("*").alias("n")), sql("api_log", "SELECT api, round((avg(ok::INT) * 100 + avg(least(value, 100.0))) / 2, 6) AS quality, count(*) AS n FROM api_log GROUP BY 1"))
 add("a24_enricher_quality", lambda k: k.api_log.groupBy("api").agg(F.round((F.avg(C("ok").cast("double")) + F.avg((C("value") > 10).cast("double")) + F.avg(F.least(C("value") / 100, F.lit(1.0)))) / 3, 6).alias("quality")), sql("api_log", "SELECT api, round((avg(ok::INT) + avg((value > 10)::INT) + avg(least(value / 100, 1.0))) / 3, 6) AS quality FROM api_log GROUP BY 1"))
-add("a25_credit_compilation", lambda k: k.credits.join(k.tracks.select(C("id").alias("track_id"), "artist_id"), "track_id").groupBy("artist_id").agg(F.count("*").alias("credits"), F.array_join(F.array_sort(F.collect_set("person_name")), ",").alias("people"), F.countDistinct("person_name").alias("n_people")), sql("tracks credits", "SELECT artist_id, count(*) AS credits, array_to_string(list_sort(list(DISTINCT person_name)), ',') AS people, count(DISTINCT person_name) AS n_people FROM credits JOIN tracks ON track_id = id GROUP BY 1"))
+add("a25_credit_compilation", lambda k: k.credits.join(k.tracks.select(C("id").alias("track_id"), "artist_id"), "track_id").groupBy("artist_id").agg(F.count("*").alias("credits"), F.array_sort(F.collect_set("person_name")).alias("set")).select("artist_id", "credits", F.array_join("set", ",").alias("people"), F.size("set").cast("long").alias("n_people")), sql("tracks credits", "SELECT artist_id, count(*) AS credits, array_to_string(list_sort(list(DISTINCT person_name)), ',') AS people, count(DISTINCT person_name) AS n_people FROM credits JOIN tracks ON track_id = id GROUP BY 1"))
 add("a26_frequent_collaborators", lambda k: k.credits.join(k.tracks.select(C("id").alias("track_id"), "artist_id"), "track_id").groupBy("artist_id", "person_name").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("credit_type")), ",").alias("types")).filter("n >= 3"), sql("tracks credits", "SELECT artist_id, person_name, count(*) AS n, array_to_string(list_sort(list(DISTINCT credit_type)), ',') AS types FROM credits JOIN tracks ON track_id = id GROUP BY 1, 2 HAVING count(*) >= 3"))
 add("a27_timer_stats", lambda k: k.api_log.groupBy("api").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.count_if(~C("ok")).alias("errors")), sql("api_log", "SELECT api, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high, count(*) FILTER (WHERE NOT ok) AS errors FROM api_log GROUP BY 1"))
 RATE = "CASE WHEN ops >= 10 THEN 40 WHEN ops >= 5 THEN 30 WHEN ops >= 1 THEN 20 ELSE 10 END + CAST(trunc(hit * 40 + (1 - err) * 20) AS INT)"
