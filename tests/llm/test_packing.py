@@ -66,3 +66,23 @@ def test_packer_fills_and_balances():
     groups = packing.step_groups(windows, 32_768, 2048)
     tokens = pd.Series([t for t, _ in windows]).groupby(groups).sum()
     assert tokens.max() <= 32_768 + 2048
+
+
+def test_rows_behind_a_shuffle_and_clashing_columns(spark, sf):
+    """Rows of a join are written first, so that a task sees the same rows whenever it is run."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    assert not packing.from_files(docs)
+    assert packing.from_files(spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 40").select("doc_id", "text"))
+    clashing = docs.selectExpr("doc_id", "text", "1 as start", "2 as length", "'x' as sequence_id", "3 as tier")
+    joined = clashing.join(spark.range(40).withColumnRenamed("id", "doc_id"), "doc_id")
+    packed = packing.pack(joined, PATH)
+    first, second = (sorted(map(tuple, packed.collect())) for _ in range(2))
+    assert first == second
+    whole(packed, joined.collect())
+    assert packing.pack(joined.limit(0), PATH).count() == 0
+
+
+def test_a_repeated_row_is_packed_again(spark):
+    df = spark.createDataFrame([(1, "two words"), (1, "two words"), (None, "none")], "doc_id long, text string")
+    got = packing.pack(df, PATH).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None"]

@@ -110,3 +110,14 @@ def test_urls(spark):
     ruled = [r for r in got if r.rule and r.page_id < 1000]
     assert np.mean([(r.score >= 0.5) == (r.verdict == "block") for r in ruled]) > 0.9
     assert {r.verdict for r in urls.judge(pages, urls.train(labelled.limit(0))).collect() if not r.rule} == {"allow"}
+
+
+def test_repeated_rows_and_clashing_columns(spark, odd_docs):
+    """Repeated rows are judged one by one and alike; other columns are never looked at."""
+    twice = odd_docs.unionByName(odd_docs).selectExpr("doc_id", "text", "lang", "'x' as score", "1 as held_out", "'y' as lang_pred", "2 as predicted", "'z' as positive", "3 as quality", "4 as toxic")
+    labels = spark.createDataFrame([(3, 1, 1), (4, 0, 0), (6, 1, 1)], "doc_id long, toxic int, quality int")
+    for module in (toxicity, quality):
+        rows = module.score(twice, module.train(twice, labels)).collect()
+        assert len(rows) == 18 and all(len({r.score for r in rows if r.doc_id == i}) == 1 for i in (0, 1, 2, 3, 5, 6))
+    rows = language.identify(twice, language.train(twice)).collect()
+    assert len(rows) == 18 and all(len({(r.lang_pred, r.score) for r in rows if r.doc_id == i}) == 1 for i in (0, 1, 2, 3, 5, 6))
