@@ -19,6 +19,7 @@ FRENCH_PATTERNS = ("de", "le", "la", "des", "du", "et", "ou", "dans")
 MOJIBAKE = {"Ã©": "é", "Ã¨": "è", "Ãª": "ê", "Ã¢": "â", "Ã®": "î", "Ã´": "ô", "Ã»": "û", "Ã¹": "ù", "Ã§": "ç", "Ã±": "ñ", "Ã¼": "ü", "Ã¡": "á", "Ã³": "ó", "Ãº": "ú", "â€™": "'"}
 # Instrument aliases.
 INSTRUMENTS = {"keys": "keyboard", "synth": "synthesizer", "percussion": "drums", "bass": "bass guitar", "sax": "saxophone"}
+# Words that stay lower-case inside names; words that mark a version of a title.
 PARTICLES = ("de", "la", "le", "du", "des", "and", "the", "of", "feat", "ft")
 VERSION = r"(?i)\b(?:remix|version|edit|mix|instrumental|acapella|radio|clean|explicit)\b"
 
@@ -122,9 +123,13 @@ def name_case(c: Column) -> Column:
     return F.array_join(words, " ")
 
 
+# What stands before and after a person's name.
+PERSON_EDGES = (r"(?i)^(by\s+|par\s+|prod\.?\s*by\s+|produced\s*by\s+)", r"(?i)^(mixed\s*by\s+|mixé\s*par\s+)", r"(?i)^(mastered\s*by\s+|masterisé\s*par\s+)", r"(?i)\s*\(uncredited\)$", r"(?i)\s*\[uncredited\]$", r"(?i)\s*\(non\s*crédité\)$")
+
+
 def clean_person_name(c: Column) -> Column:
     c = F.trim(c)
-    for p in (r"(?i)^(by\s+|par\s+|prod\.?\s*by\s+|produced\s*by\s+)", r"(?i)^(mixed\s*by\s+|mixé\s*par\s+)", r"(?i)^(mastered\s*by\s+|masterisé\s*par\s+)", r"(?i)\s*\(uncredited\)$", r"(?i)\s*\[uncredited\]$", r"(?i)\s*\(non\s*crédité\)$"):
+    for p in PERSON_EDGES:
         c = F.regexp_replace(c, p, "")
     return name_case(c)
 

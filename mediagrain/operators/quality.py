@@ -40,6 +40,8 @@ def ladder(score: Column, steps: list[tuple[float, str]], lowest: str) -> Column
 
 VALIDATION_STEPS = [(90, "excellent"), (80, "good"), (70, "average"), (50, "poor")]
 QUALITY_STEPS = [(90, "excellent"), (75, "good"), (60, "average"), (40, "poor")]
+# Patterns of suspicious titles, matched at the beginning.
+SUSPICIOUS = ("^[^a-zA-Z0-9]+$", "^(test|debug|temp)", "^[<>{}]", "^(javascript|script)")
 LIMITS = {"basic": (15, 600), "standard": (15, 600), "strict": (30, 600), "paranoid": (45, 600)}  # fixed values: seconds
 
 
@@ -47,7 +49,7 @@ def track_rules(level: str = "standard") -> list[Rule]:
     low, high = LIMITS[level]
     return [
         Rule("missing_title", "critical", "title IS NULL OR title = ''", 30),
-        Rule("suspicious_title", "warning", "title RLIKE '^[^a-zA-Z0-9]+$|^(test|debug|temp)|^[<>{}]|^(javascript|script)'", 10),
+        Rule("suspicious_title", "warning", f"title RLIKE '{'|'.join(SUSPICIOUS)}'", 10),
         Rule("long_title", "warning", "length(title) > 200", 10),
         Rule("missing_artist", "critical", "artist_id IS NULL", 30),
         Rule("missing_duration", "warning", "duration_seconds IS NULL", 10),

@@ -32,7 +32,7 @@ def marked(k):
 
 add("l01_length_gate", lambda k: k.lyrics.select("id", F.length("lyrics").between(50, 50000).alias("ok")), sql("lyrics", "SELECT id, length(lyrics) BETWEEN 50 AND 50000 AS ok FROM lyrics"))
 CLEAN = f"trim({sub('lyrics', ('<[^>]+>', ''), ('https?://\\S+', ''), ('@\\w+', ''), ('#\\w+', ''), ('[ \\t]+', ' '), ('\\n\\s*\\n+', chr(10)))})"
-add("l02_clean_lyrics", lambda k: k.lyrics.select("id", D.clean_lyrics(F.regexp_replace("lyrics", "\n", " \n")).alias("out")).select("id", F.length(F.regexp_replace("out", r"\s", "")).alias("n")), sql("lyrics", f", c AS (SELECT id, {CLEAN} AS out FROM (SELECT id, replace(lyrics, chr(10), ' ' || chr(10)) AS lyrics FROM lyrics)) SELECT id, length(regexp_replace(out, '\\s', '', 'g'))::INT AS n FROM c"))
+add("l02_clean_lyrics", lambda k: k.lyrics.select("id", D.clean_lyrics(F.regexp_replace("lyrics", "\n", " #tag \n")).alias("out")).select("id", F.length("out").alias("n"), F.md5(F.trim(F.regexp_replace("out", "[ \t\n\r\f]+", " "))).alias("digest")), sql("lyrics", f", c AS (SELECT id, {CLEAN} AS out FROM (SELECT id, replace(lyrics, chr(10), ' #tag ' || chr(10)) AS lyrics FROM lyrics)) SELECT id, length(out)::INT AS n, md5(trim(regexp_replace(out, '[ \t\n\r\f]+', ' ', 'g'))) AS digest FROM c"))
 add("l03_basic_stats", lambda k: D.basic_stats(k.lyrics, "lyrics").drop("lyrics", "lang"), sql("lyrics", f", w AS (SELECT id, lyrics, {WORDS} AS w FROM lyrics) SELECT id, length(lyrics)::INT AS chars, len(list_filter(string_split(lyrics, chr(10)), lambda x: trim(x) <> ''))::INT AS lines, len(w)::INT AS words, len(list_distinct(w))::INT AS unique_words, round(len(list_distinct(w)) / nullif(len(w), 0), 6) AS richness FROM w"))
 MARKED = "WITH m AS (SELECT conv_id, turn * 2 AS pos, CASE role WHEN 'user' THEN '[Verse ' WHEN 'assistant' THEN '[Chorus ' ELSE '[Bridge ' END || turn || ']' AS line FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, text FROM conversations), k AS (SELECT *, lower(regexp_extract(line, '^\\[(\\w+)[^\\]]*\\]', 1)) AS marker FROM m), s AS (SELECT *, sum((marker <> '')::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS section FROM k) "
 add("l04_sections", lambda k: D.sections(marked(k), "conv_id"), MARKED + "SELECT conv_id, CAST(section AS BIGINT) AS section, max(marker) AS kind, count(*) FILTER (WHERE marker = '') AS lines FROM s WHERE section > 0 GROUP BY conv_id, section")
