@@ -24,19 +24,22 @@ def near_pairs(df: DataFrame, key: list[str], id_: str, name: str, ratio: float,
 
     k edits change at most q * k of a name's q-grams, so two names within k edits share one of the first q * k + 1
     q-grams of each in any common order. The order puts the `common` most frequent q-grams last (a bounded table), so
-    a piece that most names share brings nobody together. A name's k is that of the longest name it may match.
+    a piece that most names share brings nobody together. A name's k is that of the longest name it may match; q-grams
+    are worked out once for each distinct name.
     """
     if not 0.7 <= ratio <= 1:
         raise ValueError("ratio must be from 0.7 to 1")
     q = 3 if ratio >= 0.85 else 2
-    named = df.select(*key, F.col(id_).alias("id"), F.col(name).alias("name")).filter(F.col(name).isNotNull()).withColumn("n", F.length("name"))
+    named = df.select(*key, F.col(id_).alias("id"), F.col(name).alias("name")).filter(F.col(name).isNotNull())
+    names = named.select("name").distinct().withColumn("n", F.length("name"))
     k = F.floor((1 - ratio + 1e-6) * F.floor(F.col("n") / (ratio - 1e-6)) + 1e-9).cast("int")
     places = F.when(F.col("n") >= q, F.sequence(F.lit(1), F.col("n") - q + 1)).otherwise(F.array(F.lit(1)))
-    grams = named.withColumn("gram", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("name", i, F.lit(q))))))
+    grams = names.withColumn("gram", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("name", i, F.lit(q))))))
     often = grams.groupBy("gram").agg(F.count("*").alias("often")).orderBy(F.desc("often"), "gram").limit(common)
     ranked = grams.join(F.broadcast(often), "gram", "left")
-    rank = F.row_number().over(Window.partitionBy(*key, "id", "name").orderBy(F.col("often").asc_nulls_first(), F.xxhash64("gram"), "gram"))
-    first = ranked.withColumn("rank", rank).filter(F.col("rank") <= q * k + 1).select(*key, "gram", "id", "name", "n")
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.col("often").asc_nulls_first(), F.xxhash64("gram"), "gram"))
+    prefix = ranked.withColumn("rank", rank).filter(F.col("rank") <= q * k + 1).groupBy("name", "n").agg(F.collect_list("gram").alias("grams"))
+    first = named.join(prefix, "name").select(*key, F.explode("grams").alias("gram"), "id", "name", "n")
     one = first.select(*key, "gram", F.col("id").alias("id1"), F.col("name").alias("name1"), F.col("n").alias("n1"))
     two = first.select(*key, "gram", F.col("id").alias("id2"), F.col("name").alias("name2"), F.col("n").alias("n2"))
     met = one.join(two, [*key, "gram"]).filter((F.col("id1") < F.col("id2")) & (F.least("n1", "n2") >= (ratio - 1e-6) * F.greatest("n1", "n2")))
