@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from mediagrain.llm import decontaminate, language, line_dedup, manifest, packing, quality, repetition, shingle_join, substring_dedup, toxicity, urls
+from mediagrain.llm import conversation_repair, decontaminate, language, line_dedup, manifest, packing, quality, repetition, shingle_join, substring_dedup, toxicity, urls
 
 
 def queries() -> dict:
@@ -16,8 +16,14 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9,
         "op10_line_dedup": line_dedup.op10,
         "op11_merkle_manifest": manifest.op11,
+        "op12_conversation_repair": conversation_repair.op12,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.SQL5, "op10_line_dedup": line_dedup.SQL10, "op11_merkle_manifest": manifest.SQL11}
+    return {
+        "op5_decontamination": decontaminate.SQL5,
+        "op10_line_dedup": line_dedup.SQL10,
+        "op11_merkle_manifest": manifest.SQL11,
+        "op12_conversation_repair": conversation_repair.SQL12,
+    }
