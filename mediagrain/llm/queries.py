@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from mediagrain.llm import conversation_repair, decontaminate, language, line_dedup, manifest, packing, quality, repetition, shingle_join, substring_dedup, toxicity, urls
+from mediagrain.llm import conversation_repair, decontaminate, language, line_dedup, manifest, near_dedup, packing, quality, repetition, shingle_join, substring_dedup, toxicity, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op10_line_dedup": line_dedup.op10,
         "op11_merkle_manifest": manifest.op11,
         "op12_conversation_repair": conversation_repair.op12,
+        "op13_minhash_near_dedup": near_dedup.op13,
     }
 
 

@@ -50,6 +50,11 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarra
     return out
 
 
+def set_digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    return int(mix(s).sum()), int((mix(s ^ U64(0x5851F42D4C957F2D)) * U64(2862933555777941757)).sum() + U64(len(s)))
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -98,7 +103,7 @@ def sketch(docs: DataFrame, percent: int, size: int, frequent: np.ndarray, hot:
                     n.append(len(s))
                     least.append(s[0] if len(s) else U64(0))
                     bits.append(bitmap(s, bitmap_size(len(s))).tobytes() if len(s) else None)
-                    digests.append((int(mix(s).sum()), int((mix(s ^ U64(0x5851F42D4C957F2D)) * U64(2862933555777941757)).sum() + U64(len(s)))))
+                    digests.append(set_digest(s))
                     prefixes.append(prefix(s, percent, shared.value[0]))
             fresh, seen = [], set()
             for d, k in zip(digests, known, strict=True):
@@ -388,6 +393,24 @@ def rough_groups(some: DataFrame) -> DataFrame:
     return out.unionByName(spread_join(hot, counted, ["h"]).select(grp, "doc_id")).distinct()
 
 
+def labelled(sketches: DataFrame, ids: DataFrame, heads: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, from links (a, b) between heads of equal sets.
+
+    sketches: doc_id, n, ...; ids: doc_id and digest of rows with an id and shingles; heads: digest, head, n.
+    """
+    # a doc_id with several rows ties their sets together
+    twice = written(ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    if not twice.isEmpty():
+        own = written(spread_join(spread_join(ids, twice, ["doc_id"]).drop("n"), heads, ["d1", "d2"]).select("doc_id", "head"), "own")
+        least = written(own.groupBy("doc_id").agg(F.min("head").alias("least"), F.count("*").alias("n")), "least")
+        found = found.unionByName(spread_join(own, least, ["doc_id"]).select(F.col("head").alias("a"), F.col("least").alias("b")))
+    labels = components(found)
+    named = written(heads.join(labels, heads["head"] == labels["id"], "left").select("d1", "d2", "n", F.coalesce("label", "head").alias("label")), "named")
+    label = spread_join(ids, named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("label").alias("label"))
+    out = sketches.select("doc_id", F.col("n").alias("n_shingles"))
+    return out.join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+
+
 def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, room: int = 1 << 18, node_docs: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
     bounded_batches(docs.sparkSession)
@@ -407,18 +430,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, room:
     close = bits.select("doc_id", "n").join(close, bits.doc_id == close.id).select(F.col("label").alias("grp"), "doc_id", "n").distinct()
     texts = docs.filter("doc_id is not null and text is not null")
     found = links_in_groups(_grouped(close, "close", F.col("n")), lambda units: _link_texts(texts.join(sent(units), "doc_id"), percent, size), F.col("n"), room)
-
-    # a doc_id with several rows ties their sets together
-    twice = written(ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
-    if not twice.isEmpty():
-        own = written(spread_join(spread_join(ids, twice, ["doc_id"]).drop("n"), heads, ["d1", "d2"]).select("doc_id", "head"), "own")
-        least = written(own.groupBy("doc_id").agg(F.min("head").alias("least"), F.count("*").alias("n")), "least")
-        found = found.unionByName(spread_join(own, least, ["doc_id"]).select(F.col("head").alias("a"), F.col("least").alias("b")))
-    labels = components(found)
-    named = written(heads.join(labels, heads["head"] == labels["id"], "left").select("d1", "d2", "n", F.coalesce("label", "head").alias("label")), "named")
-    label = spread_join(ids, named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("label").alias("label"))
-    out = sketches.select("doc_id", F.col("n").alias("n_shingles"))
-    return out.join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    return labelled(sketches, ids, heads, found)
 
 
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
