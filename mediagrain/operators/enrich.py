@@ -11,7 +11,7 @@ def fill_from(df: DataFrame, other: DataFrame, key: str, column: str, confidence
     return df.join(o, key, "left").withColumns({f"{column}_confidence": F.when(filled, confidence), column: F.coalesce(column, "_v")}).drop("_v")
 
 
-def infer_producer(tracks: DataFrame, credits: DataFrame, least: float = 0.2) -> DataFrame:
+def infer_producer(tracks: DataFrame, credits: DataFrame, least: float = 0.7) -> DataFrame:
     """For tracks without one: the album's most credited producer, if on at least that share of the album's tracks."""
     produced = credits.filter("credit_type = 'producer'").select(F.col("track_id").alias("id"), "person_name").distinct()
     sizes = tracks.groupBy("album_id").agg(F.count("*").alias("size"))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediagrain.functions import text as T
-from mediagrain.operators.components import components
+from mediagrain.operators.components import components, written
+from mediagrain.operators.leaders import leader_groups
 
 
 def candidate_pairs(df: DataFrame, key: list[str], id_: str, *columns: str) -> DataFrame:
@@ -46,6 +47,10 @@ def near_pairs(df: DataFrame, key: list[str], id_: str, name: str, ratio: float,
     return met.select("id1", "id2", "name1", "name2").distinct()
 
 
+def edit_ratio(a: str, b: str) -> Column:
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
 def base_title(c: Column) -> Column:
     """Normalised title without version and featuring marks."""
     c = F.regexp_replace(c, r"(?i)[(\[]?\b(remix|live|deluxe edition|version|edit|mix)\b[)\]]?", "")
@@ -98,14 +103,40 @@ def artist_duplicates(artists: DataFrame, external: str, threshold: float = 0.9)
 
 
 def source_priority(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(id, kept): rows (id, artist_id, title, rank) of an artist with like titles are one; of these the row of the best source, then the smallest id, is kept."""
-    keyed = rows.select("id", "artist_id", "rank", T.normalize_text(F.col("title")).alias("t"))
-    names = keyed.groupBy("artist_id", "t").agg(F.min("id").alias("head"))
-    near = near_pairs(names, ["artist_id"], "head", "t", threshold).filter(1 - F.levenshtein("name1", "name2") / F.greatest(F.length("name1"), F.length("name2"), F.lit(1)) >= threshold)
-    labels = merge_components(near).withColumnRenamed("id", "head")
-    grouped = keyed.join(names, ["artist_id", "t"]).join(labels, "head", "left").select("id", "rank", F.coalesce("label", "head").alias("grp"))
-    best = grouped.groupBy("grp").agg(F.min_by("id", F.struct("rank", "id")).alias("kept"))
-    return grouped.join(best, "grp").select("id", "kept")
+    """(id, kept): rows (id, artist_id, title, rank) by rank, then id; a row whose title is like that of a kept row of the artist gives way to the first such row.
+
+    Rows with one title share the fate of the first of them.
+    """
+    keyed = written(rows.select("artist_id", T.normalize_text(F.col("title")).alias("t"), F.struct("rank", "id").alias("row")), "keyed")
+    names = keyed.groupBy("artist_id", "t").agg(F.min("row").alias("head"))
+    near = near_pairs(names, ["artist_id"], "head", "t", threshold).filter(edit_ratio("name1", "name2") >= threshold)
+    followers = leader_groups(near.select(F.col("id1").alias("a"), F.col("id2").alias("b"))).withColumnRenamed("id", "head")
+    grouped = keyed.join(names, ["artist_id", "t"]).join(followers, "head", "left")
+    return grouped.select("row.id", F.coalesce("leader", "head")["id"].alias("kept"))
+
+
+def merged_names(names: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(name, canonical): distinct names in their order; a name joins the first group whose first name is like it; the longest, then the first name of a group stands for it."""
+    distinct = written(names.select("name").distinct().withColumn("n", T.normalize_text(F.col("name"))), "names")
+    near = near_pairs(distinct, [], "name", "n", threshold).filter(edit_ratio("name1", "name2") >= threshold)
+    followers = leader_groups(near.select(F.col("id1").alias("a"), F.col("id2").alias("b"))).withColumnRenamed("id", "name")
+    grouped = distinct.join(followers, "name", "left").select("name", F.coalesce("leader", "name").alias("grp"))
+    canonical = grouped.groupBy("grp").agg(F.min_by("name", F.struct(-F.length("name"), "name")).alias("canonical"))
+    return grouped.join(canonical, "grp").select("name", "canonical")
+
+
+def merged_releases(groups: DataFrame, tracks: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Release groups (artist_id, key, release_id, albums) of an artist, by release_id; a group whose key is like that of an earlier one that stays joins the first such one.
+
+    Gives release, artist_id, groups, albums, tracks and the best key: that of most tracks (artist_id, key), else the shortest with fewest brackets.
+    """
+    near = near_pairs(groups.withColumn("row", F.struct("release_id", "key")), ["artist_id"], "row", "key", threshold).filter(edit_ratio("name1", "name2") >= threshold)
+    followers = leader_groups(near.select(F.col("id1.release_id").alias("a"), F.col("id2.release_id").alias("b"))).withColumnRenamed("id", "release_id")
+    named = tracks.groupBy("artist_id", "key").agg(F.count("*").alias("named"))
+    brackets = lambda c: F.length("key") - F.length(F.replace("key", F.lit(c)))
+    best = F.min_by("key", F.struct(-F.coalesce("named", F.lit(0)), F.length("key"), brackets("("), brackets("["), "key"))
+    out = groups.join(followers, "release_id", "left").join(named, ["artist_id", "key"], "left")
+    return out.groupBy("artist_id", F.coalesce("leader", "release_id").alias("release")).agg(F.count("*").alias("groups"), F.sum("albums").alias("albums"), F.coalesce(F.sum("named"), F.lit(0)).alias("tracks"), best.alias("best_key"))
 
 
 def featuring_variants(tracks: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -168,10 +199,24 @@ def cross_reference(ref: DataFrame, others: DataFrame, block: list[str], score:
     return best.select("id", "source", (-F.col("x.k")).alias("other_id"), F.col("x.score").alias("score"))
 
 
+# What a title says of a release's type, in the order in which the types are asked for.
+RELEASE_PATTERNS = {
+    "single": r"\bsingle\b|\bfeat\.?\b|\bft\.?\b|\bwith\b.*\bfeat\b",
+    "ep": r"\bep\b|\bmini[\s\-]*album\b|\bextended[\s\-]*play\b|\bplaylist\b",
+    "mixtape": r"\bmixtape\b|\bmix[\s\-]*tape\b|\btape\b|\bfree[\s\-]*tape\b",
+    "live": r"\blive\b|\bconcert\b|\btour\b|\ben[\s\-]*direct\b",
+    "compilation": r"\bcompilation\b|\bbest[\s\-]*of\b|\bgreatest[\s\-]*hits\b|\bcollection\b|\bantology\b|\bselected\b",
+}
+#: The most tracks of a single and of an EP, whatever the title says.
+MOST_TRACKS = {"single": 2, "ep": 8}
+
+
 def release_type(tracks: Column, title: Column) -> Column:
-    """Fixed ladder: single, ep, mixtape, live, compilation, album."""
-    t = F.lower(title)
-    return F.when(t.rlike(r"\bsingle\b") | (tracks <= 2), "single").when(t.rlike("mixtape"), "mixtape").when(t.rlike(r"\blive\b"), "live").when(t.rlike("best of|compilation|anthology"), "compilation").when(t.rlike(r"\bep\b") | (tracks <= 3), "ep").otherwise("album")
+    """single, ep, mixtape, live or compilation, the first that the track count or the title asks for; else an album."""
+    t, out = F.lower(title), F.lit("album")
+    for kind, pattern in reversed(RELEASE_PATTERNS.items()):
+        out = F.when(t.rlike(pattern) | (tracks <= MOST_TRACKS.get(kind, 0)), kind).otherwise(out)
+    return out
 
 
 def release_key(title: Column) -> Column:

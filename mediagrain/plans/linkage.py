@@ -45,24 +45,14 @@ twins = lambda k: L.artist_duplicates(k.artists.withColumn("ext", F.when(C("id")
 FOUND = "WITH RECURSIVE e AS (SELECT id1 AS a, id2 AS b FROM (" + SQL["d06_artist_duplicates"] + ")), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS m FROM u GROUP BY a HAVING min(b) > a UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.id)"
 add("d08_apply_merges", lambda k: L.apply_merges(k.albums.select("id", "artist_id"), L.merge_components(twins(k)), "artist_id"), FOUND + ", l AS (SELECT id, min(m) AS label FROM r GROUP BY id) SELECT albums.id, coalesce(label, artist_id) AS artist_id FROM (SELECT o_orderkey AS id, o_custkey AS artist_id FROM orders) albums LEFT JOIN l ON l.id = artist_id")
 add("d09_exact_dedup", lambda k: k.tracks.groupBy("artist_id", F.lower("title").alias("title")).agg(F.min("id").alias("id"), F.count("*").alias("n")), sql("tracks", "SELECT artist_id, lower(title) AS title, min(id) AS id, count(*) AS n FROM tracks GROUP BY 1, 2"))
-TITLES = f", k AS (SELECT id, artist_id, id % 3 AS rank, {norm('title')} AS t FROM tracks), n AS (SELECT artist_id, t, min(id) AS head FROM k GROUP BY ALL), e AS (SELECT x.head AS a, y.head AS b FROM n x JOIN n y ON x.artist_id = y.artist_id AND x.head <> y.head AND 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t), 1) >= 0.85), r AS (SELECT head AS id, head AS m FROM n UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id), l AS (SELECT id AS head, min(m) AS grp FROM r GROUP BY id), g AS (SELECT k.id, rank, grp FROM k JOIN n USING (artist_id, t) JOIN l USING (head))"
-add("d10_source_priority_dedup", lambda k: L.source_priority(k.tracks.withColumn("rank", C("id") % 3)), sql("tracks", TITLES + ", b AS (SELECT grp, arg_min(id, (rank, id)) AS kept FROM g GROUP BY grp) SELECT id, kept FROM g JOIN b USING (grp)").replace("WITH tracks", "WITH RECURSIVE tracks", 1))
+# rows that are like an earlier one are folded one by one: kept if no kept row is among those they are like
+FOLD = ", q AS (SELECT b AS id, list(a) AS before, row_number() OVER (PARTITION BY grp ORDER BY b) AS i, grp FROM e GROUP BY grp, b), w AS (SELECT grp, 0::BIGINT AS i, []::{kind}[] AS gone FROM (SELECT DISTINCT grp FROM e) UNION ALL SELECT w.grp, q.i, CASE WHEN len(list_filter(q.before, lambda x: NOT list_contains(w.gone, x))) > 0 THEN list_append(w.gone, q.id) ELSE w.gone END FROM w JOIN q ON q.grp = w.grp AND q.i = w.i + 1), z AS (SELECT grp, unnest(arg_max(gone, i)) AS id FROM w GROUP BY grp), l AS (SELECT e.b AS id, min(e.a) AS leader FROM e JOIN z ON z.grp = e.grp AND z.id = e.b LEFT JOIN z k ON k.grp = e.grp AND k.id = e.a WHERE k.id IS NULL GROUP BY e.b)"
+RANKED = "STRUCT(rank BIGINT, id BIGINT)"
+TITLES = f", k AS (SELECT artist_id, {{'rank': id % 3, 'id': id}} AS row, {norm('title')} AS t FROM tracks), n AS (SELECT artist_id, t, min(row) AS head FROM k GROUP BY ALL), e AS (SELECT x.head AS a, y.head AS b, x.artist_id AS grp FROM n x JOIN n y ON x.artist_id = y.artist_id AND x.head < y.head AND 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t), 1) >= 0.85)" + FOLD.format(kind=RANKED)
+add("d10_source_priority_dedup", lambda k: L.source_priority(k.tracks.withColumn("rank", C("id") % 3)), sql("tracks", TITLES + " SELECT k.row.id AS id, coalesce(leader, head).id AS kept FROM k JOIN n USING (artist_id, t) LEFT JOIN l ON l.id = head").replace("WITH tracks", "WITH RECURSIVE tracks", 1))
 add("d11_dedup_by_title_url", lambda k: k.pages.groupBy(T.normalize_text(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title")).agg(F.min("url").alias("url"), F.count("*").alias("n")).orderBy(F.desc("n"), "title"), f"SELECT {norm('''regexp_extract(html, '<title>([^<]*)</title>', 1)''')} AS title, min(url) AS url, count(*) AS n FROM pages GROUP BY 1")
-NAMES = ", n AS (SELECT DISTINCT title AS name FROM tracks), k AS (SELECT name, " + norm("name") + " AS n FROM n), e AS (SELECT x.name AS a, y.name AS b FROM k x JOIN k y ON x.name <> y.name AND 1 - levenshtein(x.n, y.n) / greatest(length(x.n), length(y.n), 1) >= 0.9), r AS (SELECT name AS id, name AS m FROM n UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id), g AS (SELECT id, min(m) AS grp FROM r GROUP BY id)"
-
-
-def merged_names(k):
-    """Names alike to 0.9 form groups; the longest, then the first, is canonical."""
-    names = k.tracks.select(C("title").alias("name")).distinct().withColumns({"n": T.normalize_text(C("name")), "id": F.xxhash64("name")})
-    pairs = L.near_pairs(names, [], "id", "n", 0.9).toDF("id1", "id2", "n1", "n2")
-    pairs = pairs.filter(1 - F.levenshtein("n1", "n2") / F.greatest(F.length("n1"), F.length("n2"), F.lit(1)) >= 0.9)
-    grouped = names.join(L.merge_components(pairs), "id", "left").select("name", F.coalesce("label", "id").alias("grp"))
-    canonical = grouped.groupBy("grp").agg(F.min_by("name", F.struct(-F.length("name"), "name")).alias("canonical"))
-    return grouped.join(canonical, "grp").select("name", "canonical")
-
-
-Q["d12_merge_similar_names"] = lambda spark, sf: merged_names(load(spark, sf))
-SQL["d12_merge_similar_names"] = sql("tracks", NAMES + ", c AS (SELECT grp, arg_min(id, (-length(id), id)) AS canonical FROM g GROUP BY grp) SELECT id AS name, canonical FROM g JOIN c USING (grp)").replace("WITH tracks", "WITH RECURSIVE tracks", 1)
+NAMES = ", k AS (SELECT title AS name, " + norm("title") + " AS n FROM tracks GROUP BY title), e AS (SELECT x.name AS a, y.name AS b, 0 AS grp FROM k x JOIN k y ON x.name < y.name AND 1 - levenshtein(x.n, y.n) / greatest(length(x.n), length(y.n), 1) >= 0.9)" + FOLD.format(kind="VARCHAR") + ", g AS (SELECT name, coalesce(leader, name) AS grp FROM k LEFT JOIN l ON l.id = name), c AS (SELECT grp, arg_min(name, (-length(name), name)) AS canonical FROM g GROUP BY grp)"
+add("d12_merge_similar_names", lambda k: L.merged_names(k.tracks.select(C("title").alias("name"))), sql("tracks", NAMES + " SELECT name, canonical FROM g JOIN c USING (grp)").replace("WITH tracks", "WITH RECURSIVE tracks", 1))
 add("d13_components", lambda k: L.merge_components(twins(k)), FOUND + " SELECT id, min(m) AS label FROM r GROUP BY id")
 add("d14_cross_reference", lambda k: L.cross_reference(k.part.select(C("p_partkey").alias("id"), "p_brand", C("p_name").alias("name")), k.part.select((C("p_partkey") % 5).alias("source"), C("p_partkey").alias("other_id"), "p_brand", C("p_name").alias("other_name")), ["p_brand"], F.when(C("id") != C("other_id"), T.word_jaccard(C("name"), C("other_name"))), 0.3), "WITH s AS (SELECT x.p_partkey AS id, y.p_partkey % 5 AS source, y.p_partkey AS other_id, round(len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' ')))::DOUBLE / len(list_distinct(string_split(x.p_name, ' ') || string_split(y.p_name, ' '))), 6) AS score FROM part x JOIN part y ON x.p_brand = y.p_brand WHERE x.p_partkey <> y.p_partkey) SELECT id, source, other_id, score FROM (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY score DESC, other_id) AS rn FROM s WHERE score > 0.3) WHERE rn = 1")
 rated = lambda k: k.tracks.withColumn("confidence", (C("id") % 10 / 10).cast("double"))
@@ -95,7 +85,7 @@ add("d19_artist_hit_filter", lambda k: k.artists.filter(T.normalize_text(C("name
 add("d20_search_rank", lambda k: k.part.select("p_partkey", F.round(T.relevance(F.lit("old ring"), C("p_name")), 6).alias("score")).filter("score > 0").orderBy(F.desc("score"), "p_partkey").limit(50), "SELECT p_partkey, round(CASE WHEN p_name = 'old ring' THEN 1.0 WHEN contains(p_name, 'old ring') THEN 0.8 WHEN contains('old ring', p_name) THEN 0.7 ELSE len(list_intersect(['old', 'ring'], string_split(p_name, ' '))) / 2 END, 6)::DOUBLE AS score FROM part WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 50")
 
 KEY = norm(sub("title", ("[(\\[][^)\\]]*[)\\]]", ""), ("(?i)\\b(deluxe|edition|remaster(ed)?|live)\\b", "")))
-KIND = "CASE WHEN regexp_matches(lower(title), '\\bsingle\\b') OR tracks <= 2 THEN 'single' WHEN regexp_matches(lower(title), 'mixtape') THEN 'mixtape' WHEN regexp_matches(lower(title), '\\blive\\b') THEN 'live' WHEN regexp_matches(lower(title), 'best of|compilation|anthology') THEN 'compilation' WHEN regexp_matches(lower(title), '\\bep\\b') OR tracks <= 3 THEN 'ep' ELSE 'album' END"
+KIND = "CASE WHEN tracks <= 2 OR regexp_matches(lower(title), '\\bsingle\\b|\\bfeat\\.?\\b|\\bft\\.?\\b|\\bwith\\b.*\\bfeat\\b') THEN 'single' WHEN tracks <= 8 OR regexp_matches(lower(title), '\\bep\\b|\\bmini[\\s-]*album\\b|\\bextended[\\s-]*play\\b|\\bplaylist\\b') THEN 'ep' WHEN regexp_matches(lower(title), '\\b(mixtape|mix[\\s-]*tape|tape|free[\\s-]*tape)\\b') THEN 'mixtape' WHEN regexp_matches(lower(title), '\\b(live|concert|tour|en[\\s-]*direct)\\b') THEN 'live' WHEN regexp_matches(lower(title), '\\b(compilation|best[\\s-]*of|greatest[\\s-]*hits|collection|antology|selected)\\b') THEN 'compilation' WHEN tracks >= 4 THEN 'album' ELSE 'ep' END"
 RELEASES = f", f AS (SELECT album_id, count(*) AS n, sum(duration_seconds) AS s FROM tracks GROUP BY 1), a AS (SELECT albums.*, f.n, f.s, CASE WHEN {KEY} = '' THEN '_ORPHANS_' ELSE {KEY} END AS key FROM albums LEFT JOIN f ON album_id = id), g AS (SELECT artist_id, key, arg_min(title, (length(title), title)) AS title, min(release_date) AS release_date, count(*) AS albums, CAST(coalesce(sum(n), 0) AS BIGINT) AS tracks, CAST(sum(s) AS BIGINT) AS seconds, min(id) AS release_id FROM a GROUP BY 1, 2)"
 rel = lambda k: L.group_releases(k.albums, k.tracks)
 add("g01_release_groups", rel, sql("albums tracks", RELEASES + f" SELECT *, {KIND} AS kind FROM g"))
@@ -117,7 +107,10 @@ add("g10_resolution_counters", lambda k: rel(k).agg(F.count("*").alias("releases
 holes = lambda k: k.tracks.withColumn("release_date", F.when(C("id") % 4 > 0, C("release_date")))
 add("e01_fill_release_date", lambda k: E.fill_from(holes(k), k.albums.select(C("id").alias("album_id"), "release_date"), "album_id", "release_date", 0.9).select("id", "release_date", "release_date_confidence"), sql("tracks", "SELECT id, release_date, CASE WHEN id % 4 = 0 THEN 0.9::DOUBLE END AS release_date_confidence FROM tracks"))
 PROD = ", p AS (SELECT DISTINCT track_id, person_name FROM credits WHERE credit_type = 'producer'), s AS (SELECT album_id, count(*) AS size FROM tracks GROUP BY 1), n AS (SELECT album_id, person_name, count(*) AS n FROM tracks JOIN p ON track_id = id GROUP BY 1, 2), b AS (SELECT album_id, person_name AS producer, round(n / size, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY n DESC, person_name) AS rn FROM n) JOIN s USING (album_id) WHERE rn = 1)"
-add("e02_infer_producer", lambda k: E.infer_producer(k.tracks, k.credits), sql("tracks credits", PROD + " SELECT id, album_id, producer, confidence FROM tracks JOIN b USING (album_id) WHERE confidence >= 0.2 AND id NOT IN (SELECT track_id FROM p)"))
+# two studios produce all there is, so that albums have a usual one
+studio = lambda k: k.credits.withColumn("person_name", F.when(F.substring("person_name", -1, 1) < "8", "Studio One").otherwise("Studio Two"))
+STUDIO = PROD.replace("track_id, person_name FROM credits", "track_id, CASE WHEN right(person_name, 1) < '8' THEN 'Studio One' ELSE 'Studio Two' END AS person_name FROM credits", 1)
+add("e02_infer_producer", lambda k: E.infer_producer(k.tracks, studio(k)), sql("tracks credits", STUDIO + " SELECT id, album_id, producer, confidence FROM tracks JOIN b USING (album_id) WHERE confidence >= 0.7 AND id NOT IN (SELECT track_id FROM p)"))
 RANGES = [("standard", 80, 100), ("promo", 120, 135), ("small", 60, 90)]
 BPM = "CASE WHEN lower(genre) LIKE '%standard%' THEN 90 WHEN lower(genre) LIKE '%promo%' THEN 127 WHEN lower(genre) LIKE '%small%' THEN 75 END"
 add("e03_infer_bpm", lambda k: E.infer_bpm(k.tracks, RANGES).select("id", "bpm", "bpm_inferred"), sql("tracks", f"SELECT id, coalesce(bpm, {BPM})::DOUBLE AS bpm, bpm IS NULL AND {BPM} IS NOT NULL AS bpm_inferred FROM tracks"))

@@ -3,7 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mediagrain.functions import text as T
 from mediagrain.operators import ranking as R
+from mediagrain.plans.textual import feat_sql
 from mediagrain.sources.catalog import load, sql
 
 C = F.col
@@ -101,10 +103,31 @@ def Q_cache(k):
 
 add("a30_cache_health", health, sql("cache", f", x AS (SELECT split_part(key, ':', 1) AS prefix, count(*) AS n, count(*) FILTER (WHERE expires_at <= TIMESTAMP '2024-01-20') AS expired FROM cache GROUP BY 1), s AS (SELECT prefix, {HEALTH} AS score FROM x) SELECT prefix, score, {LABEL} AS label FROM s"))
 add("a31_processing_quality", lambda k: k.albums.groupBy("status").agg(F.round(F.avg(F.when(C("price") >= 200000, 100.0).when(C("price") >= 100000, 70.0).otherwise(40.0)), 6).alias("quality")), sql("albums", "SELECT status, round(avg(CASE WHEN price >= 200000 THEN 100.0 WHEN price >= 100000 THEN 70.0 ELSE 40.0 END), 6)::DOUBLE AS quality FROM albums GROUP BY 1"))
-add("a32_recommendations", lambda k: k.tracks.groupBy("artist_id").agg(F.array_join(F.array_compact(F.array(F.when(F.avg((~C("has_lyrics")).cast("double")) > 0.5, "lyrics"), F.when(F.avg(C("bpm").isNull().cast("double")) > 0.02, "bpm"), F.when(F.avg((C("status") == "failed").cast("double")) > 0.1, "errors"))), ",").alias("advice")), sql("tracks", "SELECT artist_id, concat_ws(',', CASE WHEN avg((NOT has_lyrics)::INT) > 0.5 THEN 'lyrics' END, CASE WHEN avg((bpm IS NULL)::INT) > 0.02 THEN 'bpm' END, CASE WHEN avg((status = 'failed')::INT) > 0.1 THEN 'errors' END) AS advice FROM tracks GROUP BY 1"))
+def recommendations(k):
+    """Per artist: advice where the quality score is under 70, over 10 % of the tracks failed, over 50 % have no lyrics or over 30 % no tempo; and the score."""
+    present = C("has_lyrics").cast("int") + C("bpm").isNotNull().cast("int")
+    share = lambda c: F.avg(c.cast("double"))
+    x = k.tracks.groupBy("artist_id").agg(
+        F.round(F.avg(F.when(present == 2, 100.0).when(present == 1, 70.0).otherwise(40.0)), 6).alias("score"),
+        share(C("status") == "failed").alias("failed"), share(~C("has_lyrics")).alias("mute"), share(C("bpm").isNull()).alias("slack"),
+    )
+    advice = ((C("score") < 70, "extract_again"), (C("failed") > 0.1, "check_sources"), (C("mute") > 0.5, "add_lyrics"), (C("slack") > 0.3, "add_bpm"))
+    return x.select("artist_id", "score", F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(a)) for c, a in advice))), ",").alias("advice"))
+
+
+add("a32_recommendations", recommendations, sql("tracks", ", x AS (SELECT artist_id, round(avg(CASE has_lyrics::INT + (bpm IS NOT NULL)::INT WHEN 2 THEN 100 WHEN 1 THEN 70 ELSE 40 END), 6)::DOUBLE AS score, count(*) AS n, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE NOT has_lyrics) AS mute, count(*) FILTER (WHERE bpm IS NULL) AS slack FROM tracks GROUP BY 1) SELECT artist_id, score, concat_ws(',', CASE WHEN score < 70 THEN 'extract_again' END, CASE WHEN failed > 0.1 * n THEN 'check_sources' END, CASE WHEN mute > 0.5 * n THEN 'add_lyrics' END, CASE WHEN slack > 0.3 * n THEN 'add_bpm' END) AS advice FROM x"))
 add("a33_artist_completion", lambda k: k.tracks.groupBy("artist_id").agg((100 * F.avg((C("status") == "completed").cast("double"))).alias("p")).select("artist_id", F.when(C("p") >= 90, "completed").when(C("p") >= 50, "in_progress").otherwise("failed").alias("state")), sql("tracks", "SELECT artist_id, CASE WHEN p >= 90 THEN 'completed' WHEN p >= 50 THEN 'in_progress' ELSE 'failed' END AS state FROM (SELECT artist_id, 100 * avg((status = 'completed')::INT) AS p FROM tracks GROUP BY 1)"))
 add("a34_progress_rollup", lambda k: k.sessions.groupBy("session", "status").agg(F.max("found").alias("best"), F.max_by("found", F.struct("ts", "id")).alias("latest")).withColumn("pct", F.round(F.try_divide(100.0 * C("latest"), C("best")), 6)).groupBy("session").agg(F.round(F.avg("pct"), 4).alias("overall")), sql("sessions", ", s AS (SELECT session, status, max(found) AS best, arg_max(found, (ts, id)) AS latest FROM sessions GROUP BY 1, 2) SELECT session, round(avg(round(100.0 * latest / nullif(best, 0), 6)), 4)::DOUBLE AS overall FROM s GROUP BY 1"))
-add("a35_discovery_quality", lambda k: k.tracks.groupBy("genre").agg(F.round(100 * F.avg(F.when(C("title") != "", 0.3).otherwise(0.0) + F.when(C("bpm").isNotNull(), 0.3).otherwise(0.0) + F.when(C("has_lyrics"), 0.4).otherwise(0.0)), 4).alias("quality")), sql("tracks", "SELECT genre, round(100 * avg(CASE WHEN title <> '' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN bpm IS NOT NULL THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN has_lyrics THEN 0.4::DOUBLE ELSE 0 END), 4) AS quality FROM tracks GROUP BY 1"))
+def discovery_quality(k):
+    """Mean weight of the fields that a found track has, in percent: lyrics, artist, date, album, guests, producer."""
+    produced = k.credits.filter("credit_type = 'producer'").select(C("track_id").alias("id"), F.lit(True).alias("produced")).distinct()
+    # The weights of the fields.
+    weights = ((C("has_lyrics"), 0.3), (C("artist_id").isNotNull(), 0.2), (C("release_date").isNotNull(), 0.15), (C("album_id").isNotNull(), 0.15), (T.featured_text(C("title")) != "", 0.1), (C("produced"), 0.1))
+    score = sum((F.when(c, w).otherwise(0.0) for c, w in weights), F.lit(0.0))
+    return k.tracks.join(produced, "id", "left").groupBy("genre").agg(F.round(100 * F.avg(score), 4).alias("quality"))
+
+
+add("a35_discovery_quality", discovery_quality, sql("tracks credits", f", p AS (SELECT DISTINCT track_id FROM credits WHERE credit_type = 'producer') SELECT genre, round(avg(30 * has_lyrics::INT + 20 * (artist_id IS NOT NULL)::INT + 15 * (release_date IS NOT NULL)::INT + 15 * (album_id IS NOT NULL)::INT + 10 * ({feat_sql} <> '')::INT + 10 * (track_id IS NOT NULL)::INT), 4)::DOUBLE AS quality FROM tracks LEFT JOIN p ON track_id = id GROUP BY 1"))
 add("a36_catalog_rollup", lambda k: k.tracks.rollup("genre", "has_lyrics").agg(F.count("*").alias("tracks"), F.sum("duration_seconds").alias("seconds"), F.grouping_id().alias("level")), sql("tracks", "SELECT genre, has_lyrics, count(*) AS tracks, CAST(sum(duration_seconds) AS BIGINT) AS seconds, CAST(grouping(genre, has_lyrics) AS BIGINT) AS level FROM tracks GROUP BY ROLLUP (genre, has_lyrics)"))
 add("a37_request_stats", lambda k: k.api_log.groupBy("api").agg(F.count("*").alias("total"), F.count_if("ok").alias("successful"), F.round(100 * F.avg(C("ok").cast("double")), 6).alias("success_pct")).join(R.last_k(k.api_log.filter("not ok"), ["api"], [F.desc("ts"), F.desc("event_id")], "event_id", 5, "last_errors"), "api", "left").withColumn("last_errors", F.array_join(C("last_errors"), ",")), sql("api_log", "SELECT api, count(*) AS total, count(*) FILTER (WHERE ok) AS successful, round(100 * avg(ok::INT), 6) AS success_pct, array_to_string(list(event_id ORDER BY ts DESC, event_id DESC) FILTER (WHERE NOT ok)[1:5], ',') AS last_errors FROM api_log GROUP BY 1"))
 del bucket

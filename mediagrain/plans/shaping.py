@@ -7,8 +7,9 @@ from mediagrain.operators import documents as D
 from mediagrain.operators import linkage as L
 from mediagrain.operators import ranking as R
 from mediagrain.operators import shaping as S
+from mediagrain.operators.components import written
 from mediagrain.plans.documents import MUSIC, hit, music_pages
-from mediagrain.plans.linkage import RELEASES
+from mediagrain.plans.linkage import FOLD, RELEASES
 from mediagrain.plans.textual import norm
 from mediagrain.sources.catalog import load, sql
 
@@ -52,15 +53,15 @@ add("g07_primary_source", lambda k: R.modal(k.credits, ["track_id"], "credit_typ
 
 
 def merged_groups(k):
-    """Release groups of an artist whose keys are alike to 0.85 become one."""
-    g = L.group_releases(k.albums, k.tracks)
-    pairs = L.near_pairs(g, ["artist_id"], "release_id", "key", 0.85).toDF("id1", "id2", "key1", "key2")
-    pairs = pairs.filter(1 - F.levenshtein("key1", "key2") / F.greatest(F.length("key1"), F.length("key2")) >= 0.85)
-    return g.join(L.merge_components(pairs), g.release_id == C("id"), "left").groupBy(F.coalesce("label", "release_id").alias("release")).agg(F.count("*").alias("groups"), F.sum("albums").alias("albums"))
+    """Release groups alike to 0.85 to an earlier one of the artist that stays; with the tracks of the albums that bear each key."""
+    keyed = k.albums.select(C("id").alias("album_id"), "artist_id", L.release_key(C("title")).alias("key"))
+    own = k.tracks.select("album_id").join(keyed, "album_id")
+    groups = written(L.group_releases(k.albums, k.tracks).select("artist_id", "key", "release_id", "albums"), "groups")
+    return L.merged_releases(groups, own)
 
 
 Q["g03_merged_groups"] = lambda spark, sf: merged_groups(load(spark, sf))
-SQL["g03_merged_groups"] = sql("albums tracks", RELEASES + ", e AS (SELECT x.release_id AS a, y.release_id AS b FROM g x JOIN g y ON x.artist_id = y.artist_id AND x.release_id <> y.release_id AND 1 - levenshtein(x.key, y.key) / greatest(length(x.key), length(y.key)) >= 0.85), r AS (SELECT release_id AS id, release_id AS m FROM g UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id), l AS (SELECT id, min(m) AS release FROM r GROUP BY id) SELECT release, count(*) AS groups, CAST(sum(albums) AS BIGINT) AS albums FROM g JOIN l ON l.id = release_id GROUP BY 1").replace("WITH albums", "WITH RECURSIVE albums", 1)
+SQL["g03_merged_groups"] = sql("albums tracks", RELEASES + ", e AS (SELECT x.release_id AS a, y.release_id AS b, x.artist_id AS grp FROM g x JOIN g y ON x.artist_id = y.artist_id AND x.release_id < y.release_id AND 1 - levenshtein(x.key, y.key) / greatest(length(x.key), length(y.key)) >= 0.85)" + FOLD.format(kind="BIGINT") + " SELECT g.artist_id, coalesce(leader, release_id) AS release, count(*) AS groups, CAST(sum(albums) AS BIGINT) AS albums, CAST(sum(tracks) AS BIGINT) AS tracks, arg_min(key, (-tracks, length(key), len(key) - len(replace(key, '(', '')), len(key) - len(replace(key, '[', '')), key)) AS best_key FROM g LEFT JOIN l ON l.id = release_id GROUP BY 1, 2").replace("WITH albums", "WITH RECURSIVE albums", 1)
 CLASSES = ("date", "label", "nav")
 add("h02_page_metadata", lambda k: music_pages(k).select("page_id", *(S.by_class(C("html"), c).alias(c) for c in CLASSES), *(F.nullif(F.trim(F.regexp_extract("html", p, 1)), F.lit("")).alias(c) for c, p in (("title", "<title>([^<]*)</title>"), ("h1", "<h1[^>]*>([^<]*)</h1>"), ("description", 'name="description" content="([^"]*)"'))), D.first_hit(C("html"), D.FIELD_PATTERNS["album"]).alias("album"), F.trim(D.first_hit(C("html"), D.FIELD_PATTERNS["genre"])).alias("genre")), MUSIC + " SELECT page_id, " + ", ".join(f"nullif(trim(regexp_extract(html, 'class=\"[^\"]*{c}[^\"]*\"[^>]*>([^<]*)<', 1)), '') AS {c}" for c in CLASSES) + ", nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, nullif(trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)), '') AS h1, nullif(trim(regexp_extract(html, 'name=\"description\" content=\"([^\"]*)\"', 1)), '') AS description, " + hit(D.FIELD_PATTERNS["album"]) + " AS album, trim(" + hit(D.FIELD_PATTERNS["genre"]) + ") AS genre FROM h")
 add("p05_scrobble_tags", lambda k: k.events.select("event_id", F.array_join(S.scrobble_tags(F.when(C("event_id") % 2 == 0, F.concat(F.lit('{"tag":[{"name":"rap","count":'), (C("event_id") % 100).cast("string"), F.lit('},{"name":"jazz","count":50},{"name":"pop","count":5}]}'))).otherwise(F.lit('{"tag":{"name":"solo","count":20}}')), 10, 2), ",").alias("tags")), "SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'solo' WHEN event_id % 100 > 50 THEN 'rap,jazz' WHEN event_id % 100 = 50 THEN 'jazz,rap' WHEN event_id % 100 >= 10 THEN 'jazz,rap' ELSE 'jazz' END AS tags FROM events")
