@@ -3,7 +3,7 @@
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,27 +61,32 @@ def sent(rows: DataFrame, megabytes: int = 32) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 40, spread: int = 1_000_000) -> DataFrame:
     """(id, label) for every id of the edges (a, b): label is the smallest id of its component.
 
-    Alternating large-star and small-star steps, each two pre-aggregated shuffles, until all edges point
-    to their smallest id; every round is checkpointed. Only a count and a sum reach the driver. From `spread`
-    edges on, the joins spread the rows of hubs (a large component's smallest id) over the tasks.
+    Alternating large-star and small-star steps until a round changes nothing, that is, until all edges point to
+    their smallest id (stars that come in take one round); every round is checkpointed. Only a count and a sum
+    reach the driver. A step is a window over an id's edges or, from `spread` edges on, a pre-aggregated minimum
+    and a join that spreads the rows of hubs (a large component's smallest id) over the tasks.
     """
     spark = edges.sparkSession
     shared_folder(spark)
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    before, n = None, e.count()
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = state(e)
+    n = before[0]
 
     def with_least(rows: DataFrame) -> DataFrame:
+        if n < spread:  # a few MB at most, so a hub's rows may meet in one task
+            return rows.withColumn("m", F.min("b").over(Window.partitionBy("a")))
         least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        return rows.join(least, "a") if n < spread else spread_join(rows, least.checkpoint(), ["a"])
+        return spread_join(rows, least.checkpoint(), ["a"])
 
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        large = with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         if n >= spread:
-            large = large.checkpoint()
+            large = large.distinct().checkpoint()
         small = with_least(large).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").filter("a <> b").distinct()
         e = small.checkpoint()
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now = state(e)
         if now == before:
             break
         before, n = now, now[0]

@@ -192,13 +192,6 @@ def apply_merges(rows: DataFrame, merges: DataFrame, column: str) -> DataFrame:
     return rows.join(m, F.col(column) == F.col("_id"), "left").withColumn(column, F.coalesce("_to", column)).drop("_id", "_to")
 
 
-def cross_reference(ref: DataFrame, others: DataFrame, block: list[str], score: Column, least: float) -> DataFrame:
-    """The best match of each reference row in each source, above `least`. ref: id, name; others: source, other_id, other_name."""
-    scored = ref.join(others, block).withColumn("score", F.round(score, 6)).filter(F.col("score") > least)
-    best = scored.groupBy("id", "source").agg(F.max(F.struct("score", (-F.col("other_id")).alias("k"))).alias("x"))
-    return best.select("id", "source", (-F.col("x.k")).alias("other_id"), F.col("x.score").alias("score"))
-
-
 # What a title says of a release's type, in the order in which the types are asked for.
 RELEASE_PATTERNS = {
     "single": r"\bsingle\b|\bfeat\.?\b|\bft\.?\b|\bwith\b.*\bfeat\b",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from mediagrain.functions import text as T
 from mediagrain.operators import enrich as E
 from mediagrain.operators import linkage as L
+from mediagrain.operators import matching as M
 from mediagrain.plans.textual import NO_FEAT, feat_sql, norm, sub
 from mediagrain.sources.catalog import load, sql
 
@@ -54,7 +55,18 @@ add("d11_dedup_by_title_url", lambda k: k.pages.groupBy(T.normalize_text(F.regex
 NAMES = ", k AS (SELECT title AS name, " + norm("title") + " AS n FROM tracks GROUP BY title), e AS (SELECT x.name AS a, y.name AS b, 0 AS grp FROM k x JOIN k y ON x.name < y.name AND 1 - levenshtein(x.n, y.n) / greatest(length(x.n), length(y.n), 1) >= 0.9)" + FOLD.format(kind="VARCHAR") + ", g AS (SELECT name, coalesce(leader, name) AS grp FROM k LEFT JOIN l ON l.id = name), c AS (SELECT grp, arg_min(name, (-length(name), name)) AS canonical FROM g GROUP BY grp)"
 add("d12_merge_similar_names", lambda k: L.merged_names(k.tracks.select(C("title").alias("name"))), sql("tracks", NAMES + " SELECT name, canonical FROM g JOIN c USING (grp)").replace("WITH tracks", "WITH RECURSIVE tracks", 1))
 add("d13_components", lambda k: L.merge_components(twins(k)), FOUND + " SELECT id, min(m) AS label FROM r GROUP BY id")
-add("d14_cross_reference", lambda k: L.cross_reference(k.part.select(C("p_partkey").alias("id"), "p_brand", C("p_name").alias("name")), k.part.select((C("p_partkey") % 5).alias("source"), C("p_partkey").alias("other_id"), "p_brand", C("p_name").alias("other_name")), ["p_brand"], F.when(C("id") != C("other_id"), T.word_jaccard(C("name"), C("other_name"))), 0.3), "WITH s AS (SELECT x.p_partkey AS id, y.p_partkey % 5 AS source, y.p_partkey AS other_id, round(len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' ')))::DOUBLE / len(list_distinct(string_split(x.p_name, ' ') || string_split(y.p_name, ' '))), 6) AS score FROM part x JOIN part y ON x.p_brand = y.p_brand WHERE x.p_partkey <> y.p_partkey) SELECT id, source, other_id, score FROM (SELECT *, row_number() OVER (PARTITION BY id, source ORDER BY score DESC, other_id) AS rn FROM s WHERE score > 0.3) WHERE rn = 1")
+def matching_sources(k):
+    """Three other sources of the parts: titles with an edit, brands with one, and titles with the type behind them."""
+    row = lambda source, base, title, artist: k.part.select(F.lit(source).alias("source"), (C("p_partkey") + base).alias("other_id"), title.alias("title"), artist.alias("artist"))
+    name, brand = C("p_name"), C("p_brand")
+    return row("edited", 10**6, F.concat(name, F.lit("s")), brand).unionByName(row("brands", 2 * 10**6, name, F.concat(brand, F.lit("x")))).unionByName(row("types", 3 * 10**6, F.concat_ws(" ", name, "p_type"), brand).filter("other_id % 3 = 0"))
+
+
+SOURCES_SQL = f"WITH o AS (SELECT source, other_id, {norm('title')} AS t, {norm('artist')} AS a FROM (SELECT 'edited' AS source, p_partkey + 1000000 AS other_id, p_name || 's' AS title, p_brand AS artist FROM part UNION ALL SELECT 'brands', p_partkey + 2000000, p_name, p_brand || 'x' FROM part UNION ALL SELECT 'types', p_partkey + 3000000, p_name || ' ' || p_type, p_brand FROM part WHERE (p_partkey + 3000000) % 3 = 0)), r AS (SELECT p_partkey AS id, {norm('p_name')} AS t, {norm('p_brand')} AS a FROM part), p AS (SELECT DISTINCT t, a FROM r), d AS (SELECT source, t, a, min(other_id) AS other_id FROM o GROUP BY ALL), s AS (SELECT p.t, p.a, source, other_id, (1 - levenshtein(p.t, d.t) / greatest(length(p.t), length(d.t)) + 1 - levenshtein(p.a, d.a) / greatest(length(p.a), length(d.a))) / 2 AS score FROM p CROSS JOIN d), b AS (SELECT t, a, source, arg_max(other_id, (score, -other_id)) AS other_id, round(max(score), 6) AS score FROM s WHERE score > 0.7 GROUP BY ALL), m AS (SELECT id, source, other_id, score FROM r JOIN b USING (t, a))"
+parts = lambda k: k.part.select(C("p_partkey").alias("id"), C("p_name").alias("title"), C("p_brand").alias("artist"))
+best_parts = lambda k: M.best_by_edits(parts(k), matching_sources(k), ["title", "artist"])
+add("d14_cross_reference", best_parts, SOURCES_SQL + " SELECT * FROM m")
+add("d14b_cross_reference_confidence", lambda k: M.cross_referenced(parts(k), best_parts(k)), SOURCES_SQL + " SELECT r.id, count(m.id) AS sources, round(coalesce(product(score), 1), 6) AS confidence FROM r LEFT JOIN m USING (id) GROUP BY 1")
 rated = lambda k: k.tracks.withColumn("confidence", (C("id") % 10 / 10).cast("double"))
 
 
@@ -67,22 +79,36 @@ def enrichments(k):
 
 ENRICHED = ", r AS (SELECT id, artist_id, lower(title) AS t, id % 10 / 10 AS c FROM tracks), o AS (SELECT artist_id, 'ids' AS source, id, lower(title) AS t, id % 7 / 7 AS c FROM tracks WHERE id % 2 = 0 UNION ALL SELECT artist_id, 'titles', id + 1000000000, lower(title || 's'), id % 5 / 5 FROM tracks WHERE id % 3 = 0), i AS (SELECT r.id, source, max(o.c) AS c FROM r JOIN o ON o.id = r.id GROUP BY 1, 2), n AS (SELECT r.id, o.source, o.id AS other, o.c, 1 - levenshtein(r.t, o.t) / greatest(length(r.t), length(o.t), 1) AS score FROM r JOIN o ON o.artist_id = r.artist_id), b AS (SELECT id, source, arg_max(c, (score, -other)) AS c FROM n WHERE score > 0.8 AND (id, source) NOT IN (SELECT id, source FROM i) GROUP BY 1, 2), e AS (SELECT id, c FROM i UNION ALL SELECT id, c FROM b UNION ALL SELECT id, c FROM r)"
 add("d15_merge_enrichments", enrichments, sql("tracks", ENRICHED + " SELECT id, count(*) - 1 AS sources, round(avg(c), 6) AS mean_conf, round(min(c), 6) AS min_conf, round(max(c), 6) AS max_conf FROM e GROUP BY 1"))
-BEST = "WITH r AS (SELECT p_partkey AS id, p_brand, p_name AS name FROM part), s AS (SELECT r.id, y.p_partkey AS other_id, round(0.6 * (len(list_intersect(string_split(name, ' '), string_split(y.p_name, ' ')))::DOUBLE / len(list_distinct(string_split(name, ' ') || string_split(y.p_name, ' ')))) + 0.4 * (y.p_size > 25)::INT, 6) AS score FROM r JOIN part y ON r.p_brand = y.p_brand AND r.id <> y.p_partkey), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id) AS rn FROM s WHERE score >= 0.5) WHERE rn = 1) SELECT r.id, b.other_id, b.score, b.id IS NOT NULL AS found FROM r LEFT JOIN b USING (id)"
+WORDS = lambda c: f"list_distinct(list_filter(string_split({norm(c)}, ' '), lambda w: w <> ''))"
+JACCARD = lambda x, y: f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0 ELSE len(list_intersect({x}, {y})) / len(list_distinct({x} || {y})) END"
+BEST = f"WITH n AS (SELECT p_partkey AS id, p_name || ' ' || lower(p_type) AS title, p_brand AS artist, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type || ' version' ELSE p_name || ' live' END AS title2, CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS artist2, p_size > 25 AS known FROM part), r AS (SELECT id, list_sort({WORDS('title')}) AS t, {WORDS('artist')} AS a FROM n), c AS (SELECT id + 1000000 AS other_id, list_sort({WORDS('title2')}) AS t, coalesce({WORDS('artist2')}, []) AS a, known FROM n), p AS (SELECT DISTINCT t, a FROM r), o AS (SELECT t, a, known, min(other_id) AS other_id FROM c GROUP BY ALL), s AS (SELECT p.t, p.a, other_id, round(0.6 * ({JACCARD('p.t', 'o.t')}) + 0.4 * ({JACCARD('p.a', 'o.a')}) + CASE WHEN known THEN 0.1 ELSE 0 END, 6) AS score FROM p CROSS JOIN o), b AS (SELECT t, a, arg_max(other_id, (score, -other_id)) AS other_id, max(score)::DOUBLE AS score FROM s WHERE score >= 0.5 GROUP BY ALL) SELECT r.id, b.other_id, b.score, b.other_id IS NOT NULL AS found FROM r LEFT JOIN b ON b.t = r.t AND b.a = r.a"
 
 
 def best_match(k):
-    ref = k.part.select(C("p_partkey").alias("id"), "p_brand", C("p_name").alias("name"))
-    others = k.part.select(F.lit(1).alias("source"), C("p_partkey").alias("other_id"), "p_brand", C("p_name").alias("other_name"), "p_size")
-    score = 0.6 * T.word_jaccard(C("name"), C("other_name")) + 0.4 * (C("p_size") > 25).cast("int")
-    best = L.cross_reference(ref, others, ["p_brand"], F.when(C("id") != C("other_id"), score), 0.499999)
-    return ref.select("id").join(best.drop("source"), "id", "left").withColumn("found", C("other_id").isNotNull())
+    """Requests: name, type and brand of every part; candidates: names in other forms, some without a brand, some with a tempo."""
+    key = C("p_partkey")
+    asked = k.part.select(key.alias("id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title"), C("p_brand").alias("artist"))
+    title = F.when(key % 4 == 0, C("p_name")).when(key % 4 == 1, F.concat("p_type", F.lit(" version"))).otherwise(F.concat("p_name", F.lit(" live")))
+    offered = k.part.select((key + 10**6).alias("other_id"), title.alias("title"), F.when(key % 5 > 0, C("p_brand")).alias("artist"), F.when(C("p_size") > 25, C("p_size")).alias("bpm"))
+    return M.best_by_words(asked, offered)
 
 
 Q["d16_best_match"], SQL["d16_best_match"] = lambda spark, sf: best_match(load(spark, sf)), BEST
 add("d17_result_confidence", lambda k: k.tracks.select("id", F.round(F.least(F.lit(1.0), F.when(C("bpm").isNotNull(), 0.4).otherwise(0.0) + F.when(C("bpm").between(60, 200), 0.1).otherwise(0.0) + F.when(C("duration_seconds").isNotNull(), 0.2).otherwise(0.0) + F.when(C("has_lyrics"), 0.2).otherwise(0.0)), 6).alias("confidence")), sql("tracks", "SELECT id, round(least(1.0, CASE WHEN bpm IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN bpm BETWEEN 60 AND 200 THEN 0.1 ELSE 0 END + CASE WHEN duration_seconds IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN has_lyrics THEN 0.2 ELSE 0 END), 6)::DOUBLE AS confidence FROM tracks"))
 add("d18_fuzzy_lookup", lambda k: k.part.select("p_partkey", F.round(T.ratio(F.lit("small ring"), C("p_name")), 6).alias("score")).filter("score >= 0.8").orderBy(F.desc("score"), "p_partkey").limit(20), f"SELECT p_partkey, round(1 - levenshtein('small ring', {norm('p_name')}) / greatest(10, length({norm('p_name')})), 6) AS score FROM part WHERE score >= 0.8 ORDER BY score DESC, p_partkey LIMIT 20")
 add("d19_artist_hit_filter", lambda k: k.artists.filter(T.normalize_text(C("name")).contains("customer00000001")).select("id", "name"), sql("artists", f"SELECT id, name FROM artists WHERE contains({norm('name')}, 'customer00000001')"))
-add("d20_search_rank", lambda k: k.part.select("p_partkey", F.round(T.relevance(F.lit("old ring"), C("p_name")), 6).alias("score")).filter("score > 0").orderBy(F.desc("score"), "p_partkey").limit(50), "SELECT p_partkey, round(CASE WHEN p_name = 'old ring' THEN 1.0 WHEN contains(p_name, 'old ring') THEN 0.8 WHEN contains('old ring', p_name) THEN 0.7 ELSE len(list_intersect(['old', 'ring'], string_split(p_name, ' '))) / 2 END, 6)::DOUBLE AS score FROM part WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 50")
+
+
+def requests(k):
+    """500 requests made of names: whole names, their middles, two words in turn, a word with one that no name has, and a name between others."""
+    i, name = C("p_partkey") % 500, C("p_name")
+    word = lambda n: F.get(F.split(name, " "), F.lit(n))
+    query = F.when(i % 5 == 0, name).when(i % 5 == 1, F.substring(name, 3, 6)).when(i % 5 == 2, F.concat_ws(" ", word(1), word(0))).when(i % 5 == 3, F.concat_ws(" ", word(0), F.lit("nowhere"))).otherwise(F.concat_ws(" ", F.lit("a"), name, F.lit("live")))
+    return k.part.groupBy(i.alias("request")).agg(F.min_by(query, "p_partkey").alias("query"))
+
+
+FOUND_NAMES = f"WITH a AS (SELECT p_partkey % 500 AS request, arg_min(CASE p_partkey % 500 % 5 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 3, 6) WHEN 2 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) WHEN 3 THEN split_part(p_name, ' ', 1) || ' nowhere' ELSE 'a ' || p_name || ' live' END, p_partkey) AS query FROM part GROUP BY 1), q AS (SELECT request, {norm('query')} AS q FROM a), n AS (SELECT p_partkey AS id, {norm('p_name')} AS name FROM part), s AS (SELECT request, id, CASE WHEN q = name THEN 1.0 WHEN contains(name, q) THEN 0.8 WHEN contains(q, name) THEN 0.7 ELSE len(list_intersect(list_distinct(string_split(q, ' ')), string_split(name, ' '))) / len(list_distinct(string_split(q, ' '))) END AS score FROM q CROSS JOIN n WHERE q <> '') SELECT request, CAST(row_number() OVER (PARTITION BY request ORDER BY score DESC, id) AS INT) AS rank, id, round(score, 6)::DOUBLE AS score FROM s WHERE score > 0 QUALIFY rank <= 10"
+add("d20_search_rank", lambda k: M.search(requests(k), k.part.select(C("p_partkey").alias("id"), C("p_name").alias("name"))), FOUND_NAMES)
 
 KEY = norm(sub("title", ("[(\\[][^)\\]]*[)\\]]", ""), ("(?i)\\b(deluxe|edition|remaster(ed)?|live)\\b", "")))
 KIND = "CASE WHEN tracks <= 2 OR regexp_matches(lower(title), '\\bsingle\\b|\\bfeat\\.?\\b|\\bft\\.?\\b|\\bwith\\b.*\\bfeat\\b') THEN 'single' WHEN tracks <= 8 OR regexp_matches(lower(title), '\\bep\\b|\\bmini[\\s-]*album\\b|\\bextended[\\s-]*play\\b|\\bplaylist\\b') THEN 'ep' WHEN regexp_matches(lower(title), '\\b(mixtape|mix[\\s-]*tape|tape|free[\\s-]*tape)\\b') THEN 'mixtape' WHEN regexp_matches(lower(title), '\\b(live|concert|tour|en[\\s-]*direct)\\b') THEN 'live' WHEN regexp_matches(lower(title), '\\b(compilation|best[\\s-]*of|greatest[\\s-]*hits|collection|antology|selected)\\b') THEN 'compilation' WHEN tracks >= 4 THEN 'album' ELSE 'ep' END"
