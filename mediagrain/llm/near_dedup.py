@@ -181,24 +181,33 @@ def link_pairs(pairs: DataFrame, least: np.ndarray) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def candidate_links(heads: DataFrame, least: np.ndarray, node_docs: int) -> DataFrame:
-    """Links (a, b) that connect all heads (doc_id, sig, bands) that share a bucket and whose signatures may link."""
+def candidate_groups(heads: DataFrame, least: np.ndarray, node_docs: int) -> DataFrame:
+    """(id, label): groups of heads (doc_id, sig, bands) such that no pair that shares a bucket, and whose signatures may link, is parted."""
     holders = heads.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("h"))
     buckets = written(holders.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).filter("n > 1"), "buckets")
-    stars = written(spread_join(holders, buckets, ["h"]).filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
+    shared = written(spread_join(holders, buckets, ["h"]), "shared")
+    stars = written(shared.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     sig = heads.select("doc_id", "sig")
     pivots = stars.groupBy("b").agg(F.count("*").alias("n")).join(sig, F.col("b") == F.col("doc_id")).select("b", "n", F.col("sig").alias("sig_b"))
     met = stars.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    found = written(link_pairs(spread_join(met, written(pivots, "pivots"), ["b"]), least), "found")
+    found = link_pairs(spread_join(met, written(pivots, "pivots"), ["b"]), least)
 
     labels = written(components(found), "labels")
-    held = written(spread_join(holders, buckets, ["h"]).join(labels, F.col("doc_id") == F.col("id"), "left").select("h", "doc_id", F.coalesce("label", "doc_id").alias("label")), "held")
+    held = shared.join(labels, F.col("doc_id") == F.col("id"), "left").select("h", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     mixed = written(held.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high").select("h", "n"), "mixed")
     if mixed.isEmpty():
-        return found
-    members = spread_join(held, mixed, ["h"]).select(F.col("h").alias("grp"), "doc_id", F.lit(1).cast("long").alias("n"))
+        return labels
+    members = spread_join(shared.select("h", "doc_id"), mixed, ["h"]).select(F.col("h").alias("grp"), "doc_id", F.lit(1).cast("long").alias("n"))
     rest = links_in_groups(_grouped(members, "apart", F.lit(1)), lambda units: link_signatures(units.join(sig, "doc_id"), least), F.lit(1), node_docs)
-    return found.unionByName(rest)
+
+    # what is linked now joins the groups that there were
+    label_of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    between = rest.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
+    between = between.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).filter("a <> b").distinct()
+    merged = written(components(between), "merged")
+    moved = sent(merged).select(F.col("id").alias("label"), F.col("label").alias("merged"))
+    kept = labels.join(moved, "label", "left").select("id", F.coalesce("merged", "label").alias("label"))
+    return kept.unionByName(merged.join(labels.select("id"), "id", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, miss: float = 1e-6, room: int = 1 << 18, node_docs: int = 4096) -> DataFrame:
@@ -212,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, miss: flo
     own = heads.select(F.col("head").alias("doc_id"), "d1", "d2")
     full = written(sketches.filter("n > 0").select("doc_id", "n", "d1", "d2", "sig", "bands").join(own, ["doc_id", "d1", "d2"]).drop("d1", "d2"), "full")
 
-    close = components(candidate_links(full, least, node_docs))
+    close = candidate_groups(full, least, node_docs)
     close = full.select("doc_id", "n").join(close, full.doc_id == close.id).select(F.col("label").alias("grp"), "doc_id", "n").distinct()
     texts = docs.filter("doc_id is not null and text is not null")
     sig = full.select("doc_id", "sig")

@@ -262,7 +262,7 @@ def linked(unit: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent:
 
 
 def _by_unit(rows: DataFrame, columns: list[str], work, prepare, weight, room: int = 1 << 22) -> DataFrame:
-    """Links (a, b) found inside each unit by `work`; a unit's rows meet in a task, which takes whole units of about `room` bytes together."""
+    """What `work` links inside each unit, as stars: (a, b), b the smallest id of a's component there; a unit's rows meet in a task, which takes whole units of about `room` bytes together."""
     keyed = rows.select("unit", "side", "doc_id", *columns).repartition("unit").sortWithinPartitions("unit")
 
     def run(batches):
@@ -270,8 +270,17 @@ def _by_unit(rows: DataFrame, columns: list[str], work, prepare, weight, room: i
 
         def flush():
             number = np.cumsum([0, *(a != b for a, b in zip(names[1:], names[:-1], strict=True))])
-            found = work(number, held, np.array(sides)) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], names=["a", "b"])
+            forest = Forest(len(held))
+            joined = set()
+            for a, b in work(number, held, np.array(sides)) if len(held) > 1 else []:
+                forest.join(a, b)
+                joined |= {a, b}
+            least: dict[int, int] = {}
+            for a in joined:
+                root = forest.find(a)
+                least[root] = min(least.get(root, ids[a]), ids[a])
+            found = [(ids[a], least[forest.find(a)]) for a in joined]
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             unit, side, own = (batch.column(c).to_pylist() for c in ("unit", "side", "doc_id"))
