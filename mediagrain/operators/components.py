@@ -80,12 +80,13 @@ def components(edges: DataFrame, rounds: int = 40, spread: int = 1_000_000) -> D
         return spread_join(rows, least.checkpoint(), ["a"])
 
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        few = max(8, n // 100_000 + 1)  # tasks for the edges there are, not for those of a large table
+        both = e.coalesce(few).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
         large = with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         if n >= spread:
             large = large.distinct().checkpoint()
         small = with_least(large).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").filter("a <> b").distinct()
-        e = small.checkpoint()
+        e = small.coalesce(few).checkpoint()
         now = state(e)
         if now == before:
             break
