@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mediagrain.functions import text as T
+from mediagrain.operators import partials as P
 from mediagrain.operators import ranking as R
 from mediagrain.plans.textual import feat_sql
 from mediagrain.sources.catalog import load, sql
@@ -131,3 +132,15 @@ add("a35_discovery_quality", discovery_quality, sql("tracks credits", f", p AS (
 add("a36_catalog_rollup", lambda k: k.tracks.rollup("genre", "has_lyrics").agg(F.count("*").alias("tracks"), F.sum("duration_seconds").alias("seconds"), F.grouping_id().alias("level")), sql("tracks", "SELECT genre, has_lyrics, count(*) AS tracks, CAST(sum(duration_seconds) AS BIGINT) AS seconds, CAST(grouping(genre, has_lyrics) AS BIGINT) AS level FROM tracks GROUP BY ROLLUP (genre, has_lyrics)"))
 add("a37_request_stats", lambda k: k.api_log.groupBy("api").agg(F.count("*").alias("total"), F.count_if("ok").alias("successful"), F.round(100 * F.avg(C("ok").cast("double")), 6).alias("success_pct")).join(R.last_k(k.api_log.filter("not ok"), ["api"], [F.desc("ts"), F.desc("event_id")], "event_id", 5, "last_errors"), "api", "left").withColumn("last_errors", F.array_join(C("last_errors"), ",")), sql("api_log", "SELECT api, count(*) AS total, count(*) FILTER (WHERE ok) AS successful, round(100 * avg(ok::INT), 6) AS success_pct, array_to_string(list(event_id ORDER BY ts DESC, event_id DESC) FILTER (WHERE NOT ok)[1:5], ',') AS last_errors FROM api_log GROUP BY 1"))
 del bucket
+
+
+def period_stats(k):
+    """Statistics of each kind of event merged from daily partials; whether the sketches' answers lie within three of their standard errors of the exact ones."""
+    events = k.events.select("event_type", "ts", "user_id", "value")
+    merged = P.merged_partials(P.daily_partials(events, "ts", ["event_type"], "value", "user_id", C("value") > 90), ["event_type"])
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), *(F.percentile("value", q).alias(f"q{round(100 * q)}") for q in (0.47, 0.53, 0.92, 0.98)))
+    near = F.abs(C("distinct") - C("users")) <= F.greatest(F.lit(1.0), 3 * P.DISTINCT_ERROR * C("users"))
+    return merged.join(exact, "event_type").select("event_type", "n", "failures", "mean", "least", "most", near.alias("distinct_near"), C("p50").between(C("q47"), C("q53")).alias("median_near"), C("p95").between(C("q92"), C("q98")).alias("p95_near"))
+
+
+add("a27b_period_stats", period_stats, "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 90) AS failures, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, true AS distinct_near, true AS median_near, true AS p95_near FROM events GROUP BY 1")

@@ -6,7 +6,9 @@ from mediagrain.operators.lookup import attach_credits
 from mediagrain.plans.reports import artist_stats
 from mediagrain.sources import exports as X
 from mediagrain.sources.catalog import load, sql
+from mediagrain.streaming import chained as H
 from mediagrain.streaming import events as S
+from mediagrain.streaming import logs as G
 
 C = F.col
 Q, SQL = {}, {}
@@ -44,3 +46,18 @@ add("st06b_overall_progress", lambda k: S.overall_progress(steps(k)), sql("sessi
 add("st08b_snapshots", lambda k: S.snapshots(S.rate_windows(k.api_log, "6 hours"), "api"), sql("api_log", ", w AS (SELECT api, time_bucket(INTERVAL 6 HOURS, ts) AS started, count(*) AS n FROM api_log GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY api ORDER BY started DESC) AS rn FROM w), m AS (SELECT api, count(*) FILTER (WHERE rn <= 100) AS kept, avg(n) FILTER (WHERE rn <= 100) AS mean, avg(n) FILTER (WHERE rn <= 10) AS a, avg(n) FILTER (WHERE rn > 10 AND rn <= 20) AS b FROM r GROUP BY 1) SELECT api, kept, round(mean, 6) AS mean, round(a, 6) AS recent, round(b, 6) AS previous, CASE WHEN a > b THEN 'up' WHEN a < b THEN 'down' ELSE 'flat' END AS trend FROM m"))
 add("st09b_daily_trend", lambda k: S.daily_trend(k.sessions, "found"), sql("sessions", ", d AS (SELECT CAST(ts AS DATE) AS day, round(avg(found), 6) AS mean, count(*) AS n FROM sessions GROUP BY 1), l AS (SELECT *, lag(mean) OVER (ORDER BY day) AS b FROM d) SELECT day, mean, n, CASE WHEN b IS NULL OR mean = b THEN 'stable' WHEN mean > b THEN 'improving' ELSE 'declining' END AS trend FROM l"))
 add("st10b_size_alerts", lambda k: S.size_alerts(k.cache.withColumn("ts", C("created_at")), 200), sql("cache", "SELECT CAST(created_at AS DATE) AS day, CAST(sum(strlen(data)) AS BIGINT) AS bytes, count(*) AS writes FROM cache GROUP BY 1 HAVING sum(strlen(data)) > 200"))
+add("st06c_progress_windows", lambda k: H.overall_progress_windows(k.sessions, 20), sql("sessions", ", s AS (SELECT CAST(ts AS DATE)::TIMESTAMP AS started, session, status, count(*) FILTER (WHERE found > 20) AS done, count(*) AS total, min(ts) AS f, max(ts) AS l FROM sessions GROUP BY 1, 2, 3), o AS (SELECT session, started, count(*) AS steps, CAST(sum(done) AS BIGINT) AS done, CAST(sum(total) AS BIGINT) AS total, floor(epoch(max(l))) - floor(epoch(min(f))) AS elapsed FROM s GROUP BY 1, 2) SELECT session, started, steps, done, total, round(100.0 * done / total, 4)::DOUBLE AS pct, round(elapsed * (total - done) / nullif(done, 0), 4) AS eta_seconds FROM o"))
+
+
+def lines(k):
+    """A log line for every event: JSON of three shapes, some broken off, some no object, some without a time."""
+    e, i = k.events, C("event_id")
+    head = [F.date_format(C("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("ts"), C("user_id").alias("session"), F.when(i % 4 == 0, "warning").when(i % 4 == 1, "INFO").when(i % 4 == 2, "debug").otherwise("ERROR").alias("level")]
+    api = F.to_json(F.struct(*head, F.struct((200 + i % 5 * 75).cast("int").alias("code"), F.round(C("value") / 40, 3).alias("seconds")).alias("api")))
+    check = F.to_json(F.struct(*head, F.struct((10 + i % 7).alias("total"), (i % 3).alias("errors")).alias("validation")))
+    line = F.when(i % 11 == 0, F.substring(api, 1, 20)).when(i % 11 == 1, F.lit("[1, 2]")).when(i % 11 == 2, F.lit('{"level":"INFO"}')).when(i % 2 == 0, api).otherwise(check)
+    return e.select(line.alias("value"))
+
+
+add("st11b_log_report", lambda k: G.log_report(lines(k)), "WITH e AS (SELECT event_id AS i, CAST(ts AS DATE)::TIMESTAMP AS started, user_id AS session, value FROM events WHERE event_id % 11 > 2), x AS (SELECT *, i % 2 = 0 AS api, 200 + i % 5 * 75 AS code, round(value / 40, 3) AS seconds, 10 + i % 7 AS total, i % 3 AS errors FROM e) SELECT session, started, count(*) AS entries, count(*) FILTER (WHERE i % 4 = 2) AS debug, count(*) FILTER (WHERE i % 4 = 1) AS info, count(*) FILTER (WHERE i % 4 = 0) AS warning, count(*) FILTER (WHERE i % 4 = 3) AS error, count(*) FILTER (WHERE api AND code >= 400) AS failed_calls, count(*) FILTER (WHERE api AND seconds > 1) AS slow, round(100 * (sum(total) FILTER (WHERE NOT api) - sum(errors) FILTER (WHERE NOT api)) / sum(total) FILTER (WHERE NOT api), 4) AS valid_pct FROM x GROUP BY 1, 2")
+add("st11c_broken_lines", lambda k: G.broken(lines(k)).groupBy("value").agg(F.count("*").alias("n")).filter("value not like '%20%'"), "SELECT CASE event_id % 11 WHEN 1 THEN '[1, 2]' ELSE '{\"level\":\"INFO\"}' END AS value, count(*) AS n FROM events WHERE event_id % 11 IN (1, 2) GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from mediagrain.functions import blocks as B
 from mediagrain.functions import text as T
 from mediagrain.sources.catalog import load, sql
 
@@ -107,3 +108,14 @@ add("sim3_word_jaccard", sim(T.word_jaccard), of_sim(JAC))
 add("sim4_relevance", sim(T.relevance), of_sim(f"CASE WHEN s = t THEN 1.0 WHEN contains(t, s) THEN 0.8 WHEN contains(s, t) THEN 0.7 ELSE len(list_intersect({W1}, {W2}))::DOUBLE / len(list_distinct({W1})) END"))
 add("sim5_title_artist", lambda k: pairs(k).select("a", "b", F.round(T.title_artist_similarity(C("s"), C("t"), C("p_brand"), C("p_brand")), 6).alias("out")), of_sim(f"0.7 * {LEV} + 0.3"))
 add("sim6_search_relevance", lambda k: pairs(k).select("a", "b", F.round(T.search_relevance(T.word_jaccard(C("s"), C("t")), F.lit(1.0), C("p_size")), 6).alias("out")), f"SELECT x.p_partkey AS a, y.p_partkey AS b, round(least(1.0, 0.6 * {JAC.replace('lower(s)', 'lower(x.p_name)').replace('lower(t)', 'lower(y.p_name)')} + 0.3 + 0.1 * x.p_size / 100), 6) AS out FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey")
+
+
+def block_pairs(k):
+    """Titles of an artist with one first word whose longest-block ratio is 0.7 or more."""
+    t = k.tracks.select("artist_id", F.lower("title").alias("title")).distinct().withColumn("word", F.substring_index("title", " ", 1))
+    pairs = t.withColumnRenamed("title", "title1").join(t.withColumnRenamed("title", "title2"), ["artist_id", "word"]).filter("title1 < title2")
+    return B.block_pairs(pairs.select("title1", "title2").distinct(), "title1", "title2", 0.7).withColumn("score", F.round("score", 6))
+
+
+#: No SQL: the recursion over blocks is tested against a plain one.
+Q["sim1b_block_ratio"] = lambda spark, sf: block_pairs(load(spark, sf))

@@ -11,7 +11,7 @@ from mediagrain import plans
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries without SQL, each tested against a plain version elsewhere.
-PLAIN = {"c11_merge_credits"}
+PLAIN = {"c11_merge_credits", "sim1b_block_ratio"}
 
 
 @pytest.fixture(scope="module")
