@@ -1,11 +1,14 @@
 """Lyrics, credit texts, pages, payloads and feature vectors: one row per document in, columns or rows out."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediagrain.functions.text import clean_artist_name
+from mediagrain.operators.components import written
 from mediagrain.operators.credits import normal_role
 
 # Explicit words.
@@ -187,25 +190,57 @@ def band_energy(df: DataFrame, key: str, vector: str, bands: list[tuple[str, int
 
 
 def repetition_of_all(df: DataFrame, group: str, key: str, vector: str, least: float = 0.8, block: int = 512) -> DataFrame:
-    """Share of all frame pairs of a group whose normalised dot product exceeds `least`.
-
-    Frames are dealt into blocks of about `block` by the hash of their key; two blocks meet in a task as one
-    matrix product, of which only counts leave, so no pair is a row. The work is that of all pairs.
+    """Share of all frame pairs of a group whose normalised dot product exceeds `least`, with the share of pairs that took no product.
+
+    A group has a pivot (the frames of the smallest hashes) for each `block` of its frames. Frames are dealt to the
+    pivot they are nearest to in direction, of which only the widest angle is kept. By the angle of their pivots and
+    these radii most pairs of blocks lie wholly above or wholly below `least` and are counted as numbers; the frames
+    of the others (all but the decided ones, whatever the data) meet in a task as matrix products, of which only
+    counts leave, so no pair is a row. Crowded blocks are cut by hash into parts of about `block`. Frames without a
+    direction (null, or all zeros) are alike to nothing.
     """
-    blocks = df.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = df.select(group, F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).join(blocks, group)
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = dealt.select(group, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "v")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    frames = df.select(F.struct(F.col(group).alias("v")).alias("g"), F.xxhash64(key).alias("k"), F.coalesce(F.col(vector).cast("array<double>"), F.array().cast("array<double>")).alias("v")).withColumn("size", norm)
+    frames = written(frames.select("g", "k", F.when(F.col("size") > 0, F.transform("v", lambda x: x / F.col("size"))).alias("u")), "frames")
+    sizes = frames.groupBy("g").agg(F.count("*").alias("all"), F.count("u").alias("n")).withColumn("pivots", F.ceil(F.col("n") / block).cast("int"))
+    ranked = frames.filter("u is not null").withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+    most = sizes.agg(F.max("pivots")).first()[0] or 0
+    pivots = written(ranked.filter(F.col("place") <= most).join(sizes, "g").filter(F.col("place") <= F.col("pivots")).select("g", F.col("place").alias("p"), "u"), "pivots")
+    of_group = pivots.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("p", "u"))).alias("centres"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    nearest = F.array_max(F.transform("centres", lambda c: F.struct(dot(c["u"], F.col("u")).alias("cos"), c["p"].alias("p"))))
+    dealt = frames.filter("u is not null").join(of_group, "g").withColumn("x", nearest).select("g", "k", "u", F.col("x.p").alias("p"), F.acos(F.least(F.col("x.cos"), F.lit(1.0))).alias("angle"))
+    dealt = written(dealt, "dealt")
+    blocks = dealt.groupBy("g", "p").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    parts = dealt.join(blocks.select("g", "p", "parts"), ["g", "p"]).withColumn("part", F.pmod("k", F.col("parts")).cast("int"))
+    parts = written(parts.select("g", F.struct("p", "part").alias("b"), "u", "angle"), "parts")
+    ends = parts.groupBy("g", "b").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).withColumn("p", F.col("b.p")).join(pivots.withColumnRenamed("u", "centre"), ["g", "p"]).drop("p")
+    ends = written(ends, "ends")
+
+    two = ends.select("g", *(F.col(c).alias(f"{c}2") for c in ends.columns if c != "g"))
+    met = ends.join(two, "g").filter(F.col("b") <= F.col("b2"))
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("centre"), F.col("centre2")))))
+    reach = F.col("radius") + F.col("radius2") + 1e-6
+    bound = math.acos(least)
+    number = F.when(F.col("b") == F.col("b2"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("n2")).cast("long")
+    met = met.select("g", "b", "b2", number.alias("pairs"), F.when(apart - reach > bound + 1e-6, "below").when(apart + reach < bound - 1e-6, "above").alias("side"))
+    met = written(met, "met")
+    decided = met.filter("side is not null").select("g", F.when(F.col("side") == "above", F.col("pairs")).otherwise(0).cast("long").alias("alike"))
+
+    open_ = met.filter("side is null").select("g", "b", "b2", F.explode(F.array_distinct(F.array("b", "b2"))).alias("own"))
+    units = open_.join(parts.select("g", F.col("b").alias("own"), "u"), ["g", "own"]).select("g", "b", "b2", (F.col("own") == F.col("b")).alias("first"), "u")
 
     def run(table):
-        own, n = table.column("own").to_numpy(), len(table)
-        v = np.array(table.column("v").to_pylist(), float).reshape(n, -1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            u = v / np.sqrt((v * v).sum(1))[:, None]
-            low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-            near = u @ u.T > least if low == high else u[own == low] @ u[own == high].T > least
-        alike, pairs = (int(np.triu(near, 1).sum()), n * (n - 1) // 2) if low == high else (int(near.sum()), near.size)
-        return pa.table({group: table.column(group)[:1], "alike": pa.array([alike], pa.int64()), "pairs": pa.array([pairs], pa.int64())})
-
-    counted = units.groupBy(group, "low", "high").applyInArrow(run, units.select(group, F.lit(0).cast("long").alias("alike"), F.lit(0).cast("long").alias("pairs")).schema)
-    return counted.groupBy(group).agg(F.sum("alike").alias("alike"), F.sum("pairs").alias("pairs")).withColumn("density", F.round(F.try_divide("alike", "pairs"), 6))
+        first, u = table.column("first").to_numpy(), np.array(table.column("u").to_pylist(), float)
+        one, two = u[first], u[~first]
+        alike = int(np.triu(one @ one.T > least, 1).sum()) if table.column("b")[0] == table.column("b2")[0] else int((one @ two.T > least).sum())
+        return pa.table({"g": table.column("g")[:1], "alike": pa.array([alike], pa.int64())})
+
+    counted = units.groupBy("g", "b", "b2").applyInArrow(run, units.select("g", F.lit(0).cast("long").alias("alike")).schema)
+    alike = counted.unionByName(decided).groupBy("g").agg(F.sum("alike").alias("alike"))
+    skipped = met.groupBy("g").agg(F.coalesce(F.sum(F.when(F.col("side").isNotNull(), F.col("pairs"))), F.lit(0)).alias("skipped"))
+    out = sizes.select("g", (F.col("all") * (F.col("all") - 1) / 2).cast("long").alias("pairs")).filter("pairs > 0")
+    for extra in (alike, skipped):
+        out = out.join(extra, "g", "left")
+    out = out.select(F.col("g.v").alias(group), F.coalesce("alike", F.lit(0)).cast("long").alias("alike"), "pairs", F.coalesce("skipped", F.lit(0)).alias("skipped"))
+    return out.withColumn("density", F.round(F.try_divide("alike", "pairs"), 6))

@@ -91,11 +91,12 @@ add("p01_event_payload", lambda k: D.flatten_payload(k.events.select("event_id",
 album = lambda k: k.albums.join(k.tracks.groupBy(C("album_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("track_number", "title"))).alias("tracks")), "id").select("id", F.to_json(F.struct("title", "tracks")).alias("doc"))
 add("p02_album_payload", lambda k: D.flatten_payload(album(k), "doc", "title string, tracks array<struct<track_number:int,title:string>>").select("id", F.inline_outer("tracks")), sql("albums tracks", "SELECT albums.id, track_number, tracks.title FROM albums JOIN tracks ON album_id = albums.id"))
 
-vec = lambda k: k.embeddings.select("vec_id", "label", F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("v"))
+vec = lambda k, most=64: k.embeddings.select("vec_id", "label", F.transform(F.slice("embedding", 1, most), lambda x: x.cast("double")).alias("v"))
 TURNED = " UNION ALL ".join(f"SELECT {i} AS i, '{name}' AS key, {profile} AS p" for i, (name, profile) in enumerate(D.key_profiles()))
-add("f01_key_detection", lambda k: vec(k).select("vec_id", D.key_of(C("v")).alias("x")).select("vec_id", "x.*"), f"WITH v AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: (x - list_sum(v) / 12) ** 2))) AS size FROM v), s AS (SELECT vec_id, i, key, round(list_inner_product(v, p::DOUBLE[]) / size, 6) AS r FROM m, ({TURNED}) t), b AS (SELECT vec_id, arg_max(key, (r, -i)) AS key, max(r) AS r FROM s GROUP BY 1) SELECT vec_id, key, round(r * CASE WHEN contains(key, 'minor') THEN 1.1 ELSE 1 END, 6) AS confidence FROM b")
-add("f06_per_dimension", lambda k: D.per_dimension(vec(k), "label", "v"), "SELECT label, dim::INT AS dim, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std FROM (SELECT label, unnest(range(12)) AS dim, unnest(embedding[1:12])::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
-BANDS = [("low", 0, 3), ("mid", 3, 8), ("high", 8, 12)]
-add("f07_band_energy", lambda k: D.band_energy(vec(k), "vec_id", "v", BANDS), "SELECT vec_id, CASE WHEN dim < 3 THEN 'low' WHEN dim < 8 THEN 'mid' ELSE 'high' END AS band, round(avg(abs(x)), 5) AS energy FROM (SELECT vec_id, unnest(range(12)) AS dim, unnest(embedding[1:12])::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
-add("f02_repetition", lambda k: D.repetition_of_all(vec(k), "label", "vec_id", "v"), "WITH v AS (SELECT label, vec_id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v), p AS (SELECT a.label, list_inner_product(a.v, b.v) / (a.n * b.n) AS d FROM u a JOIN u b ON a.label = b.label AND b.vec_id > a.vec_id) SELECT label, CAST(count(*) FILTER (WHERE d > 0.8) AS BIGINT) AS alike, count(*) AS pairs, round(count(*) FILTER (WHERE d > 0.8) / count(*), 6) AS density FROM p GROUP BY 1")
+add("f01_key_detection", lambda k: vec(k, 12).select("vec_id", D.key_of(C("v")).alias("x")).select("vec_id", "x.*"), f"WITH v AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: (x - list_sum(v) / 12) ** 2))) AS size FROM v), s AS (SELECT vec_id, i, key, round(list_inner_product(v, p::DOUBLE[]) / size, 6) AS r FROM m, ({TURNED}) t), b AS (SELECT vec_id, arg_max(key, (r, -i)) AS key, max(r) AS r FROM s GROUP BY 1) SELECT vec_id, key, round(r * CASE WHEN contains(key, 'minor') THEN 1.1 ELSE 1 END, 6) AS confidence FROM b")
+add("f06_per_dimension", lambda k: D.per_dimension(vec(k), "label", "v"), "SELECT label, dim::INT AS dim, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
+BANDS = [("sub", 0, 4), ("low", 4, 12), ("mid", 12, 32), ("high", 32, 64)]
+add("f07_band_energy", lambda k: D.band_energy(vec(k), "vec_id", "v", BANDS), "SELECT vec_id, CASE WHEN dim < 4 THEN 'sub' WHEN dim < 12 THEN 'low' WHEN dim < 32 THEN 'mid' ELSE 'high' END AS band, round(avg(abs(x)), 5) AS energy FROM (SELECT vec_id, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
+PAIRS = "WITH v AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v), p AS (SELECT a.label, list_inner_product(a.v, b.v) / (a.n * b.n) AS d FROM u a JOIN u b ON a.label = b.label AND b.vec_id > a.vec_id)"
+add("f02_repetition", lambda k: D.repetition_of_all(vec(k), "label", "vec_id", "v").drop("skipped"), PAIRS + " SELECT label, CAST(count(*) FILTER (WHERE d > 0.8) AS BIGINT) AS alike, count(*) AS pairs, round(count(*) FILTER (WHERE d > 0.8) / count(*), 6) AS density FROM p GROUP BY 1")
 add("f08_onset_density", lambda k: k.sessions.groupBy("session", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n")).withColumn("dense", C("n") > 2), sql("sessions", "SELECT session, date_trunc('hour', ts) AS hour, count(*) AS n, count(*) > 2 AS dense FROM sessions GROUP BY 1, 2"))

@@ -49,6 +49,20 @@ def test_all_frames_meet(spark):
         assert (got.alike, got.pairs) == (want, 60 * 59 // 2)
 
 
+def test_pairs_of_far_and_close_directions_take_no_product(spark):
+    """Four narrow bundles, a loose one, frames without a direction and a null group; counts stay exact."""
+    rng = np.random.default_rng(2)
+    axes = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    rows = [(g, i, (axes[i % 4] + rng.normal(size=16) * (0.02 if g == 1 else 0.3)).tolist()) for g in (1, None) for i in range(160)]
+    rows += [(1, 900, [0.0] * 16), (1, 901, None), (2, 902, [1.0] * 16), (2, 903, [2.0] * 16), (3, 904, [1.0] * 16)]
+    got = {r.g: r for r in repetition_of_all(spark.createDataFrame(rows, "g int, k int, v array<double>"), "g", "k", "v", block=20).collect()}
+    for g in (1, None, 2):
+        v = [np.array(v) / np.linalg.norm(v) for h, _, v in rows if h == g and v and any(v)]
+        n = sum(h == g for h, _, _ in rows)
+        assert (got[g].alike, got[g].pairs) == (sum(a @ b > 0.8 for i, a in enumerate(v) for b in v[i + 1 :]), n * (n - 1) // 2), g
+    assert got[1].skipped > 0.9 * got[1].pairs and 3 not in got
+
+
 def test_oldest_rows_go(spark):
     df = spark.createDataFrame([(i % 7, i) for i in range(100)], "at int, key int").repartition(5)
     for share in (0.0, 0.004, 0.5, 0.77, 1.0):
