@@ -356,10 +356,10 @@ class SubstringIndex:
         return history.join(sent(ids.select("doc_id")), "doc_id", "left_semi")
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 3, window: int = 50, with_text: bool = False, gram: int = 16, fanout: int = 2) -> DataFrame:
+def dedup_substrings(docs: DataFrame, batches: int = 2, window: int = 50, with_text: bool = False, gram: int = 16, fanout: int = 2) -> DataFrame:
     """All documents, added to a new index in `batches` batches by doc_id; the index is dropped at the end.
 
-    With three batches and a fan-out of two the first two runs are compacted into one of the next level, with which the third batch is joined.
+    With a fan-out of two every second batch ends with a compaction, after which the next ones are joined with the merged run.
     """
     index = SubstringIndex(docs.sparkSession, window, gram, fanout)
     cuts = _known(docs).agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] if batches > 1 else []
