@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from mediagrain.functions import text as T
 from mediagrain.operators import quality as K
-from mediagrain.operators import ranking as R
+from mediagrain.operators import reports as O
 from mediagrain.plans.textual import feat_sql
 from mediagrain.sources.catalog import load, sql
 
@@ -94,13 +94,9 @@ add("v26_change_counts", lambda k: K.change_counts(k.tracks, K.clean_numbers(k.t
 
 # reports over validated tracks
 add("a12_cleaning_report", lambda k: K.apply_rules(tracks(k), K.INTEGRITY_RULES).select(F.size("issues").alias("n")).groupBy(F.when(C("n") == 0, "clean").when(C("n") <= 1, "minor").when(C("n") <= 3, "major").otherwise("severe").alias("level")).agg(F.count("*").alias("tracks"), F.sum("n").alias("issues")), sql(V, FACTS + f", n AS (SELECT {' + '.join(f'CASE WHEN {r.when} THEN 1 ELSE 0 END' for r in K.INTEGRITY_RULES)} AS n FROM t) SELECT CASE WHEN n = 0 THEN 'clean' WHEN n <= 1 THEN 'minor' WHEN n <= 3 THEN 'major' ELSE 'severe' END AS level, count(*) AS tracks, CAST(sum(n) AS BIGINT) AS issues FROM n GROUP BY 1"))
-def issue_report(checked):
-    """Rows of each rule with three examples."""
-    found = checked.select("id", F.explode("issues").alias("x")).select("id", "x.name", "x.severity")
-    key = ["name", "severity"]
-    return found.groupBy(*key).agg(F.count("*").alias("n")).join(R.last_k(found, key, ["id"], "id", 3, "examples"), key).withColumn("examples", F.array_join("examples", ","))
-
-
-add("a13_validation_report", lambda k: issue_report(validated(k)), sql(V, FACTS + ", i AS (" + " UNION ALL ".join(f"SELECT id, '{r.name}' AS name, '{r.severity}' AS severity FROM t WHERE {duck(r.when)}" for r in K.track_rules()) + ") SELECT name, severity, count(*) AS n, array_to_string(list_sort(list(id))[1:3], ',') AS examples FROM i GROUP BY name, severity"))
+ADVICE = {"missing_producer": "extract production credits", "missing_title": "check titles", "missing_duration": "fill lengths", "missing_bpm": "fill tempos", "short_duration": "check lengths", "long_duration": "check lengths"}
+add("a13_validation_report", lambda k: O.validation_report(validated(k), "id", K.ladder(C("score"), K.VALIDATION_STEPS, "very_poor"), ADVICE), sql(V, FACTS + f", s AS ({STD}), i AS (" + " UNION ALL ".join(f"SELECT id, '{r.name}' AS name FROM t WHERE {duck(r.when)}" for r in K.track_rules()) + f"), r AS (SELECT name, count(*) AS n, array_to_string(list_sort(list(id))[1:3], ',') AS detail FROM i GROUP BY 1), p AS (SELECT name, n FROM r ORDER BY n DESC, name LIMIT 5), y AS (SELECT 'total' AS section, 'valid' AS name, count(*) FILTER (WHERE is_valid) AS n, 'mean ' || printf('%.2f', avg(score)) AS detail FROM s UNION ALL SELECT 'level', {LADDER}, count(*), '' FROM s GROUP BY 2 UNION ALL SELECT 'range', CASE WHEN score < 50 THEN '0-50' WHEN score < 70 THEN '50-70' WHEN score < 85 THEN '70-85' WHEN score < 95 THEN '85-95' ELSE '95-100' END, count(*), '' FROM s GROUP BY 2 UNION ALL SELECT 'rule', name, n, detail FROM r UNION ALL SELECT 'top', name, n, CASE name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ADVICE.items()) + " ELSE '' END FROM p) SELECT section, name, n, round(100 * n / (SELECT count(*) FROM s), 4) AS pct, detail FROM y"))
 add("a14_validation_stats", lambda k: validated(k).agg(F.count_if("is_valid").alias("valid"), F.count_if(~C("is_valid")).alias("invalid"), F.sum(F.size("issues")).alias("issues"), F.round(F.avg("score"), 6).alias("mean_score")), sql(V, FACTS + f", s AS ({STD}) SELECT count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE NOT is_valid) AS invalid, CAST(sum(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END) AS BIGINT) AS issues, round(avg(score), 6) AS mean_score FROM s"))
-add("a16_artist_quality", lambda k: measured(k).groupBy("artist_id").agg(F.round(F.sum("overall"), 4).alias("sum_quality"), F.round(F.avg((C("overall") < 60).cast("double")), 6).alias("low_share")), sql(V, MEASURED + " SELECT artist_id, round(sum(overall), 4) AS sum_quality, round(avg(CASE WHEN overall < 60 THEN 1.0 ELSE 0.0 END), 6) AS low_share FROM o GROUP BY artist_id"))
+METRIC_NAMES = [m for m, _ in K.METRICS]
+ISSUES16 = " UNION ALL ".join(f"SELECT artist_id, '{r.name}' AS issue FROM o WHERE {duck(r.when)}" for r in K.track_rules())
+add("a16_artist_quality", lambda k: O.group_quality(measured(k), "artist_id", METRIC_NAMES), sql(V, MEASURED + f", i AS ({ISSUES16}), m AS (SELECT artist_id, count(*) AS rows, {', '.join(f'round(avg({m}), 4)::DOUBLE AS {m}' for m in METRIC_NAMES)}, round(avg(overall), 4) AS overall, round(avg(CASE WHEN overall < 40 THEN 1.0 ELSE 0.0 END), 6) AS low_share FROM o GROUP BY 1), n AS (SELECT artist_id, issue, count(*) AS n FROM i GROUP BY 1, 2), f AS (SELECT n.*, row_number() OVER (PARTITION BY artist_id ORDER BY n DESC, issue) AS place FROM n JOIN m USING (artist_id) WHERE n > 0.5 * rows), g AS (SELECT artist_id, string_agg(issue, ',' ORDER BY place) AS recurring FROM f WHERE place <= 3 GROUP BY 1) SELECT m.*, coalesce(recurring, '') AS recurring FROM m LEFT JOIN g USING (artist_id)"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from mediagrain.functions import text as T
 from mediagrain.operators import partials as P
 from mediagrain.operators import ranking as R
+from mediagrain.operators import reports as O
+from mediagrain.operators.quality import with_credit_facts
 from mediagrain.plans.textual import feat_sql
 from mediagrain.sources.catalog import load, sql
 
@@ -56,22 +58,31 @@ add("a08_session_summary", lambda k: k.sessions.groupBy("session").agg(F.round(1
 add("a09_dashboard_stats", lambda k: k.sessions.agg(F.count_if(C("status") == "in_progress").alias("active"), F.countDistinct("session").alias("sessions"), F.count_if(C("ts") >= F.lit("2024-01-13").cast("timestamp")).alias("last_week")), sql("sessions", "SELECT count(*) FILTER (WHERE status = 'in_progress') AS active, count(DISTINCT session) AS sessions, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-13') AS last_week FROM sessions"))
 add("a10_selected_sessions", lambda k: k.sessions.groupBy("session").agg(F.sum("found").alias("found"), F.round(F.try_divide(100.0 * F.count_if(C("status") == "completed"), F.count_if(C("status").isin("completed", "failed"))), 6).alias("success")), sql("sessions", "SELECT session, CAST(sum(found) AS BIGINT) AS found, round(100.0 * count(*) FILTER (WHERE status = 'completed') / nullif(count(*) FILTER (WHERE status IN ('completed', 'failed')), 0), 6)::DOUBLE AS success FROM sessions GROUP BY 1"))
 add("a11_sessions_by_status", lambda k: k.sessions.groupBy(F.initcap(F.replace("status", F.lit("_"), F.lit(" "))).alias("label")).agg(F.count("*").alias("n")), sql("sessions", "SELECT CASE status WHEN 'in_progress' THEN 'In Progress' ELSE upper(status[1]) || status[2:] END AS label, count(*) AS n FROM sessions GROUP BY 1"))
-add("a15_quality_metrics", lambda k: k.tracks.join(k.credits.groupBy(C("track_id").alias("id")).agg(F.count("*").alias("c"), F.bool_or(C("credit_type") == "producer").alias("p")), "id", "left").agg(F.count("*").alias("tracks"), F.round(100 * F.avg(F.coalesce("p", F.lit(False)).cast("double")), 6).alias("with_producer"), F.round(100 * F.avg(C("duration_seconds").isNotNull().cast("double")), 6).alias("with_duration"), F.round(100 * F.avg(C("bpm").isNotNull().cast("double")), 6).alias("with_bpm"), F.round(100 * F.avg(C("has_lyrics").cast("double")), 6).alias("with_lyrics"), F.round(F.avg(F.coalesce("c", F.lit(0))), 6).alias("credits_per_track")), sql("tracks credits", ", c AS (SELECT track_id, count(*) AS c, bool_or(credit_type = 'producer') AS p FROM credits GROUP BY 1) SELECT count(*) AS tracks, round(100 * avg(coalesce(p, false)::INT), 6) AS with_producer, round(100 * avg((duration_seconds IS NOT NULL)::INT), 6) AS with_duration, round(100 * avg((bpm IS NOT NULL)::INT), 6) AS with_bpm, round(100 * avg(has_lyrics::INT), 6) AS with_lyrics, round(avg(coalesce(c, 0)), 6) AS credits_per_track FROM tracks LEFT JOIN c ON track_id = id"))
+add("a15_quality_metrics", lambda k: O.quality_metrics(with_credit_facts(k.tracks, k.credits), F.lit("1995-06-30").cast("date")), sql("tracks credits", ", c AS (SELECT track_id, count(*) AS n, bool_or(credit_type = 'producer') AS p FROM credits GROUP BY 1), t AS (SELECT tracks.*, coalesce(n, 0) AS n, coalesce(p, false) AS p, coalesce(DATE '1995-06-30' - release_date < 30, false) AS fresh FROM tracks LEFT JOIN c ON track_id = id) SELECT count(*) AS tracks, count(*) FILTER (WHERE p) AS with_producer, count(*) FILTER (WHERE duration_seconds > 0) AS with_duration, count(*) FILTER (WHERE n > 0) AS with_credits, count(*) FILTER (WHERE album_id IS NOT NULL) AS with_album, count(*) FILTER (WHERE bpm > 0) AS with_bpm, count(*) FILTER (WHERE has_lyrics) AS with_lyrics, count(*) FILTER (WHERE duration_seconds BETWEEN 30 AND 600) AS valid_duration, round(avg(n), 6) AS mean_credits, round(100 * avg(fresh::INT), 6) AS freshness, round(100 * (avg(p::INT) + avg(coalesce(duration_seconds > 0, false)::INT) + avg((n > 0)::INT) + avg((album_id IS NOT NULL)::INT) + avg(fresh::INT)) / 5, 6) AS overall FROM t"))
 add("a17_grouping_report", lambda k: k.credits.groupingSets([[C("credit_type")], [C("person_name")], []], "credit_type", "person_name").agg(F.count("*").alias("n")), sql("credits", "SELECT credit_type, person_name, count(*) AS n FROM credits GROUP BY GROUPING SETS ((credit_type), (person_name), ())"))
 add("a18_enrichment_summary", lambda k: k.api_log.groupingSets([[C("api")], [C("ok")], []], "api", "ok").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("confidence")), sql("api_log", "SELECT api, ok, count(*) AS n, round(avg(value), 4) AS confidence FROM api_log GROUP BY GROUPING SETS ((api), (ok), ())"))
-FIELDS = ("bpm", "duration_seconds", "genre", "release_date")
-
-
-def priorities(k):
-    """Missing percentage of each field and its priority; one pass over the tracks, then unpivoted."""
-    one = k.tracks.agg(*(F.round(100 * F.avg(C(f).isNull().cast("double")), 6).alias(f) for f in FIELDS), F.round(100 * F.avg((~C("has_lyrics")).cast("double")), 6).alias("lyrics"))
-    long = one.unpivot([], [*FIELDS, "lyrics"], "field", "missing")
-    return long.withColumn("priority", F.when(C("field").isin("lyrics") & (C("missing") > 20), "High").when(C("missing") > 50, "High").when(C("missing") > 30, "Medium").when(C("missing") > 10, "Low").otherwise("None"))
-
-
-MISSING = ", m AS (" + " UNION ALL ".join([*(f"SELECT '{f}' AS field, round(100 * avg(({f} IS NULL)::INT), 6) AS missing FROM tracks" for f in FIELDS), "SELECT 'lyrics', round(100 * avg((NOT has_lyrics)::INT), 6) FROM tracks"]) + ") "
-add("a19_enrichment_priorities", priorities, sql("tracks", MISSING + "SELECT field, missing, CASE WHEN field = 'lyrics' AND missing > 20 THEN 'High' WHEN missing > 50 THEN 'High' WHEN missing > 30 THEN 'Medium' WHEN missing > 10 THEN 'Low' ELSE 'None' END AS priority FROM m"))
-add("a20_enrichment_plan", lambda k: priorities(k).withColumn("gain", F.sum("missing").over(Window.orderBy(F.desc("missing"), "field").rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("gain", F.lit(0.0)) < 60).select("field", "missing"), sql("tracks", MISSING + "SELECT field, missing FROM (SELECT *, sum(missing) OVER (ORDER BY missing DESC, field ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gain FROM m) WHERE coalesce(gain, 0) < 60"))
+def gappy(k):
+    """Tracks with gaps in every field and the eight fields of the report."""
+    produced = k.credits.filter("credit_type = 'producer'").select(C("track_id").alias("id"), F.lit(True).alias("producer")).distinct()
+    gap = lambda c, n: F.when(C("id") % n > 0, C(c))
+    t = k.tracks.join(produced, "id", "left")
+    return t.select("id", "artist_id", gap("album_id", 7).alias("album"), gap("release_date", 4).alias("release_date"), C("duration_seconds").alias("duration"), "bpm", F.when(C("id") % 10 < 4, C("track_number")).alias("key"), gap("genre", 3).alias("genres"), "producer", C("has_lyrics").alias("lyrics"))
+
+
+priorities = lambda k: O.enrichment_priorities(gappy(k), "artist_id")
+plan = lambda k: O.enrichment_plan(priorities(k), "artist_id")
+# the fields as the report lists them: field, missing if, weight, effort, seconds, sources, calls
+GAPS = (
+    ("album", "id % 7 = 0", 15, "Low", 0.5, "Database;Spotify;Discogs", "missing + missing // 10"), ("release_date", "id % 4 = 0", 10, "Low", 0.5, "Database;Spotify;Discogs", "missing + missing // 10"),
+    ("duration", "duration_seconds IS NULL", 10, "Low", 1, "Spotify;YouTube", "missing"), ("bpm", "bpm IS NULL", 10, "Medium", 2, "Spotify;Essentia;Inference", "missing"),
+    ("key", "id % 10 >= 4", 5, "Medium", 2, "Spotify;Essentia", "missing"), ("genres", "id % 3 = 0", 10, "Low", 1, "Database;Spotify;LastFM;Inference", "missing"),
+    ("producer", "p.track_id IS NULL", 20, "High", 3, "Genius;Discogs;Database", "missing + missing // 10"), ("lyrics", "NOT has_lyrics", 20, "High", 5, "Genius;Musixmatch", "missing"),
+)
+PRIORITIES = ", p AS (SELECT DISTINCT track_id FROM credits WHERE credit_type = 'producer'), c AS (SELECT artist_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE {w}) AS {f}" for f, w, *_ in GAPS) + " FROM tracks LEFT JOIN p ON track_id = id GROUP BY 1), k AS (SELECT *, round(100 * (" + " + ".join(f"({f} < 0.5 * total)::INT" for f, *_ in GAPS) + ") / 8, 1) AS completeness FROM c), l AS (" + " UNION ALL ".join(f"SELECT artist_id, total, completeness, '{f}' AS field, {f} AS missing, {i} AS place, {w} AS weight, '{e}' AS effort, {s} AS item, '{src}' AS sources, {calls.replace('missing', f)} AS calls FROM k WHERE {f} > 0" for i, (f, _, w, e, s, src, calls) in enumerate(GAPS)) + "), v AS (SELECT *, round(100 * missing / total, 1) AS pct, CASE WHEN field IN ('producer', 'album', 'duration') AND 100 * missing / total > 20 THEN 'High' WHEN 100 * missing / total > 50 THEN 'High' WHEN 100 * missing / total > 30 THEN 'Medium' WHEN 100 * missing / total > 10 THEN 'Low' ELSE 'Optional' END AS priority FROM l), q AS (SELECT *, CAST(row_number() OVER (PARTITION BY artist_id ORDER BY CASE priority WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3 ELSE 4 END, pct DESC, place) AS INT) AS rank FROM v)"
+TASKS = ", g AS (SELECT *, missing / total * weight AS gain, item * missing / 3600 AS hours FROM q), b AS (SELECT *, coalesce(sum(gain) OVER (PARTITION BY artist_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g), w AS (SELECT * FROM b WHERE completeness + round(before, 9) < 80)"
+add("a19_enrichment_priorities", lambda k: priorities(k).select("artist_id", "completeness", "rank", "field", "missing", "pct", "priority", "effort", F.array_join("sources", ";").alias("sources")), sql("tracks credits", PRIORITIES + " SELECT artist_id, completeness::DOUBLE AS completeness, rank, field, missing, pct::DOUBLE AS pct, priority, effort, sources FROM q"))
+add("a20_enrichment_plan", lambda k: plan(k).select("artist_id", "rank", "field", "missing", F.round("gain", 4).alias("gain"), F.round("hours", 6).alias("hours"), "calls"), sql("tracks credits", PRIORITIES + TASKS + " SELECT artist_id, rank, field, missing, round(gain, 4)::DOUBLE AS gain, round(hours, 6)::DOUBLE AS hours, calls FROM w"))
+add("a20b_plan_totals", lambda k: O.plan_totals(plan(k), "artist_id"), sql("tracks credits", PRIORITIES + TASKS + " SELECT artist_id, max(completeness)::DOUBLE AS completeness, round(least(100, max(completeness) + sum(gain)), 4)::DOUBLE AS expected, count(*) AS tasks, count(*) FILTER (WHERE priority = 'High') AS urgent, round(sum(hours), 6)::DOUBLE AS hours, CAST(sum(calls) AS BIGINT) AS calls FROM w GROUP BY 1"))
 add("a23_processor_quality", lambda k: k.api_log.groupBy("api").agg(F.round((F.avg(C("ok").cast("double")) * 100 + F.avg(F.least("value", F.lit(100.0)))) / 2, 6).alias("quality"), F.count("*").alias("n")), sql("api_log", "SELECT api, round((avg(ok::INT) * 100 + avg(least(value, 100.0))) / 2, 6) AS quality, count(*) AS n FROM api_log GROUP BY 1"))
 add("a24_enricher_quality", lambda k: k.api_log.groupBy("api").agg(F.round((F.avg(C("ok").cast("double")) + F.avg((C("value") > 10).cast("double")) + F.avg(F.least(C("value") / 100, F.lit(1.0)))) / 3, 6).alias("quality")), sql("api_log", "SELECT api, round((avg(ok::INT) + avg((value > 10)::INT) + avg(least(value / 100, 1.0))) / 3, 6) AS quality FROM api_log GROUP BY 1"))
 add("a25_credit_compilation", lambda k: k.credits.join(k.tracks.select(C("id").alias("track_id"), "artist_id"), "track_id").groupBy("artist_id").agg(F.count("*").alias("credits"), F.array_sort(F.collect_set("person_name")).alias("set")).select("artist_id", "credits", F.array_join("set", ",").alias("people"), F.size("set").cast("long").alias("n_people")), sql("tracks credits", "SELECT artist_id, count(*) AS credits, array_to_string(list_sort(list(DISTINCT person_name)), ',') AS people, count(DISTINCT person_name) AS n_people FROM credits JOIN tracks ON track_id = id GROUP BY 1"))
