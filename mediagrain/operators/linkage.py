@@ -165,6 +165,77 @@ def merge_enrichments(ref: DataFrame, others: DataFrame, key: list[str], least:
     return every.groupBy("id").agg((F.count("*") - 1).alias("sources"), F.round(F.avg("c"), 6).alias("mean_conf"), F.round(F.min("c"), 6).alias("min_conf"), F.round(F.max("c"), 6).alias("max_conf"))
 
 
+# What marks a title as a variant of another (remix, version, quality, live).
+VARIANT_PATTERNS = (
+    r"\s*\(.*remix.*\)", r"\s*\[.*remix.*\]", r"\s*-\s*remix", r"\s*remix$", r"\s*rmx$",
+    r"\s*\(.*version.*\)", r"\s*\[.*version.*\]", r"\s*\(.*edit.*\)", r"\s*\[.*edit.*\]", r"\s*\(.*mix.*\)", r"\s*\[.*mix.*\]",
+    r"\s*\(.*remaster.*\)", r"\s*\[.*remaster.*\]", r"\s*\(.*clean.*\)", r"\s*\[.*clean.*\]", r"\s*\(.*explicit.*\)", r"\s*\[.*explicit.*\]",
+    r"\s*\(.*live.*\)", r"\s*\[.*live.*\]", r"\s*-\s*live",
+)
+
+
+def variant_base(title: Column) -> Column:
+    """The title without the marks of variants."""
+    for pattern in VARIANT_PATTERNS:
+        title = F.regexp_replace(title, f"(?i){pattern}", "")
+    return F.trim(title)
+
+
+def contained_pairs(names: DataFrame, key: list[str], name: str) -> DataFrame:
+    """(key, short, long): distinct pairs of names inside `key` of which one holds the other and both differ; empty names are held by none.
+
+    A name of three letters or more is looked for by its rarest piece of three letters, a shorter one as a whole.
+    """
+    rows = written(names.select(*key, F.col(name).alias("name")).filter(F.col(name) != "").distinct(), "held")
+    pieces = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substr("name", i, F.lit(n))))
+    of = lambda n: rows.filter(F.length("name") >= n).withColumn("piece", F.explode(pieces(n)))
+    often = of(3).groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = of(3).join(often, "piece").groupBy(*key, "name").agg(F.min(F.struct("n", "piece")).alias("x")).select(*key, F.col("name").alias("short"), F.col("x.piece").alias("piece"))
+    pairs = rarest.join(of(3).withColumnRenamed("name", "long"), [*key, "piece"])
+    for n in (1, 2):
+        tiny = rows.filter(F.length("name") == n).select(*key, F.col("name").alias("short"), F.col("name").alias("piece"))
+        pairs = pairs.unionByName(tiny.join(of(n).withColumnRenamed("name", "long"), [*key, "piece"]))
+    return pairs.filter(F.col("long").contains(F.col("short")) & (F.col("long") != F.col("short"))).select(*key, "short", "long").distinct()
+
+
+def title_variants(tracks: DataFrame) -> DataFrame:
+    """(artist_id, id1, id2, rule): pairs of an artist's different titles that are variants of one another, each by its smallest track: titles with one base, or a
+    title that holds another and has a mark in what is left (`contained`).
+
+    Titles that are equal are one (`track_duplicates` has them), so a title that many tracks bear is in no more pairs than one that a single track bears.
+    """
+    titles = written(tracks.filter("title is not null").groupBy("artist_id", "title").agg(F.min("id").alias("id")).withColumn("base", variant_base(F.col("title"))), "titles")
+    same = candidate_pairs(titles, ["artist_id", "base"], "id").select("artist_id", "id1", "id2", F.lit("base").alias("rule"))
+    held = contained_pairs(titles, ["artist_id"], "title")
+    rest = F.trim(F.replace("long", F.col("short")))
+    marks = "|".join(f"(?:{p})" for p in VARIANT_PATTERNS)
+    ids = lambda c, n: titles.select("artist_id", F.col("title").alias(c), F.col("id").alias(n))
+    marked = held.filter(rest.rlike(f"(?i){marks}")).join(ids("short", "a"), ["artist_id", "short"]).join(ids("long", "b"), ["artist_id", "long"])
+    marked = marked.select("artist_id", F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), F.lit("contained").alias("rule"))
+    return same.unionByName(marked).groupBy("artist_id", "id1", "id2").agg(F.min("rule").alias("rule"))
+
+
+DUPLICATE = " [DUPLICATE]"
+
+
+def marked_duplicates(rows: DataFrame, merges: DataFrame, name: str) -> DataFrame:
+    """The rows with the mark behind the names of those that were merged into another (merges: id, label)."""
+    gone = merges.filter("id <> label").select(F.col("id").alias("_id"))
+    return rows.join(gone, F.col("id") == F.col("_id"), "left").withColumn(name, F.when(F.col("_id").isNotNull(), F.concat(name, F.lit(DUPLICATE))).otherwise(F.col(name))).drop("_id")
+
+
+def dropped_credits(credits: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """The credits (columns unchanged) without later ones of a like name in the same track and type: of each group of `credit_duplicates` one credit of the least name stays."""
+    keyed = credits.withColumn("_name", T.normalize_text(F.col("person_name")))
+    folded = written(keyed.select("track_id", "credit_type", F.col("_name").alias("name")).distinct(), "names")
+    near = near_pairs(folded.withColumn("row", F.struct("track_id", "credit_type", "name")), ["track_id", "credit_type"], "row", "name", threshold).filter(edit_ratio("name1", "name2") >= threshold)
+    of = lambda c: F.xxhash64(f"{c}.track_id", f"{c}.credit_type", f"{c}.name")
+    labels = components(near.select(of("id1").alias("a"), of("id2").alias("b")))
+    grouped = keyed.withColumn("_id", F.xxhash64("track_id", "credit_type", "_name")).join(labels, F.col("_id") == F.col("id"), "left").withColumn("_grp", F.coalesce("label", "_id"))
+    first = grouped.groupBy("track_id", "credit_type", "_grp").agg(F.min(F.struct("_name", *credits.columns)).alias("x"))
+    return first.select("x.*").select(*credits.columns)
+
+
 def album_titles(rows: DataFrame, group: list[str]) -> DataFrame:
     """The title of each group: the most frequent one or, among those alike to it above 0.9, the shortest, then the first."""
     counts = rows.groupBy(*group, "title").agg(F.count("*").alias("n"))

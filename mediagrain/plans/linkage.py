@@ -23,7 +23,21 @@ KEYED = f", k AS (SELECT id, artist_id, {norm('title')} AS n, {BASE} AS b, {feat
 CONF = "CASE WHEN score >= 0.95 THEN 'certain' WHEN score >= 0.85 THEN 'high' WHEN score >= 0.7 THEN 'medium' WHEN score >= 0.5 THEN 'low' ELSE 'none' END"
 dup = lambda k: L.track_duplicates(k.tracks)
 add("d01_track_duplicates", dup, sql("tracks", KEYED + f" SELECT *, {CONF} AS confidence FROM d WHERE kind IS NOT NULL"))
-add("d02_remix_variants", lambda k: dup(k).filter("kind = 'remix'").select("id1", "id2"), sql("tracks", KEYED + " SELECT id1, id2 FROM d WHERE kind = 'remix'"))
+BASED = "title"
+for _p in L.VARIANT_PATTERNS:
+    BASED = f"regexp_replace({BASED}, '{_p}', '', 'gi')"
+MARKS = "|".join(f"(?:{p})" for p in L.VARIANT_PATTERNS)
+VARIANTS = f", t AS (SELECT artist_id, title, min(id) AS id, trim({BASED}) AS base FROM x GROUP BY 1, 2), p AS (SELECT a.artist_id, a.id AS id1, b.id AS id2, a.base = b.base AS same, CASE WHEN length(a.title) < length(b.title) THEN a.title ELSE b.title END AS s, CASE WHEN length(a.title) < length(b.title) THEN b.title ELSE a.title END AS l FROM t a JOIN t b ON a.artist_id = b.artist_id AND a.id < b.id) SELECT artist_id, id1, id2, CASE WHEN same THEN 'base' ELSE 'contained' END AS rule FROM p WHERE same OR (s <> '' AND contains(l, s) AND regexp_matches(trim(replace(l, s, '')), '(?i){MARKS}'))"
+add("d02_remix_variants", lambda k: L.title_variants(k.tracks), sql("tracks", VARIANTS.replace("FROM x", "FROM tracks", 1)))
+
+
+def renamed(k):
+    """Tracks with marks of other kinds."""
+    i = C("id") % 60
+    return k.tracks.withColumn("title", F.when(i < 10, F.concat("title", F.lit(" - Remix"))).when(i < 20, F.concat(F.lit("Intro "), "title", F.lit(" (Radio Edit)"))).when(i < 30, F.concat("title", F.lit(" RMX"))).when(i < 35, F.substring("title", 1, 2)).otherwise(C("title")))
+
+
+add("d02b_marked_variants", lambda k: L.title_variants(renamed(k)), sql("tracks", ", x AS (SELECT id, artist_id, CASE WHEN id % 60 < 10 THEN title || ' - Remix' WHEN id % 60 < 20 THEN 'Intro ' || title || ' (Radio Edit)' WHEN id % 60 < 30 THEN title || ' RMX' WHEN id % 60 < 35 THEN substr(title, 1, 2) ELSE title END AS title FROM tracks)" + VARIANTS))
 GUESTS = f", k AS (SELECT id, artist_id, {norm('trim(' + sub('title', *NO_FEAT) + ')')} AS t, {feat_sql} AS f FROM tracks)"
 add("d03_featuring_variants", lambda k: L.featuring_variants(k.tracks), sql("tracks", GUESTS + " SELECT x.id AS id1, y.id AS id2 FROM k x JOIN k y ON x.artist_id = y.artist_id AND x.id < y.id AND x.f <> y.f AND 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t), 1) >= 0.95"))
 REPORT = sql("tracks", KEYED + f", c AS (SELECT *, {CONF} AS confidence FROM d WHERE kind IS NOT NULL) ")
@@ -45,6 +59,10 @@ add("d07_should_merge", lambda k: L.merge_statistics(dup(k)), sql("tracks", KEYE
 twins = lambda k: L.artist_duplicates(k.artists.withColumn("ext", F.when(C("id") % 50 == 3, C("id") % 7)), "ext").select("id1", "id2")
 FOUND = "WITH RECURSIVE e AS (SELECT id1 AS a, id2 AS b FROM (" + SQL["d06_artist_duplicates"] + ")), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS m FROM u GROUP BY a HAVING min(b) > a UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.id)"
 add("d08_apply_merges", lambda k: L.apply_merges(k.albums.select("id", "artist_id"), L.merge_components(twins(k)), "artist_id"), FOUND + ", l AS (SELECT id, min(m) AS label FROM r GROUP BY id) SELECT albums.id, coalesce(label, artist_id) AS artist_id FROM (SELECT o_orderkey AS id, o_custkey AS artist_id FROM orders) albums LEFT JOIN l ON l.id = artist_id")
+add("d08b_marked_artists", lambda k: L.marked_duplicates(k.artists.select("id", "name"), L.merge_components(twins(k)), "name"), FOUND + ", l AS (SELECT id, min(m) AS label FROM r GROUP BY id) SELECT c_custkey AS id, c_name || CASE WHEN label < c_custkey THEN ' [DUPLICATE]' ELSE '' END AS name FROM customer LEFT JOIN l ON l.id = c_custkey")
+doubled = lambda k: k.credits.unionByName(k.credits.filter("part % 3 = 0").withColumn("person_name", F.concat("person_name", F.lit("s")))).select("track_id", "person_name", "credit_type")
+DOUBLED = f", w AS (SELECT track_id, person_name, credit_type FROM credits UNION ALL SELECT track_id, person_name || 's', credit_type FROM credits WHERE part % 3 = 0), c AS (SELECT track_id, credit_type, {norm('person_name')} AS name, min(person_name) AS person_name FROM w GROUP BY 1, 2, 3), e AS (SELECT x.track_id, x.credit_type, x.name AS a, y.name AS b FROM c x JOIN c y ON x.track_id = y.track_id AND x.credit_type = y.credit_type AND x.name <> y.name AND 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name), 1) >= 0.9), r AS (SELECT track_id, credit_type, name AS id, name AS m FROM c UNION SELECT e.track_id, e.credit_type, e.b, r.m FROM r JOIN e ON e.track_id = r.track_id AND e.credit_type = r.credit_type AND e.a = r.id), l AS (SELECT track_id, credit_type, id, min(m) AS name FROM r GROUP BY ALL)"
+add("d08c_dropped_credits", lambda k: L.dropped_credits(doubled(k)), sql("credits", DOUBLED + " SELECT track_id, credit_type, arg_min(person_name, c.name) AS person_name FROM l JOIN c ON c.track_id = l.track_id AND c.credit_type = l.credit_type AND c.name = l.id GROUP BY l.track_id, l.credit_type, l.name").replace("SELECT track_id, credit_type, arg_min", "SELECT l.track_id, l.credit_type, arg_min").replace("WITH credits", "WITH RECURSIVE credits", 1))
 add("d09_exact_dedup", lambda k: k.tracks.groupBy("artist_id", F.lower("title").alias("title")).agg(F.min("id").alias("id"), F.count("*").alias("n")), sql("tracks", "SELECT artist_id, lower(title) AS title, min(id) AS id, count(*) AS n FROM tracks GROUP BY 1, 2"))
 # rows that are like an earlier one are folded one by one: kept if no kept row is among those they are like
 FOLD = ", q AS (SELECT b AS id, list(a) AS before, row_number() OVER (PARTITION BY grp ORDER BY b) AS i, grp FROM e GROUP BY grp, b), w AS (SELECT grp, 0::BIGINT AS i, []::{kind}[] AS gone FROM (SELECT DISTINCT grp FROM e) UNION ALL SELECT w.grp, q.i, CASE WHEN len(list_filter(q.before, lambda x: NOT list_contains(w.gone, x))) > 0 THEN list_append(w.gone, q.id) ELSE w.gone END FROM w JOIN q ON q.grp = w.grp AND q.i = w.i + 1), z AS (SELECT grp, unnest(arg_max(gone, i)) AS id FROM w GROUP BY grp), l AS (SELECT e.b AS id, min(e.a) AS leader FROM e JOIN z ON z.grp = e.grp AND z.id = e.b LEFT JOIN z k ON k.grp = e.grp AND k.id = e.a WHERE k.id IS NULL GROUP BY e.b)"

@@ -100,3 +100,27 @@ def test_a_producer_is_inferred_from_seven_tenths(spark):
     credits = spark.createDataFrame([(10 * a + i, "P", "producer") for a, n in ((1, 7), (2, 6)) for i in range(n)], "track_id long, person_name string, credit_type string")
     got = enrich.infer_producer(tracks, credits).collect()
     assert sorted((r.id, r.producer, r.confidence) for r in got) == [(17, "P", 0.7), (18, "P", 0.7), (19, "P", 0.7)]
+
+
+def test_title_variants(spark):
+    titles = ["Song", "Song (Remix)", "Song [Live]", "My Song - Remix", "Song 2", "So", "S", "", None, "Other remaster", "Other (Remaster 2011)", "Song"]
+    rows = [(i, 1, t) for i, t in enumerate(titles)] + [(90, 2, "Song - live")]
+    got = {(r.id1, r.id2): r.rule for r in linkage.title_variants(spark.createDataFrame(rows, "id long, artist_id long, title string")).collect()}
+    # "Song (Remix)" and "Song [Live]" have the base "Song"; "My Song - Remix" holds "Song" and leaves "My  - Remix"
+    assert got == {(0, 1): "base", (0, 2): "base", (1, 2): "base", (0, 3): "contained", (1, 5): "contained", (2, 5): "contained", (3, 5): "contained", (1, 6): "contained", (2, 6): "contained", (3, 6): "contained"}
+
+
+def test_names_that_hold_others(spark):
+    names = ["a", "ab", "abc", "xabcx", "abcabc", "zz", "", None, "b"]
+    df = spark.createDataFrame([(1, n) for n in names] + [(2, "abc")], "k int, name string")
+    got = {(r.short, r.long) for r in linkage.contained_pairs(df, ["k"], "name").collect() if r.k == 1}
+    real = [n for n in names if n]
+    assert got == {(a, b) for a in real for b in real if a != b and a in b}
+
+
+def test_marks_and_dropped_credits(spark):
+    rows = spark.createDataFrame([(1, "A"), (2, "B"), (3, None)], "id long, name string")
+    merges = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, label long")
+    assert sorted(((r.id, r.name) for r in linkage.marked_duplicates(rows, merges, "name").collect())) == [(1, "A"), (2, "B [DUPLICATE]"), (3, None)]
+    credits = spark.createDataFrame([(1, "Jean Dupont", "producer", 5), (1, "Jean Duponts", "producer", 6), (1, "Jean Dupont", "mixing", 7), (2, "Jean Duponts", "producer", 8), (2, None, "producer", 9)], "track_id long, person_name string, credit_type string, n int")
+    assert sorted(r.n for r in linkage.dropped_credits(credits).collect()) == [5, 7, 8, 9]
