@@ -246,6 +246,11 @@ def relevance(query: Column, c: Column) -> Column:
     return F.when(q == x, 1.0).when(x.contains(q), 0.8).when(q.contains(x), 0.7).otherwise(share)
 
 
+def release_relevance(title: Column, artist: Column, preferred: Column, year: Column) -> Column:
+    """0.6 title, 0.25 artist (none: 0), 0.1 for a preferred format, 0.05 for a year from 2000 on; at most 1."""
+    return F.least(F.lit(1.0), 0.6 * title + 0.25 * F.coalesce(artist, F.lit(0.0)) + F.when(preferred, 0.1).otherwise(0.0) + F.when(year >= 2000, 0.05).otherwise(0.0))
+
+
 def title_artist_similarity(t1: Column, t2: Column, a1: Column, a2: Column) -> Column:
     return 0.7 * ratio(t1, t2) + 0.3 * ratio(a1, a2)
 

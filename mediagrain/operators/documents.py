@@ -27,9 +27,13 @@ def words(c: Column) -> Column:
 
 
 def basic_stats(df: DataFrame, text: str) -> DataFrame:
-    w = words(F.col(text))
-    out = df.withColumn("_w", w).withColumns({"chars": F.length(text), "lines": F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")), "words": F.size("_w"), "unique_words": F.size(F.array_distinct("_w"))})
-    return out.withColumn("richness", F.round(F.try_divide("unique_words", "words"), 6)).drop("_w")
+    """Characters, lines, words, different words (lower case, without marks at their ends), richness and mean lengths of lines and words; 0 where there are none."""
+    split = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    full = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    mean = lambda xs: F.coalesce(F.round(F.try_divide(F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x)), F.size(xs)), 2), F.lit(0.0))
+    unique = F.size(F.array_distinct(F.transform(split, lambda w: F.regexp_replace(F.lower(w), "^[.,!?;:]+|[.,!?;:]+$", ""))))
+    out = df.withColumns({"chars": F.length(text), "lines": F.size(F.split(text, "\n", -1)), "full_lines": F.size(full), "words": F.size(split), "unique_words": unique, "mean_line": mean(full), "mean_word": mean(split)})
+    return out.withColumns({"richness": F.coalesce(F.round(F.try_divide("unique_words", "words"), 6), F.lit(0.0)), "lines_per_word": F.coalesce(F.round(F.try_divide("full_lines", "words"), 4), F.lit(0.0))})
 
 
 def sections(lines: DataFrame, key: str) -> DataFrame:
@@ -189,6 +193,13 @@ def band_energy(df: DataFrame, key: str, vector: str, bands: list[tuple[str, int
     return long.join(F.broadcast(table), (F.col("bin") >= F.col("low")) & (F.col("bin") < F.col("high"))).groupBy(key, "band").agg(F.round(F.avg(F.abs("x")), 5).alias("energy"))
 
 
+def onset_density(onsets: DataFrame, group: list[str], second: str, most: float = 8.0) -> DataFrame:
+    """Onsets of each group, their number a second of its span, and whether that is above `most` (never without a span)."""
+    out = onsets.groupBy(*group).agg(F.count("*").alias("n"), (F.max(second) - F.min(second)).alias("_span"))
+    density = F.try_divide(F.col("n"), F.nullif(F.col("_span"), F.lit(0.0)))
+    return out.select(*group, "n", F.round(density, 6).alias("density"), F.coalesce(density > most, F.lit(False)).alias("dense"))
+
+
 def repetition_of_all(df: DataFrame, group: str, key: str, vector: str, least: float = 0.8, block: int = 512) -> DataFrame:
     """Share of all frame pairs of a group whose normalised dot product exceeds `least`, with the share of pairs that took no product.
 

@@ -236,6 +236,19 @@ def dropped_credits(credits: DataFrame, threshold: float = 0.9) -> DataFrame:
     return first.select("x.*").select(*credits.columns)
 
 
+def dedup_credits(credits: DataFrame, key: str) -> DataFrame:
+    """One credit for each track, type and name, with their number: the least name stands for all. key: lower (case and outer spaces) or folded (letters and digits only)."""
+    name = F.lower(F.trim("person_name")) if key == "lower" else F.replace(T.normalize_text(F.col("person_name")), F.lit(" "))
+    return credits.groupBy("track_id", "credit_type", name.alias("_key")).agg(F.min("person_name").alias("person_name"), F.count("*").alias("n")).drop("_key")
+
+
+def result_confidence(bpm: Column, title: Column, asked_title: Column, artist: Column, asked_artist: Column, more: list[Column]) -> Column:
+    """0.4 for a tempo, 0.1 if it is from 60 to 200, 0.2 times the word Jaccard similarity of artist and of title where they are known, 0.02 for each further field that holds; at most 1."""
+    near = lambda a, b: F.coalesce(0.2 * F.when(T.normalize_text(a) != "", T.word_jaccard(a, b)), F.lit(0.0))
+    flat = F.when(bpm > 0, 0.4).otherwise(0.0) + F.when(bpm.between(60, 200), 0.1).otherwise(0.0)
+    return F.round(F.least(F.lit(1.0), sum((F.when(c, 0.02).otherwise(0.0) for c in more), flat + near(artist, asked_artist) + near(title, asked_title))), 6)
+
+
 def album_titles(rows: DataFrame, group: list[str]) -> DataFrame:
     """The title of each group: the most frequent one or, among those alike to it above 0.9, the shortest, then the first."""
     counts = rows.groupBy(*group, "title").agg(F.count("*").alias("n"))

@@ -174,3 +174,10 @@ def change_counts(before: DataFrame, after: DataFrame, key: str, columns: list[s
     b, a = before.select(key, *columns).alias("b"), after.select(key, *columns).alias("a")
     both = b.join(a, F.col(f"b.{key}") == F.col(f"a.{key}"))
     return both.agg(*(F.count_if(~F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}"))).alias(f"{c}_changed") for c in columns))
+
+
+def technical_issues() -> Column:
+    """Of tracks with ids: beats (length by tempo) outside 50 to 1000, a genius_id that is no number, a spotify_id that isn't 22 letters and digits. Missing values raise none."""
+    beats = F.col("duration_seconds") / 60.0 * F.col("bpm")
+    rules = ((~beats.between(50, 1000), "technical_inconsistency"), (~F.col("genius_id").rlike("^[0-9]+$"), "invalid_genius_id"), (~F.col("spotify_id").rlike("^[a-zA-Z0-9]{22}$"), "invalid_spotify_id"))
+    return F.array_compact(F.array(*(F.when(bad, F.lit(name)) for bad, name in rules)))

@@ -94,12 +94,17 @@ def first_last(df: DataFrame, group: str, order: list[str], value: str) -> DataF
     return out.withColumn("trend", F.when(F.col("last_value") > F.col("first_value"), "improving").when(F.col("last_value") < F.col("first_value"), "declining").otherwise("stable"))
 
 
-def islands(df: DataFrame, group: str, order: list[str], at: str, flag: Column, least_seconds: float) -> DataFrame:
-    """Runs of consecutive rows for which `flag` holds: start, end, rows and seconds of those longer than `least_seconds`."""
+def islands(df: DataFrame, group: str, order: list[str], at: str, value: str, deviations: float = 0.5, least_seconds: float = 0.5) -> DataFrame:
+    """Runs of consecutive rows whose value is above the group's mean and so many standard deviations: start, end, rows and seconds of those longer than `least_seconds`.
+
+    A run ends where the next row that isn't above it stands (the last one at its last row).
+    """
+    bounds = df.groupBy(group).agg((F.avg(value) + deviations * F.stddev_pop(value)).alias("_bound"))
     w = Window.partitionBy(group).orderBy(*order)
-    df = df.withColumn("_on", flag).withColumn("_new", (F.col("_on") != F.coalesce(F.lag("_on").over(w), ~F.col("_on"))).cast("int"))
+    df = df.join(bounds, group).withColumn("_on", F.col(value) > F.col("_bound")).withColumn("_next", F.lead(at).over(w))
+    df = df.withColumn("_new", (F.col("_on") != F.coalesce(F.lag("_on").over(w), ~F.col("_on"))).cast("int"))
     df = df.withColumn("_island", F.sum("_new").over(w)).filter("_on")
-    out = df.groupBy(group, "_island").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("n"))
+    out = df.groupBy(group, "_island").agg(F.min(at).alias("started"), F.max(F.coalesce("_next", at)).alias("ended"), F.count("*").alias("n"))
     out = out.withColumn("seconds", F.unix_timestamp("ended") - F.unix_timestamp("started"))
     return out.filter(F.col("seconds") > least_seconds).drop("_island")
 

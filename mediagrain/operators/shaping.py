@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediagrain.functions import text as T
+
 # Labels of credit lines and their credit types.
 LABELS = {"produit par": "producer", "mix": "mixing_engineer", "paroles": "songwriter", "label": "label"}
 
@@ -73,7 +75,26 @@ def names_in_text(c: Column) -> Column:
     return F.filter(parts, lambda x: (F.length(x) > 1) & ~F.lower(x).rlike("produced|mixed|written|by|credits|show|more"))
 
 
-def analysis_quality(fields: list[str]) -> Column:
-    """Share of features present and the names of the missing ones."""
-    present = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
-    return F.struct(F.round(present / len(fields), 6).alias("completeness"), F.array_join(F.array_compact(F.array(*(F.when(F.col(f).isNull(), F.lit(f)) for f in fields))), ",").alias("missing"))
+def analysis_quality(analyses: dict[str, Column], bpm: Column) -> Column:
+    """Over analyses (name: confidence, null where one failed): completeness, confidence, their mean, and issues (incomplete, unsure, odd tempo)."""
+    known = F.array_compact(F.array(*analyses.values()))
+    complete = F.size(known) / len(analyses)
+    sure = F.coalesce(F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known)), F.lit(0.0))
+    issues = F.array_compact(F.array(F.when(complete < 0.8, F.lit("incomplete")), F.when(sure < 0.6, F.lit("unsure")), F.when((bpm < 60) | (bpm > 200), F.lit("odd_tempo"))))
+    return F.struct(F.round(complete, 6).alias("completeness"), F.round(sure, 6).alias("confidence"), F.round((complete + sure) / 2, 6).alias("overall"), F.array_join(issues, ",").alias("issues"))
+
+
+def _cleaned(credits: DataFrame) -> DataFrame:
+    return credits.withColumns({"_name": T.clean_artist_name(F.col("person_name")), "_instrument": T.lookup(F.col("instrument"), T.INSTRUMENTS)}).withColumn("_valid", T.valid_artist_name(F.col("_name")))
+
+
+def cleaned_credits(credits: DataFrame) -> DataFrame:
+    """The credits with a valid name, with cleaned names and instruments."""
+    out = _cleaned(credits).filter("_valid").withColumns({"person_name": F.col("_name"), "instrument": F.col("_instrument")})
+    return out.select(*credits.columns)
+
+
+def cleaning_counts(credits: DataFrame) -> DataFrame:
+    """How many credits there are, are dropped, and of the others get another name or instrument."""
+    changed = lambda old, new: F.count_if(F.col("_valid") & ~F.col(old).eqNullSafe(F.col(new)))
+    return _cleaned(credits).agg(F.count("*").alias("credits"), F.count_if(~F.col("_valid")).alias("dropped"), changed("person_name", "_name").alias("names_changed"), changed("instrument", "_instrument").alias("instruments_changed"))

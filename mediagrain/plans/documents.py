@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from mediagrain.operators import documents as D
-from mediagrain.plans.textual import sub
+from mediagrain.operators import linkage as L
+from mediagrain.plans.textual import norm, sub
 from mediagrain.sources.catalog import load, sql
 
 C = F.col
@@ -33,7 +34,7 @@ def marked(k):
 add("l01_length_gate", lambda k: k.lyrics.select("id", F.length("lyrics").between(50, 50000).alias("ok")), sql("lyrics", "SELECT id, length(lyrics) BETWEEN 50 AND 50000 AS ok FROM lyrics"))
 CLEAN = f"trim({sub('lyrics', ('<[^>]+>', ''), ('https?://\\S+', ''), ('@\\w+', ''), ('#\\w+', ''), ('[ \\t]+', ' '), ('\\n\\s*\\n+', chr(10)))})"
 add("l02_clean_lyrics", lambda k: k.lyrics.select("id", D.clean_lyrics(F.regexp_replace("lyrics", "\n", " #tag \n")).alias("out")).select("id", F.length("out").alias("n"), F.md5(F.trim(F.regexp_replace("out", "[ \t\n\r\f]+", " "))).alias("digest")), sql("lyrics", f", c AS (SELECT id, {CLEAN} AS out FROM (SELECT id, replace(lyrics, chr(10), ' #tag ' || chr(10)) AS lyrics FROM lyrics)) SELECT id, length(out)::INT AS n, md5(trim(regexp_replace(out, '[ \t\n\r\f]+', ' ', 'g'))) AS digest FROM c"))
-add("l03_basic_stats", lambda k: D.basic_stats(k.lyrics, "lyrics").drop("lyrics", "lang"), sql("lyrics", f", w AS (SELECT id, lyrics, {WORDS} AS w FROM lyrics) SELECT id, length(lyrics)::INT AS chars, len(list_filter(string_split(lyrics, chr(10)), lambda x: trim(x) <> ''))::INT AS lines, len(w)::INT AS words, len(list_distinct(w))::INT AS unique_words, round(len(list_distinct(w)) / nullif(len(w), 0), 6) AS richness FROM w"))
+add("l03_basic_stats", lambda k: D.basic_stats(k.lyrics, "lyrics").drop("lyrics", "lang"), sql("lyrics", ", w AS (SELECT id, lyrics, list_filter(regexp_split_to_array(lyrics, '\\s+'), lambda w: w <> '') AS w, string_split(lyrics, chr(10)) AS l, list_filter(string_split(lyrics, chr(10)), lambda x: trim(x) <> '') AS f FROM lyrics), u AS (SELECT *, len(list_distinct(list_transform(w, lambda x: trim(lower(x), '.,!?;:'))))::INT AS n FROM w) SELECT id, length(lyrics)::INT AS chars, len(l)::INT AS lines, len(f)::INT AS full_lines, len(w)::INT AS words, n AS unique_words, coalesce(round(n / nullif(len(w), 0), 6), 0)::DOUBLE AS richness, coalesce(round(list_sum(list_transform(f, lambda x: length(x))) / nullif(len(f), 0), 2), 0)::DOUBLE AS mean_line, coalesce(round(list_sum(list_transform(w, lambda x: length(x))) / nullif(len(w), 0), 2), 0)::DOUBLE AS mean_word, coalesce(round(len(f) / nullif(len(w), 0), 4), 0)::DOUBLE AS lines_per_word FROM u"))
 MARKED = "WITH m AS (SELECT conv_id, turn * 2 AS pos, CASE role WHEN 'user' THEN '[Verse ' WHEN 'assistant' THEN '[Chorus ' ELSE '[Bridge ' END || turn || ']' AS line FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, text FROM conversations), k AS (SELECT *, lower(regexp_extract(line, '^\\[(\\w+)[^\\]]*\\]', 1)) AS marker FROM m), s AS (SELECT *, sum((marker <> '')::INT) OVER (PARTITION BY conv_id ORDER BY pos) AS section FROM k) "
 add("l04_sections", lambda k: D.sections(marked(k), "conv_id"), MARKED + "SELECT conv_id, CAST(section AS BIGINT) AS section, max(marker) AS kind, count(*) FILTER (WHERE marker = '') AS lines FROM s WHERE section > 0 GROUP BY conv_id, section")
 add("l05_repeated_lines", lambda k: D.repeated_lines(lines(k), "id"), sql("lyrics", LINES + " SELECT id, lower(trim(line)) AS line, count(*) AS n, min(pos)::INT AS first_pos FROM x WHERE trim(line) <> '' GROUP BY 1, 2 HAVING count(*) > 1"))
@@ -42,7 +43,10 @@ add("l05_repeated_lines", lambda k: D.repeated_lines(lines(k), "id"), sql("lyric
 add("l10_explicit", lambda k: D.explicit(k.lyrics.withColumn("lyrics", F.concat("lyrics", F.when(C("id") % 3 == 0, " Damn merde!").otherwise(""))), "id", "lyrics"), sql("lyrics", f", w AS (SELECT id, {WORDS} AS w FROM (SELECT id, lyrics || CASE WHEN id % 3 = 0 THEN ' Damn merde!' ELSE '' END AS lyrics FROM lyrics)), n AS (SELECT id, len(list_filter(w, lambda x: x IN ({quoted(D.EXPLICIT)})))::INT AS explicit, len(w) AS n FROM w) SELECT id, explicit, CASE WHEN explicit / nullif(n, 0) > 0.05 THEN 'high' WHEN explicit / nullif(n, 0) > 0.02 THEN 'medium' WHEN explicit > 0 THEN 'low' ELSE 'none' END AS severity FROM n"))
 
 
-add("c16_dedup_credits", lambda k: k.credits.dropDuplicates(["track_id", "person_name", "credit_type"]).select("track_id", "person_name", "credit_type"), sql("credits", "SELECT DISTINCT track_id, person_name, credit_type FROM credits"))
+cased = lambda k: k.credits.select("track_id", "credit_type", F.when(C("part") % 3 == 0, F.upper("person_name")).when(C("part") % 3 == 1, F.replace("person_name", F.lit("#"), F.lit("# "))).otherwise(C("person_name")).alias("person_name"))
+CASED = ", d AS (SELECT track_id, credit_type, CASE part % 3 WHEN 0 THEN upper(person_name) WHEN 1 THEN replace(person_name, '#', '# ') ELSE person_name END AS person_name FROM credits)"
+add("c16_dedup_credits", lambda k: L.dedup_credits(cased(k), "lower"), sql("credits", CASED + " SELECT track_id, credit_type, min(person_name) AS person_name, count(*) AS n FROM d GROUP BY track_id, credit_type, lower(trim(person_name))"))
+add("c16b_dedup_folded_credits", lambda k: L.dedup_credits(cased(k), "folded"), sql("credits", CASED + f" SELECT track_id, credit_type, min(person_name) AS person_name, count(*) AS n FROM d GROUP BY track_id, credit_type, replace({norm('person_name')}, ' ', '')"))
 # Credit types by normalised role.
 TYPES = {"producer": "producer", "executive_producer": "executive_producer", "co_producer": "co_producer", "mixing": "mixing", "mastering": "mastering", "recording": "recording", "featuring": "featuring", "songwriter": "songwriter", "composer": "composer", "guitar": "guitar", "piano": "piano", "drums": "drums", "bass": "bass", "saxophone": "saxophone"}
 
@@ -99,4 +103,5 @@ BANDS = [("sub", 0, 4), ("low", 4, 12), ("mid", 12, 32), ("high", 32, 64)]
 add("f07_band_energy", lambda k: D.band_energy(vec(k), "vec_id", "v", BANDS), "SELECT vec_id, CASE WHEN dim < 4 THEN 'sub' WHEN dim < 12 THEN 'low' WHEN dim < 32 THEN 'mid' ELSE 'high' END AS band, round(avg(abs(x)), 5) AS energy FROM (SELECT vec_id, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2")
 PAIRS = "WITH v AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v), p AS (SELECT a.label, list_inner_product(a.v, b.v) / (a.n * b.n) AS d FROM u a JOIN u b ON a.label = b.label AND b.vec_id > a.vec_id)"
 add("f02_repetition", lambda k: D.repetition_of_all(vec(k), "label", "vec_id", "v").drop("skipped"), PAIRS + " SELECT label, CAST(count(*) FILTER (WHERE d > 0.8) AS BIGINT) AS alike, count(*) AS pairs, round(count(*) FILTER (WHERE d > 0.8) / count(*), 6) AS density FROM p GROUP BY 1")
-add("f08_onset_density", lambda k: k.sessions.groupBy("session", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n")).withColumn("dense", C("n") > 2), sql("sessions", "SELECT session, date_trunc('hour', ts) AS hour, count(*) AS n, count(*) > 2 AS dense FROM sessions GROUP BY 1, 2"))
+# events as onsets: an hour of the log stands for ten seconds of sound
+add("f08_onset_density", lambda k: D.onset_density(k.sessions.withColumn("second", F.unix_timestamp("ts") / 360.0), ["session"], "second"), sql("sessions", ", d AS (SELECT session, count(*) AS n, (epoch(max(date_trunc('second', ts))) - epoch(min(date_trunc('second', ts)))) / 360.0 AS seconds FROM sessions GROUP BY 1) SELECT session, n, round(n / nullif(seconds, 0), 6) AS density, coalesce(n / nullif(seconds, 0) > 8, false) AS dense FROM d"))

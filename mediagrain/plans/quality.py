@@ -48,7 +48,8 @@ add("v04_ranges_paranoid", lambda k: out(validated(k, "paranoid")), sql(V, FACTS
 add("v04b_ranges_strict", lambda k: out(validated(k, "strict")), sql(V, FACTS + rule_sql(K.track_rules("strict"), K.TRACK_BONUSES)))
 add("v05_producer_rule", lambda k: tracks(k).filter("not has_producer").select("id", "n_credits"), sql(V, FACTS + "SELECT id, n_credits FROM t WHERE NOT has_producer"))
 add("v06_album_rules", lambda k: k.tracks.join(k.albums.select(C("id").alias("album_id"), C("artist_id").alias("owner"), C("release_date").alias("album_date")), "album_id", "left").select("id", (C("owner") == C("artist_id")).alias("same_artist"), C("track_number").between(1, 100).alias("number_ok")), sql("tracks albums", "SELECT tracks.id, albums.artist_id = tracks.artist_id AS same_artist, track_number BETWEEN 1 AND 100 AS number_ok FROM tracks LEFT JOIN albums ON album_id = albums.id"))
-add("v07_technical_rules", lambda k: k.tracks.select("id", F.round(C("duration_seconds") / 60.0 * C("bpm"), 4).alias("beats")).filter("beats < 50 or beats > 1000"), sql("tracks", "SELECT * FROM (SELECT id, round(duration_seconds / 60.0 * bpm, 4) AS beats FROM tracks) WHERE beats < 50 OR beats > 1000"))
+identified = lambda k: k.tracks.withColumns({"genius_id": F.when(C("id") % 9 == 0, F.lit("x12")).when(C("id") % 9 > 1, C("id").cast("string")), "spotify_id": F.when(C("id") % 8 == 0, F.lit("short")).when(C("id") % 8 > 1, F.substring(F.sha2(C("id").cast("string"), 256), 1, 22))})
+add("v07_technical_rules", lambda k: identified(k).select("id", F.round(C("duration_seconds") / 60.0 * C("bpm"), 4).alias("beats"), F.array_join(K.technical_issues(), ",").alias("issues")).filter("issues <> ''"), sql("tracks", ", i AS (SELECT id, round(duration_seconds / 60.0 * bpm, 4) AS beats, concat_ws(',', CASE WHEN duration_seconds / 60.0 * bpm < 50 OR duration_seconds / 60.0 * bpm > 1000 THEN 'technical_inconsistency' END, CASE WHEN id % 9 = 0 THEN 'invalid_genius_id' END, CASE WHEN id % 8 = 0 THEN 'invalid_spotify_id' END) AS issues FROM tracks) SELECT * FROM i WHERE issues <> ''"))
 add("v08_track_score", lambda k: validated(k).groupBy("artist_id").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.min("score").alias("low")), sql(V, FACTS + f"SELECT artist_id, round(avg(score), 6) AS mean_score, min(score) AS low FROM ({rule_sql(K.track_rules(), K.TRACK_BONUSES, extra=', artist_id')}) GROUP BY artist_id"))
 add("v09_validate_artists", lambda k: out(K.apply_rules(k.artists, K.ARTIST_RULES, K.ARTIST_BONUSES)), sql("artists", rule_sql(K.ARTIST_RULES, K.ARTIST_BONUSES, "artists")))
 add("v10_validate_credits", lambda k: out(K.apply_rules(k.credits, K.CREDIT_RULES), "track_id"), sql("credits", rule_sql(K.CREDIT_RULES, (), "credits", "track_id")))

@@ -82,6 +82,6 @@ add("w12_running_mean", lambda k: R.running_mean(k.sessions.select("session", "i
 add("w12b_exponential_mean", lambda k: R.exponential_mean(k.sessions, "session", ["ts", "id"], "found").select("session", F.round("ema", 6).alias("ema")), sql("sessions", "SELECT session, round(list_reduce(list(found::DOUBLE ORDER BY ts, id), lambda m, x: (m + x) / 2), 6) AS ema FROM sessions GROUP BY session"))
 add("w13_recent_trend", lambda k: R.recent_trend(k.sessions, "session", ["ts", "id"], "found"), sql("sessions", ", r AS (SELECT session, found, row_number() OVER (PARTITION BY session ORDER BY ts DESC, id DESC) AS rn FROM sessions), m AS (SELECT session, avg(found) FILTER (WHERE rn <= 10) AS a, avg(found) FILTER (WHERE rn > 10 AND rn <= 20) AS b FROM r GROUP BY session) SELECT session, round(a, 6) AS recent, round(b, 6) AS previous, CASE WHEN a > b THEN 'up' WHEN a < b THEN 'down' ELSE 'flat' END AS trend FROM m"))
 add("w14_first_last", lambda k: R.first_last(k.sessions, "session", ["ts", "id"], "found"), sql("sessions", ", m AS (SELECT session, arg_min(found, (ts, id)) AS first_value, arg_max(found, (ts, id)) AS last_value FROM sessions GROUP BY session) SELECT *, CASE WHEN last_value > first_value THEN 'improving' WHEN last_value < first_value THEN 'declining' ELSE 'stable' END AS trend FROM m"))
-add("w15_islands", lambda k: R.islands(k.sessions, "session", ["ts", "id"], "ts", C("found") > 20, 0.5), sql("sessions", ", a AS (SELECT session, ts, id, found > 20 AS f FROM sessions), b AS (SELECT *, CASE WHEN f IS DISTINCT FROM lag(f) OVER (PARTITION BY session ORDER BY ts, id) THEN 1 ELSE 0 END AS n FROM a), c AS (SELECT *, sum(n) OVER (PARTITION BY session ORDER BY ts, id) AS g FROM b) SELECT session, min(ts) AS started, max(ts) AS ended, count(*) AS n, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds FROM c WHERE f GROUP BY session, g HAVING seconds > 0.5"))
+add("w15_islands", lambda k: R.islands(k.sessions, "session", ["ts", "id"], "ts", "found"), sql("sessions", ", m AS (SELECT session, avg(found) + 0.5 * stddev_pop(found) AS bound FROM sessions GROUP BY 1), a AS (SELECT session, ts, id, found > bound AS f, lead(ts) OVER (PARTITION BY session ORDER BY ts, id) AS nxt FROM sessions JOIN m USING (session)), b AS (SELECT *, CASE WHEN f IS DISTINCT FROM lag(f) OVER (PARTITION BY session ORDER BY ts, id) THEN 1 ELSE 0 END AS n FROM a), c AS (SELECT *, sum(n) OVER (PARTITION BY session ORDER BY ts, id) AS g FROM b) SELECT session, min(ts) AS started, max(coalesce(nxt, ts)) AS ended, count(*) AS n, CAST(floor(epoch(max(coalesce(nxt, ts)))) - floor(epoch(min(ts))) AS BIGINT) AS seconds FROM c WHERE f GROUP BY session, g HAVING seconds > 0.5"))
 add("w16_intervals", lambda k: R.intervals(k.sessions, "session", ["ts", "id"], "ts"), sql("sessions", ", g AS (SELECT session, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session ORDER BY ts, id))) / 1e6 AS gap FROM sessions), m AS (SELECT session, count(*) AS n, avg(gap) AS a, stddev_pop(gap) AS s, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span FROM g GROUP BY session) SELECT session, n, round(a, 4) AS mean_gap, round(s, 4) AS std_gap, round(1 - s / nullif(a, 0), 6) AS regularity, round(3600 * n / nullif(span, 0), 6) AS per_hour, CASE WHEN s < 0.1 * a THEN 'regular' WHEN s > 0.3 * a THEN 'irregular' ELSE 'moderate' END AS style FROM m"))
 add("w17_daily_series", lambda k: R.daily(k.sessions, "ts", "found"), sql("sessions", "SELECT CAST(ts AS DATE) AS day, CAST(sum(found) AS BIGINT) AS total, count(*) AS n FROM sessions GROUP BY 1"))

@@ -114,7 +114,7 @@ def Q_cache(k):
 
 
 add("a30_cache_health", health, sql("cache", f", x AS (SELECT split_part(key, ':', 1) AS prefix, count(*) AS n, count(*) FILTER (WHERE expires_at <= TIMESTAMP '2024-01-20') AS expired FROM cache GROUP BY 1), s AS (SELECT prefix, {HEALTH} AS score FROM x) SELECT prefix, score, {LABEL} AS label FROM s"))
-add("a31_processing_quality", lambda k: k.albums.groupBy("status").agg(F.round(F.avg(F.when(C("price") >= 200000, 100.0).when(C("price") >= 100000, 70.0).otherwise(40.0)), 6).alias("quality")), sql("albums", "SELECT status, round(avg(CASE WHEN price >= 200000 THEN 100.0 WHEN price >= 100000 THEN 70.0 ELSE 40.0 END), 6)::DOUBLE AS quality FROM albums GROUP BY 1"))
+add("a31_processing_quality", lambda k: k.albums.groupBy("status").agg(F.round(F.avg(F.when(C("price") >= 200000, 100.0).when(C("price") >= 100000, 70.0).otherwise(40.0)), 6).alias("quality"), F.round(100 * (F.count_if(C("id") % 3 > 0) + F.count_if(C("id") % 5 == 0) + F.count_if(C("id") % 7 == 0)) / F.count("*"), 6).alias("success_rate")), sql("albums", "SELECT status, round(avg(CASE WHEN price >= 200000 THEN 100.0 WHEN price >= 100000 THEN 70.0 ELSE 40.0 END), 6)::DOUBLE AS quality, round(100 * (count(*) FILTER (WHERE id % 3 > 0) + count(*) FILTER (WHERE id % 5 = 0) + count(*) FILTER (WHERE id % 7 = 0)) / count(*), 6) AS success_rate FROM albums GROUP BY 1"))
 def recommendations(k):
     """Per artist: advice where the quality score is under 70, over 10 % of the tracks failed, over 50 % have no lyrics or over 30 % no tempo; and the score."""
     present = C("has_lyrics").cast("int") + C("bpm").isNotNull().cast("int")

@@ -40,7 +40,14 @@ add("c15_infer_role", lambda k: k.credits.groupBy(S.infer_role(F.concat(F.lit("b
 SENTENCES = ("Produced by {n}, Ann & Bob", "{n} and Zoe et Max", "credits: {n};show more", "Lucy,{n}\nA")
 prose = lambda k: k.supplier.select(C("s_suppkey").alias("id"), F.replace(F.get(F.array(*(F.lit(x) for x in SENTENCES)), (C("s_suppkey") % 4).cast("int")), F.lit("{n}"), C("s_name")).alias("text"))
 add("c15b_names_in_text", lambda k: prose(k).select("id", F.posexplode(S.names_in_text(C("text"))).alias("pos", "name")), "WITH t AS (SELECT s_suppkey AS id, replace((" + str(list(SENTENCES)).replace("\\n", "' || chr(10) || '") + ")[s_suppkey % 4 + 1], '{n}', s_name) AS text FROM supplier), n AS (SELECT id, list_filter(list_transform(regexp_split_to_array(text, '[,;&\n]| and | et '), lambda x: trim(x)), lambda x: length(x) > 1 AND NOT regexp_matches(lower(x), 'produced|mixed|written|by|credits|show|more')) AS ns FROM t) SELECT id, CAST(unnest(range(len(ns))) AS INT) AS pos, unnest(ns) AS name FROM n")
-add("c18_drop_invalid_credits", lambda k: k.credits.withColumn("name", F.when(C("part") % 5 == 0, F.lit("123")).otherwise(T.clean_artist_name(C("person_name")))).filter(T.valid_artist_name(C("name"))).groupBy("name").agg(F.count("*").alias("n")), sql("credits", "SELECT person_name AS name, count(*) AS n FROM credits WHERE part % 5 <> 0 GROUP BY 1"))
+def raw_credits(k):
+    """Credits with invalid names, names and instruments in other forms."""
+    i = C("part")
+    return k.credits.select("track_id", "credit_type", F.when(i % 5 == 0, F.lit("123")).when(i % 5 == 1, F.concat(F.lit(" "), C("person_name"), F.lit(" [x]"))).otherwise(C("person_name")).alias("person_name"), F.when(i % 4 == 0, F.lit("keys")).when(i % 4 == 1, F.lit("drums")).alias("instrument"))
+
+
+add("c18_drop_invalid_credits", lambda k: S.cleaned_credits(raw_credits(k)).groupBy("person_name", "instrument").agg(F.count("*").alias("n")), sql("credits", "SELECT CASE WHEN part % 5 = 1 THEN person_name || ' x' ELSE person_name END AS person_name, CASE part % 4 WHEN 0 THEN 'keyboard' WHEN 1 THEN 'drums' END AS instrument, count(*) AS n FROM credits WHERE part % 5 <> 0 GROUP BY 1, 2"))
+add("c18b_cleaning_counts", lambda k: S.cleaning_counts(raw_credits(k)), sql("credits", "SELECT count(*) AS credits, count(*) FILTER (WHERE part % 5 = 0) AS dropped, count(*) FILTER (WHERE part % 5 = 1) AS names_changed, count(*) FILTER (WHERE part % 5 <> 0 AND part % 4 = 0) AS instruments_changed FROM credits"))
 def release_metadata(k):
     """Per album: modal genre (rap if it has none), length, earliest date and year, any explicit track, mean page views."""
     t = k.tracks.withColumns({"genre": F.when(C("album_id") % 6 > 0, C("genre")), "explicit": C("has_lyrics") & (C("id") % 4 == 0), "pageviews": F.when(C("id") % 3 > 0, C("id") % 1000)})
@@ -67,8 +74,10 @@ add("h02_page_metadata", lambda k: music_pages(k).select("page_id", *(S.by_class
 add("p05_scrobble_tags", lambda k: k.events.select("event_id", F.array_join(S.scrobble_tags(F.when(C("event_id") % 2 == 0, F.concat(F.lit('{"tag":[{"name":"rap","count":'), (C("event_id") % 100).cast("string"), F.lit('},{"name":"jazz","count":50},{"name":"pop","count":5}]}'))).otherwise(F.lit('{"tag":{"name":"solo","count":20}}')), 10, 2), ",").alias("tags")), "SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'solo' WHEN event_id % 100 > 50 THEN 'rap,jazz' WHEN event_id % 100 = 50 THEN 'jazz,rap' WHEN event_id % 100 >= 10 THEN 'jazz,rap' ELSE 'jazz' END AS tags FROM events")
 song = lambda k: k.tracks.select("id", F.to_json(F.struct(C("title").alias("name"), F.array(F.struct(C("artist_id").alias("id")), F.struct((C("artist_id") + 1).alias("id"))).alias("artists"), F.struct(C("album_id").alias("id")).alias("album"), (C("duration_seconds") * 1000).alias("duration_ms"))).alias("doc"))
 SONG = "name string, artists array<struct<id:bigint>>, album struct<id:bigint>, duration_ms bigint"
-add("p03_track_payload", lambda k: D.flatten_payload(song(k), "doc", SONG).select("id", C("artists")[0]["id"].alias("artist"), F.array_join(F.transform(F.slice("artists", 2, 10), lambda a: a["id"].cast("string")), ",").alias("others"), C("album.id").alias("album"), F.floor(C("duration_ms") / 1000).alias("seconds")), sql("tracks", "SELECT id, artist_id AS artist, CAST(artist_id + 1 AS VARCHAR) AS others, album_id AS album, CAST(duration_seconds AS BIGINT) AS seconds FROM tracks"))
-add("f05_analysis_quality", lambda k: k.tracks.select("id", S.analysis_quality(["bpm", "duration_seconds", "genre"]).alias("x")).select("id", "x.*"), sql("tracks", "SELECT id, round(((bpm IS NOT NULL)::INT + (duration_seconds IS NOT NULL)::INT + (genre IS NOT NULL)::INT) / 3, 6) AS completeness, concat_ws(',', CASE WHEN bpm IS NULL THEN 'bpm' END, CASE WHEN duration_seconds IS NULL THEN 'duration_seconds' END, CASE WHEN genre IS NULL THEN 'genre' END) AS missing FROM tracks"))
+add("p03_track_payload", lambda k: D.flatten_payload(song(k), "doc", SONG).select("id", C("artists")[0]["id"].alias("artist"), F.array_join(F.transform(F.slice("artists", F.lit(2), F.greatest(F.size("artists") - 1, F.lit(0))), lambda a: a["id"].cast("string")), ",").alias("others"), C("album.id").alias("album"), F.floor(C("duration_ms") / 1000).alias("seconds")), sql("tracks", "SELECT id, artist_id AS artist, CAST(artist_id + 1 AS VARCHAR) AS others, album_id AS album, CAST(duration_seconds AS BIGINT) AS seconds FROM tracks"))
+# The confidence of a rhythm by its level.
+rhythm = lambda: F.when(C("bpm").isNotNull(), F.when(C("id") % 3 == 0, 0.9).when(C("id") % 3 == 1, 0.7).otherwise(0.5))
+add("f05_analysis_quality", lambda k: k.tracks.select("id", S.analysis_quality({"rhythm": rhythm(), "harmonic": F.when(C("id") % 5 > 0, C("id") % 11 / 20), "timbre": F.when(C("duration_seconds").isNotNull(), 0.8), "structure": F.when(C("id") % 7 > 1, 0.8)}, C("bpm")).alias("x")).select("id", "x.*"), sql("tracks", ", a AS (SELECT id, bpm, list_filter([CASE WHEN bpm IS NOT NULL THEN CASE id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.7 ELSE 0.5 END END, CASE WHEN id % 5 > 0 THEN id % 11 / 20 END, CASE WHEN duration_seconds IS NOT NULL THEN 0.8 END, CASE WHEN id % 7 > 1 THEN 0.8 END]::DOUBLE[], lambda x: x IS NOT NULL) AS c FROM tracks), q AS (SELECT id, bpm, len(c) / 4 AS complete, coalesce(list_sum(c) / nullif(len(c), 0), 0) AS sure FROM a) SELECT id, round(complete, 6) AS completeness, round(sure, 6) AS confidence, round((complete + sure) / 2, 6) AS overall, concat_ws(',', CASE WHEN complete < 0.8 THEN 'incomplete' END, CASE WHEN sure < 0.6 THEN 'unsure' END, CASE WHEN bpm < 60 OR bpm > 200 THEN 'odd_tempo' END) AS issues FROM q"))
 
 
 add("u03_one_to_many", lambda k: k.tracks.select("id", F.inline(F.transform(F.split(T.normalize_text(C("title")), " "), lambda w, i: F.struct(i.alias("pos"), w.alias("word"))))), sql("tracks", f", n AS (SELECT id, string_split({norm('title')}, ' ') AS w FROM tracks) SELECT id, (unnest(range(len(w))))::INT AS pos, unnest(w) AS word FROM n"))

@@ -109,6 +109,9 @@ add("sim4_relevance", sim(T.relevance), of_sim(f"CASE WHEN s = t THEN 1.0 WHEN c
 add("sim5_title_artist", lambda k: pairs(k).select("a", "b", F.round(T.title_artist_similarity(C("s"), C("t"), C("p_brand"), C("p_brand")), 6).alias("out")), of_sim(f"0.7 * {LEV} + 0.3"))
 add("sim6_search_relevance", lambda k: pairs(k).select("a", "b", F.round(T.search_relevance(T.word_jaccard(C("s"), C("t")), F.lit(1.0), C("p_size")), 6).alias("out")), f"SELECT x.p_partkey AS a, y.p_partkey AS b, round(least(1.0, 0.6 * {JAC.replace('lower(s)', 'lower(x.p_name)').replace('lower(t)', 'lower(y.p_name)')} + 0.3 + 0.1 * x.p_size / 100), 6) AS out FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey")
 
+# formats and years of releases from the part's type and size
+add("sim6b_release_relevance", lambda k: pairs(k).select("a", "b", F.round(T.release_relevance(T.word_jaccard(C("s"), C("t")), F.when(C("a") % 3 > 0, 1.0), C("a") % 2 == 0, 1975 + C("p_size")), 6).alias("out")), f"SELECT x.p_partkey AS a, y.p_partkey AS b, round(least(1.0, 0.6 * {JAC.replace('lower(s)', 'lower(x.p_name)').replace('lower(t)', 'lower(y.p_name)')} + CASE WHEN x.p_partkey % 3 > 0 THEN 0.25 ELSE 0 END + CASE WHEN x.p_partkey % 2 = 0 THEN 0.1 ELSE 0 END + CASE WHEN 1975 + x.p_size >= 2000 THEN 0.05 ELSE 0 END), 6) AS out FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey")
+
 
 def block_pairs(k):
     """Titles of an artist with one first word whose longest-block ratio is 0.7 or more."""
