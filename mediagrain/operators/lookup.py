@@ -160,18 +160,33 @@ def invalidate(entries: DataFrame, events: DataFrame, rules: DataFrame) -> DataF
     """Entries whose key fits no pattern that an event triggers.
 
     `rules` (event, pattern: `*` and `?` are wildcards, `{id}` stands for the event's id) are few; the patterns that
-    events make of them may be many. Patterns without wildcards drop keys by an equi-join, the others meet the keys
-    that share what stands before the first wildcard; only patterns that begin with a wildcard are tried on every key.
+    events make of them may be many. All meet the keys by an equi-join: patterns without wildcards on the key, others
+    on what stands before the first wildcard or, if that is nothing, behind the last one; those with wildcards at
+    both ends on the first three letters of a longest piece between. Only patterns without such a piece, of which
+    there are few forms, are tried on every key.
     """
     fired = events.join(F.broadcast(rules), "event").select(F.replace("pattern", F.lit("{id}"), F.col("id").cast("string")).alias("pattern")).distinct()
     wild = F.col("pattern").rlike("[*?]")
     out = entries.join(fired.filter(~wild), F.col("key") == F.col("pattern"), "left_anti")
     like = F.replace(F.replace(F.replace("pattern", F.lit("_"), F.lit("\\_")), F.lit("*"), F.lit("%")), F.lit("?"), F.lit("_"))
-    loose = fired.filter(wild).select(F.regexp_extract("pattern", "^[^*?]*", 0).alias("stem"), like.alias("pattern"))
-    lengths = sorted(r.n for r in loose.select(F.length("stem").alias("n")).distinct().collect())
-    if stems := [n for n in lengths if n]:
-        keys = out.select("key").distinct().select("key", F.explode(F.array(*(F.substring("key", 1, n) for n in stems))).alias("stem")).distinct()
-        out = out.join(keys.join(loose, "stem").filter(F.expr("key LIKE pattern")).select("key").distinct(), "key", "left_anti")
-    if 0 in lengths:
-        out = out.join(F.broadcast(loose.filter("stem = ''")), F.expr("key LIKE pattern"), "left_anti")
+    pieces = F.transform(F.split("pattern", "[*?]"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))
+    loose = fired.filter(wild).select(F.regexp_extract("pattern", "^[^*?]*", 0).alias("stem"), F.regexp_extract("pattern", "[^*?]*$", 0).alias("tail"), F.substring(F.array_max(pieces)["x"], 1, 3).alias("piece"), like.alias("pattern"))
+    fits = F.expr("key LIKE pattern")
+
+    def without(out: DataFrame, patterns: DataFrame, column: str, part) -> DataFrame:
+        """Without the keys that fit; patterns meet keys by their `column` and, for each of its lengths, the key's `part`."""
+        lengths = sorted(r.n for r in patterns.select(F.length(column).alias("n")).distinct().collect())
+        if not lengths:
+            return out
+        keys = out.select("key").distinct().select("key", F.explode(F.array_distinct(F.flatten(F.array(*(part(n) for n in lengths))))).alias(column))
+        return out.join(keys.join(patterns.select(column, "pattern"), column).filter(fits).select("key").distinct(), "key", "left_anti")
+
+    out = without(out, loose.filter("stem <> ''"), "stem", lambda n: F.array(F.substring("key", 1, n)))
+    out = without(out, loose.filter("stem = '' and tail <> ''"), "tail", lambda n: F.array(F.substring("key", -n, n)))
+    inner = loose.filter("stem = '' and tail = ''")
+    every = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - n + 1, F.lit(1))), lambda i: F.substr("key", i, F.lit(n)))
+    out = without(out, inner.filter("length(piece) = 3"), "piece", every)
+    rest = inner.filter("length(piece) < 3")
+    if not rest.isEmpty():
+        out = out.join(F.broadcast(rest.select("pattern")), fits, "left_anti")
     return out.select(*entries.columns)

@@ -71,11 +71,11 @@ def test_oldest_rows_go(spark):
 
 
 def test_invalidation_by_kind_of_pattern(spark):
-    entries = spark.createDataFrame([(k,) for k in ("a:1", "a:12", "b:1", "b:22", "c_1", "cx1", "z:9", "q")], "key string")
-    events = spark.createDataFrame([("x", 1), ("x", 12), ("y", 2), ("w", 9), ("v", 0)], "event string, id long")
-    rules = spark.createDataFrame([("x", "a:{id}"), ("y", "b:{id}*"), ("w", "*:{id}"), ("v", "c_?")], "event string, pattern string")
-    assert sorted(r.key for r in lookup.invalidate(entries, events, rules).collect()) == ["b:1", "cx1", "q"]
-    assert lookup.invalidate(entries, events.limit(0), rules).count() == 8
+    entries = spark.createDataFrame([(k,) for k in ("a:1", "a:12", "b:1", "b:22", "c_1", "cx1", "z:9", "q", "in the middle of", "mid", "x7y", "x77y")], "key string")
+    events = spark.createDataFrame([("x", 1), ("x", 12), ("y", 2), ("w", 9), ("v", 0), ("u", 7)], "event string, id long")
+    rules = spark.createDataFrame([("x", "a:{id}"), ("y", "b:{id}*"), ("w", "*:{id}"), ("v", "c_?"), ("u", "*middle*"), ("u", "?{id}?")], "event string, pattern string")
+    assert sorted(r.key for r in lookup.invalidate(entries, events, rules).collect()) == ["b:1", "cx1", "mid", "q", "x77y"]
+    assert lookup.invalidate(entries, events.limit(0), rules).count() == 12
 
 
 def test_exponential_mean_over_chunks(spark):
