@@ -70,7 +70,18 @@ CREDIT_RULES = [Rule("missing_person", "critical", "person_name IS NULL OR perso
 PIPELINE_RULES = [Rule("title", "error", "title IS NULL OR title = ''", 1), Rule("artist", "error", "artist_id IS NULL", 1), Rule("duration", "error", "duration_seconds < 10 OR duration_seconds > 1800", 1), Rule("bpm", "error", "bpm < 60 OR bpm > 200", 1)]
 INTEGRITY_RULES = [Rule("title", "error", "title IS NULL OR title = ''", 1), Rule("artist", "error", "artist_id IS NULL", 1), Rule("duration", "error", "duration_seconds < 30 OR duration_seconds > 1800", 1), Rule("bpm", "error", "bpm < 40 OR bpm > 300", 1), Rule("credits", "error", "n_credits = 0", 1), Rule("producer", "error", "NOT has_producer", 1)]
 DEDUCTIONS = [Rule("lyrics", "minor", "NOT has_lyrics", 20), Rule("duration", "minor", "duration_seconds IS NULL", 15), Rule("bpm", "minor", "bpm IS NULL", 10), Rule("album", "minor", "album_id IS NULL", 10)]
-SCHEMA_RULES = [Rule("title_length", "error", "length(title) < 1 OR length(title) > 500", 1), Rule("bpm_range", "error", "bpm < 40 OR bpm > 300", 1), Rule("track_number", "error", "track_number < 1", 1), Rule("year", "error", "year(release_date) < 1900 OR year(release_date) > 2030", 1)]
+# The constraints of the record schemas: lengths, ranges, the form of a key, and counts and years that must agree.
+_LENGTH = lambda c, most: Rule(f"{c}_length", "error", f"length(trim({c})) < 1 OR length({c}) > {most}", 1)
+_RANGE = lambda c, low, high: Rule(f"{c}_range", "error", f"{c} < {low} OR {c} > {high}", 1)
+SCHEMA_RULES = [
+    _LENGTH("title", 300), Rule("track_number", "error", "track_number < 1", 1), _RANGE("duration_seconds", 1, 1800), _RANGE("bpm", 40, 300), _RANGE("release_year", 1900, 2030),
+    Rule("key_form", "error", "NOT (lower(musical_key) RLIKE '^ *[a-g][#b]? *(major|minor|maj|min)? *$')", 1), Rule("snippet_length", "error", "length(snippet) > 500", 1),
+    Rule("year_of_date", "error", "year(release_date) <> release_year", 1),
+]
+ALBUM_SCHEMA = [_LENGTH("title", 300), _RANGE("release_year", 1900, 2030), _RANGE("total_tracks", 1, 200), Rule("label_length", "error", "length(label) > 200", 1), Rule("year_of_date", "error", "year(release_date) <> release_year", 1)]
+ARTIST_SCHEMA = [_LENGTH("name", 200), Rule("country_length", "error", "length(country) > 100", 1)]
+CREDIT_SCHEMA = [_LENGTH("person_name", 200), Rule("role_length", "error", "length(role_detail) > 200", 1), Rule("instrument_length", "error", "length(instrument) > 100", 1)]
+SESSION_SCHEMA = [Rule("negative_counts", "error", "total_tracks < 0 OR completed_tracks < 0 OR failed_tracks < 0", 1), Rule("more_than_all", "error", "completed_tracks + failed_tracks > total_tracks", 1)]
 
 
 def with_credit_facts(tracks: DataFrame, credits: DataFrame) -> DataFrame:

@@ -18,10 +18,37 @@ def labelled_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.element_at(kinds, F.col("label")).alias("kind"), F.trim("name").alias("name")).filter((F.col("name") != "") & (F.size(F.split("name", r"\s+")) <= 4))
 
 
-def context_hits(df: DataFrame, key: str, text: str, pattern: str, before: int = 20, after: int = 30) -> DataFrame:
-    """Every hit of a pattern with its surroundings."""
-    whole = F.lit(rf".{{0,{before}}}(?:{pattern}).{{0,{after}}}")
-    return df.select(key, F.posexplode(F.regexp_extract_all(text, whole, 0)).alias("pos", "context"))
+# What announces a credit in the text of a page, by kind.
+PAGE_PATTERNS = {
+    "production": (r"produced by", r"producer", r"production", r"prod\.?\s*by", r"beat\s*by", r"instrumental\s*by", r"track\s*by"),
+    "writing": (r"written by", r"songwriter", r"lyrics\s*by", r"composed\s*by", r"words\s*by"),
+    "engineering": (r"mixed\s*by", r"mastered\s*by", r"recorded\s*by", r"engineered\s*by", r"additional\s*engineering", r"vocal\s*engineering"),
+    "performance": (r"performed\s*by", r"vocals\s*by", r"featuring", r"guest\s*vocals", r"additional\s*vocals", r"background\s*vocals"),
+    "other": (r"executive\s*producer", r"co-producer", r"additional\s*production", r"sample\s*source", r"interpolates", r"contains\s*sample"),
+}
+
+
+def page_credits(df: DataFrame, key: str, text: str, patterns: dict[str, tuple[str, ...]] = PAGE_PATTERNS, before: int = 50, after: int = 100) -> DataFrame:
+    """(key, kind, pos, name): the lines around every hit of a pattern (from `before` characters before it to `after` behind it) that have both upper- and lower-case letters and more than two characters.
+
+    Contexts may overlap, so hits are placed by the lengths of the texts between them. `pos` is where the hit begins (from 0).
+    """
+    total = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+
+    def contexts(kind: str, pattern: str) -> Column:
+        hits, between = F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), 0), F.split(text, f"(?i){pattern}", -1)
+
+        def context(hit: Column, i: Column) -> Column:
+            start = total(between, i + 1) + total(hits, i)
+            low = F.greatest(start - before, F.lit(0))
+            return F.struct(F.lit(kind).alias("kind"), start.alias("pos"), F.substr(text, low + 1, start + F.length(hit) + after - low).alias("context"))
+
+        return F.transform(hits, context)
+
+    found = F.flatten(F.array(*(contexts(kind, p) for kind, ps in patterns.items() for p in ps)))
+    rows = df.select(key, F.explode(found).alias("x")).select(key, "x.kind", "x.pos", F.explode(F.split("x.context", "\n")).alias("name"))
+    named = rows.withColumn("name", F.trim("name")).filter((F.length("name") > 2) & F.col("name").rlike(r"\p{Lu}") & F.col("name").rlike(r"\p{Ll}"))
+    return named.select(key, "kind", "pos", "name")
 
 
 def infer_role(c: Column) -> Column:

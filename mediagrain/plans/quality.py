@@ -87,7 +87,22 @@ add("v19b_suggestions", lambda k: K.suggestions(measured(k)), sql(V, MEASURED +
 add("v20_deduction_score", lambda k: out(K.apply_rules(k.tracks, K.DEDUCTIONS, [("genre IS NOT NULL AND status IS NOT NULL", 5)])), sql("tracks", rule_sql(K.DEDUCTIONS, [("genre IS NOT NULL AND status IS NOT NULL", 5)], "tracks")))
 points = [("title IS NOT NULL", 3), ("artist_id IS NOT NULL", 3), ("bpm IS NOT NULL", 1), ("has_lyrics", 2), ("duration_seconds IS NOT NULL", 1)]
 add("v21_source_quality", lambda k: k.tracks.select("id", sum((F.when(F.expr(p), n).otherwise(0) for p, n in points), F.lit(0)).alias("points")).withColumn("level", F.when(C("points") >= 8, "high").when(C("points") >= 5, "medium").otherwise("low")), sql("tracks", f", p AS (SELECT id, {' + '.join(f'CASE WHEN {p} THEN {n} ELSE 0 END' for p, n in points)} AS points FROM tracks) SELECT id, points, CASE WHEN points >= 8 THEN 'high' WHEN points >= 5 THEN 'medium' ELSE 'low' END AS level FROM p"))
-add("v22_schema_constraints", lambda k: out(K.apply_rules(k.tracks, K.SCHEMA_RULES, critical="error")), sql("tracks", rule_sql([r._replace(severity="critical") for r in K.SCHEMA_RULES], (), "tracks")))
+
+
+def schema_query(name, source, rules, table, view):
+    """Rows with their broken constraints; the SQL reads `view`, a table t of the same columns."""
+    add(name, lambda k: out(K.apply_rules(source(k), rules, critical="error")).filter("issues <> ''"), sql(table, view + " SELECT * FROM (" + rule_sql([r._replace(severity="critical") for r in rules]) + ") WHERE issues <> ''"))
+
+
+KEYS = ("C", "f# minor", "Bb Maj", "H", "c##", " G min ", "Do")
+keyed = lambda k: k.tracks.withColumns({"musical_key": F.get(F.array(*(F.lit(x) for x in KEYS)), (C("id") % 8).cast("int")), "title": F.when(C("id") % 40 == 1, F.lit("  ")).when(C("id") % 40 == 2, F.repeat("title", 30)).otherwise(C("title")), "snippet": F.when(C("id") % 50 == 0, F.repeat(F.lit("la"), 251)), "release_year": F.year("release_date") + F.when(C("id") % 30 == 3, 1).when(C("id") % 30 == 4, 100).otherwise(0), "track_number": C("track_number") - 1})
+schema_query("v22_schema_constraints", keyed, K.SCHEMA_RULES, "tracks", f", t AS (SELECT id, CASE id % 40 WHEN 1 THEN '  ' WHEN 2 THEN repeat(title, 30) ELSE title END AS title, track_number - 1 AS track_number, duration_seconds, bpm, release_date, year(release_date) + CASE id % 30 WHEN 3 THEN 1 WHEN 4 THEN 100 ELSE 0 END AS release_year, {list(KEYS)}[id % 8 + 1] AS musical_key, CASE WHEN id % 50 = 0 THEN repeat('la', 251) END AS snippet FROM tracks)")
+listed = lambda k: k.albums.withColumns({"total_tracks": F.when(C("id") % 9 > 0, C("id") % 230), "label": F.repeat(F.lit("l"), (C("id") % 250).cast("int")), "release_year": C("release_year") - F.when(C("id") % 11 == 0, 2).otherwise(0)})
+schema_query("v22b_album_schema", listed, K.ALBUM_SCHEMA, "albums", ", t AS (SELECT id, title, release_date, release_year - CASE WHEN id % 11 = 0 THEN 2 ELSE 0 END AS release_year, CASE WHEN id % 9 > 0 THEN id % 230 END AS total_tracks, repeat('l', (id % 250)::INT) AS label FROM albums)")
+schema_query("v22c_artist_schema", lambda k: k.artists.withColumns({"name": F.when(C("id") % 5 == 0, F.lit(" ")).when(C("id") % 5 == 1, F.repeat("name", 12)).otherwise(C("name")), "country": F.repeat("country", (C("id") % 30).cast("int"))}), K.ARTIST_SCHEMA, "artists", ", t AS (SELECT id, CASE id % 5 WHEN 0 THEN ' ' WHEN 1 THEN repeat(name, 12) ELSE name END AS name, repeat(country, (id % 30)::INT) AS country FROM artists)")
+sized = lambda c, n: F.when(C("part") % n == 0, F.repeat(F.lit("x"), (C("part") % 260).cast("int")))
+schema_query("v22d_credit_schema", lambda k: k.credits.groupBy(C("track_id").alias("id")).agg(F.min("person_name").alias("person_name"), F.min("part").alias("part")).withColumns({"role_detail": sized("part", 3), "instrument": sized("part", 4)}), K.CREDIT_SCHEMA, "credits", ", g AS (SELECT track_id AS id, min(person_name) AS person_name, min(part) AS part FROM credits GROUP BY 1), t AS (SELECT id, person_name, CASE WHEN part % 3 = 0 THEN repeat('x', (part % 260)::INT) END AS role_detail, CASE WHEN part % 4 = 0 THEN repeat('x', (part % 260)::INT) END AS instrument FROM g)")
+schema_query("v22e_session_schema", lambda k: k.sessions.groupBy(C("session").alias("id")).agg((F.count("*") - C("session") % 4).alias("total_tracks"), F.count_if(C("status") == "completed").alias("completed_tracks"), F.count_if(C("status") != "completed").alias("failed_tracks")), K.SESSION_SCHEMA, "sessions", ", t AS (SELECT session AS id, count(*) - session % 4 AS total_tracks, count(*) FILTER (WHERE status = 'completed') AS completed_tracks, count(*) FILTER (WHERE status <> 'completed') AS failed_tracks FROM sessions GROUP BY 1)")
 add("v23_clean_numbers", lambda k: K.clean_numbers(k.tracks.withColumn("track_number", C("track_number") - 3)).select("id", "bpm", "track_number"), sql("tracks", "SELECT id, CASE WHEN bpm >= 40 AND bpm < 60 THEN bpm * 2 ELSE bpm END AS bpm, CASE WHEN track_number - 3 >= 0 THEN track_number - 3 END AS track_number FROM tracks"))
 add("v24_fold_bpm", lambda k: k.tracks.select("id", K.fold_bpm(C("bpm")).alias("bpm")), sql("tracks", "SELECT id, CASE WHEN bpm < 60 AND bpm * 2 BETWEEN 60 AND 200 THEN bpm * 2 WHEN bpm > 200 AND bpm / 2 BETWEEN 60 AND 200 THEN bpm / 2 ELSE bpm END AS bpm FROM tracks"))
 add("v25_modal_fix", lambda k: K.modal_fix(k.tracks.select("id", "artist_id", "genre"), "artist_id", "genre"), sql("tracks", ", m AS (SELECT artist_id, genre FROM (SELECT artist_id, genre, row_number() OVER (PARTITION BY artist_id ORDER BY count(*) DESC, genre) AS rn FROM tracks GROUP BY artist_id, genre) WHERE rn = 1) SELECT id, tracks.artist_id, m.genre, tracks.genre <> m.genre AS fixed FROM tracks JOIN m USING (artist_id)"))

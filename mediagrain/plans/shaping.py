@@ -35,7 +35,16 @@ def sheets(k):
 
 SHEETS = f"WITH l AS (SELECT s_suppkey AS k, s_name, {list(LABELS)} AS ls FROM supplier), t AS (SELECT k AS id, ls[k % 6 + 1] AS label, s_name || CASE WHEN k % 2 = 0 THEN ' , Ann ' || (k % 7) ELSE '' END AS names FROM l UNION ALL SELECT k, ls[(k // 6) % 6 + 1], 'one two ' || CASE WHEN k % 3 = 0 THEN 'three four five' ELSE 'three' END || ' & Zoe' FROM l), n AS (SELECT id, lower(trim(label)) AS label, trim(unnest(regexp_split_to_array(names, '[,&]'))) AS name FROM t)"
 add("c14_labelled_lines", lambda k: S.labelled_lines(sheets(k), "id", "text"), SHEETS + " SELECT id, CASE label WHEN 'produit par' THEN 'producer' WHEN 'mix' THEN 'mixing_engineer' WHEN 'paroles' THEN 'songwriter' ELSE 'label' END AS kind, name FROM n WHERE label IN ('produit par', 'mix', 'paroles', 'label') AND name <> '' AND len(string_split(name, ' ')) <= 4")
-add("c13_context_hits", lambda k: S.context_hits(k.conversations.withColumn("id", C("conv_id") * 1000 + C("turn")), "id", F.col("text"), "tion").groupBy("id").agg(F.count("*").alias("hits"), F.min_by("context", "pos").alias("first")), "SELECT conv_id * 1000 + turn AS id, len(x) AS hits, x[1] AS first FROM (SELECT conv_id, turn, regexp_extract_all(text, '.{0,20}(?:tion).{0,30}') AS x FROM conversations) WHERE len(x) > 0")
+def page_text(k):
+    """Texts of conversations with credit lines put in at their ends and in between."""
+    i = C("conv_id") * 1000 + C("turn")
+    lines = F.get(F.array(*(F.lit(x) for x in ("\nProduced by Jean Petit\nMIXED BY ANNA\nmastered by nobody", " Featuring Ana and Beat by Leo\nok", "\nExecutive Producer: Zoë\nWritten by\nPaul"))), (i % 4).cast("int"))
+    return k.conversations.select(i.alias("id"), F.concat(F.coalesce(lines, F.lit("")), F.lit("\n"), F.substring("text", 1, 40), F.coalesce(lines, F.lit("")), "text").alias("text"))
+
+
+HITS = " UNION ALL ".join(f"SELECT id, text, '{kind}' AS kind, regexp_extract_all(text, '(?i){p}') AS m, regexp_split_to_array(text, '(?i){p}') AS s FROM t" for kind, ps in S.PAGE_PATTERNS.items() for p in ps)
+PAGE_LINES = ["\nProduced by Jean Petit\nMIXED BY ANNA\nmastered by nobody", " Featuring Ana and Beat by Leo\nok", "\nExecutive Producer: Zoë\nWritten by\nPaul"]
+add("c13_page_credits", lambda k: S.page_credits(page_text(k), "id", "text"), "WITH l AS (SELECT conv_id * 1000 + turn AS id, text, coalesce([" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in PAGE_LINES) + "][(conv_id * 1000 + turn) % 4 + 1], '') AS line FROM conversations), t AS (SELECT id, line || chr(10) || left(text, 40) || line || text AS text FROM l), h AS (" + HITS + "), e AS (SELECT id, text, kind, m, s, unnest(range(1, len(m) + 1)) AS i FROM h), p AS (SELECT id, text, kind, length(m[i]) AS n, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INT) AS pos FROM e), c AS (SELECT id, kind, pos, substr(text, greatest(pos - 50, 0) + 1, pos + n + 100 - greatest(pos - 50, 0)) AS context FROM p), n AS (SELECT id, kind, pos, trim(unnest(string_split(context, chr(10)))) AS name FROM c) SELECT id, kind, pos, name FROM n WHERE length(name) > 2 AND regexp_matches(name, '\\p{Lu}') AND regexp_matches(name, '\\p{Ll}')")
 add("c15_infer_role", lambda k: k.credits.groupBy(S.infer_role(F.concat(F.lit("by "), "credit_type")).alias("role")).agg(F.count("*").alias("n")), sql("credits", "SELECT CASE credit_type WHEN 'producer' THEN 'producer' WHEN 'mixing' THEN 'mixing_engineer' WHEN 'featuring' THEN 'featuring' ELSE 'other' END AS role, count(*) AS n FROM credits GROUP BY 1"))
 SENTENCES = ("Produced by {n}, Ann & Bob", "{n} and Zoe et Max", "credits: {n};show more", "Lucy,{n}\nA")
 prose = lambda k: k.supplier.select(C("s_suppkey").alias("id"), F.replace(F.get(F.array(*(F.lit(x) for x in SENTENCES)), (C("s_suppkey") % 4).cast("int")), F.lit("{n}"), C("s_name")).alias("text"))
