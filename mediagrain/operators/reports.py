@@ -103,3 +103,14 @@ def validation_report(checked: DataFrame, key: str, level: Column, advice: dict[
     top = top.select(F.lit("top").alias("section"), "name", "n", F.coalesce(said, F.lit("")).alias("detail"))
     every = counts.unionByName(rules).unionByName(top)
     return every.join(total).select("section", "name", "n", F.round(100 * F.col("n") / F.col("all"), 4).alias("pct"), "detail")
+
+
+def cleaning_report(checked: DataFrame, missing: dict[str, str]) -> DataFrame:
+    """(section, name, n, pct) over checked rows (issues): rows with issues, levels by the number of issues (0, 1, 3, more), every issue, and rows that miss a field (a condition each)."""
+    n = F.size("issues")
+    level = F.when(n == 0, "excellent").when(n <= 1, "good").when(n <= 3, "average").otherwise("poor")
+    part = lambda section, name, one: F.struct(F.lit(section).alias("section"), name.alias("name"), one.cast("int").alias("one"))
+    fixed = [part("tracks", F.lit("with_issues"), n > 0), part("level", level, F.lit(1)), *(part("missing", F.lit(f), F.coalesce(F.expr(w), F.lit(False))) for f, w in missing.items())]
+    own = F.transform("issues", lambda x: F.struct(F.lit("issue").alias("section"), x["name"].alias("name"), F.lit(1).alias("one")))
+    counts = checked.select(F.explode(F.concat(F.array(*fixed), own)).alias("x")).groupBy("x.section", "x.name").agg(F.sum("x.one").cast("long").alias("n"))
+    return counts.join(F.broadcast(checked.agg(F.count("*").alias("all")))).select("section", "name", "n", F.round(100 * F.col("n") / F.col("all"), 4).alias("pct"))

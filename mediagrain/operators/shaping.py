@@ -69,6 +69,34 @@ def scrobble_tags(c: Column, least: int, k: int) -> Column:
     return F.slice(F.transform(F.array_sort(F.transform(tags, lambda t: F.struct((-t["count"]).alias("c"), t["name"].alias("name")))), lambda t: t["name"]), 1, k)
 
 
+def scrobble_image(c: Column) -> Column:
+    """The last image (the largest) that has an address; null if none."""
+    images = F.from_json(c, "struct<image:array<struct<`#text`:string,size:string>>>")["image"]
+    named = F.filter(F.transform(images, lambda x: x["#text"]), lambda x: x != "")
+    return F.get(F.reverse(named), F.lit(0))
+
+
+def similar_artists(c: Column) -> Column:
+    """Similar artists as (name, match); a single one may come as an object instead of a list. An empty list if there are none."""
+    one = "struct<name:string,match:string>"
+    many = F.from_json(c, f"struct<similar:struct<artist:array<{one}>>>")["similar"]["artist"]
+    single = F.from_json(c, f"struct<similar:struct<artist:{one}>>")["similar"]["artist"]
+    found = F.filter(F.coalesce(many, F.array(single), F.array().cast(f"array<{one}>")), lambda a: a["name"].isNotNull())
+    return F.transform(found, lambda a: F.struct(a["name"].alias("name"), F.coalesce(a["match"].try_cast("double"), F.lit(0.0)).alias("match")))
+
+
+# The audio features of a track, and their types.
+AUDIO_FEATURES = {"danceability": "double", "energy": "double", "key": "int", "loudness": "double", "mode": "int", "speechiness": "double", "acousticness": "double", "instrumentalness": "double", "liveness": "double", "valence": "double", "tempo": "double", "time_signature": "int"}
+
+
+def audio_features(df: DataFrame, key: str, doc: str) -> DataFrame:
+    """The audio features of a payload, with a whole tempo, the key's name and the mode's; all null for a broken payload."""
+    x = F.from_json(doc, ", ".join(f"{n} {t}" for n, t in AUDIO_FEATURES.items()))
+    out = df.select(key, x.alias("x")).select(key, "x.*")
+    mode = F.when(F.col("mode") == 1, "Major").when(F.col("mode") == 0, "Minor")
+    return out.withColumns({"bpm": F.when(F.col("tempo") != 0, F.bround("tempo")).cast("int"), "key_name": T.key_name(F.col("key")), "mode_name": mode})
+
+
 def subgenre_scores(tempo: Column, trap_pattern: Column, sub_bass: Column, percussive: Column, harmonic: Column, mid: Column) -> Column:
     """Additive scores of three styles: tempo, a drum pattern, shares of the sub-bass and mid bands, percussive against harmonic energy."""
     add = lambda *rules: F.least(F.lit(1.0), sum((F.when(r, p).otherwise(0.0) for r, p in rules), F.lit(0.0)))

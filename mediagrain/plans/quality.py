@@ -109,7 +109,9 @@ add("v25_modal_fix", lambda k: K.modal_fix(k.tracks.select("id", "artist_id", "g
 add("v26_change_counts", lambda k: K.change_counts(k.tracks, K.clean_numbers(k.tracks).withColumn("title", T.normalize_title(C("title"), True)), "id", ["bpm", "title", "track_number"]), sql("tracks", "SELECT count(*) FILTER (WHERE bpm >= 40 AND bpm < 60) AS bpm_changed, count(*) FILTER (WHERE title LIKE '% feat. %') AS title_changed, count(*) FILTER (WHERE track_number < 0) AS track_number_changed FROM tracks"))
 
 # reports over validated tracks
-add("a12_cleaning_report", lambda k: K.apply_rules(tracks(k), K.INTEGRITY_RULES).select(F.size("issues").alias("n")).groupBy(F.when(C("n") == 0, "clean").when(C("n") <= 1, "minor").when(C("n") <= 3, "major").otherwise("severe").alias("level")).agg(F.count("*").alias("tracks"), F.sum("n").alias("issues")), sql(V, FACTS + f", n AS (SELECT {' + '.join(f'CASE WHEN {r.when} THEN 1 ELSE 0 END' for r in K.INTEGRITY_RULES)} AS n FROM t) SELECT CASE WHEN n = 0 THEN 'clean' WHEN n <= 1 THEN 'minor' WHEN n <= 3 THEN 'major' ELSE 'severe' END AS level, count(*) AS tracks, CAST(sum(n) AS BIGINT) AS issues FROM n GROUP BY 1"))
+INTEGRITY = " + ".join(f"CASE WHEN {r.when} THEN 1 ELSE 0 END" for r in K.INTEGRITY_RULES)
+GONE = {"bpm": "bpm IS NULL", "duration": "duration_seconds IS NULL", "producer": "NOT has_producer", "album": "album_id IS NULL"}
+add("a12_cleaning_report", lambda k: O.cleaning_report(K.apply_rules(tracks(k), K.INTEGRITY_RULES), GONE), sql(V, FACTS + f", n AS (SELECT {INTEGRITY} AS n FROM t), i AS (" + " UNION ALL ".join(f"SELECT '{r.name}' AS name FROM t WHERE {r.when}" for r in K.INTEGRITY_RULES) + "), y AS (SELECT 'tracks' AS section, 'with_issues' AS name, count(*) FILTER (WHERE n > 0) AS n FROM n UNION ALL SELECT 'level', CASE WHEN n = 0 THEN 'excellent' WHEN n <= 1 THEN 'good' WHEN n <= 3 THEN 'average' ELSE 'poor' END, count(*) FROM n GROUP BY 2 UNION ALL SELECT 'issue', name, count(*) FROM i GROUP BY 2 UNION ALL " + " UNION ALL ".join(f"SELECT 'missing', '{n}', count(*) FILTER (WHERE {w}) FROM t" for n, w in GONE.items()) + ") SELECT section, name, n, round(100 * n / (SELECT count(*) FROM t), 4) AS pct FROM y"))
 ADVICE = {"missing_producer": "extract production credits", "missing_title": "check titles", "missing_duration": "fill lengths", "missing_bpm": "fill tempos", "short_duration": "check lengths", "long_duration": "check lengths"}
 add("a13_validation_report", lambda k: O.validation_report(validated(k), "id", K.ladder(C("score"), K.VALIDATION_STEPS, "very_poor"), ADVICE), sql(V, FACTS + f", s AS ({STD}), i AS (" + " UNION ALL ".join(f"SELECT id, '{r.name}' AS name FROM t WHERE {duck(r.when)}" for r in K.track_rules()) + f"), r AS (SELECT name, count(*) AS n, array_to_string(list_sort(list(id))[1:3], ',') AS detail FROM i GROUP BY 1), p AS (SELECT name, n FROM r ORDER BY n DESC, name LIMIT 5), y AS (SELECT 'total' AS section, 'valid' AS name, count(*) FILTER (WHERE is_valid) AS n, 'mean ' || printf('%.2f', avg(score)) AS detail FROM s UNION ALL SELECT 'level', {LADDER}, count(*), '' FROM s GROUP BY 2 UNION ALL SELECT 'range', CASE WHEN score < 50 THEN '0-50' WHEN score < 70 THEN '50-70' WHEN score < 85 THEN '70-85' WHEN score < 95 THEN '85-95' ELSE '95-100' END, count(*), '' FROM s GROUP BY 2 UNION ALL SELECT 'rule', name, n, detail FROM r UNION ALL SELECT 'top', name, n, CASE name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ADVICE.items()) + " ELSE '' END FROM p) SELECT section, name, n, round(100 * n / (SELECT count(*) FROM s), 4) AS pct, detail FROM y"))
 add("a14_validation_stats", lambda k: validated(k).agg(F.count_if("is_valid").alias("valid"), F.count_if(~C("is_valid")).alias("invalid"), F.sum(F.size("issues")).alias("issues"), F.round(F.avg("score"), 6).alias("mean_score")), sql(V, FACTS + f", s AS ({STD}) SELECT count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE NOT is_valid) AS invalid, CAST(sum(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END) AS BIGINT) AS issues, round(avg(score), 6) AS mean_score FROM s"))

@@ -83,6 +83,26 @@ add("h02_page_metadata", lambda k: music_pages(k).select("page_id", *(S.by_class
 add("p05_scrobble_tags", lambda k: k.events.select("event_id", F.array_join(S.scrobble_tags(F.when(C("event_id") % 2 == 0, F.concat(F.lit('{"tag":[{"name":"rap","count":'), (C("event_id") % 100).cast("string"), F.lit('},{"name":"jazz","count":50},{"name":"pop","count":5}]}'))).otherwise(F.lit('{"tag":{"name":"solo","count":20}}')), 10, 2), ",").alias("tags")), "SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'solo' WHEN event_id % 100 > 50 THEN 'rap,jazz' WHEN event_id % 100 = 50 THEN 'jazz,rap' WHEN event_id % 100 >= 10 THEN 'jazz,rap' ELSE 'jazz' END AS tags FROM events")
 song = lambda k: k.tracks.select("id", F.to_json(F.struct(C("title").alias("name"), F.array(F.struct(C("artist_id").alias("id")), F.struct((C("artist_id") + 1).alias("id"))).alias("artists"), F.struct(C("album_id").alias("id")).alias("album"), (C("duration_seconds") * 1000).alias("duration_ms"))).alias("doc"))
 SONG = "name string, artists array<struct<id:bigint>>, album struct<id:bigint>, duration_ms bigint"
+def features_doc(k):
+    """Audio feature payloads of vectors: some without a key or a tempo, some broken."""
+    v, i = lambda n: F.round(F.abs(F.col("embedding")[n].cast("double")), 6), C("vec_id")
+    doc = F.to_json(F.struct(v(0).alias("danceability"), v(1).alias("energy"), F.when(i % 4 > 0, i % 12).alias("key"), v(2).alias("loudness"), F.when(i % 3 < 2, i % 3).alias("mode"), F.when(i % 7 > 0, 60 + v(3) * 50).alias("tempo"), F.lit(4).alias("time_signature"), F.lit("x").alias("more")))
+    return k.embeddings.select("vec_id", F.when(i % 20 == 0, F.substring(doc, 1, 30)).otherwise(doc).alias("doc"))
+
+
+add("p03b_audio_features", lambda k: S.audio_features(features_doc(k), "vec_id", "doc").select("vec_id", "danceability", "energy", "key", "mode", "time_signature", "bpm", "key_name", "mode_name").filter("vec_id % 20 > 0"), "WITH e AS (SELECT vec_id AS i, embedding, 60 + round(abs(embedding[4]::DOUBLE), 6) * 50 AS tempo FROM embeddings WHERE vec_id % 20 > 0) SELECT i AS vec_id, round(abs(embedding[1]::DOUBLE), 6) AS danceability, round(abs(embedding[2]::DOUBLE), 6) AS energy, CASE WHEN i % 4 > 0 THEN i % 12 END::INT AS key, CASE WHEN i % 3 < 2 THEN i % 3 END::INT AS mode, 4 AS time_signature, CASE WHEN i % 7 > 0 THEN round_even(tempo, 0) END::INT AS bpm, CASE WHEN i % 4 > 0 THEN ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][i % 12 + 1] END AS key_name, CASE i % 3 WHEN 1 THEN 'Major' WHEN 0 THEN 'Minor' END AS mode_name FROM e")
+
+
+def scrobbles(k):
+    """Artist payloads: images with and without addresses; similar artists as a list, an object or not at all."""
+    i = C("event_id")
+    name = F.concat(F.lit('{"name":"a'), (i % 50).cast("string"), F.lit('","match":"0.'), (i % 10).cast("string"), F.lit('"}'))
+    similar = F.when(i % 3 == 0, F.concat(F.lit("["), name, F.lit(',{"name":"b"}]'))).when(i % 3 == 1, name)
+    images = F.when(i % 4 == 0, F.lit('[{"#text":"","size":"small"}]')).when(i % 4 == 1, F.lit('[{"#text":"http://s","size":"small"},{"#text":"http://l","size":"large"},{"#text":"","size":"mega"}]')).otherwise(F.lit('[{"#text":"http://s","size":"small"}]'))
+    return k.events.select("event_id", F.concat(F.lit('{"image":'), images, F.coalesce(F.concat(F.lit(',"similar":{"artist":'), similar, F.lit("}")), F.lit("")), F.lit("}")).alias("doc"))
+
+
+add("p05b_scrobble_artists", lambda k: scrobbles(k).select("event_id", S.scrobble_image(C("doc")).alias("image"), S.similar_artists(C("doc")).alias("s")).select("event_id", "image", F.array_join(F.transform("s", lambda a: a["name"]), ",").alias("similar"), F.round(F.aggregate("s", F.lit(0.0), lambda n, a: n + a["match"]), 6).alias("matches")), "SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'http://l' ELSE 'http://s' END AS image, CASE event_id % 3 WHEN 0 THEN 'a' || event_id % 50 || ',b' WHEN 1 THEN 'a' || event_id % 50 ELSE '' END AS similar, CASE WHEN event_id % 3 < 2 THEN round(event_id % 10 / 10, 6) ELSE 0 END::DOUBLE AS matches FROM events")
 add("p03_track_payload", lambda k: D.flatten_payload(song(k), "doc", SONG).select("id", C("artists")[0]["id"].alias("artist"), F.array_join(F.transform(F.slice("artists", F.lit(2), F.greatest(F.size("artists") - 1, F.lit(0))), lambda a: a["id"].cast("string")), ",").alias("others"), C("album.id").alias("album"), F.floor(C("duration_ms") / 1000).alias("seconds")), sql("tracks", "SELECT id, artist_id AS artist, CAST(artist_id + 1 AS VARCHAR) AS others, album_id AS album, CAST(duration_seconds AS BIGINT) AS seconds FROM tracks"))
 # The confidence of a rhythm by its level.
 rhythm = lambda: F.when(C("bpm").isNotNull(), F.when(C("id") % 3 == 0, 0.9).when(C("id") % 3 == 1, 0.7).otherwise(0.5))

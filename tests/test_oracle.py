@@ -26,7 +26,8 @@ def duck():
 
 @pytest.fixture(scope="module")
 def collected(spark, request):
-    """A function of a query's name that gives its columns and rows, which are being collected meanwhile."""
+    """A function of a query's name that gives its columns and rows, which are being collected meanwhile, with whole-stage code generation as users have it."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
     asked = [x.callspec.params["name"] for x in request.session.items if x.name.startswith("test_matches_sql")]
 
     def run(name):
@@ -36,6 +37,7 @@ def collected(spark, request):
     with ThreadPoolExecutor(6) as pool:
         found = {name: pool.submit(run, name) for name in asked}
         yield lambda name: found[name].result()
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
 
 
 def plain(v):
