@@ -63,7 +63,8 @@ def confidence(score: Column) -> Column:
 
 def track_duplicates(tracks: DataFrame, threshold: float = 0.9) -> DataFrame:
     """All pairs of an artist's tracks that are exact, remix, featuring or similar."""
-    keyed = tracks.withColumns({"n": T.normalize_text(F.col("title")), "b": base_title(F.col("title")), "f": T.featured_text(F.col("title"))}).withColumn("row", F.struct("id", "n", "f"))
+    keyed = tracks.select("artist_id", "id", T.normalize_text(F.col("title")).alias("n"), base_title(F.col("title")).alias("b"), T.featured_text(F.col("title")).alias("f"))
+    keyed = written(keyed, "titles").withColumn("row", F.struct("id", "n", "f"))  # read once for each kind of pair
     equal = candidate_pairs(keyed, ["artist_id", "n"], "row", "b").select("id1", "id2", "b1", "b2")
     same = candidate_pairs(keyed, ["artist_id", "b"], "row").select("id1", "id2", F.col("b").alias("b1"), F.col("b").alias("b2"))
     pairs = near_pairs(keyed, ["artist_id"], "row", "b", threshold).toDF("id1", "id2", "b1", "b2").unionByName(equal).unionByName(same).distinct()
@@ -142,7 +143,8 @@ def merged_releases(groups: DataFrame, tracks: DataFrame, threshold: float = 0.8
 def featuring_variants(tracks: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Pairs of an artist's tracks whose titles without guests are alike to the threshold and whose guests differ."""
     x = T.extract_featured(F.col("title"))
-    df = tracks.select("artist_id", "id", T.normalize_text(x["title"]).alias("t"), F.array_sort(x["artists"]).alias("f")).withColumn("row", F.struct("id", "f"))
+    df = tracks.select("artist_id", "id", T.normalize_text(x["title"]).alias("t"), F.array_sort(x["artists"]).alias("f"))
+    df = written(df, "titles").withColumn("row", F.struct("id", "f"))
     near = near_pairs(df, ["artist_id"], "row", "t", threshold)
     near = near.filter(1 - F.levenshtein("name1", "name2") / F.greatest(F.length("name1"), F.length("name2"), F.lit(1)) >= threshold)
     return near.filter(F.col("id1.f") != F.col("id2.f")).select("id1.id", "id2.id").toDF("id1", "id2").distinct()

@@ -38,11 +38,11 @@ def cascade(k):
 
 
 add("q13_cascade_delete", cascade, sql("artists albums tracks credits", "SELECT 'artists' AS table_name, count(*) AS n FROM artists WHERE id % 3 <> 0 UNION ALL SELECT 'albums', count(*) FROM albums WHERE artist_id % 3 <> 0 UNION ALL SELECT 'tracks', count(*) FROM tracks WHERE artist_id % 3 <> 0 UNION ALL SELECT 'credits', count(*) FROM credits WHERE track_id NOT IN (SELECT id FROM tracks WHERE artist_id % 3 = 0)"))
-add("q14_upsert", lambda k: L.upsert(k.artists.filter("id % 4 <> 0").select("id", "name", "genre"), k.artists.filter("id % 3 = 0").select("id", F.upper("name").alias("name"), "genre"), "id"), sql("artists", "SELECT id, CASE WHEN id % 3 = 0 THEN upper(name) ELSE name END AS name, genre FROM artists WHERE id % 4 <> 0 OR id % 3 = 0"))
+add("q14_upsert", lambda k: L.upsert(k.artists.filter("id % 4 <> 0").select("id", "name", "genre"), k.artists.filter("id % 3 = 0 or id % 4 = 0").select("id", F.upper("name").alias("name"), "genre"), "id"), sql("artists", "SELECT id, CASE WHEN id % 3 = 0 OR id % 4 = 0 THEN upper(name) ELSE name END AS name, genre FROM artists"))
 add(
     "q15_upsert_fill_missing",
-    lambda k: L.upsert_fill_missing(k.tracks.filter("id % 3 <> 0").select("id", "bpm", "duration_seconds", F.lit(2).alias("priority")), k.tracks.filter("id % 2 = 0").select("id", F.lit(120.0).alias("bpm"), F.lit(180).alias("duration_seconds"), (C("id") % 4 + 1).cast("int").alias("priority")), "id"),
-    sql("tracks", ", e AS (SELECT id, bpm, duration_seconds, 2 AS priority FROM tracks WHERE id % 3 <> 0), n AS (SELECT id, 120.0::DOUBLE AS bpm, 180 AS duration_seconds, CAST(id % 4 + 1 AS INT) AS priority FROM tracks WHERE id % 2 = 0) SELECT coalesce(e.id, n.id) AS id, coalesce(e.bpm, n.bpm) AS bpm, coalesce(e.duration_seconds, n.duration_seconds) AS duration_seconds, least(e.priority, n.priority) AS priority FROM e FULL JOIN n ON e.id = n.id"),
+    lambda k: L.upsert_fill_missing(k.tracks.filter("id % 3 <> 0").select("id", "bpm", "duration_seconds", F.lit(2).alias("priority")), k.tracks.filter("id % 2 = 0 or id % 3 = 0").select("id", F.lit(120.0).alias("bpm"), F.lit(180).alias("duration_seconds"), (C("id") % 4 + 1).cast("int").alias("priority")), "id"),
+    sql("tracks", ", e AS (SELECT id, bpm, duration_seconds, 2 AS priority FROM tracks WHERE id % 3 <> 0), n AS (SELECT id, 120.0::DOUBLE AS bpm, 180 AS duration_seconds, CAST(id % 4 + 1 AS INT) AS priority FROM tracks WHERE id % 2 = 0 OR id % 3 = 0) SELECT coalesce(e.id, n.id) AS id, coalesce(e.bpm, n.bpm) AS bpm, coalesce(e.duration_seconds, n.duration_seconds) AS duration_seconds, least(e.priority, n.priority) AS priority FROM e FULL JOIN n ON e.id = n.id"),
 )
 add("q16_update_where", lambda k: L.update_where(k.tracks, C("bpm") > 200, {"bpm": C("bpm") / 2, "status": F.lit("fixed")}).select("id", "bpm", "status"), sql("tracks", "SELECT id, CASE WHEN bpm > 200 THEN bpm / 2 ELSE bpm END AS bpm, CASE WHEN bpm > 200 THEN 'fixed' ELSE status END AS status FROM tracks"))
 add("q17_latest_checkpoint", lambda k: L.latest(k.sessions, ["session", "status"], "ts", "metadata", "id").withColumn("step", F.get_json_object("metadata", "$.k").cast("long")), sql("sessions", "SELECT session, status, arg_max(metadata, (ts, id)) AS metadata, max(ts) AS ts, count(*) AS n, CAST(json_extract(arg_max(metadata, (ts, id)), '$.k') AS BIGINT) AS step FROM sessions GROUP BY session, status"))
@@ -68,7 +68,7 @@ def invalidated(k):
 add("q27_invalidate_on_event", invalidated, sql("cache", ", f AS (SELECT DISTINCT CASE event_type WHEN 'error' THEN 'click:' || (user_id % 50) ELSE 'view:%' END AS p FROM events WHERE event_type IN ('error', 'signup')) SELECT key, event_id FROM cache WHERE NOT EXISTS (SELECT 1 FROM f WHERE key LIKE p)"))
 
 add("w01_union_sources", lambda k: R.union_all(k.artists.select("id", "name"), k.supplier.select(C("s_suppkey").alias("id"), C("s_name").alias("name"), F.lit("s").alias("src"))), sql("artists", "SELECT id, name, NULL::VARCHAR AS src FROM artists UNION ALL SELECT s_suppkey, s_name, 's' FROM supplier"))
-add("w02_add_if_absent", lambda k: R.add_absent(k.part.filter("p_partkey % 2 = 0").select("p_partkey", "p_name"), k.part.filter("p_partkey % 3 = 0").select("p_partkey", F.upper("p_name").alias("p_name")), "p_partkey"), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS p_name FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
+add("w02_add_if_absent", lambda k: R.add_absent(k.part.filter("p_partkey % 2 = 0").select("p_partkey", "p_name"), k.part.filter("p_partkey % 3 = 0 or p_partkey % 2 = 1").select("p_partkey", F.upper("p_name").alias("p_name")), "p_partkey"), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS p_name FROM part")
 add("w03_set_overlap", lambda k: k.part.select("p_partkey", R.set_overlap(F.split("p_name", " "), F.split(F.lower("p_type"), " ")).alias("x")).select("p_partkey", C("x.shared").cast("long").alias("shared"), C("x.together").cast("long").alias("together")), "SELECT p_partkey, len(list_intersect(a, b)) AS shared, len(list_distinct(a || b)) AS together FROM (SELECT p_partkey, string_split(p_name, ' ') AS a, string_split(lower(p_type), ' ') AS b FROM part)")
 add("w04_distinct_in_order", lambda k: k.lyrics.select("id", F.array_join(F.array_distinct(F.split("lyrics", " ")), " ").alias("words")), sql("lyrics", ", w AS (SELECT id, unnest(string_split(lyrics, ' ')) AS w, unnest(range(1, len(string_split(lyrics, ' ')) + 1)) AS i FROM lyrics), f AS (SELECT id, w, min(i) AS i FROM w GROUP BY id, w) SELECT id, string_agg(w, ' ' ORDER BY i) AS words FROM f GROUP BY id"))
 add("w05_keep_first", lambda k: R.keep_first(k.credits.select("track_id", "person_name", "credit_type"), ["track_id", "credit_type"], ["person_name"]), sql("credits", "SELECT track_id, min(person_name) AS person_name, credit_type FROM credits GROUP BY track_id, credit_type"))
