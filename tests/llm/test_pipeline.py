@@ -4,14 +4,12 @@ import hashlib
 import math
 import re
 
-import numpy as np
-import public_tokenizers
 import pyarrow as pa
 import pytest
-from tokenizers import Tokenizer
 
 from mediagrain.llm import toxicity
 from mediagrain.llm.textkit import column_bytes
+from tests.llm.test_packing import whole
 from tests.llm.test_shingle_join import brute as brute_components
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -111,15 +109,8 @@ def test_stages(spark, sf):
         elif name == "benchmark decontamination":
             assert texts == plain_decontamination(given, spark.read.parquet(f"{sf}/benchmark.parquet").collect())
         else:
-            coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-            total = {}
-            for r in rows:
-                total[r.doc_id] = total.get(r.doc_id, 0) + r.length
-            assert total == {r.doc_id: len(coder.encode(r.text, add_special_tokens=False).ids) + 1 for r in given}
-            used = {}
-            for r in rows:
-                used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
-            assert max(used.values()) <= 2048 and np.mean(list(used.values())) > 200
+            _, padding = whole(after, given)  # every id in one piece, gapless windows, checksums
+            assert padding < 2048 * before.rdd.getNumPartitions()
         before = after
 
 
