@@ -117,4 +117,4 @@ add("a13_validation_report", lambda k: O.validation_report(validated(k), "id", K
 add("a14_validation_stats", lambda k: validated(k).agg(F.count_if("is_valid").alias("valid"), F.count_if(~C("is_valid")).alias("invalid"), F.sum(F.size("issues")).alias("issues"), F.round(F.avg("score"), 6).alias("mean_score")), sql(V, FACTS + f", s AS ({STD}) SELECT count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE NOT is_valid) AS invalid, CAST(sum(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END) AS BIGINT) AS issues, round(avg(score), 6) AS mean_score FROM s"))
 METRIC_NAMES = [m for m, _ in K.METRICS]
 ISSUES16 = " UNION ALL ".join(f"SELECT artist_id, '{r.name}' AS issue FROM o WHERE {duck(r.when)}" for r in K.track_rules())
-add("a16_artist_quality", lambda k: O.group_quality(measured(k), "artist_id", METRIC_NAMES), sql(V, MEASURED + f", i AS ({ISSUES16}), m AS (SELECT artist_id, count(*) AS rows, {', '.join(f'round(avg({m}), 4)::DOUBLE AS {m}' for m in METRIC_NAMES)}, round(avg(overall), 4) AS overall, round(avg(CASE WHEN overall < 40 THEN 1.0 ELSE 0.0 END), 6) AS low_share FROM o GROUP BY 1), n AS (SELECT artist_id, issue, count(*) AS n FROM i GROUP BY 1, 2), f AS (SELECT n.*, row_number() OVER (PARTITION BY artist_id ORDER BY n DESC, issue) AS place FROM n JOIN m USING (artist_id) WHERE n > 0.5 * rows), g AS (SELECT artist_id, string_agg(issue, ',' ORDER BY place) AS recurring FROM f WHERE place <= 3 GROUP BY 1) SELECT m.*, coalesce(recurring, '') AS recurring FROM m LEFT JOIN g USING (artist_id)"))
+add("a16_artist_quality", lambda k: O.group_quality(measured(k), "artist_id", METRIC_NAMES), sql(V, MEASURED + f", i AS ({ISSUES16}), m AS (SELECT artist_id, count(*) AS rows, {', '.join(f'(floor(avg({m}) * 10000 + 0.001) / 10000)::DOUBLE AS {m}' for m in [*METRIC_NAMES, 'overall'])}, round(avg(CASE WHEN overall < 40 THEN 1.0 ELSE 0.0 END), 6) AS low_share FROM o GROUP BY 1), n AS (SELECT artist_id, issue, count(*) AS n FROM i GROUP BY 1, 2), f AS (SELECT n.*, row_number() OVER (PARTITION BY artist_id ORDER BY n DESC, issue) AS place FROM n JOIN m USING (artist_id) WHERE n > 0.5 * rows), g AS (SELECT artist_id, string_agg(issue, ',' ORDER BY place) AS recurring FROM f WHERE place <= 3 GROUP BY 1) SELECT m.*, coalesce(recurring, '') AS recurring FROM m LEFT JOIN g USING (artist_id)"))
