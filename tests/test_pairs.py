@@ -1,6 +1,9 @@
 """Names compared once, by group and by pieces, against plain comparisons; groups and merges without all pairs."""
 
 import random
+from types import SimpleNamespace
+
+from pyspark.sql import functions as F
 
 from mediagrain.operators import linkage
 from mediagrain.plans import textual
@@ -71,3 +74,42 @@ def test_search_terms_of_normalised_texts(spark):
     got = df.select(T.normalize_text(df.a).alias("a"), T.normalize_text(df.t).alias("t")).select(T.search_terms_of(textual.C("a"), textual.C("t")).alias("x"))
     assert got.collect() == df.select(T.search_terms(df.a, df.t).alias("x")).collect()
     assert "regexp" not in str(T.search_terms_of(df.a, df.t))
+
+
+def test_names_are_scored_once_a_pair_of_names(spark):
+    """50 parts of one name are one name to score, in blocks of any size; names may be null."""
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def judged(s, t, sw, tw):
+        scored.add(1)
+        return None if s is None or t is None else float(len(s) * 100 + len(t))
+
+    names = ["a", "bbb", "cc", None, "dddd"]
+    rows = [(i, names[i * 7 % 5], "B", i % 2) for i in range(100)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int")
+    got = textual.sim(judged, most=2)(SimpleNamespace(spark=spark, part=part)).collect()
+    size = lambda x, y: None if x is None or y is None else float(len(x) * 100 + len(y))
+    want = {(x[0], y[0], size(x[1], y[1])) for x in rows for y in rows if x[3] == y[3] and x[0] < y[0]}
+    assert len(got) == len(want) and {(r.a, r.b, r.out) for r in got} == want
+    assert scored.value <= 2 * 2 * 25  # not one for each of 2 450 pairs
+
+
+def test_stars_of_names_keep_components(spark):
+    """Names that differ at one place are linked to the least of them, which takes fewer rows and keeps the groups."""
+    names = [f"customer{i:09d}" for i in range(300)] + ["customer00000001", "another name", "anothers name", "x" * 30, "x" * 29 + "y", "customer000000001ab", "customer000000001abc"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    whole = linkage.near_names(df, [], 0.9).collect()
+    stars = linkage.near_names(df, [], 0.9, stars=True).collect()
+    ratio = lambda a, b: 1 - edits(a, b) / max(len(a), len(b))
+    assert {(r.name1, r.name2) for r in whole} == {(a, b) for a in names for b in names if a < b and ratio(a, b) >= 0.9 - 1e-6}
+    assert len(whole) == len(set(whole)) and {*stars} <= {*whole} and 2 * len(stars) < len(whole)
+
+    def groups(pairs):
+        label = {n: n for n in names}
+        for _ in names:
+            for r in pairs:
+                label[r.name1] = label[r.name2] = min(label[r.name1], label[r.name2])
+        return label
+
+    assert groups(stars) == groups(whole)
