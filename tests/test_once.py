@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mediagrain.operators import linkage as L
-from mediagrain.plans import linkage
+from mediagrain.plans import linkage, textual
 from mediagrain.sources.catalog import load
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +29,7 @@ def test_points_give_the_confidence_of_results(spark):
         one, two = (set((x or "").lower().split()) - {"!?"} for x in (r.t, r.u))
         near = len(one & two) / len(one | two) if one and two else 0
         assert r.x == r.y and abs(r.x - (0.5 + 0.2 * near + (0.22 if r.a else 0))) < 1e-6, r
+
+
+def test_the_bound_of_blocks_is_judged_once_a_pair_of_titles(spark):
+    assert "Join" not in plan(textual.block_pairs(load(spark, SF)))
