@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from mediagrain.operators import linkage as L
-from mediagrain.plans import linkage, textual
+from mediagrain.plans import linkage, shaping, textual
+from mediagrain.sources import catalog
 from mediagrain.sources.catalog import load
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +34,15 @@ def test_points_give_the_confidence_of_results(spark):
 
 def test_the_bound_of_blocks_is_judged_once_a_pair_of_titles(spark):
     assert "Join" not in plan(textual.block_pairs(load(spark, SF)))
+
+
+def test_release_metadata_makes_tracks_once(spark):
+    assert plan(shaping.release_metadata(load(spark, SF))).count("Relation [l_orderkey") == 1
+
+
+def test_tracks_take_more_tasks_as_line_items_grow(spark, monkeypatch):
+    want = sorted(map(repr, load(spark, SF).tracks.collect()))
+    monkeypatch.setattr(catalog, "LINES", 100)
+    few = load(spark, SF)
+    assert few.tasks == -(-few.lineitem.count() // 100)
+    assert plan(few.tracks).count(f", {few.tasks}") >= 2 and sorted(map(repr, few.tracks.collect())) == want
