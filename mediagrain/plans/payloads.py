@@ -28,7 +28,7 @@ def every(n, yes, no=None):
 
 
 def releases(k):
-    inner = k.tracks.groupBy(C("album_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("track_number", "title", "duration_seconds"))).alias("ts"))
+    inner = k.tracks.groupBy(C("album_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("track_number", "title", "duration_seconds"))).alias("ts"))
     credit = lambda name, role: F.struct(name.alias("name"), role.alias("role"))
     text = lambda c: c.cast("string")
     length = lambda s: F.concat(text(F.floor(s / 60)), F.lit(":"), F.lpad(text(s % 60), 2, "0"))

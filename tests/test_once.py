@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from mediagrain.operators import credits, documents
 from mediagrain.operators import linkage as L
-from mediagrain.plans import linkage, shaping, textual
+from mediagrain.plans import linkage, payloads, shaping, textual
 from mediagrain.sources import catalog
 from mediagrain.sources.catalog import load
 
@@ -46,3 +47,17 @@ def test_tracks_take_more_tasks_as_line_items_grow(spark, monkeypatch):
     few = load(spark, SF)
     assert few.tasks == -(-few.lineitem.count() // 100)
     assert plan(few.tracks).count(f", {few.tasks}") >= 2 and sorted(map(repr, few.tracks.collect())) == want
+
+
+def test_payloads_are_parsed_once_for_their_tracks(spark):
+    k = load(spark, SF)
+    assert plan(documents.release_tracks(payloads.releases(k), "doc")).count("from_json(") == 1
+    docs = ['{"id":1,"tracklist":[{"title":"a","duration":"1:05"},null]}', '{"id":2,"tracklist":[]}', '{"id":3}', "broken", None]
+    got = documents.release_tracks(spark.createDataFrame([(d,) for d in docs], "doc string"), "doc").collect()
+    assert sorted((r.id, r.title or "", r.seconds, r.credits) for r in got if r.title) == [(1, "a", 65, "")] and len(got) == 2
+
+
+def test_the_label_of_a_role_is_made_lower_case_once(spark):
+    df = spark.createDataFrame([(" Mixed BY ",), ("Saxophone",), ("Some thing",), ("",), (None,)], "r string").select(credits.normal_role(F.col("r")).alias("x"))
+    assert plan(df).count("lower(") == 1
+    assert [r.x for r in df.collect()][:3] == ["Mixing Engineer", "Instrumentalist", "Some Thing"]
